@@ -130,14 +130,14 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return scramble(out)
 
 
-def rolling_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of every run of w values, by doubling."""
+def rolling(x: np.ndarray, w: int, best=np.minimum) -> np.ndarray:
+    """Minimum (or another ``best``) of every run of w values, by doubling."""
     n = len(x) - w + 1
     if n <= 0:
         return x[:0]
     span, out = 1, x
     while span * 2 <= w:
-        out = np.minimum(out[: len(out) - span], out[span:])
+        out = best(out[: len(out) - span], out[span:])
         span *= 2
     rest = w - span
-    return np.minimum(out[:n], out[rest : rest + n]) if rest else out[:n]
+    return best(out[:n], out[rest : rest + n]) if rest else out[:n]
