@@ -6,11 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspark.llm import packing, quality_rules, substring_dedup
+from leafspark.llm import media, packing, quality_rules, substring_dedup
+from leafspark.llm.arrow_text import shared_dir
 from leafspark.llm.oracles import OP4
 from leafspark.session import table
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.media_columns(table(spark, sf_dir, "documents"), shared_dir(spark, "media"))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -27,6 +42,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_media_columns": op5_media_columns,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
