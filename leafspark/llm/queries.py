@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspark.llm import media, packing, quality_rules, substring_dedup
+from leafspark.llm import media, packing, quality_model, quality_rules, substring_dedup
 from leafspark.llm.arrow_text import shared_dir
 from leafspark.llm.oracles import OP4
 from leafspark.session import table
@@ -26,6 +26,11 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score_quality(docs, quality_model.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -43,6 +48,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_media_columns": op5_media_columns,
+    "op8_quality_model": op8_quality_model,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
