@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspark.llm import media, packing, quality_model, quality_rules, substring_dedup
+from leafspark.llm import media, packing, quality_model, quality_rules, substring_dedup, toxicity
 from leafspark.llm.arrow_text import shared_dir
 from leafspark.llm.oracles import OP4
 from leafspark.session import table
@@ -41,11 +41,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("host"), "text"))
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_media_columns": op5_media_columns,
     "op8_quality_model": op8_quality_model,
