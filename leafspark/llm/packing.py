@@ -9,48 +9,169 @@ which need no padding.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from leafspark.llm.arrow_text import sized_slices
+from leafspark.llm.arrow_text import lower_ascii, run_hashes, sized_slices, utf8, words
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_tokens", pa.int64())])
 
 
+#: Marks that the tokenizer cuts off a word, and that it lowers to themselves.
+_MARK = np.zeros(256, dtype=bool)
+_MARK[list(b".,!?;:*#%&$")] = True
+_ASCII_LETTER = np.zeros(256, dtype=bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Second bytes, after 0xC3, of the letters U+00C0 to U+00FF (0x97 and 0xB7 are signs).
+_TRAIL = np.zeros(256, dtype=bool)
+_TRAIL[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True
+#: What a worker knows of each tokenizer; kept from task to task.
+_CODERS: dict[str, "WordTokenizer"] = {}
+
+
+class PieceTable:
+    """Token ids of known byte strings, found by their 64-bit hashes."""
+
+    def __init__(self):
+        self.index: dict[int, int] = {}
+        self.begins = np.zeros(0, dtype=np.int64)
+        self.counts = np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(0, dtype="<u4")
+
+    def find(self, keys: list[int]) -> np.ndarray:
+        """Place of each key in the table, or -1."""
+        get = self.index.get
+        return np.array([get(k, -1) for k in keys], dtype=np.int64)
+
+    def add(self, keys: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+        known = len(self.index)
+        self.index.update(zip(keys, range(known, known + len(keys)), strict=True))
+        begins = len(self.pool) + np.cumsum(counts) - counts
+        self.pool = np.concatenate([self.pool, ids])
+        self.counts = np.concatenate([self.counts, counts])
+        self.begins = np.concatenate([self.begins, begins])
+
+    def gather(self, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at the given places of the table, and the sums of their numbers from 0 on."""
+        counts = self.counts[piece]
+        sums = np.concatenate([[0], np.cumsum(counts)])
+        return self.pool[np.repeat(self.begins[piece] - sums[:-1], counts) + np.arange(sums[-1])], sums
+
+
 class WordTokenizer:
     """Ids of a tokenizer whose words, cut at white space, are coded independently.
 
-    Every different word is coded once and kept, up to ``most`` words; a text with characters on
-    whose white-space property libraries differ (0x1C to 0x1F) is coded whole.
+    Every different word is coded once and kept in a table, up to ``most`` words. A new word of
+    Latin-1 letters and then marks is cut into its lower-case stem and the marks, as the tokenizer
+    does, so that few stems have to be coded; other words are coded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 900_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words, self.parts = PieceTable(), PieceTable()
+
+    @classmethod
+    def of(cls, path: str) -> "WordTokenizer":
+        if path not in _CODERS:
+            _CODERS[path] = cls(path)
+        return _CODERS[path]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _code(self, texts: list[str], stems: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and their numbers. Stems end with an end-of-word token each, so many share a call."""
+        pool, counts = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(texts), 1000):
+            part = texts[at : at + 1000]
+            if stems:
+                (ids,) = self._ids([" ".join(part)])
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) == len(part):
+                    pool.append(ids)
+                    counts.append(np.diff(ends, prepend=0))
+                    continue
+            each = self._ids(part)
+            pool.extend(each)
+            counts.append(np.array([len(x) for x in each], dtype=np.int64))
+        return np.concatenate(pool), np.concatenate(counts)
+
+    def _learn(self, keys: list[int], data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        """Add the words at the given bytes to the table."""
+        lengths = stops - starts
+        ends = np.cumsum(lengths)
+        begins = ends - lengths
+        own = data[np.repeat(starts - begins, lengths) + np.arange(ends[-1])]
+        lead = np.zeros(len(own), dtype=bool)
+        lead[:-1] = (own[:-1] == 0xC3) & _TRAIL[own[1:]]
+        letter = _ASCII_LETTER[own] | lead
+        letter[1:] |= lead[:-1]
+        others = np.append(np.flatnonzero(~letter), len(own))
+        cut = np.minimum(others[np.searchsorted(others, begins)], ends)
+        marks = np.concatenate([[0], np.cumsum(_MARK[own])])
+        plain = (cut > begins) & (marks[ends] - marks[cut] == ends - cut)
+        lower = lower_ascii(own)
+        trail = np.flatnonzero(lead) + 1
+        lower[trail[own[trail] < 0x9F]] += 0x20  # 0x9F ends the sharp s, which has no capital here
+        raw = own.tobytes()
+        odd = np.flatnonzero(~plain)
+        self.words.add([keys[i] for i in odd.tolist()], *self._code([raw[begins[i] : ends[i]].decode() for i in odd], stems=False))
 
-    def _code(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        good = np.flatnonzero(plain)
+        if not len(good):
+            return
+        runs = np.stack([begins[good], cut[good], cut[good], ends[good]], axis=1).reshape(-1, 2)
+        full = np.flatnonzero(runs[:, 1] > runs[:, 0])
+        which, hashes = pd.factorize(run_hashes(lower, runs[full, 0], runs[full, 1]))
+        where = np.zeros(len(hashes), dtype=np.int64)
+        where[which[::-1]] = full[::-1]
+        parts = hashes.tolist()
+        found = self.parts.find(parts)
+        fresh = np.flatnonzero(found < 0)
+        low = lower.tobytes()
+        for stems in (True, False):
+            mine = fresh[(where[fresh] % 2 == 0) == stems]
+            self.parts.add([parts[i] for i in mine.tolist()], *self._code([low[a:b].decode() for a, b in runs[where[mine]].tolist()], stems))
+        found[fresh] = self.parts.find([parts[i] for i in fresh.tolist()])
+        ids, sums = self.parts.gather(found[which])
+        upto = np.concatenate([[0], np.cumsum((runs[:, 1] > runs[:, 0]).reshape(-1, 2).sum(axis=1))])
+        self.words.add([keys[i] for i in good.tolist()], ids, np.diff(sums[upto]))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        fresh = list({w for ws in split if ws for w in ws if w not in known})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            known.update(zip(part, self._code(part), strict=True))
-        odd = iter(self._code([t for t, ws in zip(texts, split, strict=True) if ws is None]))
-        return [next(odd) if ws is None else b"".join([known[w] for w in ws]) for ws in split]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), and each text's limits in them."""
+        data, ends = utf8(texts)
+        starts, stops, first = words(data, ends)
+        if not len(starts):
+            return np.zeros(0, dtype="<u4"), np.zeros(len(ends), dtype=np.int64)
+        which, hashes = pd.factorize(run_hashes(data, starts, stops))
+        if len(self.words.index) > self.most:
+            self.words, self.parts = PieceTable(), PieceTable()
+        keys = hashes.tolist()
+        found = self.words.find(keys)
+        fresh = np.flatnonzero(found < 0)
+        if len(fresh):
+            where = np.zeros(len(keys), dtype=np.int64)
+            where[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+            at = where[fresh]
+            new = [keys[i] for i in fresh.tolist()]
+            self._learn(new, data, starts[at], stops[at])
+            found[fresh] = self.words.find(new)
+        ids, sums = self.words.gather(found[which])
+        return ids, sums[first]
 
 
 class HarmonicBins:
@@ -133,13 +254,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, cla
         raise ValueError("capacity must be a power of two, and classes between 1 and capacity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = WordTokenizer(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        coder, end = WordTokenizer.of(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         bins = HarmonicBins(capacity, classes, TaskContext.get().partitionId())
         for batch in batches:
             for part in sized_slices(batch, "text", 2_000_000):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
-                    bins.add(doc_id, ids + end)
+                ids, limits = coder.encode(part.column("text"))
+                raw = ids.tobytes()
+                limits = (4 * limits).tolist()
+                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), limits[:-1], limits[1:], strict=True):
+                    bins.add(doc_id, raw[a:b] + end)
                 if bins.rows:
                     yield bins.take()
         bins.finish()
