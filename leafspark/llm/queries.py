@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspark.llm import media, packing, quality_model, quality_rules, substring_dedup, toxicity
+from leafspark.llm import language, media, packing, quality_model, quality_rules, substring_dedup, toxicity
 from leafspark.llm.arrow_text import shared_dir
 from leafspark.llm.oracles import OP4
 from leafspark.session import table
@@ -26,6 +26,18 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs.select("doc_id", "text", F.col("source").alias("host")), language.fit_languages(docs), ["doc_id"])
+
+
+def op7_language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on web pages, which have all hints; the text model is fitted on ``documents``."""
+    pages = table(spark, sf_dir, "pages").withColumn("host", language.address_host(F.col("url")))
+    rows = pages.select("page_id", language.visible_text(F.col("html")).alias("text"), language.markup_language(F.col("html")).alias("declared"), language.suffix_language(F.col("host")).alias("suffix"), "host")
+    return language.identify(rows, language.fit_languages(table(spark, sf_dir, "documents")), ["page_id"])
+
+
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.score_quality(docs, quality_model.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -54,6 +66,8 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_media_columns": op5_media_columns,
+    "op7_language": op7_language,
+    "op7_language_of_pages": op7_language_of_pages,
     "op8_quality_model": op8_quality_model,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
