@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspark.llm import language, media, packing, quality_model, quality_rules, substring_dedup, toxicity
+from leafspark.llm import language, media, near_dedup, packing, quality_model, quality_rules, substring_dedup, toxicity
 from leafspark.llm.arrow_text import shared_dir
 from leafspark.llm.oracles import OP4
 from leafspark.session import table
@@ -53,6 +53,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -63,6 +67,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_media_columns": op5_media_columns,
