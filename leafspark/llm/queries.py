@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspark.llm import language, media, near_dedup, packing, quality_model, quality_rules, substring_dedup, toxicity
+from leafspark.llm import chat, language, media, near_dedup, packing, quality_model, quality_rules, substring_dedup, toxicity
 from leafspark.llm.arrow_text import shared_dir
 from leafspark.llm.oracles import OP4
 from leafspark.session import table
@@ -62,6 +62,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    columns = ["conv_id", "turn", "role", "text"]
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select(*columns).unionByName(extra)
+    return chat.read_back(chat.format_conversations(turns))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("host"), "text"))
 
@@ -69,6 +77,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_chat": op3_chat,
     "op4_quality_rules": op4_quality_rules,
     "op5_media_columns": op5_media_columns,
     "op7_language": op7_language,
