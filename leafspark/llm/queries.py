@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspark.llm import chat, language, media, near_dedup, packing, quality_model, quality_rules, substring_dedup, toxicity
+from leafspark.llm import chat, language, media, near_dedup, packing, pieces, quality_model, quality_rules, substring_dedup, toxicity
 from leafspark.llm.arrow_text import shared_dir
 from leafspark.llm.oracles import OP4
 from leafspark.session import table
@@ -26,6 +26,18 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    read = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return read.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.length("text").cast("long").alias("decoded_chars"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs.select("doc_id", "text", F.col("source").alias("host")), language.fit_languages(docs), ["doc_id"])
@@ -80,6 +92,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_quality_rules": op4_quality_rules,
     "op5_media_columns": op5_media_columns,
+    "op6_pieces": op6_pieces,
     "op7_language": op7_language,
     "op7_language_of_pages": op7_language_of_pages,
     "op8_quality_model": op8_quality_model,
