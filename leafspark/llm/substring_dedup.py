@@ -111,20 +111,20 @@ def _first_of_each(*keys: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def deduplicate(docs: DataFrame, window: int = 20, phrase: int = 5, keep_layout: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 20, phrase: int = 5, keep_layout: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word covered by a window of words that also starts earlier.
 
     ``docs`` has doc_id and text. Earlier means in a smaller doc_id, or before in the same document.
     Returns doc_id, n_words, n_removed, removed (runs of removed words: first, words) and text: the
     kept words joined by one space, or with ``keep_layout`` the original text without the bytes from
-    each removed run to the next kept word.
+    each removed run to the next kept word; and the columns named in ``carry`` as they are.
 
     A null text has no words; a row with a null doc_id takes no part and keeps its words; repeated rows
     (equal doc_id and text) get equal results; documents shorter than a window lose nothing; other
     columns are ignored; an empty table gives no rows. doc_id is otherwise taken to be unique.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *[docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)])
     numbered = rows.where(F.col("doc_id").isNotNull())
 
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +156,13 @@ def deduplicate(docs: DataFrame, window: int = 20, phrase: int = 5, keep_layout:
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sized_slices(batch, "text", SHARD_BYTES):
-                yield _cleaned(part, window, phrase, keep_layout)
+                out = _cleaned(part, window, phrase, keep_layout)
+                for i, c in enumerate(carry):
+                    out = out.append_column(c, part.column(f"carried_{i}"))
+                yield out
 
     anchors_at = shared_dir(spark, "phrases")
-    numbered.mapInArrow(list_anchors, "phrase long, doc_id long, again boolean").write.parquet(anchors_at)
+    numbered.select("doc_id", "text").mapInArrow(list_anchors, "phrase long, doc_id long, again boolean").write.parquet(anchors_at)
     anchors = spark.read.parquet(anchors_at)
     recurring = anchors.groupBy("phrase").agg(F.count("*").alias("n"), F.max("again").alias("again")).where((F.col("n") > 1) | F.col("again")).select("phrase")
     by_doc = anchors.select("phrase", "doc_id").join(recurring, "phrase", "left_semi").groupBy("doc_id").agg(F.collect_list("phrase").alias("recurring"))
@@ -173,6 +176,7 @@ def deduplicate(docs: DataFrame, window: int = 20, phrase: int = 5, keep_layout:
         .agg(F.collect_list("window").alias("firsts"))
     )
     schema = "doc_id long, n_words long, n_removed long, removed array<struct<first:int,words:int>>, text string"
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     found = marked.join(firsts.hint("shuffle_hash"), "doc_id", "left").mapInArrow(remove, schema)
     unnumbered = rows.where(F.col("doc_id").isNull()).withColumns({"recurring": F.lit(None).cast("array<long>"), "firsts": F.lit(None).cast("array<long>")})
     return found.unionAll(unnumbered.mapInArrow(remove, schema))
