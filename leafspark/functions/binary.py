@@ -37,7 +37,7 @@ def i32(data: Column, at: Column | int) -> Column:
 
 def from_integer(value: Column, size: int) -> Column:
     """``size`` big-endian bytes of an integer (the low bytes, two's complement)."""
-    return F.unhex(F.right(F.lpad(F.hex(value.cast("long")), 2 * size, "0"), F.lit(2 * size)))
+    return F.unhex(F.right(F.concat(F.lit("0" * 2 * size), F.hex(value.cast("long"))), F.lit(2 * size)))
 
 
 def has_flag(flags: Column, bit: int) -> Column:
@@ -58,7 +58,7 @@ def hex_dump(data: Column, at: int, size: int) -> Column:
 
 def until_nul(text: Column) -> Column:
     """The string up to its first NUL."""
-    return F.substring_index(text, F.char(F.lit(0)), 1)
+    return F.substring_index(text, "\0", 1)
 
 
 def latin1(data: Column) -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def fixed_pages(docs: DataFrame, key: str, length: str, step: int) -> DataFrame:
-    """Starts of pages of ``step`` characters: key, page_idx, start."""
+    """Starts of pages of ``step`` characters: key, page_idx, start, and the text's total length."""
     starts = F.sequence(F.lit(0), F.greatest(F.col(length).cast("int") - 1, F.lit(0)), F.lit(step))
-    return docs.select(key, F.posexplode(starts).alias("page_idx", "start")).withColumn("start", F.col("start").cast("long"))
+    return docs.select(key, F.col(length).cast("long").alias("total"), F.posexplode(starts).alias("page_idx", "start")).withColumn("start", F.col("start").cast("long"))
 
 
 def page_extents(pages: DataFrame, key: str, total: str) -> DataFrame:

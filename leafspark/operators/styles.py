@@ -19,11 +19,11 @@ def font_table(bases: DataFrame, base: str, attributes: str) -> DataFrame:
     first = face(F.shiftright(F.col(attributes), 4).bitwiseAND(F.lit(15)), FACE_SERIF)
     second = face(F.col(attributes).bitwiseAND(F.lit(15)), FACE_SANS)
     i = F.col("style_id")
-    scaled = lambda factor: F.floor(size * factor + F.lit(0.5)).cast("int")
+    scaled = lambda tenths: F.floor((size * tenths + 5) / 10).cast("int")
     sizes = (
-        F.when(i.between(4, 7), F.greatest(scaled(0.7), F.lit(10)))
-        .when(i.between(8, 9), F.least(scaled(1.4), F.lit(36)))
-        .when(i.between(10, 11), F.least(scaled(1.2), F.lit(32)))
+        F.when(i.between(4, 7), F.greatest(scaled(7), F.lit(10)))
+        .when(i.between(8, 9), F.least(scaled(14), F.lit(36)))
+        .when(i.between(10, 11), F.least(scaled(12), F.lit(32)))
         .otherwise(size)
     )
     faces = F.when(i.between(4, 7), second).when(i == 12, FACE_MONO).otherwise(first)

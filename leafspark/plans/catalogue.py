@@ -5,6 +5,569 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from leafspark.functions import binary, codecs, rules
+from leafspark.operators import documents, keyed, layout, nav, search, styles
+from leafspark.session import table
+from leafspark.sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+PHRASE, PAGE, WIDTH, LINES = "and the ", 2500, 60, 20
+
+
+def registered(sql: str) -> Callable[[Query], Query]:
+    """Register a query under its own name with the SQL that gives the same rows."""
+
+    def add(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        ORACLE_SQL[query.__name__] = sql
+        return query
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+# --- search ---------------------------------------------------------------------------------------
+
+FIND = """
+SELECT doc_id, CAST(p - 1 AS BIGINT) AS char_offset, CAST(strlen(substr(text, 1, p - 1)) AS BIGINT) AS byte_offset, CAST(strlen('{q}') AS BIGINT) AS byte_length
+FROM (SELECT doc_id, text, {p} AS p FROM documents) WHERE p > 0
+"""
+
+
+@registered(FIND.format(q=PHRASE, p=f"instr(text, '{PHRASE}')"))
+def q1_find_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.find_first(_docs(spark, sf_dir), PHRASE).select("doc_id", "char_offset", "byte_offset", "byte_length")
+
+
+@registered(FIND.format(q=PHRASE, p=f"CASE WHEN instr(substr(text, 501), '{PHRASE}') > 0 THEN instr(substr(text, 501), '{PHRASE}') + 500 ELSE 0 END"))
+def q1_find_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.find_first(_docs(spark, sf_dir), PHRASE, 500).select("doc_id", "char_offset", "byte_offset", "byte_length")
+
+
+@registered(
+    f"""
+    WITH s AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 1 THEN CAST(n_chars // 2 AS BIGINT) ELSE 0 END AS start FROM documents),
+    f AS (SELECT doc_id, text, start, instr(substr(text, start + 1), '{PHRASE}') AS p FROM s)
+    SELECT doc_id, CAST(p + start - 1 AS BIGINT) AS char_offset FROM f WHERE p > 0
+    """
+)
+def q2_find_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scoped = _docs(spark, sf_dir).withColumn("start", search.search_start(F.col("doc_id") % 3, F.floor(F.col("n_chars") / 2)).cast("int"))
+    return search.find_first(scoped, PHRASE, F.col("start")).select("doc_id", "char_offset")
+
+
+@registered(FIND.format(q=PHRASE, p=f"instr(lower(text), '{PHRASE}')"))
+def q4_find_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.find_first(_docs(spark, sf_dir), PHRASE.title(), ignore_case=True).select("doc_id", "char_offset", "byte_offset", "byte_length")
+
+
+PAGES = f"pages_ AS (SELECT doc_id, unnest(range(0, greatest(n_chars, 1), {PAGE})) AS start FROM documents)"
+
+
+@registered(
+    f"""
+    WITH {PAGES}, hits AS (SELECT doc_id, CAST(instr(text, '{PHRASE}') - 1 AS BIGINT) AS char_offset, text FROM documents WHERE instr(text, '{PHRASE}') > 0)
+    SELECT h.doc_id, h.char_offset, CAST(strlen(substr(h.text, 1, h.char_offset)) AS BIGINT) AS byte_offset, CAST(coalesce(p.start // {PAGE}, 0) AS INTEGER) AS page_idx
+    FROM hits h ASOF LEFT JOIN pages_ p ON h.doc_id = p.doc_id AND h.char_offset >= p.start
+    """
+)
+def q3_find_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    hits = search.find_first(docs, PHRASE).select("doc_id", "char_offset", "byte_offset")
+    return nav.page_at(hits, nav.fixed_pages(docs, "doc_id", "n_chars", PAGE), "doc_id", "char_offset")
+
+
+# --- pages, runs, links ---------------------------------------------------------------------------
+
+OFFSETS = "o AS (SELECT doc_id, n_chars, unnest([0, 1000, 2499, 2500, 7600, 999999]) AS pos FROM documents)"
+
+
+def _asked(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "n_chars", F.explode(F.array(*[F.lit(x) for x in (0, 1000, 2499, 2500, 7600, 999999)])).alias("pos"))
+
+
+@registered(f"WITH {PAGES}, {OFFSETS} SELECT o.doc_id, o.pos, CAST(coalesce(p.start // {PAGE}, 0) AS INTEGER) AS page_idx FROM o ASOF LEFT JOIN pages_ p ON o.doc_id = p.doc_id AND o.pos >= p.start")
+def j2_page_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return nav.page_at(_asked(docs).select("doc_id", "pos"), nav.fixed_pages(docs, "doc_id", "n_chars", PAGE), "doc_id", "pos")
+
+
+@registered(f"WITH {OFFSETS} SELECT doc_id, pos, CAST(least(pos, greatest(n_chars - 1, 0)) // {PAGE} AS INTEGER) AS page_idx FROM o")
+def j3_flow_page_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    extents = nav.page_extents(nav.fixed_pages(docs, "doc_id", "n_chars", PAGE), "doc_id", "total").select("doc_id", "page_idx", "start", "end")
+    return nav.flow_page_at(_asked(docs).select("doc_id", "pos"), extents, "doc_id", "pos")
+
+
+@registered(f'WITH {PAGES} SELECT doc_id, CAST(start // {PAGE} AS INTEGER) AS page_idx, CAST(start AS BIGINT) AS start, CAST(least(start + {PAGE}, n_chars) AS BIGINT) AS "end" FROM pages_ JOIN documents USING (doc_id) WHERE n_chars > start')
+def w3_page_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = nav.fixed_pages(_docs(spark, sf_dir), "doc_id", "n_chars", PAGE)
+    return nav.page_extents(pages, "doc_id", "total").select("doc_id", "page_idx", "start", "end")
+
+
+RUNS = """
+s AS (SELECT conv_id, turn, role, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(length(text) AS BIGINT) AS n FROM conversations),
+runs AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY start) - 1 AS INTEGER) AS run_idx, start, n AS length, start + n AS "end", CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS style_id FROM s WHERE n > 0)
+"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as styled blocks of one text for each conversation: the role is the style."""
+    turns = table(spark, sf_dir, "conversations")
+    style = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
+    spans = nav.with_starts(turns, "conv_id", "turn", F.length("text")).select("conv_id", F.col("turn").alias("span_idx"), F.col("start").alias("offset"), style.alias("style_id"))
+    totals = turns.groupBy("conv_id").agg(F.sum(F.length("text")).alias("total"))
+    return styles.runs_of_spans(spans, totals, "conv_id", "total").withColumn("end", F.col("start") + F.col("length"))
+
+
+@registered(f"WITH {RUNS} SELECT conv_id, run_idx, start, length, style_id FROM runs")
+def w6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir).drop("end")
+
+
+ASKED = "q AS (SELECT conv_id, unnest([0, 50, 400, 2000, 999999]) AS pos FROM (SELECT DISTINCT conv_id FROM conversations))"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return convs.select("conv_id", F.explode(F.array(*[F.lit(x) for x in (0, 50, 400, 2000, 999999)])).alias("pos"))
+
+
+@registered(f"WITH {RUNS}, {ASKED} SELECT q.conv_id, q.pos, CAST(coalesce(r.run_idx, 0) AS INTEGER) AS run_idx FROM q ASOF LEFT JOIN runs r ON q.conv_id = r.conv_id AND q.pos >= r.start")
+def j4_run_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nav.run_at(_points(spark, sf_dir), _runs(spark, sf_dir), "conv_id", "pos")
+
+
+@registered(f'WITH {RUNS}, {ASKED} SELECT q.conv_id, q.pos, CAST(coalesce(r.run_idx, -1) AS INTEGER) AS line_idx FROM q LEFT JOIN runs r ON q.conv_id = r.conv_id AND q.pos >= r.start AND q.pos < r."end"')
+def j5_line_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _runs(spark, sf_dir).select("conv_id", "start", "end", F.col("run_idx").alias("line_idx"))
+    return nav.within(_points(spark, sf_dir), lines, "conv_id", "pos").select("conv_id", "pos", F.coalesce("line_idx", F.lit(-1)).alias("line_idx"))
+
+
+@registered(
+    f"""
+    WITH {RUNS}, {ASKED}, links AS (SELECT conv_id, run_idx AS link_idx, greatest(start - 30, 0) AS a, greatest(start - 30, 0) + length + 60 AS b, start AS target_offset FROM runs)
+    SELECT q.conv_id, q.pos, min_by(target_offset, link_idx) AS target_offset, min(link_idx) AS link_idx
+    FROM q JOIN links l ON q.conv_id = l.conv_id AND q.pos >= a AND q.pos < b GROUP BY q.conv_id, q.pos
+    """
+)
+def j6_link_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _runs(spark, sf_dir).select("conv_id", F.col("run_idx").alias("link_idx"), F.greatest(F.col("start") - 30, F.lit(0)).alias("char_offset"), (F.col("length") + 60).alias("length"), F.col("start").alias("target_offset"))
+    return nav.link_at(_points(spark, sf_dir), links, "conv_id", "pos")
+
+
+@registered("SELECT o_orderkey, CAST(least(o_custkey + greatest(floor((o_totalprice - 100) / (20 * 0.6)), 0), o_custkey + 29) AS BIGINT) AS char_offset FROM orders")
+def j7_tapped_char(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = nav.tapped_char(F.col("o_totalprice"), F.lit(100), F.lit(20), F.col("o_custkey"), F.lit(30))
+    return table(spark, sf_dir, "orders").select("o_orderkey", at.alias("char_offset"))
+
+
+@registered(
+    f"""
+    WITH {RUNS}, total AS (SELECT conv_id, sum(length) AS n FROM runs GROUP BY conv_id),
+    l AS (SELECT conv_id, unnest(range(0, CAST(n AS BIGINT), 300)) AS a, n FROM total)
+    SELECT l.conv_id, CAST(a // 300 AS INTEGER) AS line_idx, run_idx, CAST(greatest(a, start) AS BIGINT) AS seg_start, CAST(least(least(a + 300, n), "end") AS BIGINT) AS seg_end
+    FROM l JOIN runs r ON l.conv_id = r.conv_id AND a < r."end" AND r.start < least(a + 300, n)
+    """
+)
+def j8_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark, sf_dir)
+    totals = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n"))
+    lines = nav.page_extents(nav.fixed_pages(totals, "conv_id", "n", 300), "conv_id", "total").select("conv_id", F.col("page_idx").alias("line_idx"), "start", "end")
+    return nav.overlaps(lines, runs, "conv_id")
+
+
+@registered(
+    """
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS entry_idx FROM documents),
+    t AS (SELECT doc_id, CAST(entry_idx AS INTEGER) AS entry_idx, upper(substr(line, 1, 12)) AS title FROM l
+          UNION ALL SELECT doc_id, CAST(-1 - entry_idx AS INTEGER), substr(line, 5, 12) FROM l)
+    SELECT t.doc_id, entry_idx, title, CAST(instr(text, title) - 1 AS BIGINT) AS char_offset, CAST(length(title) AS BIGINT) AS length, CAST(abs(entry_idx) * 100 AS BIGINT) AS target_offset
+    FROM t JOIN documents d ON t.doc_id = d.doc_id WHERE title <> '' AND instr(text, title) > 0
+    """
+)
+def j1_toc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    heads = lines.select("doc_id", F.col("i").alias("entry_idx"), F.upper(F.substring("line", 1, 12)).alias("title"))
+    tails = lines.select("doc_id", (-1 - F.col("i")).alias("entry_idx"), F.substring("line", 5, 12).alias("title"))
+    toc = heads.unionAll(tails).withColumn("target_offset", (F.abs("entry_idx") * 100).cast("long"))
+    return nav.toc_links(toc, docs, "doc_id")
+
+
+@registered(
+    """
+    SELECT doc_id, 'first' AS kind FROM documents WHERE doc_id % 7 = 0
+    UNION ALL SELECT doc_id, 'fallback' FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 2 = 0
+    """
+)
+def j10_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _docs(spark, sf_dir).select("doc_id")
+    return nav.first_or_fallback(ids.where("doc_id % 7 = 0").withColumn("kind", F.lit("first")), ids.where("doc_id % 2 = 0").withColumn("kind", F.lit("fallback")), "doc_id")
+
+
+# --- slices, bytes, scalars -----------------------------------------------------------------------
+
+
+@registered("SELECT doc_id, CASE WHEN 300 < n_chars THEN substr(text, 301, 80) END AS slice FROM documents")
+def p5_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", binary.byte_slice(F.col("text"), 300, 80).alias("slice"))
+
+
+@registered("SELECT doc_id, trim(regexp_replace(substr(hex(encode(text)), 1, 32), '(..)', '\\1 ', 'g')) AS dump FROM documents")
+def f10_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", binary.hex_dump(F.encode("text", "UTF-8"), 0, 16).alias("dump"))
+
+
+@registered("SELECT doc_id, split_part(source || CASE WHEN doc_id % 2 = 0 THEN chr(0) ELSE '/' END || lang, chr(0), 1) AS name FROM documents")
+def f11_nulstr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.when(F.col("doc_id") % 2 == 0, F.char(F.lit(0))).otherwise("/")
+    return _docs(spark, sf_dir).select("doc_id", binary.until_nul(F.concat("source", mark, "lang")).alias("name"))
+
+
+@registered("SELECT o_orderkey, o_orderkey % 256 AS b1, o_orderkey % 65536 AS b2, o_orderkey AS b4, CAST(-o_orderkey AS INTEGER) AS s4, lpad(hex(o_orderkey), 8, '0') AS raw FROM orders")
+def f4_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    four, minus = binary.from_integer(key, 4), binary.from_integer(-key, 4)
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", binary.u8(four, 3).cast("long").alias("b1"), binary.u16(four, 2).cast("long").alias("b2"), binary.u32(four, 0).alias("b4"), binary.i32(minus, 0).alias("s4"), F.hex(four).alias("raw")
+    )
+
+
+@registered(
+    """
+    SELECT c_custkey, CASE WHEN length(d) > 10 OR CAST(coalesce(nullif(d, ''), '0') AS BIGINT) > 4294967295 THEN -1 ELSE CAST(coalesce(nullif(d, ''), '0') AS BIGINT) END AS number
+    FROM (SELECT c_custkey, regexp_extract(x, '^[ \\t\\n-\\r]*(\\d*)', 1) AS d FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '  ' || (c_custkey * 40000000)::VARCHAR || 'x' WHEN 1 THEN c_name WHEN 2 THEN '000000' || c_custkey::VARCHAR ELSE ' ' || c_custkey::VARCHAR END AS x FROM customer))
+    """
+)
+def f8_uint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    text = (
+        F.when(key % 4 == 0, F.concat(F.lit("  "), (key * 40000000).cast("string"), F.lit("x")))
+        .when(key % 4 == 1, F.col("c_name"))
+        .when(key % 4 == 2, F.concat(F.lit("000000"), key.cast("string")))
+        .otherwise(F.concat(F.lit(" "), key.cast("string")))
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", binary.parse_unsigned(text).alias("number"))
+
+
+@registered("SELECT c_custkey, CASE WHEN lower(c_name) = lower(c_mktsegment) THEN 0 WHEN lower(c_name) < lower(c_mktsegment) THEN 2 ELSE 3 END AS code FROM customer")
+def f6_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", binary.compare_code(F.col("c_name"), F.col("c_mktsegment")).alias("code"))
+
+
+@registered(
+    """
+    SELECT event_id, CAST(extract(year FROM ts) AS INTEGER) AS year, CAST(extract(month FROM ts) AS INTEGER) AS month, CAST(extract(day FROM ts) AS INTEGER) AS day,
+           CAST(extract(hour FROM ts) AS INTEGER) AS hour, CAST(extract(minute FROM ts) AS INTEGER) AS minute, CAST(extract(second FROM ts) AS INTEGER) AS second,
+           CAST((extract(millisecond FROM ts) % 1000) // 10 AS INTEGER) AS centisecond FROM events
+    """
+)
+def f13_ts_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", binary.timestamp_parts(F.col("ts")).alias("p")).select("event_id", "p.*")
+
+
+@registered("SELECT page_id, regexp_replace('/sdcard/' || url, '^/sdcard/', '/data/') AS path FROM pages")
+def f14_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", binary.storage_path(F.concat(F.lit("/sdcard/"), "url"), "/data/").alias("path"))
+
+
+@registered(
+    r"""
+    SELECT doc_id, CAST(CASE WHEN n < 50 THEN -1 ELSE length(regexp_replace(h, '[^\x20-\x7E]', '', 'g')) * 100 // n + length(regexp_replace(h, '[^ ]', '', 'g')) * 10 // n + length(regexp_replace(h, '[^\n\r]', '', 'g')) * 20 // n END AS INTEGER) AS score
+    FROM (SELECT doc_id, substr(text, 1, 500) AS h, length(substr(text, 1, 500)) AS n FROM documents)
+    """
+)
+def a3_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", binary.readable_score(F.col("text")).alias("score"))
+
+
+# --- rules ----------------------------------------------------------------------------------------
+
+
+@registered(
+    """
+    SELECT page_id, CASE WHEN k = 'SDoc' THEN CASE WHEN v IS NULL OR v >= 3 THEN 3 WHEN v = 2 THEN 2 ELSE 1 END WHEN k = 'ToGo' THEN 2 WHEN k = 'TEXt' THEN 5 ELSE 0 END AS format
+    FROM (SELECT page_id, ['SDoc', 'ToGo', 'TEXt', 'Data'][1 + (length(url) % 4)::INTEGER] AS k, CASE WHEN page_id % 5 < 4 THEN page_id % 5 END AS v FROM pages)
+    """
+)
+def p1_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("SDoc", "ToGo", "TEXt", "Data")]), 1 + F.length("url") % 4)
+    version = F.when(F.col("page_id") % 5 < 4, F.col("page_id") % 5)
+    return table(spark, sf_dir, "pages").select("page_id", rules.document_format(kind, version).alias("format"))
+
+
+@registered("SELECT p_partkey, p_size & 1 = 0 AS compressed, p_size & 2 <> 0 AS encrypted, p_size & 4 <> 0 AS has_toc, p_size & 8 <> 0 AS has_images FROM part")
+def p6_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", (~binary.has_flag(size, 1)).alias("compressed"), *[binary.has_flag(size, b).alias(n) for b, n in ((2, "encrypted"), (4, "has_toc"), (8, "has_images"))])
+
+
+@registered("SELECT p_partkey, (CASE WHEN p_size >= 4 THEN 1 ELSE 0 END) + (CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END) + (CASE WHEN p_size % 3 = 0 THEN 4 ELSE 0 END) + (CASE WHEN p_size % 5 = 0 THEN 8 ELSE 0 END) AS flags FROM part")
+def p7_pack_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", rules.document_flags(size, size % 2 == 0, size % 3 == 0, size % 5 == 0).alias("flags"))
+
+
+@registered(
+    """
+    SELECT l_orderkey, l_linenumber, CASE WHEN b + i + t >= 2 THEN 3 ELSE b + 2 * i + 3 * t END AS style_id
+    FROM (SELECT l_orderkey, l_linenumber, CAST(l_linenumber & 1 <> 0 AS INTEGER) AS b, CAST(l_linenumber & 2 <> 0 AS INTEGER) AS i, CAST(l_linenumber & 4 <> 0 AS INTEGER) AS t FROM lineitem)
+    """
+)
+def p8_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rules.block_style(F.col("l_linenumber") * 16).alias("style_id"))
+
+
+@registered("SELECT p_partkey, CASE WHEN s BETWEEN 8 AND 32 THEN s WHEN s BETWEEN 33 AND 127 THEN s // 2 ELSE 20 END AS font_size FROM (SELECT p_partkey, p_size * 3 AS s FROM part)")
+def p10_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", rules.font_size(F.col("p_size") * 3).alias("font_size"))
+
+
+@registered("SELECT p_partkey, CASE WHEN s < 4 THEN 1 WHEN s < 8 THEN 2 WHEN s = 12 THEN 3 ELSE 0 END AS typeface FROM (SELECT p_partkey, p_size % 16 AS s FROM part)")
+def p11_typeface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", rules.typeface(F.col("p_size") % 16).alias("typeface"))
+
+
+@registered(
+    f"""
+    WITH {OFFSETS} SELECT doc_id, pos, CAST(pos // {PAGE} AS BIGINT) AS page, CASE WHEN doc_id % 2 = 0 THEN 'Página ' || (pos // {PAGE} + 1) || '/' || ((n_chars + {PAGE - 1}) // {PAGE}) ELSE 'Página ' || (pos // {PAGE} + 1) END AS label
+    FROM o WHERE pos // {PAGE} < (n_chars + {PAGE - 1}) // {PAGE}
+    """
+)
+def p16_page_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.floor(F.col("pos") / PAGE)
+    count = F.floor((F.col("n_chars") + PAGE - 1) / PAGE)
+    asked = _asked(_docs(spark, sf_dir)).where(rules.on_page(page, count))
+    return asked.select("doc_id", "pos", page.alias("page"), rules.page_label(page, F.when(F.col("doc_id") % 2 == 0, count).otherwise(0)).alias("label"))
+
+
+@registered("SELECT o_orderkey, CASE WHEN x < 600 / 3 THEN 'previous' WHEN x > 600 * 2 / 3 THEN 'next' ELSE 'link' END AS action FROM (SELECT o_orderkey, o_custkey % 600 AS x FROM orders)")
+def p15_screen_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", rules.screen_action(F.col("o_custkey") % 600, F.lit(600)).alias("action"))
+
+
+FONTS = """
+SELECT p_partkey, i AS style_id,
+  CAST(CASE WHEN i BETWEEN 4 AND 7 THEN greatest(floor((b * 7 + 5) // 10), 10) WHEN i BETWEEN 8 AND 9 THEN least(floor((b * 14 + 5) // 10), 36) WHEN i BETWEEN 10 AND 11 THEN least(floor((b * 12 + 5) // 10), 32) ELSE b END AS INTEGER) AS font_size,
+  CAST(CASE WHEN i BETWEEN 4 AND 7 THEN CASE WHEN a % 16 BETWEEN 1 AND 5 THEN a % 16 ELSE 2 END WHEN i = 12 THEN 3 ELSE CASE WHEN a // 16 BETWEEN 1 AND 5 THEN a // 16 ELSE 1 END END AS INTEGER) AS typeface,
+  i IN (1, 3, 5, 7, 9, 11) AS bold, i IN (2, 3, 6, 7) AS italic
+FROM (SELECT p_partkey, CASE WHEN p_size < 8 THEN 20 ELSE p_size END AS b, CAST(p_partkey % 256 AS INTEGER) AS a, CAST(unnest(range(0, 13)) AS INTEGER) AS i FROM part)
+"""
+
+
+@registered(FONTS)
+def f15_font_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bases = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 256).cast("int").alias("a"))
+    return styles.font_table(bases, "p_size", "a").drop("p_size", "a")
+
+
+@registered(
+    f"""
+    WITH own AS ({FONTS}), d AS (SELECT i, CASE WHEN i >= 16 THEN 16 ELSE [20,20,20,20,14,14,14,14,28,28,24,24,18,18,26,26][i + 1] END AS font_size, i % 2 = 1 AS bold,
+      CASE WHEN i >= 16 OR i < 8 THEN (i >> 1) % 2 = 1 ELSE false END AS italic FROM (SELECT CAST(unnest(range(0, 32)) AS INTEGER) AS i)),
+    a AS (SELECT p_partkey, CAST(p_size - 5 AS INTEGER) AS style_id, CASE WHEN p_size - 5 BETWEEN 0 AND 31 THEN p_size - 5 ELSE 0 END AS put FROM part)
+    SELECT a.p_partkey, a.style_id, coalesce(own.font_size, d.font_size) AS font_size, coalesce(own.bold, d.bold) AS bold, coalesce(own.italic, d.italic) AS italic
+    FROM a JOIN d ON d.i = a.put LEFT JOIN own ON own.p_partkey = a.p_partkey AND own.style_id = a.put AND a.p_partkey % 2 = 0
+    """
+)
+def j11_style_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    own = f15_font_table(spark, sf_dir).where(F.col("p_partkey") % 2 == 0)
+    asked = part.select("p_partkey", (F.col("p_size") - 5).cast("int").alias("style_id"))
+    return styles.style_of(asked, own, styles.default_styles(spark), "p_partkey")
+
+
+# --- listing and keyed tables ---------------------------------------------------------------------
+
+
+@registered("SELECT page_id, n AS name FROM (SELECT page_id, split_part(url, '/', -1) || CASE page_id % 3 WHEN 0 THEN '.PDB' WHEN 1 THEN '.pdb' ELSE '.txt' END AS n FROM pages) WHERE lower(n) LIKE '%.pdb'")
+def s1_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = F.when(F.col("page_id") % 3 == 0, ".PDB").when(F.col("page_id") % 3 == 1, ".pdb").otherwise(".txt")
+    named = table(spark, sf_dir, "pages").select("page_id", F.concat(files.file_name(F.col("url")), end).alias("name"))
+    return files.list_containers(named)
+
+
+@registered("SELECT page_id, host, CAST(row_number() OVER (PARTITION BY host ORDER BY lower(name), name, page_id) - 1 AS INTEGER) AS position FROM (SELECT page_id, split_part(url, '/', 3) AS host, split_part(url, '/', -1) AS name FROM pages)")
+def o1_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "pages").select("page_id", F.element_at(F.split("url", "/"), 3).alias("host"), files.file_name(F.col("url")).alias("name"))
+    return files.with_rank(named, ["host"], "name", "page_id").select("page_id", "host", "position")
+
+
+@registered("SELECT c_custkey, n_nationkey FROM customer LEFT JOIN nation ON lower(n_name) = lower('nation_' || c_nationkey::VARCHAR) OR (c_nationkey % 2 = 0 AND n_nationkey = c_nationkey)")
+def j9_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    names = nation.select(F.col("n_nationkey").alias("k"), F.lower("n_name").alias("asked"))
+    asked = table(spark, sf_dir, "customer").join(names, (F.col("c_nationkey") == F.col("k")) & (F.col("c_nationkey") % 2 == 0), "left").select("c_custkey", F.coalesce("asked", F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))).alias("asked"))
+    return keyed.lookup(asked, nation.select("n_nationkey", "n_name"), "asked", "n_name").select("c_custkey", "n_nationkey")
+
+
+@registered("SELECT p_partkey, CAST((SELECT count(*) FROM nation WHERE lower(n_name) < lower(p_name)) AS BIGINT) AS insertion_point FROM part")
+def j9_insertion_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.insertion_points(table(spark, sf_dir, "part").select("p_partkey", "p_name"), table(spark, sf_dir, "nation"), "p_name", "n_name").drop("p_name")
+
+
+@registered(
+    """
+    SELECT name, k FROM (SELECT upper(p_brand) AS name, p_partkey AS k FROM part UNION ALL SELECT lower(n_name), 100000 + n_nationkey FROM nation)
+    WHERE length(name) BETWEEN 1 AND 31 AND lower(name) NOT IN (SELECT lower(n_name) FROM nation)
+    QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY name, k) = 1
+    """
+)
+def u2_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    new = table(spark, sf_dir, "part").select(F.upper("p_brand").alias("name"), F.col("p_partkey").alias("k")).unionAll(nation.select(F.lower("n_name"), (100000 + F.col("n_nationkey")).cast("long")))
+    return keyed.insert_absent(nation.select(F.col("n_name").alias("name")), new, "name")
+
+
+@registered("SELECT p_partkey, CAST(4 + 2 * length(p_name) + 4 * p_size AS BIGINT) AS size FROM part")
+def a7_theme_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.theme_bytes(table(spark, sf_dir, "part"), "p_name", "p_size").select("p_partkey", "size")
+
+
+# --- folds and windows ----------------------------------------------------------------------------
+
+BASE = "coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+
+
+@registered(f"WITH b AS (SELECT doc_id, source, CAST({BASE} AS BIGINT) AS base_offset FROM documents) SELECT doc_id, source, base_offset, CAST(coalesce(lead(base_offset) OVER (PARTITION BY source ORDER BY doc_id), 100000000) - base_offset AS BIGINT) AS size FROM b")
+def w1_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    based = documents.base_offsets(_docs(spark, sf_dir).select("doc_id", "source", "n_chars"), "source", "doc_id", F.col("n_chars"))
+    return documents.extents(based, "source", "doc_id", "base_offset", F.lit(100000000)).drop("n_chars")
+
+
+@registered(f"SELECT doc_id, source, CAST({BASE} AS BIGINT) AS base_offset FROM documents")
+def w4_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.base_offsets(_docs(spark, sf_dir).select("doc_id", "source", "n_chars"), "source", "doc_id", F.col("n_chars")).drop("n_chars")
+
+
+@registered("SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS digest, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(text) AS parts FROM conversations GROUP BY conv_id")
+def a1_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = documents.concatenated(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return whole.select("conv_id", F.md5(F.col("whole").cast("binary")).alias("digest"), "bytes", "parts")
+
+
+@registered("SELECT source, CAST(CASE WHEN max(d) > 0 THEN max(d) ELSE 2 * sum(n_chars) END AS BIGINT) AS text_size FROM (SELECT source, n_chars, CASE WHEN source LIKE '%1' THEN 7 ELSE 0 END AS d FROM documents) GROUP BY source")
+def a5_estimated_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).withColumn("declared", F.when(F.col("source").endswith("1"), 7).otherwise(0))
+    return documents.estimated_size(rows, "source", "n_chars", "declared")
+
+
+@registered("SELECT source, count(*) AS records, count(DISTINCT lang) AS languages, max(n_chars) AS longest FROM documents GROUP BY source")
+def a9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("records"), F.countDistinct("lang").alias("languages"), F.max("n_chars").alias("longest"))
+
+
+@registered(
+    """
+    WITH n AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    i AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS island FROM n)
+    SELECT user_id, CAST(island AS BIGINT) AS island, event_type AS value, count(*) AS n, min(event_id) AS first_id FROM i GROUP BY user_id, island, event_type
+    """
+)
+def w7_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styles.coalesced(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type"), F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@registered("SELECT event_id, user_id, CAST(sum(event_id % 100 + 1) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS \"offset\" FROM events")
+def w2_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return nav.running_offsets(events, ["user_id", "event_type"], "event_id", F.col("event_id") % 100 + 1).select("event_id", "user_id", "offset")
+
+
+# --- layout ---------------------------------------------------------------------------------------
+
+WRAP = f"""
+WITH RECURSIVE p AS (
+  SELECT doc_id, CAST(para AS INTEGER) AS para, body, CAST(coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base
+  FROM (SELECT doc_id, unnest(s) AS body, unnest(range(0, len(s))) AS para, len(s) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) WHERE NOT (para = n - 1 AND body = '' AND n > 1)
+), l AS (
+  SELECT doc_id, para, body, base, CAST(0 AS BIGINT) AS pos, {{size}} AS size FROM (SELECT *, CAST(0 AS BIGINT) AS next FROM p)
+  UNION ALL
+  SELECT doc_id, para, body, base, next AS pos, {{size}} AS size FROM (SELECT doc_id, para, body, base, CAST(pos + size + CASE WHEN substr(body, pos + size + 1, 1) IN (' ', chr(9)) THEN 1 ELSE 0 END AS BIGINT) AS next FROM l WHERE length(body) - pos > {WIDTH})
+)
+"""
+WRAP = WRAP.format(
+    size=f"""CAST(CASE WHEN length(body) - next <= {WIDTH} THEN length(body) - next
+      WHEN regexp_matches(substr(body, next + 2, {WIDTH}), '[ \\t]') THEN {WIDTH + 1} - length(regexp_extract(substr(body, next + 1, {WIDTH + 1}), '([^ \\t]*)$', 1)) - 1
+      ELSE {WIDTH} END AS BIGINT)"""
+)
+
+
+@registered(WRAP + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para, pos) - 1 AS INTEGER) AS line_idx, base + pos AS char_offset, size AS char_length FROM l")
+def l1_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.wrapped_lines(_docs(spark, sf_dir), "doc_id", WIDTH)
+
+
+@registered(
+    WRAP
+    + f""", n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para, pos) - 1 AS i, base + pos AS a, base + pos + size AS b FROM l)
+    SELECT doc_id, CAST(i // {LINES} AS INTEGER) AS page_idx, min(a) AS start_offset, max(b) AS end_offset, count(*) AS line_count, count(*) * 24 AS content_height FROM n GROUP BY doc_id, i // {LINES}"""
+)
+def l3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.uniform_pages(l1_wrap(spark, sf_dir), "doc_id", LINES, 24)
+
+
+@registered("SELECT conv_id, turn, CAST(coalesce(sum(24 + turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS y FROM conversations")
+def w9_line_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("line_idx"), (24 + F.col("turn")).alias("height"))
+    return layout.line_tops(lines, ["conv_id"], "height").select("conv_id", F.col("line_idx").alias("turn"), "y")
+
+
+@registered("SELECT conv_id, max(24 + length(role)) AS line_height, max(length(role)) AS baseline FROM conversations GROUP BY conv_id")
+def a8_line_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(24 + F.length("role")).alias("line_height"), F.max(F.length("role")).alias("baseline"))
+
+
+@registered("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN (p_size + 4) * 3 // 4 ELSE p_size + 4 END AS height, CASE WHEN p_size % 3 = 0 THEN -(p_size // 3) WHEN p_size % 3 = 1 THEN p_size // 3 ELSE 0 END AS shift FROM part")
+def l6_line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", rules.line_height(size, size % 3 == 0).alias("height"), rules.baseline_shift(size, size % 3 == 0, size % 3 == 1).alias("shift"))
+
+
+# --- codecs ---------------------------------------------------------------------------------------
+
+SAME = "SELECT doc_id, md5(text) AS digest FROM documents"
+
+
+@registered(SAME)
+def x1_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of up to 32 blocks of 4096 bytes for each record: records of 100 000 bytes, put together again."""
+    raw = _docs(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    parts = raw.select("doc_id", "raw", F.explode(F.sequence(F.lit(0), F.greatest(F.length("raw") - 1, F.lit(0)), F.lit(100_000))).alias("pos"))
+    read = parts.select("doc_id", "pos", codecs.inflate_udf(codecs.pack_words_udf(F.substring(F.col("raw"), F.col("pos") + 1, F.lit(100_000)))).alias("data"))
+    return documents.concatenated(read, "doc_id", "pos").select("doc_id", F.md5("whole").alias("digest"))
+
+
+@registered(SAME)
+def x2_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.encode("text", "UTF-8")
+    return _docs(spark, sf_dir).select("doc_id", F.md5(codecs.expand_udf(codecs.pack_palmdoc_udf(raw))).alias("digest"))
+
+
+@registered(SAME)
+def f1_windows_1252(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(binary.windows_1252(F.encode("text", "ISO-8859-1")).cast("binary")).alias("digest"))
+
+
+@registered(SAME)
+def f2_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(codecs.lenient_utf8_udf(F.encode("text", "UTF-8")).cast("binary")).alias("digest"))
+
+
+@registered("SELECT doc_id, max(CAST(unicode(c) >= 128 AS INTEGER)) = 1 AS utf8 FROM (SELECT doc_id, unnest(string_split(substr(text, 1, 400), '')) AS c FROM documents) GROUP BY doc_id")
+def a4_looks_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-8 bytes of the first 400 characters, of which those that aren't ASCII make sequences."""
+    head = F.encode(F.substring("text", 1, 400), "UTF-8")
+    return _docs(spark, sf_dir).select("doc_id", codecs.looks_utf8_udf(head).alias("utf8"))
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
