@@ -11,17 +11,26 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def at_most(rows: DataFrame, most_rows: int) -> DataFrame:
+    """All rows, or if there are more than ``most_rows`` about nine tenths of so many, by a hash of doc_id.
+
+    A share of the hash's range is taken, so no task sends more than its part of the sample; the limit
+    only cuts where one doc_id repeats very often.
+    """
+    n = rows.count()
+    if n <= most_rows:
+        return rows
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < int(900_000_000 * most_rows / n)).limit(most_rows)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most_rows: int, most_bytes: int) -> DataFrame:
     """At most ``most_rows`` labelled documents that aren't held out: doc_id, text, label.
 
-    The sample is of labels (in order of a hash of doc_id), so only ``most_rows`` rows are broadcast to
-    the documents; texts over ``most_bytes`` and null labels aren't taken for fitting.
+    The sample is of labels, so only ``most_rows`` short rows are broadcast to the documents; texts over
+    ``most_bytes`` and null labels aren't taken for fitting.
     """
-    chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-        .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
-        .limit(most_rows)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(
+        F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    return texts.join(F.broadcast(at_most(known, most_rows)), "doc_id").select("doc_id", "text", "label")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafspark.llm.arrow_text import lower_ascii, scramble, shared_dir, sized_slices, utf8
+from leafspark.llm.labelled import at_most
 
 BUCKETS = 1 << 14
 #: Suffixes of addresses that stand for a language, where another than the language's own code does.
@@ -72,10 +73,11 @@ def fit(texts: list[str], languages: list[str], smooth: float = 0.2) -> Model:
 
 
 def fit_languages(docs: DataFrame, language: str = "lang", most_rows: int = 4_000, most_bytes: int = 20_000) -> Model:
-    """Fit on at most ``most_rows`` rows whose language is known, in order of a hash of doc_id, of ``most_bytes`` at most."""
-    known = docs.where(F.col(language).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
-    order = F.xxhash64(F.col("doc_id").cast("long"))
-    rows = known.select(order.alias("o"), F.col("doc_id").cast("long").alias("doc_id"), F.col(language).alias("language"), "text").orderBy("o", "doc_id", "language", "text").limit(most_rows).toPandas()
+    """Fit on at most ``most_rows`` rows whose language is known, of ``most_bytes`` at most."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(language).alias("language"), "text").where(
+        F.col("language").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes)
+    )
+    rows = at_most(known, most_rows).toPandas()
     return fit(rows["text"].tolist(), rows["language"].tolist())
 
 
