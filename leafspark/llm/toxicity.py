@@ -236,8 +236,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 4, ep
         take = np.flatnonzero(np.where(toxic, rank <= (6, 2, 2, 1)[min(turn, 3)], (rank <= 2) | (chance < 0.15)))
         for _ in range(epochs if turn else 1):
             rng.shuffle(take)
-            for at in range(0, len(take), 256):
-                part = take[at : at + 256]
+            size_of_batch = min(max(len(take) // 24, 32), 256)  # few windows still make enough steps
+            for at in range(0, len(take), size_of_batch):
+                part = take[at : at + size_of_batch]
                 # only the batch's words are worked on
                 used, local = np.unique(np.append(ids[part].ravel(), len(w.hashes)), return_inverse=True)
                 own = used[:-1]
