@@ -9,7 +9,9 @@ the sets' similarity.
 Documents of equal shingle sets are one node. Nodes that agree in a band of coordinates share a bucket;
 no bucket's pairs are listed. Each member is held against its buckets' pivots and hubs, its best partner
 is verified on full sets, and what is linked is merged. Only buckets that still hold several components
-are compared further, in blocks, between components, by sketch first and on full sets then.
+are compared further, in blocks and between components: by sketch first, in the first band that two
+members share, and on full sets then. Blocks carry the sets with 32 bits for each shingle; a pair so near
+the threshold that a clash of these could matter is verified on the full hashes.
 """
 
 from __future__ import annotations
@@ -106,7 +108,9 @@ def _sets(size: int):
             for part in sized_slices(batch, "text", 2_000_000):
                 values, limits = shingle_sets(part.column("text"), size)
                 raw, ends = values.tobytes(), (8 * limits).tolist()
-                yield pa.record_batch([part.column("doc_id"), pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], type=pa.binary())], names=["doc_id", "shingles"])
+                full = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                short = [np.sort(values[a:b] >> np.uint64(32)).astype("<u4").tobytes() for a, b in zip(limits[:-1], limits[1:], strict=True)]
+                yield pa.record_batch([part.column("doc_id"), pa.array(full, type=pa.binary()), pa.array(short, type=pa.binary())], names=["doc_id", "shingles", "short"])
 
     return run
 
@@ -117,9 +121,7 @@ def _confirm(percent: int):
             linked = np.zeros(batch.num_rows, dtype=bool)
             for i, (a, b) in enumerate(zip(batch.column("set_u"), batch.column("set_v"), strict=True)):
                 a, b = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
-                both = np.concatenate([a, b])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
+                shared = _common(a, b)
                 linked[i] = 100 * shared >= percent * (len(a) + len(b) - shared)
             yield pa.record_batch([batch.column("u"), batch.column("v"), pa.array(linked)], names=["u", "v", "linked"])
 
@@ -133,55 +135,87 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_v.select("u", "v", "set_u", "set_v").mapInArrow(_confirm(percent), "u long, v long, linked boolean")
 
 
-def _block_pairs(least: float):
-    """Pairs, in each (bucket, block, block) group, of different components with sketches alike enough; groups come sorted."""
-    names = ["bucket", "low", "high"]
-
-    def listed(doc: np.ndarray, comp: np.ndarray, block: np.ndarray, sketch: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-        left = np.arange(len(doc)) if low == high else np.flatnonzero(block == low)
-        right = left if low == high else np.flatnonzero(block == high)
-        found = [(left[:0], left[:0])]
-        if (comp[left[:1]] != comp[left]).any() or (comp[left[:1]] != comp[right]).any():
-            for at in range(0, len(left), 64):
-                rows = left[at : at + 64]
-                open_ = comp[rows][:, None] != comp[right][None, :]
-                if low == high:
-                    open_ &= rows[:, None] < right[None, :]
-                a, b = np.nonzero(open_)
-                for cut in range(0, len(a), 50_000):
-                    x, y = rows[a[cut : cut + 50_000]], right[b[cut : cut + 50_000]]
-                    alike = (sketch[x] == sketch[y]).mean(axis=1) >= least
-                    found.append((x[alike], y[alike]))
-        x, y = (np.concatenate(z) for z in zip(*found, strict=True))
-        return np.maximum(doc[x], doc[y]), np.minimum(doc[x], doc[y])
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of equal entries of two sorted arrays."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+class _Block:
+    """Rows of one bucket's block, or pair of blocks, in which pairs of different components are sought."""
+
+    def __init__(self, rows: pa.Table):
+        self.doc, self.comp, self.block = (rows.column(c).to_numpy() for c in ("doc_id", "component", "block"))
+        self.band, self.low, self.high = (rows.column(c)[0].as_py() for c in ("band", "low", "high"))
+        self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype="<u2").reshape(-1, COORDINATES)
+        self.sets = [np.frombuffer(x, dtype="<u4") for x in rows.column("short").to_pylist()]
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def candidates(self, least: float) -> Iterator[tuple[int, int]]:
+        """Pairs of different components, alike enough, whose first common band is this bucket's; the likest of a few rows first."""
+        left = np.arange(len(self.doc)) if self.low == self.high else np.flatnonzero(self.block == self.low)
+        right = left if self.low == self.high else np.flatnonzero(self.block == self.high)
+        for at in range(0, len(left), 64):
+            rows = left[at : at + 64]
+            apart = self.comp[rows][:, None] != self.comp[right][None, :]
+            if self.low == self.high:
+                apart &= rows[:, None] < right[None, :]
+            a, b = np.nonzero(apart)
+            for cut in range(0, len(a), 20_000):
+                x, y = rows[a[cut : cut + 20_000]], right[b[cut : cut + 20_000]]
+                equal = self.sketch[x] == self.sketch[y]
+                alike = equal.mean(axis=1)
+                first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                take = np.flatnonzero((alike >= least) & (first == self.band))
+                take = take[np.argsort(-alike[take], kind="stable")]
+                yield from zip(x[take].tolist(), y[take].tolist(), strict=True)
+
+    def links(self, percent: int) -> Iterator[tuple[int, int, bool]]:
+        """Links that join components, and, not ``sure``, pairs that the short hashes can't decide."""
+        for x, y in self.candidates(percent / 100 - MARGIN):
+            a, b = self.root(int(self.comp[x])), self.root(int(self.comp[y]))
+            if a == b:
+                continue
+            shared, total = _common(self.sets[x], self.sets[y]), len(self.sets[x]) + len(self.sets[y])
+            over = 100 * shared - percent * (total - shared)
+            near = abs(over) <= 2 * (100 + percent)
+            if over >= 0 and not near:
+                self.parent[max(a, b)] = min(a, b)
+            if over >= 0 or near:
+                u, v = int(self.doc[x]), int(self.doc[y])
+                yield max(u, v), min(u, v), not near
+
+
+def _block_links(percent: int):
+    """Links found in (bucket, low, high) groups of rows; the groups come whole and sorted, one after the other."""
+    keys = ("bucket", "low", "high")
+
+    def found(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        columns = [table.column(c).to_numpy() for c in keys]
+        new = np.ones(table.num_rows, dtype=bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        begins = np.flatnonzero(new).tolist()
+        limits = [*begins, table.num_rows] if last else begins
+        out = [x for a, b in zip(limits[:-1], limits[1:], strict=True) for x in _Block(table.slice(a, b - a)).links(percent)]
+        u, v, sure = zip(*out, strict=True) if out else ((), (), ())
+        return pa.record_batch([pa.array(u, type=pa.int64()), pa.array(v, type=pa.int64()), pa.array(sure, type=pa.bool_())], names=["u", "v", "sure"]), table.slice(limits[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def groups(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
-            keys = [table.column(c).to_numpy() for c in names]
-            new = np.ones(table.num_rows, dtype=bool)
-            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-            begins = np.append(np.flatnonzero(new), table.num_rows)
-            whole = begins if last else begins[:-1]
-            doc, comp, block = (table.column(c).to_numpy() for c in ("doc_id", "component", "block"))
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype="<u2").reshape(-1, COORDINATES)
-            us, vs = [doc[:0]], [doc[:0]]
-            for a, b in zip(whole[:-1].tolist(), whole[1:].tolist(), strict=True):
-                u, v = listed(doc[a:b], comp[a:b], block[a:b], sketch[a:b], int(keys[1][a]), int(keys[2][a]))
-                us.append(u)
-                vs.append(v)
-            rest = table.slice(int(whole[-1])) if len(whole) else table
-            return pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"]), rest
-
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            out, rest = groups(pa.Table.from_batches([*held, batch]), last=False)
-            held = rest.combine_chunks().to_batches()
-            yield out
+            if batch.num_rows:
+                out, rest = found(pa.Table.from_batches([*held, batch]), last=False)
+                held = rest.to_batches()
+                yield out
         if held:
-            yield groups(pa.Table.from_batches(held), last=True)[0]
+            yield found(pa.Table.from_batches(held), last=True)[0]
 
     return run
 
@@ -204,10 +238,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     same = saved(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "equal-sets")
     nodes = full.select("doc_id", "k1", "k2", "sketch").join(same.withColumnRenamed("node", "doc_id"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
 
-    banded = nodes.select("doc_id", F.explode(F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(sketch, {8 * b + 1}, 8)")) for b in range(BANDS)])).alias("bucket"))
+    keys = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(sketch, {8 * b + 1}, 8)")) for b in range(BANDS)])
+    banded = nodes.select("doc_id", F.posexplode(keys).alias("band", "bucket"))
     banded = saved(banded, "bands")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.xxhash64("bucket", "doc_id")).alias("lead")).where(F.col("n") > 1)
-    members = saved(banded.join(shared, "bucket"), "members").select("doc_id", "bucket", "n", "lead")
+    members = saved(banded.join(shared, "bucket"), "members").select("doc_id", "band", "bucket", "n", "lead")
 
     def partners(lead: DataFrame) -> DataFrame:
         """u, v and the number of buckets in which u meets v as the bucket's lead."""
@@ -224,29 +259,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     first_pairs = saved(best.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "first-pairs")
 
     wanted = members.select("doc_id").distinct()
-    sets = saved(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), "doc_id long, shingles binary"), "shingle-sets")
+    sets = saved(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), "doc_id long, shingles binary, short binary"), "shingle-sets")
     tried = saved(verified(first_pairs, sets, percent), "tried")
     links = tried.where("linked").select("u", "v")
     found = saved(components(links), "components")
 
-    placed = members.select("doc_id", "bucket", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = members.select("doc_id", "band", "bucket", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") < F.col("b")).select("bucket")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     open_rows = (
         placed.join(mixed, "bucket", "left_semi")
         .withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc_id", "bucket"), blocks).cast("int")})
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("doc_id", "component", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .select("doc_id", "component", "band", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         .join(nodes.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "doc_id")
+        .join(sets.select("doc_id", "short"), "doc_id")
         .repartition("bucket", "low", "high")
         .sortWithinPartitions("bucket", "low", "high")
     )
-    later = open_rows.mapInArrow(_block_pairs(percent / 100 - MARGIN), "u long, v long").distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti")
-    links = links.unionAll(verified(saved(later, "later-pairs"), sets, percent).where("linked").select("u", "v"))
+    later = saved(open_rows.mapInArrow(_block_links(percent), "u long, v long, sure boolean"), "later-links")
+    unsure = later.where("NOT sure").select("u", "v").distinct()
+    links = links.unionAll(later.where("sure").select("u", "v")).unionAll(verified(unsure, sets, percent).where("linked").select("u", "v"))
     final = saved(components(links), "components").select(F.col("node"), F.col("component"))
 
     by_set = same.join(final, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     by_set = saved(by_set, "sets-of-components")
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(by_set, ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
