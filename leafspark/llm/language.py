@@ -58,7 +58,7 @@ class Model:
         """Sum over each text's trigrams of log probability (rows x languages and unknown), and its letters."""
         bucket, rows, letters, _ = trigrams(texts)
         out = np.stack([np.bincount(rows, weights=lp[bucket], minlength=len(texts)) for lp in self.log_p], axis=1)
-        return out, letters
+        return out.astype(np.float64), letters
 
 
 def fit(texts: list[str], languages: list[str], smooth: float = 0.2) -> Model:
@@ -126,7 +126,8 @@ def identify(
 
     Missing hints (null, or of a language not modelled) say nothing; rows without a host share the prior of
     the table. Null and empty texts have no letters and aren't kept. Null keys and repeated rows come back
-    each; other columns are ignored; an empty table gives no rows. The texts are read once, and the scores
+    each; other columns are ignored; an empty table gives no rows. A model without languages (nothing was
+    there to fit it on) tells nothing: all rows are ``und``, and those with letters are kept. The texts are read once, and the scores
     written to the shared folder, from which priors and posteriors are computed in Spark SQL.
     """
     spark = rows.sparkSession
@@ -149,6 +150,9 @@ def identify(
     source.mapInArrow(run, f"key {key_type}, declared string, suffix string, host string, scores array<double>, letters long").write.parquet(at)
     scored = spark.read.parquet(at)
 
+    if not model.languages:
+        return scored.select("key.*", F.lit("und").alias("language"), F.lit(1.0).alias("share"), "letters", (F.col("letters") >= least_letters).alias("kept"))
+
     best = F.array_position(F.slice("scores", 1, n - 1), F.array_max(F.slice("scores", 1, n - 1))).cast("int") - 1
     votes = scored.where((F.col("letters") >= least_letters) & (F.array_max(F.slice("scores", 1, n - 1)) > F.element_at("scores", -1))).select("host", "suffix", best.alias("best"))
     tally = [F.sum((F.col("best") == k).cast("long")).alias(f"n{k}") for k in range(n - 1)]
