@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafspark.functions import binary, codecs, rules
 from leafspark.operators import documents, keyed, layout, nav, search, styles
 from leafspark.session import table
-from leafspark.sources import files
+from leafspark.sources import files, palm
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -533,6 +533,42 @@ def l6_line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", rules.line_height(size, size % 3 == 0).alias("height"), rules.baseline_shift(size, size % 3 == 0, size % 3 == 1).alias("shift"))
 
 
+# --- containers -----------------------------------------------------------------------------------
+
+
+def _turn_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container for each conversation: its turns are the records."""
+    turns = table(spark, sf_dir, "conversations").withColumn("data", F.encode("text", "UTF-8"))
+    return palm.containers(turns, "conv_id", "turn", "data", F.concat(F.lit("talk "), F.col("conv_id").cast("string")), "TEXt")
+
+
+@registered("SELECT CAST(conv_id AS VARCHAR) AS path, 'talk ' || conv_id AS name, 'TEXt' AS type, CAST(count(*) AS INTEGER) AS record_count, true AS valid, CAST(78 + 8 * count(*) + sum(strlen(text)) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id")
+def s6_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return palm.headers(_turn_containers(spark, sf_dir)).select("path", "name", "type", "record_count", "valid", F.length("content").cast("long").alias("bytes"))
+
+
+@registered(
+    """
+    SELECT CAST(conv_id AS VARCHAR) AS path, CAST(row_number() OVER w - 1 AS INTEGER) AS idx, CAST(strlen(text) AS BIGINT) AS size, CAST((row_number() OVER w - 1) % 256 AS INTEGER) AS attr, md5(text) AS digest
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+    """
+)
+def s9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return palm.records(palm.headers(_turn_containers(spark, sf_dir))).select("path", "idx", "size", "attr", F.md5("data").alias("digest"))
+
+
+@registered("SELECT CAST(conv_id AS VARCHAR) AS path, 5 AS format, 'talk ' || conv_id AS title, CAST(sum(length(text)) AS BIGINT) AS text_chars, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def s14_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as PalmDoc containers, each record compressed, opened as documents."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", codecs.pack_palmdoc_udf(F.encode("text", "ISO-8859-1")).alias("data"))
+    counts = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    head = F.concat(F.lit(b"\0\2\0\0\0\0\0\0"), binary.from_integer(F.col("n"), 2), F.lit(b"\x10\0\0\0\0\0"))
+    every = turns.unionByName(counts.select("conv_id", F.lit(-1).cast(turns.schema["turn"].dataType).alias("turn"), head.alias("data")))
+    heads = palm.headers(palm.containers(every, "conv_id", "turn", "data", F.concat(F.lit("talk "), F.col("conv_id").cast("string")), "TEXt"))
+    opened = documents.documents(heads, palm.records(heads))
+    return opened.select("path", "format", "title", "text_chars", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 # --- codecs ---------------------------------------------------------------------------------------
 
 SAME = "SELECT doc_id, md5(text) AS digest FROM documents"

@@ -5,10 +5,10 @@ Everything here is expressions on the container's bytes; a container is one row,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafspark.functions.binary import has_flag, i32, latin1, title_of, u8, u16, u32, until_nul
+from leafspark.functions.binary import from_integer, has_flag, i32, latin1, title_of, u8, u16, u32, until_nul
 from leafspark.functions.rules import FORMAT_PALMDOC, FORMAT_V3, document_format
 
 #: Fixed values of the format: sizes, the record-0 magic, and the text encoding that means UTF-8.
@@ -151,6 +151,32 @@ def palmdoc_layout(firsts: DataFrame) -> DataFrame:
     )
 
 
+def containers(parts: DataFrame, key: str, order: str, data: str, name: Column, kind: str, creator: str = "Leaf") -> DataFrame:
+    """Containers written from rows: path (the key as a string) and content, with each key's rows as records in order.
+
+    ``data`` is binary; a container holds at most 65 535 records. Its parts are put together by one
+    aggregation on the key.
+    """
+    by = Window.partitionBy(key)
+    before = by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.count("*").over(by)
+    placed = parts.select(
+        F.col(key).cast("string").alias("path"),
+        F.col(order).alias("_order"),
+        F.col(data).alias("_data"),
+        name.alias("_name"),
+        n.alias("_n"),
+        (F.lit(HEADER_BYTES) + ENTRY_BYTES * n + F.coalesce(F.sum(F.length(data)).over(before), F.lit(0))).alias("_at"),
+        (F.row_number().over(by.orderBy(order)) - 1).alias("_idx"),
+    )
+    entry = F.concat(from_integer(F.col("_at"), 4), from_integer(F.col("_idx"), 1), F.lit(bytes(3)))
+    whole = placed.withColumn("_entry", entry).groupBy("path").agg(
+        F.max("_name").alias("_name"), F.max("_n").alias("_n"), F.expr("listagg(_entry) WITHIN GROUP (ORDER BY _order)").alias("_entries"), F.expr("listagg(_data) WITHIN GROUP (ORDER BY _order)").alias("_bodies")
+    )
+    head = F.concat(F.expr("rpad(substring(encode(_name, 'ISO-8859-1'), 1, 31), 32, X'00')"), F.lit(bytes(28)), F.lit(kind.encode()), F.lit(creator.encode()), F.lit(bytes(8)), from_integer(F.col("_n"), 2))
+    return whole.select("path", F.concat(head, "_entries", F.coalesce("_bodies", F.lit(b""))).alias("content"))
+
+
 def open_failures(heads: DataFrame) -> DataFrame:
     """Rows for containers that can't be opened: cut off, empty, or of no known format. ``heads`` are identified."""
     code = F.when(~F.col("valid"), CORRUPT).when(F.col("record_count") == 0, CORRUPT).when(F.col("format") == 0, CORRUPT).otherwise(0)
@@ -158,4 +184,4 @@ def open_failures(heads: DataFrame) -> DataFrame:
     return heads.select("path", F.lit("open").alias("stage"), code.alias("code"), text.alias("message")).where(F.col("code") < 0)
 
 
-__all__ = ["CORRUPT", "FORMAT_PALMDOC", "FORMAT_V3", "SHORT_READ", "current_layout", "early_layout", "headers", "identified", "open_failures", "palmdoc_layout", "record_0", "records", "title_of"]
+__all__ = ["CORRUPT", "FORMAT_PALMDOC", "FORMAT_V3", "SHORT_READ", "containers", "current_layout", "early_layout", "headers", "identified", "open_failures", "palmdoc_layout", "record_0", "records", "title_of"]
