@@ -20,7 +20,7 @@ WITH d AS (
 ), frequent AS (
   SELECT host, line FROM lines JOIN (SELECT host, count(*) AS host_documents FROM d GROUP BY host) USING (host)
   GROUP BY host, line, host_documents
-  HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.02 * host_documents
+  HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.1 * host_documents
 ), removed AS (
   SELECT doc_id, sum(n) AS n FROM lines JOIN frequent USING (host, line) GROUP BY doc_id
 ), stats AS (

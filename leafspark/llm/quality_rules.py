@@ -31,7 +31,7 @@ class Rules:
     least_words: int = 20
     repeat_percent: int = 30
     line_documents: int = 10
-    line_share: float = 0.02
+    line_share: float = 0.1
     kept_share: float = 0.5
 
 
