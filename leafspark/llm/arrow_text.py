@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,7 +42,18 @@ def checkpoint_ready(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(top or tempfile.mkdtemp(prefix="leafspark-"))
 
 
-def sized_slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def bounded_batches(spark: SparkSession, rows: int = 2_000, size: int = 16_000_000) -> None:
+    """Hold the batches that tasks exchange with Python to so many rows and about so many bytes, unless they are smaller already.
+
+    Texts are larger than most rows; the defaults would hold tens of megabytes several times in each task.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
+def sized_slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose text is at most ``most`` bytes (one row at least)."""
     n = batch.num_rows
     if not n:

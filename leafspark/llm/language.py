@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.llm.arrow_text import lower_ascii, scramble, shared_dir, sized_slices, utf8
+from leafspark.llm.arrow_text import bounded_batches, lower_ascii, scramble, shared_dir, sized_slices, utf8
 from leafspark.llm.labelled import at_most
 
 BUCKETS = 1 << 14
@@ -131,6 +131,7 @@ def identify(
     written to the shared folder, from which priors and posteriors are computed in Spark SQL.
     """
     spark = rows.sparkSession
+    bounded_batches(spark)
     names = [*model.languages, "und"]
     n = len(names)
     have = set(rows.columns)
@@ -140,7 +141,7 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sized_slices(batch, "text", 1_000_000):
+            for part in sized_slices(batch, "text"):
                 scores, letters = shared.value.likelihoods(part.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, n), type=pa.int32()), pa.array(scores.ravel()))
                 yield pa.record_batch([*(part.column(c) for c in ("key", "declared", "suffix", "host")), lists, pa.array(letters, type=pa.int64())], names=["key", "declared", "suffix", "host", "scores", "letters"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.llm.arrow_text import lower_ascii, run_hashes, scramble, shingle_hashes, sized_slices, utf8, words
+from leafspark.llm.arrow_text import bounded_batches, lower_ascii, run_hashes, scramble, shingle_hashes, sized_slices, utf8, words
 from leafspark.llm.components import components, saved
 
 COORDINATES, ROWS = 128, 4
@@ -87,7 +87,7 @@ def sketches(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sized_slices(batch, "text", 2_000_000):
+            for part in sized_slices(batch, "text", 1_000_000):
                 values, limits = shingle_sets(part.column("text"), size)
                 counts = np.diff(limits)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(scramble(values ^ np.uint64(salt)))]) for salt in (1, 2)]
@@ -105,7 +105,7 @@ def _sign(size: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sized_slices(batch, "text", 2_000_000):
+            for part in sized_slices(batch, "text", 1_000_000):
                 values, limits = shingle_sets(part.column("text"), size)
                 raw, ends = values.tobytes(), (8 * limits).tolist()
                 full = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -232,6 +232,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     ignored; an empty table gives no rows. A pair at the threshold shares no band with probability 5e-8;
     no bucket is capped, and no bucket's pairs are listed.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = saved(rows.mapInArrow(_sign(size), "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"), "sketches")
     full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())

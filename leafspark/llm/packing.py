@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from leafspark.llm.arrow_text import lower_ascii, run_hashes, sized_slices, utf8, words
+from leafspark.llm.arrow_text import bounded_batches, lower_ascii, run_hashes, sized_slices, utf8, words
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_tokens", pa.int64())])
@@ -32,8 +32,6 @@ _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 #: Second bytes, after 0xC3, of the letters U+00C0 to U+00FF (0x97 and 0xB7 are signs).
 _TRAIL = np.zeros(256, dtype=bool)
 _TRAIL[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True
-#: What a worker knows of each tokenizer; kept from task to task.
-_CODERS: dict[str, "WordTokenizer"] = {}
 
 
 class PieceTable:
@@ -73,7 +71,7 @@ class WordTokenizer:
     does, so that few stems have to be coded; other words are coded whole.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -84,12 +82,6 @@ class WordTokenizer:
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words, self.parts = PieceTable(), PieceTable()
 
-    @classmethod
-    def of(cls, path: str) -> "WordTokenizer":
-        if path not in _CODERS:
-            _CODERS[path] = cls(path)
-        return _CODERS[path]
-
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -254,10 +246,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, cla
         raise ValueError("capacity must be a power of two, and classes between 1 and capacity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = WordTokenizer.of(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        coder, end = WordTokenizer(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         bins = HarmonicBins(capacity, classes, TaskContext.get().partitionId())
         for batch in batches:
-            for part in sized_slices(batch, "text", 2_000_000):
+            for part in sized_slices(batch, "text", 1_000_000):
                 ids, limits = coder.encode(part.column("text"))
                 raw = ids.tobytes()
                 limits = (4 * limits).tolist()
@@ -269,4 +261,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, cla
         if bins.rows:
             yield bins.take()
 
+    bounded_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.llm.arrow_text import rolling, run_hashes, shared_dir, shingle_hashes, sized_slices, utf8, words
+from leafspark.llm.arrow_text import bounded_batches, rolling, run_hashes, shared_dir, shingle_hashes, sized_slices, utf8, words
 
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_500_000
 _NONE = np.uint64(0)
 _ALL = np.uint64(2**64 - 1)
 
@@ -124,6 +124,7 @@ def deduplicate(docs: DataFrame, window: int = 20, phrase: int = 5, keep_layout:
     columns are ignored; an empty table gives no rows. doc_id is otherwise taken to be unique.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *[docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)])
     numbered = rows.where(F.col("doc_id").isNotNull())
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.llm.arrow_text import lower_ascii, run_hashes, scramble, sized_slices, utf8, words
+from leafspark.llm.arrow_text import bounded_batches, lower_ascii, run_hashes, scramble, sized_slices, utf8, words
 from leafspark.llm.labelled import remainder, training_rows
 
 WINDOW, STRIDE = 32, 16
@@ -83,7 +83,7 @@ def windows(first: np.ndarray, order: np.ndarray, pad: int) -> tuple[np.ndarray,
     place = begin[:, None] + np.arange(WINDOW)
     inside = place < counts[row][:, None]
     held = order if len(order) else np.zeros(1, dtype=np.int64)
-    return np.where(inside, held[np.minimum(first[:-1][row][:, None] + place, len(held) - 1)], pad), row
+    return np.where(inside, held[np.minimum(first[:-1][row][:, None] + place, len(held) - 1)], pad).astype(np.int32), row
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -264,7 +264,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 4, ep
     return net
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 5_000, most_bytes: int = 20_000) -> Network:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 4_000, most_bytes: int = 10_000) -> Network:
     """Fit on at most ``most_rows`` labelled texts, of ``most_bytes`` at most, whose crc32 remainder by 4 isn't 2."""
     rows = training_rows(docs, labels, "toxic", 4, 2, most_rows, most_bytes).toPandas().sort_values(["doc_id", "label", "text"])
     return fit(rows["text"].tolist(), rows["label"].to_numpy(dtype=np.int64))
@@ -277,11 +277,12 @@ def score_toxicity(docs: DataFrame, net: Network, threshold: float = 0.3) -> Dat
     doc_id stays null; repeated rows are scored each; other columns are ignored; an empty table gives no
     rows. The network is a few hundred kilobytes, bounded by its number of words.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sized_slices(batch, "text", 1_000_000):
+            for part in sized_slices(batch, "text"):
                 yield pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(shared.value.scores(part.column("text")))], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id").cast("long"), 4) == 2).alias("held_out"), "text")
