@@ -11,7 +11,7 @@ no bucket's pairs are listed. Each member is held against its buckets' pivots an
 is verified on full sets, and what is linked is merged. Only buckets that still hold several components
 are compared further, in blocks and between components: by sketch first, in the first band that two
 members share, and on full sets then. Blocks carry the sets with 32 bits for each shingle; a pair so near
-the threshold that a clash of these could matter is verified on the full hashes.
+the threshold that clashes of these could matter (the larger the sets, the more) is verified on the full hashes.
 """
 
 from __future__ import annotations
@@ -142,6 +142,12 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+def most_clashes(n: int) -> float:
+    """So many of ``n`` 32-bit hashes of different values are equal by chance at most (more: under one pair in ten million)."""
+    expected = n * n / 2**33
+    return 3 + expected + 6 * expected**0.5
+
+
 class _Block:
     """Rows of one bucket's block, or pair of blocks, in which pairs of different components are sought."""
 
@@ -185,12 +191,13 @@ class _Block:
                 continue
             shared, total = _common(self.sets[x], self.sets[y]), len(self.sets[x]) + len(self.sets[y])
             over = 100 * shared - percent * (total - shared)
-            near = abs(over) <= 2 * (100 + percent)
-            if over >= 0 and not near:
+            if over < 0:  # clashes only raise ``shared``, so the full sets are no link either
+                continue
+            near = over <= most_clashes(total) * (100 + percent)
+            if not near:
                 self.parent[max(a, b)] = min(a, b)
-            if over >= 0 or near:
-                u, v = int(self.doc[x]), int(self.doc[y])
-                yield max(u, v), min(u, v), not near
+            u, v = int(self.doc[x]), int(self.doc[y])
+            yield max(u, v), min(u, v), not near
 
 
 def _block_links(percent: int):

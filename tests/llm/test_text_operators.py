@@ -106,6 +106,18 @@ def test_many_near_copies_of_one_text(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == {d: find(d) for d in range(len(rows))}
 
 
+def test_clashes_of_large_sets_are_no_link():
+    n, rng = 300_000, np.random.default_rng(1)
+    shared = int(n * 16 / 18) - 4  # 160 n = 180 shared is the threshold of 80 %
+    values = rng.integers(0, 2**64, 2 * n - shared, dtype=np.uint64)
+    assert len(np.unique(values)) == len(values) and 100 * shared < 80 * (2 * n - shared)
+    short = [np.sort(v >> np.uint64(32)).astype("<u4") for v in (values[:n], values[n - shared :])]
+    rows = {"doc_id": [1, 2], "component": [1, 2], "block": [0, 0], "band": [0, 0], "low": [0, 0], "high": [0, 0]}
+    sketch = bytes(2 * near_dedup.COORDINATES)
+    block = near_dedup._Block(pa.table({**rows, "sketch": [sketch, sketch], "short": [x.tobytes() for x in short]}))
+    assert near_dedup._common(*short) > shared + 4 and list(block.links(80)) == [(2, 1, False)]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))
