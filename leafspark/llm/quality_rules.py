@@ -100,18 +100,24 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     n_removed_words (words on lines above the limits) and kept. A row whose base rules fail isn't
     kept; another isn't kept when its removed lines leave fewer than ``kept_share`` of its words.
 
-    A null text has no words and fails; a null host is a host of its own; repeated rows count as
-    documents of their own and all come back, as do rows with a null doc_id; other columns are
-    ignored; an empty table gives no rows. Counts are aggregated before the shuffle, so a line in
-    every document of a host is a few rows for each task.
+    A null text has no words and fails; a null host is a host of its own; rows that share a doc_id
+    count as one document of their host and all come back; each row with a null doc_id is a document
+    of its own; other columns are ignored; an empty table gives no rows. Documents are made distinct
+    by (host, line, document) before they are counted, so a line in every document of a host is
+    spread over the tasks.
     """
     spark = docs.sparkSession
     out = shared_dir(spark, "line-statistics")
     with_statistics(docs, rules).withColumn("row_id", F.monotonically_increasing_id()).write.parquet(out)
     stats = spark.read.parquet(out)
 
-    counts = stats.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("documents"))
-    hosts = stats.groupBy("host").agg(F.count("*").alias("host_documents"))
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row_id")).alias("row_id"))
+    counts = (
+        stats.select("host", document.alias("document"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
+        .groupBy("host", "hash")
+        .agg(F.countDistinct("document").alias("documents"))
+    )
+    hosts = stats.groupBy("host").agg(F.countDistinct(document).alias("host_documents"))
     frequent = (
         counts.where(F.col("documents") > rules.line_documents)
         .alias("c")

@@ -328,6 +328,18 @@ def test_lines_of_many_documents_are_removed(spark):
     assert all(r["kept"] for r in strict)
 
 
+def test_repeated_rows_are_one_document_of_their_host(spark):
+    own = lambda d: " ".join(f"word{d}x{i}" for i in range(24))
+    menu = " ".join(f"menu{i}" for i in range(30))
+    rows = [(1, own(1), "small")] * 15 + [(None, f"{own(2)}\n{menu}", "none")] * 11
+    rows += [(d, f"{own(d)}\n{menu}", "large") for d in range(100, 112)] + [(d, own(d), "large") for d in range(112, 160)] + [(160, own(160), "large")] * 100
+    got = quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, host string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        gone = r["doc_id"] is None or 100 <= r["doc_id"] < 112
+        assert r["kept"] != gone and (r["n_removed_words"] > 0) == gone, r
+
+
 def test_no_python_in_quality_rules(spark):
     plan = quality_rules.with_statistics(table(spark, corpus(3)).withColumnRenamed("source", "host"), quality_rules.Rules())._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
