@@ -1,8 +1,9 @@
 """A training corpus from ``documents`` in five stages.
 
 Each stage takes what its predecessor kept and returns a DataFrame, which is written as Parquet in the
-cluster's shared folder and read again. All but the last return the columns of ``documents``. A row
-without a doc_id can't be told from others, so no stage drops it; repeated rows share their fate.
+cluster's shared folder and read again. All but the last return the columns of ``documents``. Language and
+toxicity decide on each row, whatever its doc_id. Near copies are found among doc_ids: there, rows without one
+stay and rows that share one share their fate.
 """
 
 from __future__ import annotations
@@ -22,22 +23,29 @@ from leafspark.session import table
 MOST_BROADCAST_IDS = 500_000
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``rejected``."""
-    ids = saved(rejected.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "rejected")
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``row_id`` that tells its rows apart, written so that it is the same in every use."""
+    return saved(docs.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+
+
+def without(docs: DataFrame, rejected: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose ``key`` isn't in ``rejected``."""
+    ids = saved(rejected.select(key).where(F.col(key).isNotNull()).distinct(), "rejected")
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, key, "left_anti").select(*docs.columns)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no known language. The text model is fitted on a bounded sample of ``docs``."""
-    found = language.identify(docs.select("doc_id", "text", F.col("source").alias("host")), language.fit_languages(docs), ["doc_id"])
-    return without(docs, found.where(~F.col("kept")))
+    rows = numbered(docs)
+    found = language.identify(rows.select("row_id", "text", F.col("source").alias("host")), language.fit_languages(docs), ["row_id"])
+    return without(rows, found.where(~F.col("kept")), "row_id").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the network, fitted on a bounded sample of labelled ones, finds toxic."""
-    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
-    return without(docs, scored.where(F.col("predicted") == 1))
+    rows = numbered(docs)
+    scored = toxicity.score_toxicity(rows.select(F.col("row_id").alias("doc_id"), "text"), toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return without(rows, scored.where(F.col("predicted") == 1).select(F.col("doc_id").alias("row_id")), "row_id").select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

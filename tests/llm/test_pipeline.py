@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from leafspark.llm import toxicity
 
 SF_DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,6 +70,25 @@ def test_odd_rows(spark, docs, name):
         assert ids.count(9004) >= 2
 
 
+def test_language_decides_on_each_row(spark, docs):
+    clean = docs.where("lang = 'en'").orderBy(F.length("text").desc()).first()["text"]
+    odd = [(None, "1234 5678", "en", "s", 9), (9101, "1234 5678", "en", "s", 9), (9101, clean, "en", "s", len(clean)), (None, clean, "en", "s", len(clean))]
+    out = stage("language")(spark, docs.unionByName(spark.createDataFrame(odd, SCHEMA)), SF_DIR)
+    got = [(r["doc_id"], r["text"]) for r in out.where("doc_id IS NULL OR doc_id = 9101").collect()]
+    assert out.columns == docs.columns and sorted(got, key=str) == sorted([(9101, clean), (None, clean)], key=str)
+
+
+def test_toxicity_decides_on_each_row(spark, docs):
+    net = toxicity.fit_toxicity(docs, spark.read.parquet(f"{SF_DIR}/labels.parquet"))
+    scored = toxicity.score_toxicity(docs, net).join(docs, "doc_id").where("text <> ''").orderBy("score").collect()
+    clean, toxic = scored[0]["text"], scored[-1]["text"]
+    assert scored[0]["predicted"] == 0 and scored[-1]["predicted"] == 1
+    odd = [(None, toxic, "en", "s", 9), (9101, toxic, "en", "s", 9), (9101, clean, "en", "s", 9), (None, clean, "en", "s", 9)]
+    out = stage("toxicity")(spark, docs.unionByName(spark.createDataFrame(odd, SCHEMA)), SF_DIR)
+    got = [(r["doc_id"], r["text"]) for r in out.where("doc_id IS NULL OR doc_id = 9101").collect()]
+    assert out.columns == docs.columns and sorted(got, key=str) == sorted([(9101, clean), (None, clean)], key=str)
+
+
 @pytest.mark.parametrize("name", ["near_dedup", "substring_dedup", "packing", "toxicity", "language"])
 def test_empty_table(spark, docs, name):
     assert stage(name)(spark, docs.limit(0), SF_DIR).count() == 0
