@@ -14,13 +14,13 @@ WITH d AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id
 ), lines AS (
-  SELECT doc_id, host, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line,
+  SELECT doc_id, host, text, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line,
          len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n
-  FROM (SELECT doc_id, host, unnest(full_lines) AS l FROM d)
+  FROM (SELECT doc_id, host, text, unnest(full_lines) AS l FROM d)
 ), frequent AS (
-  SELECT host, line FROM lines JOIN (SELECT host, count(*) AS host_documents FROM d GROUP BY host) USING (host)
+  SELECT host, line FROM lines JOIN (SELECT host, count(DISTINCT text) AS host_documents FROM d GROUP BY host) USING (host)
   GROUP BY host, line, host_documents
-  HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.1 * host_documents
+  HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > 0.02 * host_documents
 ), removed AS (
   SELECT doc_id, sum(n) AS n FROM lines JOIN frequent USING (host, line) GROUP BY doc_id
 ), stats AS (
@@ -32,8 +32,9 @@ WITH d AS (
          CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed_words
   FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN removed r ON r.doc_id = d.doc_id
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_removed_words >= 0.5 * n_words AS kept
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_removed_words >= 0.5 * n_words AS kept,
+       n_removed_words
 FROM stats
 """

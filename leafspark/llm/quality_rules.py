@@ -22,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]"
 class Rules:
     """Limits of the rules.
 
-    A line is removed when it stands in more than ``line_documents`` documents of its host and in
+    A line is removed when it stands in more than ``line_documents`` different texts of its host and in
     more than ``line_share`` of them. A document is depleted when fewer than ``kept_share`` of its
     words are left.
     """
@@ -31,7 +31,7 @@ class Rules:
     least_words: int = 20
     repeat_percent: int = 30
     line_documents: int = 10
-    line_share: float = 0.1
+    line_share: float = 0.02
     kept_share: float = 0.5
 
 
@@ -44,7 +44,7 @@ def line_normal_form(line: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame, rules: Rules) -> DataFrame:
-    """doc_id, host and text statistics, with ``lines``: (hash, words) of every line that has a word."""
+    """doc_id, host, a hash of the text and its statistics, with ``lines``: (hash, words) of every line that has a word."""
     w = rules.window
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("host").cast("string").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     listed = base.withColumns(
@@ -57,6 +57,7 @@ def with_statistics(docs: DataFrame, rules: Rules) -> DataFrame:
     hashed = listed.select(
         "doc_id",
         "host",
+        F.xxhash64("text").alias("text_hash"),
         "n_symbols",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -90,20 +91,21 @@ def with_statistics(docs: DataFrame, rules: Rules) -> DataFrame:
         lambda acc, p: F.struct((acc["total"] + F.least(F.lit(w), p - acc["last"])).alias("total"), p.alias("last")),
         lambda acc: acc["total"],
     )
-    return starts.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "lines")
+    return starts.select("doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "lines")
 
 
 def apply_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Statistics and verdict for every row of ``docs`` (doc_id, host, text).
 
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    n_removed_words (words on lines above the limits) and kept. A row whose base rules fail isn't
-    kept; another isn't kept when its removed lines leave fewer than ``kept_share`` of its words.
+    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
+    n_removed_words (words on lines above the limits). A row whose base rules fail isn't kept; another
+    isn't kept when its removed lines leave fewer than ``kept_share`` of its words.
 
-    A null text has no words and fails; a null host is a host of its own; rows that share a doc_id
-    count as one document of their host and all come back; each row with a null doc_id is a document
-    of its own; other columns are ignored; an empty table gives no rows. Documents are made distinct
-    by (host, line, document) before they are counted, so a line in every document of a host is
+    Copies of a text are one document of their host, whatever their doc_ids: a line is frequent by what
+    different texts share, and copies are the business of the dedup operators. So repeated rows change
+    nothing and all come back, and a null doc_id is like any other. A null text has no words and fails; a
+    null host is a host of its own; other columns are ignored; an empty table gives no rows. Documents are
+    made distinct by (host, line, text) before they are counted, so a line in every document of a host is
     spread over the tasks.
     """
     spark = docs.sparkSession
@@ -111,13 +113,12 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     with_statistics(docs, rules).withColumn("row_id", F.monotonically_increasing_id()).write.parquet(out)
     stats = spark.read.parquet(out)
 
-    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row_id")).alias("row_id"))
     counts = (
-        stats.select("host", document.alias("document"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
+        stats.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
         .groupBy("host", "hash")
-        .agg(F.countDistinct("document").alias("documents"))
+        .agg(F.countDistinct("text_hash").alias("documents"))
     )
-    hosts = stats.groupBy("host").agg(F.countDistinct(document).alias("host_documents"))
+    hosts = stats.groupBy("host").agg(F.countDistinct("text_hash").alias("host_documents"))
     frequent = (
         counts.where(F.col("documents") > rules.line_documents)
         .alias("c")
@@ -133,9 +134,9 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
     base_failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
     return (
-        stats.drop("host", "lines")
+        stats.drop("host", "text_hash", "lines")
         .join(removed, "row_id", "left")
         .withColumns({"base_failed": base_failed, "n_removed_words": F.coalesce("n_removed_words", F.lit(0)).cast("long")})
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= rules.kept_share * F.col("n_words")))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
     )

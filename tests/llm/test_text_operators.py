@@ -328,18 +328,29 @@ def test_lines_of_many_documents_are_removed(spark):
     assert all(r["kept"] for r in strict)
 
 
-def test_repeated_rows_are_one_document_of_their_host(spark):
+def test_copies_of_a_text_are_one_document_of_their_host(spark):
+    """Neither repeated rows nor copies under other ids make a line frequent, nor do they thin out the shares of a host."""
     own = lambda d: " ".join(f"word{d}x{i}" for i in range(24))
     menu = " ".join(f"menu{i}" for i in range(30))
-    rows = [(1, own(1), "small")] * 15 + [(None, f"{own(2)}\n{menu}", "none")] * 11
-    rows += [(d, f"{own(d)}\n{menu}", "large") for d in range(100, 112)] + [(d, own(d), "large") for d in range(112, 160)] + [(160, own(160), "large")] * 100
+    rows = [(1, own(1), "small")] * 15 + [(d, own(2), "small") for d in range(2, 30)] + [(None, f"{own(3)}\n{menu}", "none")] * 11
+    rows += [(d, f"{own(d)}\n{menu}", "large") for d in range(100, 112)] + [(d, own(d), "large") for d in range(112, 160)] + [(160, own(160), "large")] * 2000
     got = quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, host string")).collect()
     assert len(got) == len(rows)
     for r in got:
-        gone = r["doc_id"] is None or 100 <= r["doc_id"] < 112
+        gone = r["doc_id"] is not None and 100 <= r["doc_id"] < 112
         assert r["kept"] != gone and (r["n_removed_words"] > 0) == gone, r
 
 
+@pytest.mark.parametrize("percent,gone", [(1, False), (3, True), (9, True)])
+def test_a_line_of_a_few_percent_of_a_host_is_removed(spark, percent, gone):
+    own = lambda d: " ".join(f"word{d}x{i}" for i in range(24))
+    menu = " ".join(f"menu{i}" for i in range(30))
+    rows = [(d, f"{own(d)}\n{menu}" if d < 8 * percent else own(d), "h") for d in range(800)]
+    got = quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, host string")).where("NOT kept").collect()
+    assert sorted(r["doc_id"] for r in got) == (list(range(8 * percent)) if gone else [])
+    assert all(r["n_removed_words"] == 30 for r in got)
+
+
 def test_no_python_in_quality_rules(spark):
     plan = quality_rules.with_statistics(table(spark, corpus(3)).withColumnRenamed("source", "host"), quality_rules.Rules())._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
