@@ -15,17 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafspark.llm import language, near_dedup, packing, substring_dedup, toxicity
-from leafspark.llm.arrow_text import shared_dir
-from leafspark.llm.components import saved
+from leafspark.llm.scratch import released, remove, saved, shared_dir
 from leafspark.session import table
 
 #: So many ids, of 8 bytes each, are broadcast; more are joined by a shuffle.
 MOST_BROADCAST_IDS = 500_000
 
 
+#: Tells the rows of a table apart inside of a stage.
+ROW = "number_of_row_in_stage"
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a ``row_id`` that tells its rows apart, written so that it is the same in every use."""
-    return saved(docs.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+    """``docs`` with a column ROW, written so that it is the same in every use."""
+    return saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def without(docs: DataFrame, rejected: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -37,15 +40,15 @@ def without(docs: DataFrame, rejected: DataFrame, key: str = "doc_id") -> DataFr
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no known language. The text model is fitted on a bounded sample of ``docs``."""
     rows = numbered(docs)
-    found = language.identify(rows.select("row_id", "text", F.col("source").alias("host")), language.fit_languages(docs), ["row_id"])
-    return without(rows, found.where(~F.col("kept")), "row_id").select(*docs.columns)
+    found = language.identify(rows.select(ROW, "text", F.col("source").alias("host")), language.fit_languages(docs), [ROW])
+    return without(rows, found.where(~F.col("kept")), ROW).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the network, fitted on a bounded sample of labelled ones, finds toxic."""
     rows = numbered(docs)
-    scored = toxicity.score_toxicity(rows.select(F.col("row_id").alias("doc_id"), "text"), toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
-    return without(rows, scored.where(F.col("predicted") == 1).select(F.col("doc_id").alias("row_id")), "row_id").select(*docs.columns)
+    scored = toxicity.score_toxicity(rows.select(F.col(ROW).alias("doc_id"), "text"), toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return without(rows, scored.where(F.col("predicted") == 1).select(F.col("doc_id").alias(ROW)), ROW).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +61,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     cut = substring_dedup.deduplicate(docs, window=20, keep_layout=True, carry=others)
     left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return left.select(*[own[c] if c in own else F.col("carried").getField(c).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,10 +81,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply all stages to ``documents``. A stage's intermediate tables and its input are deleted when its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         at = shared_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        with released(spark):
+            stage(spark, docs, sf_dir).write.parquet(at)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(at), at
     return docs

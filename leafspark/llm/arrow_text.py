@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -21,38 +17,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the cluster's shared checkpoint folder.
-
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a temporary folder is set for the session.
-    """
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = tempfile.mkdtemp(prefix="leafspark-")
-        spark.sparkContext.setCheckpointDir(top)
-        top = spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Make DataFrame.checkpoint() usable: the cluster's folder if set, else a temporary one."""
-    if not spark.sparkContext.getCheckpointDir():
-        top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(top or tempfile.mkdtemp(prefix="leafspark-"))
-
-
-def bounded_batches(spark: SparkSession, rows: int = 2_000, size: int = 16_000_000) -> None:
-    """Hold the batches that tasks exchange with Python to so many rows and about so many bytes, unless they are smaller already.
-
-    Texts are larger than most rows; the defaults would hold tens of megabytes several times in each task.
-    """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
-        if now is None or not 0 < int(now[1]) <= most:
-            spark.conf.set(key, str(most))
-
-
 def sized_slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose text is at most ``most`` bytes (one row at least)."""
     n = batch.num_rows
@@ -114,15 +78,15 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte run, eight bytes at a time."""
+def run_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte run, eight bytes at a time; another one for each ``seed``."""
     n = len(starts)
     if not n:
         return np.zeros(0, dtype=np.uint64)
     held = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
     eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=held, strides=(1,))
     left = stops - starts
-    out = scramble(left.astype(np.uint64) + _STEP)
+    out = scramble(left.astype(np.uint64) + _STEP + np.uint64(seed))
     out = (out ^ (eight[starts] & _FIRST[np.minimum(left, 8)])) * _STEP
     out ^= out >> np.uint64(32)
     go = np.flatnonzero(left > 8)

@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.llm.arrow_text import shared_dir
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: lineage is cut and any executor can read them."""
-    at = shared_dir(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
+from leafspark.llm.scratch import Scratch
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -21,11 +14,14 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     Alternates large stars (each node ties its greater neighbours to its least neighbour) and small
     stars (each node ties its lesser neighbours and itself to the least of them) until nothing changes,
     when every node is tied to the least of its component. Minima are aggregated before the shuffle and
-    joined back, so a node of many edges is split like any skewed join. Null ends are ignored.
+    joined back, so a node of many edges is split like any skewed join. Null ends are ignored. A round's
+    tables are deleted when the next one's are written; ``most_rounds``, far over what the logarithm of any
+    number of nodes asks for, ends the job with an error rather than leave links out.
     """
-    held = saved(edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    held = scratch.save(edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     last = None
-    for _ in range(most_rounds):
+    for turn in range(most_rounds):
         state = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break
@@ -33,11 +29,12 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         both = held.unionAll(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large, "large-star")
+        large = scratch.save(large, f"large-star-{turn}")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(low, "u")
         small = tied.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        held = saved(small.where(F.col("u") != F.col("v")).distinct(), "small-star")
+        held = scratch.save(small.where(F.col("u") != F.col("v")).distinct(), f"small-star-{turn}")
+        scratch.keep_only(f"small-star-{turn}")
     else:
         raise RuntimeError("components did not settle")
     roots = held.select(F.col("v").alias("node")).distinct()

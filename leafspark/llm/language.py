@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.llm.arrow_text import bounded_batches, lower_ascii, scramble, shared_dir, sized_slices, utf8
+from leafspark.llm.arrow_text import lower_ascii, scramble, sized_slices, utf8
 from leafspark.llm.labelled import at_most
+from leafspark.llm.scratch import saved
 
 BUCKETS = 1 << 14
 #: Suffixes of addresses that stand for a language, where another than the language's own code does.
@@ -131,7 +132,6 @@ def identify(
     written to the shared folder, from which priors and posteriors are computed in Spark SQL.
     """
     spark = rows.sparkSession
-    bounded_batches(spark)
     names = [*model.languages, "und"]
     n = len(names)
     have = set(rows.columns)
@@ -147,9 +147,7 @@ def identify(
                 yield pa.record_batch([*(part.column(c) for c in ("key", "declared", "suffix", "host")), lists, pa.array(letters, type=pa.int64())], names=["key", "declared", "suffix", "host", "scores", "letters"])
 
     key_type = source.schema["key"].dataType.simpleString()
-    at = shared_dir(spark, "language-scores")
-    source.mapInArrow(run, f"key {key_type}, declared string, suffix string, host string, scores array<double>, letters long").write.parquet(at)
-    scored = spark.read.parquet(at)
+    scored = saved(source.mapInArrow(run, f"key {key_type}, declared string, suffix string, host string, scores array<double>, letters long"), "language-scores")
 
     if not model.languages:
         return scored.select("key.*", F.lit("und").alias("language"), F.lit(1.0).alias("share"), "letters", (F.col("letters") >= least_letters).alias("kept"))

@@ -9,26 +9,29 @@ the sets' similarity.
 Documents of equal shingle sets are one node. Nodes that agree in a band of coordinates share a bucket;
 no bucket's pairs are listed. Each member is held against its buckets' pivots and hubs, its best partner
 is verified on full sets, and what is linked is merged. Only buckets that still hold several components
-are compared further, in blocks and between components: by sketch first, in the first band that two
-members share, and on full sets then. Blocks carry the sets with 32 bits for each shingle; a pair so near
-the threshold that clashes of these could matter (the larger the sets, the more) is verified on the full hashes.
+are compared further, in blocks: sketches alone are sent to blocks, where members are sought that are alike
+enough to one of another component, in the first band that the two share; sets follow only for these, and
+every link is confirmed on full sets. A set is its shingles' 64-bit hashes: two documents of n shingles
+together have a clash among them with a chance of n * n / 2**65 (3e-8 for a million), which moves the share by one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.llm.arrow_text import bounded_batches, lower_ascii, run_hashes, scramble, shingle_hashes, sized_slices, utf8, words
-from leafspark.llm.components import components, saved
+from leafspark.llm.arrow_text import lower_ascii, run_hashes, scramble, shingle_hashes, sized_slices, utf8, words
+from leafspark.llm.components import components
+from leafspark.llm.scratch import Scratch
 
 COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
-BLOCK = 1024
+#: Members of a block, and shingles of them all, of which two blocks are held at once.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Sketches this far below the threshold (over five standard deviations) aren't verified.
 MARGIN = 0.19
 _FULL = np.uint64(2**64 - 1)
@@ -109,8 +112,7 @@ def _sets(size: int):
                 values, limits = shingle_sets(part.column("text"), size)
                 raw, ends = values.tobytes(), (8 * limits).tolist()
                 full = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                short = [np.sort(values[a:b] >> np.uint64(32)).astype("<u4").tobytes() for a, b in zip(limits[:-1], limits[1:], strict=True)]
-                yield pa.record_batch([part.column("doc_id"), pa.array(full, type=pa.binary()), pa.array(short, type=pa.binary())], names=["doc_id", "shingles", "short"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(full, type=pa.binary())], names=["doc_id", "shingles"])
 
     return run
 
@@ -142,12 +144,6 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def most_clashes(n: int) -> float:
-    """So many of ``n`` 32-bit hashes of different values are equal by chance at most (more: under one pair in ten million)."""
-    expected = n * n / 2**33
-    return 3 + expected + 6 * expected**0.5
-
-
 class _Block:
     """Rows of one bucket's block, or pair of blocks, in which pairs of different components are sought."""
 
@@ -155,7 +151,6 @@ class _Block:
         self.doc, self.comp, self.block = (rows.column(c).to_numpy() for c in ("doc_id", "component", "block"))
         self.band, self.low, self.high = (rows.column(c)[0].as_py() for c in ("band", "low", "high"))
         self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype="<u2").reshape(-1, COORDINATES)
-        self.sets = [np.frombuffer(x, dtype="<u4") for x in rows.column("short").to_pylist()]
         self.parent: dict[int, int] = {}
 
     def root(self, x: int) -> int:
@@ -164,7 +159,7 @@ class _Block:
             x = up
         return x
 
-    def candidates(self, least: float) -> Iterator[tuple[int, int]]:
+    def candidates(self, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of different components, alike enough, whose first common band is this bucket's; the likest of a few rows first."""
         left = np.arange(len(self.doc)) if self.low == self.high else np.flatnonzero(self.block == self.low)
         right = left if self.low == self.high else np.flatnonzero(self.block == self.high)
@@ -181,52 +176,70 @@ class _Block:
                 first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
                 take = np.flatnonzero((alike >= least) & (first == self.band))
                 take = take[np.argsort(-alike[take], kind="stable")]
-                yield from zip(x[take].tolist(), y[take].tolist(), strict=True)
-
-    def links(self, percent: int) -> Iterator[tuple[int, int, bool]]:
-        """Links that join components, and, not ``sure``, pairs that the short hashes can't decide."""
-        for x, y in self.candidates(percent / 100 - MARGIN):
-            a, b = self.root(int(self.comp[x])), self.root(int(self.comp[y]))
-            if a == b:
-                continue
-            shared, total = _common(self.sets[x], self.sets[y]), len(self.sets[x]) + len(self.sets[y])
-            over = 100 * shared - percent * (total - shared)
-            if over < 0:  # clashes only raise ``shared``, so the full sets are no link either
-                continue
-            near = over <= most_clashes(total) * (100 + percent)
-            if not near:
-                self.parent[max(a, b)] = min(a, b)
-            u, v = int(self.doc[x]), int(self.doc[y])
-            yield max(u, v), min(u, v), not near
-
-
-def _block_links(percent: int):
-    """Links found in (bucket, low, high) groups of rows; the groups come whole and sorted, one after the other."""
-    keys = ("bucket", "low", "high")
-
-    def found(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
-        columns = [table.column(c).to_numpy() for c in keys]
+                yield x[take], y[take]
+
+    def open_members(self, least: float) -> np.ndarray:
+        """Which rows have a candidate partner."""
+        out = np.zeros(len(self.doc), dtype=bool)
+        for x, y in self.candidates(least):
+            out[x] = out[y] = True
+        return out
+
+    def links(self, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+        """Links, on full sets, that join components."""
+        for xs, ys in self.candidates(percent / 100 - MARGIN):
+            for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                a, b = self.root(int(self.comp[x])), self.root(int(self.comp[y]))
+                if a == b:
+                    continue
+                shared, total = _common(sets[x], sets[y]), len(sets[x]) + len(sets[y])
+                if 100 * shared >= percent * (total - shared):
+                    self.parent[max(a, b)] = min(a, b)
+                    u, v = int(self.doc[x]), int(self.doc[y])
+                    yield max(u, v), min(u, v)
+
+
+def _in_groups(work: Callable[[pa.Table], pa.Table]):
+    """``work`` on every (bucket, low, high) group of rows; the groups come whole and sorted, one after the other."""
+
+    def limits(table: pa.Table) -> list[int]:
+        columns = [table.column(c).to_numpy() for c in ("bucket", "low", "high")]
         new = np.ones(table.num_rows, dtype=bool)
         new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-        begins = np.flatnonzero(new).tolist()
-        limits = [*begins, table.num_rows] if last else begins
-        out = [x for a, b in zip(limits[:-1], limits[1:], strict=True) for x in _Block(table.slice(a, b - a)).links(percent)]
-        u, v, sure = zip(*out, strict=True) if out else ((), (), ())
-        return pa.record_batch([pa.array(u, type=pa.int64()), pa.array(v, type=pa.int64()), pa.array(sure, type=pa.bool_())], names=["u", "v", "sure"]), table.slice(limits[-1])
+        return np.flatnonzero(new).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            if batch.num_rows:
-                out, rest = found(pa.Table.from_batches([*held, batch]), last=False)
-                held = rest.to_batches()
-                yield out
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            begins = limits(table)
+            for a, b in zip(begins[:-1], begins[1:], strict=True):
+                yield from work(table.slice(a, b - a)).to_batches()
+            held = table.slice(begins[-1]).to_batches()
         if held:
-            yield found(pa.Table.from_batches(held), last=True)[0]
+            yield from work(pa.Table.from_batches(held)).to_batches()
 
     return run
 
 
+def _open_members(percent: int):
+    def work(rows: pa.Table) -> pa.Table:
+        return rows.filter(pa.array(_Block(rows).open_members(percent / 100 - MARGIN)))
+
+    return _in_groups(work)
+
+
+def _block_links(percent: int):
+    def work(rows: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, dtype="<u8") for x in rows.column("shingles").to_pylist()]
+        pairs = np.array(list(_Block(rows).links(sets, percent)), dtype=np.int64).reshape(-1, 2)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    return _in_groups(work)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Group documents whose shingle sets' intersection is ``percent`` % of their union or more.
 
@@ -239,18 +252,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     ignored; an empty table gives no rows. A pair at the threshold shares no band with probability 5e-8;
     no bucket is capped, and no bucket's pairs are listed.
     """
-    bounded_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    saved = scratch.save
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = saved(rows.mapInArrow(_sign(size), "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"), "sketches")
     full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     same = saved(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "equal-sets")
-    nodes = full.select("doc_id", "k1", "k2", "sketch").join(same.withColumnRenamed("node", "doc_id"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+    nodes = full.join(same.withColumnRenamed("node", "doc_id"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
 
     keys = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(sketch, {8 * b + 1}, 8)")) for b in range(BANDS)])
-    banded = nodes.select("doc_id", F.posexplode(keys).alias("band", "bucket"))
-    banded = saved(banded, "bands")
+    banded = saved(nodes.select("doc_id", F.posexplode(keys).alias("band", "bucket")), "bands")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.xxhash64("bucket", "doc_id")).alias("lead")).where(F.col("n") > 1)
     members = saved(banded.join(shared, "bucket"), "members").select("doc_id", "band", "bucket", "n", "lead")
+    scratch.drop("bands")
 
     def partners(lead: DataFrame) -> DataFrame:
         """u, v and the number of buckets in which u meets v as the bucket's lead."""
@@ -261,37 +275,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     by_pivot = saved(partners(pivots), "pivots")
     degree = by_pivot.groupBy(F.col("u").alias("doc_id")).agg(F.sum("met").alias("degree"))
     graded = members.where(F.col("n") > 2).select("doc_id", "bucket").join(degree, "doc_id")
-    peak = graded.groupBy("bucket").agg(F.max("degree").alias("degree"))
-    hubs = graded.join(peak, ["bucket", "degree"]).groupBy("bucket").agg(F.min("doc_id").alias("lead_id"))
+    # the highest degree, the least id of equals; aggregated before the shuffle, so no task has a bucket's rows
+    hubs = graded.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("less"))).alias("top")).select("bucket", (-F.col("top.less")).alias("lead_id"))
     best = by_pivot.unionAll(partners(hubs)).groupBy("u").agg(F.max_by("v", F.struct("met", -F.col("v"))).alias("v"))
     first_pairs = saved(best.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "first-pairs")
 
     wanted = members.select("doc_id").distinct()
-    sets = saved(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), "doc_id long, shingles binary, short binary"), "shingle-sets")
-    tried = saved(verified(first_pairs, sets, percent), "tried")
-    links = tried.where("linked").select("u", "v")
+    sets = saved(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), "doc_id long, shingles binary"), "shingle-sets")
+    links = saved(verified(first_pairs, sets, percent).where("linked").select("u", "v"), "links")
     found = saved(components(links), "components")
 
     placed = members.select("doc_id", "band", "bucket", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") < F.col("b")).select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_rows = (
-        placed.join(mixed, "bucket", "left_semi")
-        .withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc_id", "bucket"), blocks).cast("int")})
+    opened = saved(placed.join(mixed, "bucket", "left_semi").join(nodes.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id"), "open")
+    parts = opened.groupBy("bucket").agg(F.ceil(F.greatest(F.max("n") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sketch = nodes.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    alike = (
+        opened.join(parts, "bucket")
+        .withColumn("block", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("doc_id", "component", "band", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        .join(nodes.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "doc_id")
-        .join(sets.select("doc_id", "short"), "doc_id")
+        .join(sketch, "doc_id")
         .repartition("bucket", "low", "high")
         .sortWithinPartitions("bucket", "low", "high")
     )
-    later = saved(open_rows.mapInArrow(_block_links(percent), "u long, v long, sure boolean"), "later-links")
-    unsure = later.where("NOT sure").select("u", "v").distinct()
-    links = links.unionAll(later.where("sure").select("u", "v")).unionAll(verified(unsure, sets, percent).where("linked").select("u", "v"))
-    final = saved(components(links), "components").select(F.col("node"), F.col("component"))
+    row = "doc_id long, component long, band int, bucket long, block int, low int, high int, sketch binary"
+    alike = saved(alike.mapInArrow(_open_members(percent), row), "alike")
+    whole = alike.join(sets, "doc_id").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    later = saved(whole.mapInArrow(_block_links(percent), "u long, v long"), "later-links")
+    final = saved(components(links.unionAll(later)), "all-components").select("node", "component")
 
     by_set = same.join(final, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     by_set = saved(by_set, "sets-of-components")
+    scratch.keep_only("sketches", "sets-of-components")
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(by_set, ["k1", "k2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

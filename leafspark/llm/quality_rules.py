@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.llm.arrow_text import shared_dir
+from leafspark.llm.scratch import saved
 
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -108,11 +108,7 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     made distinct by (host, line, text) before they are counted, so a line in every document of a host is
     spread over the tasks.
     """
-    spark = docs.sparkSession
-    out = shared_dir(spark, "line-statistics")
-    with_statistics(docs, rules).withColumn("row_id", F.monotonically_increasing_id()).write.parquet(out)
-    stats = spark.read.parquet(out)
-
+    stats = saved(with_statistics(docs, rules).withColumn("row_id", F.monotonically_increasing_id()), "line-statistics")
     counts = (
         stats.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
         .groupBy("host", "hash")

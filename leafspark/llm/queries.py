@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafspark.llm import chat, language, media, near_dedup, packing, pieces, quality_model, quality_rules, substring_dedup, toxicity
-from leafspark.llm.arrow_text import shared_dir
 from leafspark.llm.oracles import OP4
+from leafspark.llm.scratch import shared_dir
 from leafspark.session import table
 
 

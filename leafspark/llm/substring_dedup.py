@@ -4,12 +4,17 @@
    windows have equal phrases and only about one phrase in eight is counted.
 2. Phrases that recur are confirmed by a count over the corpus and sent to the documents that hold
    them. Every task compiles the phrases of one shard of documents (a slice of its texts) into an
-   Aho-Corasick automaton and streams the shard's documents through it to locate each occurrence.
-3. Windows on located phrases are held against the whole corpus: the least document of each window's
-   hash keeps it. All other windows lose their words.
+   Aho-Corasick automaton and streams the shard's documents through it. The pattern that the automaton
+   reports at a word is what the word's windows are known by.
+3. Windows on located phrases are held against the whole corpus: the least document of each window
+   keeps it. All other windows lose their words.
 
-Texts cross the network once. An automaton holds the phrases of one shard only, so its size doesn't
-grow with the corpus, and no document is streamed through the phrases of others.
+Streaming all documents through shards of all the corpus's passages would cost documents times shards, which
+grows with the square of the corpus; so documents and passages meet by phrase first, and a shard holds only
+the confirmed phrases of its documents. Texts cross the network once.
+
+Windows are equal if 96 bits are: a 64-bit hash of the window, and 32 bits of one from other hashes of its
+words. Of 6e12 different windows (100 TB) two are mistaken for each other with a chance of 2e-4.
 """
 
 from __future__ import annotations
@@ -22,8 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leafspark.llm.arrow_text import bounded_batches, rolling, run_hashes, shared_dir, shingle_hashes, sized_slices, utf8, words
+from leafspark.llm.arrow_text import rolling, run_hashes, shingle_hashes, sized_slices, utf8, words
+from leafspark.llm.scratch import saved
 
 SHARD_BYTES = 1_500_000
 _NONE = np.uint64(0)
@@ -56,8 +63,8 @@ class Shard:
         return self.row[at], at
 
     def located(self, recurring: pa.Array) -> np.ndarray:
-        """Whether a recurring phrase begins at each word, found by streaming the documents through an automaton."""
-        found = np.zeros(len(self.phrases), dtype=bool)
+        """The confirmed phrase (0: none) that begins at each word, as the automaton finds it in the streamed documents."""
+        found = np.zeros(len(self.phrases), dtype=np.uint64)
         recurring = recurring.cast(pa.large_list(pa.int64()))
         held = recurring.is_valid().to_numpy(zero_copy_only=False)
         if not held.any() or not len(self.least):
@@ -72,31 +79,35 @@ class Shard:
             if b - a >= self.window:
                 text = self.data[self.ends[r] : self.ends[r + 1]].tobytes()
                 streams[int(r)] = (b" ".join([b"", *text.split(), b""]).decode("latin-1"), np.concatenate([[1], 1 + np.cumsum(lengths[a:b] + 1)]))
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        automaton = ahocorasick.Automaton()
+        patterns: list[np.uint64] = []
         _, one_of_each = np.unique(self.phrases[at], return_index=True)
         for q in at[one_of_each]:
             r = int(self.row[q])
             if r in streams:
                 text, begins = streams[r]
                 i = q - self.first[r]
-                automaton.add_word(text[begins[i] - 1 : begins[i + self.phrase]])
-        if not len(automaton):
+                automaton.add_word(text[begins[i] - 1 : begins[i + self.phrase]], len(patterns))
+                patterns.append(self.phrases[q])
+        if not patterns:
             return found
         automaton.make_automaton()
+        value = np.array(patterns, dtype=np.uint64)
         for r, (text, begins) in streams.items():
-            ends = np.fromiter((end for end, _ in automaton.iter(text)), dtype=np.int64)
-            if len(ends):
-                found[self.first[r] + np.searchsorted(begins, ends + 1) - self.phrase] = True
+            hits = np.array(list(automaton.iter(text)), dtype=np.int64).reshape(-1, 2)
+            if len(hits):
+                found[self.first[r] + np.searchsorted(begins, hits[:, 0] + 1) - self.phrase] = value[hits[:, 1]]
         return found
 
-    def candidates(self, recurring: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of the windows that a recurring phrase stands for."""
+    def candidates(self, recurring: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, hash and check of the windows that a located phrase stands for."""
         found = self.located(recurring)
         if not found.any():
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        known = rolling(np.where(found, self.phrases, _ALL), self.span)
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
+        known = rolling(np.where(found != _NONE, found, _ALL), self.span)
         at = np.flatnonzero((known == self.least) & self.inside)
-        return at, shingle_hashes(self.hashes, self.window)[at]
+        check = shingle_hashes(run_hashes(self.data, self.starts, self.stops, seed=1), self.window)[at] >> np.uint64(32)
+        return at, shingle_hashes(self.hashes, self.window)[at], check.astype(np.uint32)
 
 
 def _first_of_each(*keys: np.ndarray) -> np.ndarray:
@@ -115,17 +126,15 @@ def deduplicate(docs: DataFrame, window: int = 20, phrase: int = 5, keep_layout:
     """Remove every word covered by a window of words that also starts earlier.
 
     ``docs`` has doc_id and text. Earlier means in a smaller doc_id, or before in the same document.
-    Returns doc_id, n_words, n_removed, removed (runs of removed words: first, words) and text: the
-    kept words joined by one space, or with ``keep_layout`` the original text without the bytes from
-    each removed run to the next kept word; and the columns named in ``carry`` as they are.
+    Returns doc_id, n_words, n_removed, removed (runs of removed words: first, words), text (the kept words
+    joined by one space, or with ``keep_layout`` the original text without the bytes from each removed run
+    to the next kept word) and carried: a struct of the columns named in ``carry``, whatever their names.
 
-    A null text has no words; a row with a null doc_id takes no part and keeps its words; repeated rows
-    (equal doc_id and text) get equal results; documents shorter than a window lose nothing; other
-    columns are ignored; an empty table gives no rows. doc_id is otherwise taken to be unique.
+    A null text has no words; a row with a null doc_id takes no part and keeps its words; documents shorter
+    than a window lose nothing; other columns are ignored; an empty table gives no rows. Rows that share a
+    doc_id are judged each by itself against other documents, so repeated rows get equal results.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *[docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)])
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)], F.lit(0).alias("none")).alias("carried"))
     numbered = rows.where(F.col("doc_id").isNotNull())
 
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,56 +155,53 @@ def deduplicate(docs: DataFrame, window: int = 20, phrase: int = 5, keep_layout:
         for batch in batches:
             for part in sized_slices(batch, "text", SHARD_BYTES):
                 shard = Shard(part.column("text"), window, phrase)
-                at, value = shard.candidates(part.column("recurring"))
+                at, value, check = shard.candidates(part.column("recurring"))
                 doc = part.column("doc_id").to_numpy()[shard.row[at]]
-                order = np.lexsort((doc, value))
-                value, doc = value[order], doc[order]
+                order = np.lexsort((doc, check, value))
+                value, check, doc = value[order], check[order], doc[order]
                 new = np.ones(len(value), dtype=bool)
-                new[1:] = value[1:] != value[:-1]
-                yield pa.record_batch([pa.array(value[new].view(np.int64)), pa.array(doc[new])], names=["window", "doc_id"])
+                new[1:] = (value[1:] != value[:-1]) | (check[1:] != check[:-1])
+                yield pa.record_batch([pa.array(value[new].view(np.int64)), pa.array(check[new].view(np.int32)), pa.array(doc[new])], names=["window", "check", "doc_id"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sized_slices(batch, "text", SHARD_BYTES):
-                out = _cleaned(part, window, phrase, keep_layout)
-                for i, c in enumerate(carry):
-                    out = out.append_column(c, part.column(f"carried_{i}"))
-                yield out
-
-    anchors_at = shared_dir(spark, "phrases")
-    numbered.select("doc_id", "text").mapInArrow(list_anchors, "phrase long, doc_id long, again boolean").write.parquet(anchors_at)
-    anchors = spark.read.parquet(anchors_at)
+                yield _cleaned(part, window, phrase, keep_layout).append_column("carried", part.column("carried"))
+
+    anchors = saved(numbered.select("doc_id", "text").mapInArrow(list_anchors, "phrase long, doc_id long, again boolean"), "phrases")
     recurring = anchors.groupBy("phrase").agg(F.count("*").alias("n"), F.max("again").alias("again")).where((F.col("n") > 1) | F.col("again")).select("phrase")
     by_doc = anchors.select("phrase", "doc_id").join(recurring, "phrase", "left_semi").groupBy("doc_id").agg(F.collect_list("phrase").alias("recurring"))
-    marked = numbered.join(by_doc.hint("shuffle_hash"), "doc_id", "left")
+    marked = numbered.join(by_doc, "doc_id", "left")
     firsts = (
         marked.where(F.col("recurring").isNotNull())
-        .mapInArrow(list_windows, "window long, doc_id long")
-        .groupBy("window")
+        .mapInArrow(list_windows, "window long, check int, doc_id long")
+        .groupBy("window", "check")
         .agg(F.min("doc_id").alias("doc_id"))
         .groupBy("doc_id")
-        .agg(F.collect_list("window").alias("firsts"))
+        .agg(F.collect_list(F.struct("window", "check")).alias("firsts"))
     )
-    schema = "doc_id long, n_words long, n_removed long, removed array<struct<first:int,words:int>>, text string"
-    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    found = marked.join(firsts.hint("shuffle_hash"), "doc_id", "left").mapInArrow(remove, schema)
-    unnumbered = rows.where(F.col("doc_id").isNull()).withColumns({"recurring": F.lit(None).cast("array<long>"), "firsts": F.lit(None).cast("array<long>")})
-    return found.unionAll(unnumbered.mapInArrow(remove, schema))
+    schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, removed array<struct<first:int,words:int>>, text string").add("carried", rows.schema["carried"].dataType)
+    found = marked.join(firsts, "doc_id", "left").mapInArrow(remove, schema)
+    none = {"recurring": F.lit(None).cast("array<long>"), "firsts": F.lit(None).cast("array<struct<window:long,check:int>>")}
+    unnumbered = rows.where(F.col("doc_id").isNull()).withColumns(none)
+    named = F.struct(*[F.col("carried").getField(f"c{i}").alias(c) for i, c in enumerate(carry)]) if carry else F.lit(None).cast("struct<>")
+    return found.unionAll(unnumbered.mapInArrow(remove, schema)).withColumn("carried", named)
 
 
 def _cleaned(part: pa.RecordBatch, window: int, phrase: int, keep_layout: bool) -> pa.RecordBatch:
     shard = Shard(part.column("text"), window, phrase)
-    at, value = shard.candidates(part.column("recurring"))
-    firsts = part.column("firsts").cast(pa.large_list(pa.int64()))
+    at, value, check = shard.candidates(part.column("recurring"))
+    firsts = part.column("firsts")
     mine = np.repeat(np.arange(len(firsts)), np.asarray(firsts.value_lengths().fill_null(0)))
-    owned = firsts.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    owned = firsts.flatten()
+    owned_value, owned_check = (owned.field(k).to_numpy(zero_copy_only=False) for k in ("window", "check"))
     row = shard.row[at]
     # a window stays where its document is the first to have it, at its first place there
     stays = np.zeros(len(at), dtype=bool)
-    once = _first_of_each(row, value)  # lexsort is stable, so the first place of each
-    if len(once) and len(owned):
-        key = lambda r, v: np.rec.fromarrays([r.astype(np.int64), v], names="r,v")
-        stays[once] = np.isin(key(row[once], value[once]), key(mine, owned))
+    once = _first_of_each(row, value, check)  # lexsort is stable, so the first place of each
+    if len(once) and len(mine):
+        key = lambda r, v, c: np.rec.fromarrays([r.astype(np.int64), v, c], dtype=[("r", "i8"), ("v", "u8"), ("c", "u4")])
+        stays[once] = np.isin(key(row[once], value[once], check[once]), key(mine, owned_value.view(np.uint64), owned_check.view(np.uint32)))
     n = len(shard.starts)
     edge = np.zeros(n + 1, dtype=np.int64)
     gone = at[~stays]

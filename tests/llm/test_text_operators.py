@@ -106,16 +106,62 @@ def test_many_near_copies_of_one_text(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == {d: find(d) for d in range(len(rows))}
 
 
-def test_clashes_of_large_sets_are_no_link():
-    n, rng = 300_000, np.random.default_rng(1)
+def test_large_sets_just_under_the_threshold_are_no_link():
+    n, rng = 200_000, np.random.default_rng(1)
     shared = int(n * 16 / 18) - 4  # 160 n = 180 shared is the threshold of 80 %
-    values = rng.integers(0, 2**64, 2 * n - shared, dtype=np.uint64)
-    assert len(np.unique(values)) == len(values) and 100 * shared < 80 * (2 * n - shared)
-    short = [np.sort(v >> np.uint64(32)).astype("<u4") for v in (values[:n], values[n - shared :])]
-    rows = {"doc_id": [1, 2], "component": [1, 2], "block": [0, 0], "band": [0, 0], "low": [0, 0], "high": [0, 0]}
-    sketch = bytes(2 * near_dedup.COORDINATES)
-    block = near_dedup._Block(pa.table({**rows, "sketch": [sketch, sketch], "short": [x.tobytes() for x in short]}))
-    assert near_dedup._common(*short) > shared + 4 and list(block.links(80)) == [(2, 1, False)]
+    values = rng.integers(0, 2**64, 2 * n - shared + 10, dtype=np.uint64)
+    rows = {"doc_id": [1, 2], "component": [1, 2], "block": [0, 0], "band": [0, 0], "low": [0, 0], "high": [0, 0], "bucket": [5, 5], "sketch": [bytes(2 * near_dedup.COORDINATES)] * 2}
+    for more, linked in ((0, []), (5, [(2, 1)])):
+        sets = [np.sort(v) for v in (values[:n], values[n - shared - more : 2 * n - shared - more])]
+        assert (100 * near_dedup._common(*sets) >= 80 * (2 * n - shared - more)) == bool(linked)
+        table = pa.table({**rows, "shingles": [x.tobytes() for x in sets]})
+        out = list(near_dedup._block_links(80)(iter(table.to_batches())))
+        assert [(r["u"], r["v"]) for b in out for r in b.to_pylist()] == linked
+        assert sum(b.num_rows for b in near_dedup._open_members(80)(iter(table.to_batches()))) == 2
+
+
+def test_groups_are_whole_over_batches():
+    seen = []
+
+    def work(rows):
+        seen.append(rows.column("bucket").to_pylist())
+        return rows
+
+    table = pa.table({"bucket": [1] * 5 + [2] * 4 + [3], "low": [0] * 10, "high": [0, 0, 0, 1, 1, *[0] * 5]})
+    out = list(near_dedup._in_groups(work)(iter(table.to_batches(max_chunksize=2))))
+    assert seen == [[1] * 3, [1] * 2, [2] * 4, [3]] and pa.Table.from_batches(out).equals(table)
+
+
+def test_blocks_of_a_bucket_miss_no_link(spark, monkeypatch):
+    """Two chains of near copies over many small blocks, split by number of members and by size of sets."""
+    rng = random.Random(12)
+    rows = []
+    for chain in range(2):
+        w = [f"c{i}" for i in range(70)]
+        w[:4] = [f"k{chain}{i}" for i in range(4)]
+        for d in range(60):
+            w = list(w)
+            w[rng.randrange(70)] = f"n{rng.random()}"
+            rows.append((chain * 60 + d, " ".join(w)))
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(67)} for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    for block, shingles in ((4, 10**9), (1024, 300)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+        found = near_dedup.near_duplicates(table(spark, rows), size=4).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == {d: find(d) for d in range(len(rows))}
 
 
 def test_sketches_estimate_similarity():
@@ -182,7 +228,44 @@ def test_substring_dedup_keeps_the_layout(spark):
     rows = [(1, f"Head\n\n{passage}\nTail"), (2, f"  Own\twords\n{passage}\n\nand after \n"), (3, passage)]
     found = {r["doc_id"]: r for r in substring_dedup.deduplicate(table(spark, rows), keep_layout=True, carry=("lang", "source")).collect()}
     assert found[1]["text"] == rows[0][1] and found[2]["text"] == "  Own\twords\nand after \n" and found[3]["text"] == ""
-    assert found[2]["source"] == "s2" and found[2]["lang"] == "en"
+    assert found[2]["carried"]["source"] == "s2" and found[2]["carried"]["lang"] == "en"
+
+
+def test_carried_columns_of_any_name(spark):
+    names = ["n_removed", "removed", "n_words", "recurring", "firsts", "carried", "a.b", "phrase", "c0"]
+    frame = spark.createDataFrame([(1, "a b", *range(9)), (None, "c", *range(9))], ", ".join(["doc_id long", "text string", *(f"`{n}` int" for n in names)]))
+    for r in substring_dedup.deduplicate(frame, carry=tuple(n for n in names if "." not in n)).collect():
+        assert r["carried"].asDict() == {n: i for i, n in enumerate(names) if "." not in n} and r["n_removed"] == 0
+
+
+def test_rows_that_share_a_doc_id_are_judged_each(spark):
+    passage = " ".join(f"w{i}" for i in range(25))
+    rows = [(5, passage), (5, passage), (5, f"x {passage}"), (4, "a b"), (6, f"{passage} y")]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.deduplicate(table(spark, rows)).collect())
+    assert got == [(4, 2, 0), (5, 25, 0), (5, 25, 0), (5, 26, 0), (6, 26, 25)]
+
+
+def test_a_clash_of_window_hashes_removes_nothing(spark, monkeypatch):
+    """Two windows of one hash: their words' other hashes tell them apart."""
+    whole = substring_dedup.shingle_hashes
+
+    def clashing(h, k):
+        return np.full(max(len(h) - k + 1, 0), 77, dtype=np.uint64) if k == 20 and not getattr(h, "other", False) else whole(np.asarray(h), k)
+
+    class Other(np.ndarray):
+        other = True
+
+    real = substring_dedup.run_hashes
+    monkeypatch.setattr(substring_dedup, "shingle_hashes", clashing)
+    monkeypatch.setattr(substring_dedup, "run_hashes", lambda *a, seed=0: real(*a, seed=seed).view(Other) if seed else real(*a))
+    shared = "one same phrase of five"
+    own = lambda d: " ".join(f"d{d}w{i}" for i in range(15))
+    texts = [f"{shared} {own(1)}", f"{shared} {own(2)}", f"{shared} {own(1)}"]
+    found = pa.array([[int(x) for x in np.unique(substring_dedup.Shard(pa.array(texts), 20, 5).phrases).view(np.int64)]] * 3)
+    shard = substring_dedup.Shard(pa.array(texts), 20, 5)
+    at, value, check = shard.candidates(found)
+    assert set(value.tolist()) == {77} and len(at) == 3
+    assert check[0] == check[2] != check[1]
 
 
 def test_packing(spark):
