@@ -23,14 +23,14 @@ def at_most(rows: DataFrame, most_rows: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < int(900_000_000 * most_rows / n)).limit(most_rows)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most_rows: int, most_bytes: int) -> DataFrame:
-    """At most ``most_rows`` labelled documents that aren't held out: doc_id, text, label.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most_rows: int) -> DataFrame:
+    """At most ``most_rows`` labelled documents, of any length, that aren't held out: doc_id, text, label.
 
-    The sample is of labels, so only ``most_rows`` short rows are broadcast to the documents; texts over
-    ``most_bytes`` and null labels aren't taken for fitting.
+    The sample is of labels, so only ``most_rows`` short rows are broadcast to the documents; null labels
+    aren't taken for fitting. Of rows that share a doc_id, the one of the least text is taken.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(
         F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
-    return texts.join(F.broadcast(at_most(known, most_rows)), "doc_id").select("doc_id", "text", "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(at_most(known, most_rows)), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))

@@ -12,12 +12,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafspark.llm.arrow_text import lower_ascii, scramble, sized_slices, utf8
-from leafspark.llm.labelled import at_most
 from leafspark.llm.scratch import saved
 
 BUCKETS = 1 << 14
@@ -62,24 +62,46 @@ class Model:
         return out.astype(np.float64), letters
 
 
-def fit(texts: list[str], languages: list[str], smooth: float = 0.2) -> Model:
+def of_counts(names: tuple[str, ...], counts: np.ndarray, smooth: float = 0.2) -> Model:
     """Trigram shares of each language; the unknown language spreads evenly over half of the buckets."""
+    known = counts + smooth
+    return Model(names, np.concatenate([np.log(known / known.sum(axis=1, keepdims=True)), np.full((1, BUCKETS), np.log(2 / BUCKETS))]))
+
+
+def fit(texts: list[str], languages: list[str]) -> Model:
+    """A model of the given texts."""
     names = tuple(sorted(set(languages)))
-    rows = []
-    for name in names:
-        mine = pa.array([t for t, x in zip(texts, languages, strict=True) if x == name], type=pa.large_string())
-        counts = np.bincount(trigrams(mine)[0], minlength=BUCKETS) + smooth
-        rows.append(np.log(counts / counts.sum()))
-    return Model(names, np.array([*rows, np.full(BUCKETS, np.log(2 / BUCKETS))]))
-
-
-def fit_languages(docs: DataFrame, language: str = "lang", most_rows: int = 4_000, most_bytes: int = 20_000) -> Model:
-    """Fit on at most ``most_rows`` rows whose language is known, of ``most_bytes`` at most."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(language).alias("language"), "text").where(
-        F.col("language").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes)
-    )
-    rows = at_most(known, most_rows).toPandas()
-    return fit(rows["text"].tolist(), rows["language"].tolist())
+    own = [pa.array([t for t, x in zip(texts, languages, strict=True) if x == name], type=pa.large_string()) for name in names]
+    return of_counts(names, np.array([np.bincount(trigrams(t)[0], minlength=BUCKETS) for t in own]).reshape(-1, BUCKETS))
+
+
+def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in sized_slices(batch, "text"):
+            bucket, rows, _, _ = trigrams(part.column("text"))
+            language, names = pd.factorize(np.array(part.column("language").to_pylist(), dtype=object))
+            counts = np.bincount(language[rows] * BUCKETS + bucket, minlength=len(names) * BUCKETS)
+            at = np.flatnonzero(counts)
+            yield pa.record_batch([pa.array(names[at // BUCKETS], type=pa.string()), pa.array((at % BUCKETS).astype(np.int32)), pa.array(counts[at])], names=["language", "bucket", "n"])
+
+
+def fit_languages(docs: DataFrame, language: str = "lang", rows_of_each: int = 1_000, most_languages: int = 200) -> Model:
+    """Fit on about ``rows_of_each`` whole texts of each language (all, where there are fewer), of the ``most_languages`` most frequent.
+
+    Rows are taken by a hash of doc_id, at a share of each language's own rows, so a rare language has its
+    sample however large the table is. Trigrams are counted by tasks; only counts come to the driver.
+    """
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(language).cast("string").alias("language"), "text").where(F.col("language").isNotNull() & F.col("text").isNotNull())
+    sizes = known.groupBy("language").count().orderBy(F.desc("count"), "language").limit(most_languages).collect()
+    if not sizes:
+        return of_counts((), np.zeros((0, BUCKETS)))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["language"], int(1_000_000_000 * min(1.0, rows_of_each / r["count"])))])
+    sample = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)) < share[F.col("language")])
+    counted = sample.select("language", "text").mapInArrow(_count_trigrams, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    names = tuple(sorted(r["language"] for r in sizes))
+    counts = np.zeros((len(names), BUCKETS))
+    counts[counted["language"].map({n: k for k, n in enumerate(names)}).to_numpy(dtype=np.int64), counted["bucket"].to_numpy(dtype=np.int64)] = counted["n"]
+    return of_counts(names, counts)
 
 
 def address_host(url: Column) -> Column:
@@ -100,8 +122,8 @@ def suffix_language(host: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """Text of a page without scripts, styles, comments and tags."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    """Text of a page without scripts, styles, comments and tags; one that isn't closed goes on to the page's end."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[a-z/!?][^>]*(?:>|\z)", " ")
     return F.trim(F.regexp_replace(bare, r"&[a-zA-Z#0-9]+;", " "))
 
 

@@ -182,9 +182,9 @@ def _list_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.record_batch([part.column("label"), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], names=["label", *FEATURES])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_bytes: int = 200_000) -> Forest:
-    """Fit on at most ``most_rows`` labelled texts whose crc32 remainder by 5 isn't 0; only their statistics come to the driver."""
-    sample = training_rows(docs, labels, "quality", 5, 0, most_rows, most_bytes)
+def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Forest:
+    """Fit on at most ``most_rows`` labelled texts, of any length, whose crc32 remainder by 5 isn't 0; only their statistics come to the driver."""
+    sample = training_rows(docs, labels, "quality", 5, 0, most_rows)
     rows = sample.mapInArrow(_list_statistics, "label int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     rows = rows.sort_values(list(rows.columns))  # the order of arrival decides nothing
     return fit(rows[list(FEATURES)].to_numpy(dtype=float).reshape(-1, len(FEATURES)), rows["label"].to_numpy(dtype=float))

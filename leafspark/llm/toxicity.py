@@ -8,12 +8,15 @@ different word of a slice, and all windows advance together.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ from leafspark.llm.labelled import remainder, training_rows
 WINDOW, STRIDE = 32, 16
 GRAMS = 4096
 CHUNK = 1024
+#: So many words of a text are used for fitting at most.
+EXCERPT = 8192
+BLANK = re.compile(r"[ \t-\r]+")
 
 
 def _letters() -> np.ndarray:
@@ -34,6 +40,21 @@ def _letters() -> np.ndarray:
 _LETTER = _letters()
 
 
+def excerpts(texts: pa.Array) -> pa.Array:
+    """The texts; of those of over EXCERPT words, so many words in evenly spread windows, which begin at places drawn by the text."""
+    out = texts.to_pylist()
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if n <= 2 * EXCERPT - 1:  # a word and a space each
+            continue
+        own = BLANK.split(out[i])
+        if len(own) > EXCERPT:
+            rng = np.random.default_rng(zlib.crc32(out[i][:1000].encode()) + len(own))
+            n_windows = EXCERPT // WINDOW
+            begins = (np.arange(n_windows) + rng.random(n_windows)) * ((len(own) - WINDOW) / n_windows)
+            out[i] = " ".join(x for b in begins.astype(int) for x in own[b : b + WINDOW])
+    return pa.array(out, type=pa.string())
+
+
 @dataclass
 class Words:
     """Different words of some texts: hash and trigrams of each, and the words of the texts in order."""
@@ -205,38 +226,57 @@ def summed(rows: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(rows, weights=x[:, k], minlength=n) for k in range(x.shape[1])], axis=1)
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 4, epochs: int = 3, most_words: int = 30_000, rate: float = 0.01, fade: tuple[float, float] = (0.3, 0.05)) -> Network:
-    """Train on whole texts of which only the documents are labelled; known words are those of three texts and a 500th at least.
+def evidence(ids: np.ndarray, row: np.ndarray, labels: np.ndarray, n: int, weight: float = 2.0) -> np.ndarray:
+    """Log odds, against the labels' prior, that a text is toxic that holds a thing; smoothed by ``weight`` texts.
+
+    ``ids`` (below n) are the things, such as words, of the texts ``row``.
+    """
+    pairs = pd.DataFrame({"i": ids, "r": row}).drop_duplicates()
+    i, toxic = pairs["i"].to_numpy(dtype=np.int64), labels[pairs["r"].to_numpy(dtype=np.int64)] == 1
+    prior = (labels.sum() + 1) / (len(labels) + 2)
+    yes, no = np.bincount(i[toxic], minlength=n), np.bincount(i[~toxic], minlength=n)
+    return np.log((yes + weight * prior) / (no + weight * (1 - prior))) - np.log(prior / (1 - prior))
+
+
+def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 4, epochs: int = 3, most_words: int = 30_000, least_steps: int = 240, rate: float = 0.01, fade: tuple[float, float] = (0.3, 0.05)) -> Network:
+    """Train on texts of which only the documents are labelled; known words are those of three texts and a 500th at least.
 
-    The first round takes windows at random; later rounds take, of each toxic document, the windows
-    that the network finds worst, and of each other document the worst and some at random. Without
-    texts of both labels the network is untrained and its score near the labels' prior.
+    A known word's embedding begins with the log odds of the texts that hold it. The
+    first round takes the windows whose words have the highest; later rounds take, of each toxic document,
+    the windows that the network finds worst, and of each other document the worst and some at random. A
+    round has ``least_steps`` / ``rounds`` steps at least, so that few texts are gone through more often.
+    Without texts of both labels the network is untrained and its score near the labels' prior.
     """
     rng = np.random.default_rng(seed)
     w = read_words(pa.array(texts, type=pa.large_string()))
     row_of_word = np.repeat(np.arange(len(texts)), np.diff(w.first))
     in_texts = np.bincount(pd.DataFrame({"w": w.order, "r": row_of_word}).drop_duplicates()["w"].to_numpy(dtype=np.int64), minlength=len(w.hashes))
     often = np.lexsort((w.hashes, -in_texts))[:most_words]
-    net = new_network(np.sort(w.hashes[often[in_texts[often] >= max(3, len(texts) // 500)]]), seed)
+    often = often[in_texts[often] >= max(3, len(texts) // 500)]
+    often = often[np.argsort(w.hashes[often])]
+    net = new_network(w.hashes[often], seed)
     gram_begins = np.searchsorted(w.gram_rows, np.arange(len(w.hashes) + 1))
     prior = (labels.sum() + 1) / (len(labels) + 2)
     net.p["c"][:] = np.log(prior / (1 - prior))
     if not len(labels) or labels.min() == labels.max():
         return net
+    odds = evidence(w.order, row_of_word, labels, len(w.hashes))
+    net.p["E"][2:, 0] = 0.5 * odds[often]
     ids, row = windows(w.first, w.order, len(w.hashes))
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step, decay = 0, dict(zip("EC", fade, strict=True))
-    score = rng.random(len(row))
+    score = np.append(odds, -np.inf)[ids].max(axis=1)
     for turn in range(rounds):
         if turn:
             score = net.logits(ids, net.inputs(w)[2])
         rank = pd.Series(-score).groupby(row).rank(method="first").to_numpy()
         chance = rng.random(len(row))
         toxic = labels[row] == 1
-        take = np.flatnonzero(np.where(toxic, rank <= (6, 2, 2, 1)[min(turn, 3)], (rank <= 2) | (chance < 0.15)))
-        for _ in range(epochs if turn else 1):
+        take = np.flatnonzero(np.where(toxic, rank <= (2, 2, 2, 1)[min(turn, 3)], (rank <= 2) | (chance < 0.15)))
+        size_of_batch = min(max(len(take) // 24, 32), 256)  # few windows still make enough steps
+        steps = -(-len(take) // size_of_batch)
+        for _ in range(max(epochs if turn else 1, -(-least_steps // (rounds * steps)))):
             rng.shuffle(take)
-            size_of_batch = min(max(len(take) // 24, 32), 256)  # few windows still make enough steps
             for at in range(0, len(take), size_of_batch):
                 part = take[at : at + size_of_batch]
                 # only the batch's words are worked on
@@ -264,9 +304,19 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 4, ep
     return net
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 4_000, most_bytes: int = 10_000) -> Network:
-    """Fit on at most ``most_rows`` labelled texts, of ``most_bytes`` at most, whose crc32 remainder by 4 isn't 2."""
-    rows = training_rows(docs, labels, "toxic", 4, 2, most_rows, most_bytes).toPandas().sort_values(["doc_id", "label", "text"])
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 4_000) -> Network:
+    """Fit on at most ``most_rows`` labelled texts of any length whose crc32 remainder by 4 isn't 2.
+
+    A text of over EXCERPT words comes to the driver as so many of its words, in windows spread over it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sized_slices(batch, "text"):
+                yield pa.record_batch([part.column("doc_id"), excerpts(part.column("text")), part.column("label")], names=["doc_id", "text", "label"])
+
+    sample = training_rows(docs, labels, "toxic", 4, 2, most_rows)
+    rows = sample.mapInArrow(run, "doc_id long, text string, label int").toPandas().sort_values(["doc_id", "label", "text"])
     return fit(rows["text"].tolist(), rows["label"].to_numpy(dtype=np.int64))
 
 

@@ -92,6 +92,44 @@ def accuracy(spark, scored, label):
     return auc, len(rows)
 
 
+def test_toxicity_on_held_out_rows(spark):
+    """Some 300 labelled texts, 37 of them toxic: of the 14 held-out toxic ones, nine have a word that marks them."""
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).persist()
+    auc, n = accuracy(spark, scored, "toxic")
+    caught = scored.where("held_out AND predicted = 1").join(labels, "doc_id").agg(F.sum("toxic"), F.count("*")).first()
+    scored.unpersist()
+    assert n > 80 and auc > 0.85 and caught[0] >= 8 and caught[0] >= 0.7 * caught[1]
+
+
+def long_and_short(spark, marked, plain, column):
+    """Labelled texts of which only long ones carry the label, with more long texts of either kind, not labelled."""
+    rng = random.Random(11)
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(d, text(plain, 30), 0) for d in range(200)] + [(d, text(marked if d % 2 else plain, 45_000), d % 2) for d in range(200, 240)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], f"doc_id long, {column} int")
+    return docs, labels, {d: y for d, _, y in rows}
+
+
+def test_long_texts_are_learned_from(spark):
+    plain, marked = [f"{a}{b}" for a in "bcdfg" for b in ("ata", "elo", "iru", "omi")], ["zoggle", "grimph", "bata", "celo", "AAAA!!", "$$$$"]
+    docs, labels, truth = long_and_short(spark, marked, plain, "toxic")
+    got = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in got if r["doc_id"] >= 200) >= 38
+    docs, labels, truth = long_and_short(spark, marked, plain, "quality")
+    got = quality_model.score_quality(docs, quality_model.fit_quality(docs, labels)).collect()
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in got if r["doc_id"] >= 200) >= 38
+
+
+def test_excerpts_are_words_of_the_text():
+    texts = [None, "", "a b", " ".join(f"w{i}" for i in range(50_000)), "x" * 100_000]
+    out = toxicity.excerpts(pa.array(texts)).to_pylist()
+    assert out[:3] == texts[:3] and out[4] == texts[4]
+    at = [int(x[1:]) for x in out[3].split()]
+    assert len(at) == toxicity.EXCERPT and at[0] < 250 and at[-1] > 49_700
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
     auc, n = accuracy(spark, quality_model.score_quality(docs, quality_model.fit_quality(docs, labels)), "quality")
@@ -137,6 +175,15 @@ def test_language_on_rows_not_fitted_on(spark):
     assert right[0] > 0.97 and right[1] > 0.99
 
 
+def test_rare_languages_have_a_sample(spark):
+    rows = [(d, "the and of that with", "en") for d in range(3000)] + [(d, "der und die nicht mit", "de") for d in range(3000, 3003)] + [(None, None, "fr"), (1, "x", None)]
+    model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_of_each=100)
+    assert model.languages == ("de", "en")
+    scores, _ = model.likelihoods(pa.array(["der und", "the and"]))
+    assert scores.argmax(axis=1).tolist() == [0, 1]
+    assert language.fit_languages(spark.createDataFrame(rows[-2:], "doc_id long, text string, lang string")).languages == ()
+
+
 def test_language_evidence(spark):
     model = language.fit(["the and of that with"] * 5 + ["der und die nicht mit"] * 5, ["en"] * 5 + ["de"] * 5)
     rows = [
@@ -162,6 +209,9 @@ def test_page_hints(spark):
     got = row.select(host, language.suffix_language(host), language.markup_language(F.col("html")), language.visible_text(F.col("html"))).collect()
     assert list(got[0]) == ["user.example.co.uk", "en", "fr", "Bon jour"]
     assert list(got[1]) == [None, None, None, "x"] and list(got[2]) == [None] * 4
+    odd = [("a < b<script>x</scr ", "a < b"), ("<p>a<!-- b", "a"), ("x<style>y</style z><b>c", "x"), ("<script>" * 20_000 + "z", ""), ("<" * 50_000, "<" * 50_000)]
+    texts = spark.createDataFrame(odd, "html string, text string").select(language.visible_text(F.col("html")).alias("got"), "text").collect()
+    assert all(r["got"] == r["text"] for r in texts)
 
 
 def test_samples_are_bounded(spark):
@@ -173,5 +223,5 @@ def test_samples_are_bounded(spark):
 
 def test_training_rows_leave_out_what_is_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
-    ids = {r["doc_id"] for r in labelled.training_rows(docs, labels, "toxic", 4, 2, 10_000, 50_000).collect()}
+    ids = {r["doc_id"] for r in labelled.training_rows(docs, labels, "toxic", 4, 2, 10_000).collect()}
     assert ids and not any(zlib.crc32(str(d).encode()) % 4 == 2 for d in ids)

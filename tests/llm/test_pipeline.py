@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +80,39 @@ def test_language_decides_on_each_row(spark, docs):
     assert out.columns == docs.columns and sorted(got, key=str) == sorted([(9101, clean), (None, clean)], key=str)
 
 
+def test_language_drops_what_is_in_none(spark, docs):
+    rng = np.random.default_rng(5)
+    letters = lambda n: "".join(chr(97 + c) if c < 26 else " " for c in rng.integers(0, 31, n))
+    junk = ["1234 5678 " * 20, letters(400), "Это другой язык, которого нет среди известных. " * 5, "これは知らない言語の文章です。" * 8, "||| --- ### ==="]
+    frame = docs.unionByName(spark.createDataFrame([(9200 + i, t, None, "s", len(t)) for i, t in enumerate(junk)], SCHEMA))
+    left = {r["doc_id"] for r in stage("language")(spark, frame, SF_DIR).select("doc_id").collect()}
+    assert left == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_columns_of_any_name_go_through(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    names = ["n_removed", "removed", "recurring", "label", "held_out", "row_id", "language", "kept", "host", "carried", "n_words", "score", "component_id"]
+    rows = [(1, f"the and of {passage}", "en", "s", 9, *range(13)), (2, f"other of that {passage} and the", "en", "s", 9, *range(13)), (None, "the of and", "en", "s", 9, *range(13))]
+    frame = spark.createDataFrame(rows, SCHEMA + "".join(f", {n} int" for n in names))
+    for name, f in corpus_pipeline.STAGES[:4]:
+        out = f(spark, frame, SF_DIR)
+        assert out.columns == frame.columns, name
+        assert all([r[n] for n in names] == list(range(13)) for r in out.collect()), name
+
+
+def test_session_options_and_folders_are_left_as_they_were(spark, tmp_path):
+    from leafspark.llm import scratch
+
+    keys = scratch._BATCH_OPTIONS
+    before = [spark.conf.get(k) for k in keys]
+    with scratch.released(spark):
+        frame = scratch.saved(spark.range(5), "numbers")
+        assert [spark.conf.get(k) for k in keys] == before and frame.count() == 5
+        (folder,) = {f.rsplit("/", 1)[0].removeprefix("file:") for f in frame.inputFiles()}
+        assert os.path.isdir(folder)
+    assert not os.path.isdir(folder)
+
+
 def test_toxicity_decides_on_each_row(spark, docs):
     net = toxicity.fit_toxicity(docs, spark.read.parquet(f"{SF_DIR}/labels.parquet"))
     scored = toxicity.score_toxicity(docs, net).join(docs, "doc_id").where("text <> ''").orderBy("score").collect()
