@@ -69,7 +69,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, controls: t
     sorted by conversation and piece.
 
     A null role or text is empty; equal turns go by role and text, and a null turn before all others;
-    rows without a conv_id are one conversation; a conversation is read and written turn by turn, so its
+    a row without a conv_id is a conversation of its own, of one turn; a conversation is read and written turn by turn, so its
     length isn't bounded by memory; other columns are ignored; an empty table gives no rows.
     """
 
@@ -77,15 +77,16 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, controls: t
         render = compile_template(template, controls)
 
         def pieces() -> Iterator[tuple]:
-            for conv_id, rows in groupby(_rows(batches), key=itemgetter(0)):
-                messages = ({"role": role, "text": text} for _, _, role, text in rows)
+            for (conv_id, _), rows in groupby(_rows(batches), key=itemgetter(0, 1)):
+                messages = ({"role": role, "text": text} for *_, role, text in rows)
                 for i, (text, learned) in enumerate(joined(render(messages=messages))):
                     yield conv_id, i, text, learned
 
         return _batches(pieces(), _PIECES)
 
     clean = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return clean.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, PIECES)
+    alone = clean.select("conv_id", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"), "turn", "role", "text")
+    return alone.repartition("conv_id", "alone").sortWithinPartitions("conv_id", "alone", "turn", "role", "text").mapInArrow(run, PIECES)
 
 
 def read_back(pieces: DataFrame, controls: tuple[str, ...] = CONTROLS) -> DataFrame:
@@ -94,12 +95,25 @@ def read_back(pieces: DataFrame, controls: tuple[str, ...] = CONTROLS) -> DataFr
     turns_sha256 is of role, newline, text, newline of each turn; loss_chars and loss_sha256 of what was
     learned, unescaped; formatted_chars of the output as it is.
     """
-    part = r"((?:[^\\<#]|\\\\|" + "|".join(r"\\" + re.escape(c) for c in controls) + r"|<(?!says>|/turn>)|#(?!##))*)"
+    # possessive, as nothing that a text may hold can begin what follows it; so a long turn leaves nothing to go back to
+    part = r"((?:[^\\<#]++|\\\\|" + "|".join(r"\\" + re.escape(c) for c in controls) + r"|<(?!says>|/turn>)|#(?!##))*+)"
     turn = re.compile("### " + part + "<says>" + part + "</turn>\n", re.S)
 
+    def conversations(rows: Iterator[tuple]) -> Iterator[tuple]:
+        """Rows of one conversation after the other; each begins with piece 0."""
+        n = 0
+
+        def number(row: tuple) -> tuple:
+            nonlocal n
+            n += row[1] == 0
+            return n, row[0]
+
+        for (_, conv_id), own in groupby(rows, key=number):
+            yield conv_id, own
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def digests() -> Iterator[tuple]:
-            for conv_id, rows in groupby(_rows(batches), key=itemgetter(0)):
+            for conv_id, rows in conversations(_rows(batches)):
                 turns, loss, n_turns, loss_chars, formatted, rest = sha256(), sha256(), 0, 0, 0, ""
                 for _, _, text, learned in rows:
                     formatted += len(text)

@@ -2,20 +2,23 @@
 
 Writing: every task stores its rows' payloads as members of ZIP archives (stored, not compressed
 again) in a shared folder; the table of archives that tasks have finished is the folder's manifest,
-so files of failed attempts are never read. Reading: ``media_archive`` plans partitions of an
-archive's byte range each; a task reads the members that begin in its range, each by its own offset
-and with its own retries, and hands them to Spark in Arrow batches.
+so files of failed attempts are never read. Reading: ``media_archive`` plans partitions of a byte range
+each over the archives that a file of the manifest lists; a task reads its ranges in large pieces, cuts the
+members that begin there from them, and hands them to Spark in Arrow batches. Only a member that comes out
+damaged or cut off is read anew, by its own offset and with its own retries.
 """
 
 from __future__ import annotations
 
 import io
 import struct
+import time
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from leafspark.llm.arrow_text import sized_slices
+from leafspark.llm.scratch import bounded_batches
 
 WIDTH = 64
 MANIFEST = "_archives"
@@ -124,77 +128,151 @@ def store_media(docs: DataFrame, folder: str, archive_bytes: int = 64_000_000) -
             yield closed()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(write, "archive string, bytes long, members long")
-    rows.write.parquet(f"{folder}/{MANIFEST}")
+    with bounded_batches(docs.sparkSession):
+        rows.write.parquet(f"{folder}/{MANIFEST}")
     return docs.sparkSession.read.parquet(f"{folder}/{MANIFEST}").count()
 
 
 @dataclass
 class ByteRange(InputPartition):
-    archive: str
+    """``size`` bytes from byte ``low`` of archive ``row`` in a file of the manifest on, over the archives behind it if need be."""
+
+    listed_in: str
+    row: int
     low: int
-    high: int
+    size: int
 
 
 class MediaArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
         self.range_bytes = int(options.get("rangeBytes", 16_000_000))
-        self.attempts = int(options.get("attempts", 3))
+        self.most_partitions = int(options.get("mostPartitions", 100_000))
+        self.attempts = max(1, int(options.get("attempts", 3)))
+        self.wait = float(options.get("waitSeconds", 0.2))
         self.batch_bytes = int(options.get("batchBytes", 4_000_000))
+        self.piece_bytes = int(options.get("pieceBytes", 4_000_000))
         self.keep_errors = options.get("onError", "fail") == "row"
 
-    def partitions(self) -> list[ByteRange]:
-        import pyarrow.dataset as ds
-
-        store, top = file_system(self.folder)
-        listed = ds.dataset(f"{top}/{MANIFEST}", filesystem=store, format="parquet").to_table(columns=["archive", "bytes"]).to_pydict() if self._has_manifest(store, top) else {"archive": [], "bytes": []}
-        return [ByteRange(a, low, min(low + self.range_bytes, size)) for a, size in zip(listed["archive"], listed["bytes"], strict=True) for low in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0)]
+    def retried(self, work: Callable):
+        """The result of ``work``, tried again after a wait that doubles when the store fails."""
+        for k in range(self.attempts):
+            try:
+                return work()
+            except OSError:
+                if k + 1 == self.attempts:
+                    raise
+                time.sleep(self.wait * 2**k)
 
-    @staticmethod
-    def _has_manifest(store, top: str) -> bool:
+    def partitions(self) -> list[ByteRange]:
+        """The manifest is gone through in batches, and what comes out is bounded: ``mostPartitions``, and one more for each of its files."""
+        import pyarrow.parquet as pq
         from pyarrow import fs
 
-        return any(x.path.endswith(".parquet") for x in store.get_file_info(fs.FileSelector(f"{top}/{MANIFEST}", allow_not_found=True)))
+        store, top = file_system(self.folder)
+        files = sorted(x.path for x in store.get_file_info(fs.FileSelector(f"{top}/{MANIFEST}", allow_not_found=True)) if x.path.endswith(".parquet"))
+
+        def sizes(path: str) -> Iterator[int]:
+            with pq.ParquetFile(store.open_input_file(path)) as listed:
+                for batch in listed.iter_batches(columns=["bytes"]):
+                    yield from batch.column(0).to_pylist()
+
+        total = sum(n for path in files for n in sizes(path))
+        size = max(self.range_bytes, -(-total // self.most_partitions))
+        found = []
+        for path in files:
+            begin = 0  # of the archive, in bytes of all archives that the file lists
+            for row, n in enumerate(sizes(path)):
+                found += [ByteRange(path, row, at - begin, size) for at in range(-(-begin // size) * size, begin + n, size)]
+                begin += n
+        return found or [ByteRange("", 0, 0, 0)]
 
     def member(self, store, path: str, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
         """A member's bytes, read by its own offset; each attempt opens the archive anew."""
-        error = None
-        for _ in range(max(1, self.attempts)):
+
+        def work() -> bytes:
+            with store.open_input_file(path) as f:
+                f.seek(info.header_offset)
+                head = f.read(30)
+                if head[:4] != b"PK\x03\x04":
+                    raise OSError("no member begins here")
+                f.seek(info.header_offset + 30 + sum(struct.unpack_from("<HH", head, 26)))
+                return self.checked(f.read(info.compress_size), info)
+
+        try:
+            return self.retried(work), None
+        except OSError as e:
+            return None, str(e)
+
+    @staticmethod
+    def checked(data: bytes, info: zipfile.ZipInfo) -> bytes:
+        if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
+            raise OSError("the member is damaged or cut off")
+        return data
+
+    def members(self, store, path: str, low: int, high: int) -> Iterator[tuple[zipfile.ZipInfo, bytes | None]]:
+        """The members that begin in a range, cut from pieces read one after the other; None for one that comes out damaged."""
+
+        def directory() -> tuple[list[zipfile.ZipInfo], int]:
+            with store.open_input_file(path) as f, zipfile.ZipFile(io.BufferedReader(f, 1 << 20)) as z:
+                return sorted(z.infolist(), key=lambda i: i.header_offset), z.start_dir
+
+        infos, after = self.retried(directory)
+        ends = [*(i.header_offset for i in infos[1:]), after]
+        mine = [(i, end) for i, end in zip(infos, ends, strict=True) if low <= i.header_offset < high]
+        if not mine:
+            return
+        held, at = b"", mine[0][0].header_offset  # bytes of the archive from ``at`` on
+
+        def more(need: int) -> bytes:
+            with store.open_input_file(path) as f:
+                f.seek(at + len(held))
+                return f.read(need)
+
+        for info, end in mine:
+            held, at = held[info.header_offset - at :], info.header_offset
+            if len(held) < end - at:
+                want = min(max(end - at - len(held), self.piece_bytes), mine[-1][1] - at - len(held))
+                try:
+                    held += self.retried(lambda: more(want))  # noqa: B023
+                except OSError:
+                    pass
             try:
-                with store.open_input_file(path) as f:
-                    f.seek(info.header_offset)
-                    head = f.read(30)
-                    if head[:4] != b"PK\x03\x04":
-                        raise OSError("no member begins here")
-                    f.seek(info.header_offset + 30 + sum(struct.unpack_from("<HH", head, 26)))
-                    data = f.read(info.compress_size)
-                if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
-                    raise OSError("the member is damaged or cut off")
-                return data, None
-            except OSError as e:
-                error = str(e)
-        return None, error
+                body = 30 + sum(struct.unpack_from("<HH", held, 26)) if held[:4] == b"PK\x03\x04" and len(held) >= 30 else len(held)
+                yield info, self.checked(held[body : body + info.compress_size], info)
+            except OSError:
+                yield info, None
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
+        import pyarrow.parquet as pq
+
+        if not partition.listed_in:
             return
         store, top = file_system(self.folder)
-        path = f"{top}/{partition.archive}"
-        with store.open_input_file(path) as f, zipfile.ZipFile(io.BufferedReader(f, 1 << 20)) as z:
-            infos = [i for i in z.infolist() if partition.low <= i.header_offset < partition.high]
-        rows: list[tuple] = []
-        held = 0
-        for info in infos:
-            data, error = self.member(store, path, info)
-            if error and not self.keep_errors:
-                raise OSError(f"{partition.archive}, {info.filename} at {info.header_offset}: {error}")
-            rows.append((partition.archive, info.header_offset, info.filename, data, error))
-            held += len(data or b"")
-            if held >= self.batch_bytes:
+        with pq.ParquetFile(store.open_input_file(partition.listed_in)) as listed:
+            archives = (a for batch in listed.iter_batches(columns=["archive", "bytes"]) for a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            rows: list[tuple] = []
+            held, low, left = 0, partition.low, partition.size
+            for archive, size in islice(archives, partition.row, None):
+                high = min(size, low + left)
+                path = f"{top}/{archive}"
+                for info, data in self.members(store, path, low, high):
+                    error = None
+                    if data is None:
+                        data, error = self.member(store, path, info)
+                    if error and not self.keep_errors:
+                        raise OSError(f"{archive}, {info.filename} at {info.header_offset}: {error}")
+                    rows.append((archive, info.header_offset, info.filename, data, error))
+                    held += len(data or b"")
+                    if held >= self.batch_bytes:
+                        yield self._batch(rows)
+                        rows, held = [], 0
+                left -= high - low
+                low = 0
+                if left <= 0:
+                    break
+            if rows:
                 yield self._batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield self._batch(rows)
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -204,8 +282,9 @@ class MediaArchiveReader(DataSourceReader):
 class MediaArchiveSource(DataSource):
     """``spark.read.format("media_archive").load(folder)``: a row per member of the folder's archives.
 
-    Options: rangeBytes (of a partition), batchBytes, attempts (per member), and onError: ``fail``, or
-    ``row`` for a row with the error and no media.
+    Options: rangeBytes (of a partition; more if there would be over mostPartitions), pieceBytes (read at
+    once), batchBytes, attempts and waitSeconds (of each reading), and onError: ``fail``, or ``row`` for a
+    row with the error and no media.
     """
 
     @classmethod

@@ -1,16 +1,16 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch's different units (a run of spaces and what follows it up to the next space or line end, which no
-piece of the vocabulary crosses) are concatenated and indexed by a suffix array. Every piece is searched in
-it; its range of suffixes gives its occurrences, which, sorted by position, are the edges of all units'
-lattices. Relaxing takes the edges in the order of the model's merges: a unit's two neighbouring symbols
-whose joint edge has the best score become one, until no edge joins neighbours. All units advance together.
-Characters without a piece become bytes. The ids equal those of the model's own library.
+A batch's different units (a run of spaces and what follows it up to the next space or line end, cut further
+between two characters that no piece has side by side, so that no piece crosses units) are concatenated and
+indexed by a suffix array. Every piece is searched in it; its range of suffixes gives its occurrences, which,
+sorted by position, are the edges of all units' lattices. Relaxing takes the edges in the order of the model's
+merges: of a unit's neighbouring symbols those whose joint edge has the best score become one, from the left,
+until no edge joins neighbours. All units, of any length, advance together. Characters without a piece become
+bytes. The ids equal those of the model's own library.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +24,16 @@ from leafspark.llm.packing import PieceTable
 
 SPACE = 0x2581
 _GAP = -1
-LONG_UNIT = 64
+#: Characters of units that are indexed and relaxed at a time (a longer unit is alone).
+INDEXED = 200_000
 _MODELS: dict[str, tuple["PieceModel", PieceTable]] = {}
 
 
+def pairs_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One number for each pair of characters."""
+    return (left.astype(np.int64) << 21) | right
+
+
 @dataclass
 class PieceModel:
     """A BPE vocabulary with byte fallback and no text normalisation but a space put before each text."""
@@ -39,6 +45,7 @@ class PieceModel:
     byte_ids: np.ndarray
     forms: list[bytes]  # what each id decodes to
     breaks: bytes  # line ends and tabs that are in no piece
+    beside: np.ndarray  # sorted pairs of characters that some piece has side by side
 
     @classmethod
     def load(cls, path: str) -> "PieceModel":
@@ -70,7 +77,7 @@ class PieceModel:
             by_byte[forms[i][0]] = i
         scores = np.array([model.get_score(i) for i in plain])
         used = {c for i in plain for c in names[i]}
-        return cls(texts, lengths, np.array(plain, dtype="<u4"), np.unique(-scores, return_inverse=True)[1], by_byte, forms, bytes(c for c in b"\n\t\r" if chr(c) not in used))
+        return cls(texts, lengths, np.array(plain, dtype="<u4"), np.unique(-scores, return_inverse=True)[1], by_byte, forms, bytes(c for c in b"\n\t\r" if chr(c) not in used), np.unique(pairs_of(texts[:, :-1], texts[:, 1:])[texts[:, 1:] != _GAP]))
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -122,33 +129,42 @@ def relax(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, model: PieceMo
     none = np.int64(1) << 40
     ranks = np.append(model.ranks.astype(np.int64), none)
 
+    def joint_rank(at: np.ndarray, size: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        return np.where(fits & (size <= width), ranks[edge[at, np.minimum(size, width)]], none)
+
     sizes = ends - begins
     unit = np.repeat(np.arange(len(begins)), sizes)
     start = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begins[unit]
     length = np.ones(len(start), dtype=np.int64)
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    long = sizes[unit] > LONG_UNIT
-    for u in np.flatnonzero(sizes > LONG_UNIT):
-        s, n = _merge_one(int(begins[u]), int(ends[u]), edge, ranks, width)
-        done.append((np.full(len(s), u), s, n))
-    unit, start, length = unit[~long], start[~long], length[~long]
     while len(unit):
-        joint = length[:-1] + length[1:]
-        fits = (unit[1:] == unit[:-1]) & (joint <= width)
-        rank = np.where(fits, ranks[edge[start[:-1], np.minimum(joint, width)]], none)
-        # the best pair of each unit, the leftmost of equals
+        key = np.append(joint_rank(start[:-1], length[:-1] + length[1:], unit[1:] == unit[:-1]), none)
         first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-        key = np.append(rank, none)
         best = np.minimum.reduceat(key, first)
-        count = np.diff(np.append(first, len(unit)))
-        is_best = (key == np.repeat(best, count)) & (key < none)
-        place = np.flatnonzero(is_best)
-        place = place[np.append(True, unit[place][1:] != unit[place][:-1])] if len(place) else place
-        settled = np.repeat(best >= none, count)
+        best = np.repeat(best, np.diff(np.append(first, len(unit))))
+        settled = best >= none
         if settled.any():
             done.append((unit[settled], start[settled], length[settled]))
+        # the best pairs of each unit; of pairs that share a symbol every other one, from the left
+        place = np.flatnonzero((key == best) & ~settled)
         if not len(place):
             break
+        run = np.flatnonzero(np.append(True, np.diff(place) > 1))
+        place = place[(np.arange(len(place)) - np.repeat(run, np.diff(np.append(run, len(place))))) % 2 == 0]
+        # pairs behind one whose merging offers an edge as good or better have to wait for that edge
+        own = unit[place]
+        joint = length[place] + length[place + 1]
+        after = np.minimum(place + 2, len(unit) - 1)
+        right = joint_rank(start[place], joint + length[after], (place + 2 < len(unit)) & (unit[after] == own))
+        before = np.maximum(place - 1, 0)
+        merged = np.append(False, np.diff(place) == 2)
+        head = np.where(merged, np.maximum(place - 2, 0), before)
+        left = joint_rank(start[head], start[place] - start[head] + joint, (place > 0) & (unit[before] == own))
+        waits = np.minimum(left, right) <= best[place]
+        if waits.any():
+            heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            earlier = np.cumsum(waits) - waits
+            place = place[earlier == np.repeat(earlier[heads], np.diff(np.append(heads, len(own))))]
         length[place] += length[place + 1]
         keep = ~settled
         keep[place + 1] = False
@@ -169,38 +185,10 @@ def relax(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, model: PieceMo
     return ids, np.bincount(units, weights=n_ids, minlength=len(begins)).astype(np.int64)
 
 
-def _merge_one(begin: int, end: int, edge: np.ndarray, ranks: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for one long unit, with a heap of its joint edges."""
-    size = {i: 1 for i in range(begin, end)}
-    left = {i: i - 1 for i in range(begin, end)}
-    heap: list[tuple[int, int, int, int]] = []
-
-    def offer(i: int) -> None:
-        j = i + size[i]
-        if begin <= i and j < end and size[i] + size[j] <= width and edge[i, size[i] + size[j]] >= 0:
-            heapq.heappush(heap, (int(ranks[edge[i, size[i] + size[j]]]), i, size[i], size[j]))
-
-    for i in range(begin, end):
-        offer(i)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        if size.get(i) != a or size.get(i + a) != b:
-            continue
-        del size[i + a]
-        size[i] = a + b
-        if i + a + b < end:
-            left[i + a + b] = i
-            offer(i)
-        if i > begin:
-            offer(left[i])
-    starts = np.array(sorted(size), dtype=np.int64)
-    return starts, np.array([size[i] for i in starts.tolist()], dtype=np.int64)
-
-
 class PieceCoder:
-    """Encodes and decodes batches; what a worker knows of units is kept from task to task, up to ``most`` units."""
+    """Encodes and decodes batches; what a worker knows of units is kept from task to task, up to ``most`` units or ten times as many ids."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 300_000):
         if path not in _MODELS:
             _MODELS[path] = (PieceModel.load(path), PieceTable())
         self.path, self.most = path, most
@@ -230,7 +218,7 @@ class PieceCoder:
         stops = np.append(starts[1:], len(data))
         which, hashes = pd.factorize(run_hashes(data, starts, stops))
         table = _MODELS[self.path][1]
-        if len(table.index) > self.most:
+        if len(table.index) > self.most or len(table.pool) > 10 * self.most:
             table = PieceTable()
             _MODELS[self.path] = (self.model, table)
         keys = hashes.tolist()
@@ -248,12 +236,30 @@ class PieceCoder:
         return ids, sums[np.searchsorted(starts, ends)]
 
     def _code(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, and each unit's number of ids."""
         lengths = np.array([len(u) for u in units], dtype=np.int64)
-        text = np.frombuffer("\0".join(units).encode("utf-32-le"), dtype=np.uint32).astype(np.int32)
-        begins = np.cumsum(lengths + 1) - lengths - 1
+        text = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).astype(np.int32)
         text[text == 0x20] = SPACE
-        text[(begins + lengths)[:-1]] = _GAP
-        return relax(text, begins, begins + lengths, self.model)
+        pair = pairs_of(text[:-1], text[1:])
+        beside = self.model.beside
+        cut = np.append(True, beside[np.minimum(np.searchsorted(beside, pair), len(beside) - 1)] != pair)
+        owner = np.repeat(np.arange(len(units)), lengths)
+        cut[1:] |= owner[1:] != owner[:-1]
+        begins = np.flatnonzero(cut)
+        ends = np.append(begins[1:], len(text))
+        ids, counts, at = [], [], 0
+        while at < len(begins):
+            upto = max(at + 1, int(np.searchsorted(ends, begins[at] + INDEXED, side="right")))
+            a, b = begins[at:upto] - begins[at], ends[at:upto] - begins[at]
+            # a gap behind each unit, so that no occurrence crosses units
+            apart = np.full(int(b[-1]) + len(a), _GAP, dtype=np.int32)
+            shift = np.arange(len(a))
+            apart[np.arange(int(b[-1])) + np.repeat(shift, b - a)] = text[begins[at] : ends[upto - 1]]
+            part, n = relax(apart, a + shift, b + shift, self.model)
+            ids.append(part)
+            counts.append(n)
+            at = upto
+        return np.concatenate(ids), np.bincount(owner[begins], weights=np.concatenate(counts), minlength=len(units)).astype(np.int64)
 
     def decode(self, ids: np.ndarray, limits: np.ndarray) -> list[str]:
         """The texts of runs of ids; broken byte sequences become U+FFFD."""
@@ -268,14 +274,14 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) of every row of ``docs`` (doc_id, text).
 
     Null and empty texts have no ids; U+2581 in a text counts as a space; texts of any length are coded
-    whole; a null doc_id is kept; repeated rows come back each; other columns are ignored; an empty
-    table gives no rows.
+    whole (a unit that can't be cut, such as a run of one character, takes some 200 bytes a character); a
+    null doc_id is kept; repeated rows come back each; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceCoder(model_path)
         for batch in batches:
-            for part in sized_slices(batch, "text", 3_000_000):
+            for part in sized_slices(batch, "text", 1_000_000):
                 ids, limits = coder.encode(part.column("text"))
                 raw, at = ids.tobytes(), (4 * limits).tolist()
                 yield pa.record_batch([part.column("doc_id"), pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], type=pa.binary())], names=["doc_id", "ids"])
@@ -289,7 +295,7 @@ def decode(coded: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceCoder(model_path)
         for batch in batches:
-            for part in sized_slices(batch, "ids", 4_000_000):
+            for part in sized_slices(batch, "ids", 1_000_000):
                 runs = [x or b"" for x in part.column("ids").to_pylist()]
                 limits = np.concatenate([[0], np.cumsum([len(x) // 4 for x in runs])]).astype(np.int64)
                 texts = coder.decode(np.frombuffer(b"".join(runs), dtype="<u4"), limits)

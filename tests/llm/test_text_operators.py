@@ -306,6 +306,7 @@ def test_pieces_equal_the_library(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(8)
     odd = ["  two  spaces\n\n\ttab \r\n", " ", "日本語テキスト。 12345 3.14", "http://a.b/c?d=" + "f0" * 200, "😀\x00\x01", "end ", "supercalifragilistic" * 10]
+    odd += ["日本語のテキスト、空白のない文。" * 400, "a" * 3000, "=-" * 900, "".join(rng.choice("theandSpecial_$") for _ in range(5000)), "".join(rng.choice("0123456789abcdef") for _ in range(4000))]
     odd += ["".join(rng.choice("ab \n.éñ日😀THEing'01") for _ in range(rng.randrange(120))) for _ in range(60)]
     rows = [*corpus(6), *enumerate(odd, 3000), (None, "no id")]
     got = pieces.decode(pieces.encode(table(spark, rows), path), path).collect()
@@ -369,6 +370,7 @@ def test_media_members_are_retried_alone(tmp_path):
     infos = zipfile.ZipFile(tmp_path / "a.zip").infolist()
     reader = media.MediaArchiveReader({"path": str(tmp_path), "attempts": "3"})
     store = Store(fs.LocalFileSystem())
+    reader.wait = 0.01
     assert reader.member(store, str(tmp_path / "a.zip"), infos[1]) == (b"second", None)
     raw = bytearray((tmp_path / "a.zip").read_bytes())
     raw[infos[0].header_offset + 40] ^= 1
@@ -378,6 +380,55 @@ def test_media_members_are_retried_alone(tmp_path):
     assert reader.member(fs.LocalFileSystem(), str(tmp_path / "a.zip"), infos[1])[0] == b"second"
 
 
+@pytest.mark.parametrize("piece,most", [(100, 100_000), (4_000_000, 100_000), (700, 3)])
+def test_media_ranges_are_read_in_pieces(tmp_path, monkeypatch, piece, most):
+    """Every member once, whatever the ranges and pieces; a damaged one alone is read anew."""
+    import zipfile
+
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    rng = random.Random(7)
+    (tmp_path / "_archives").mkdir()
+    expected, listed = {}, []
+    for k in range(4):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w") as z:
+            for m in range(30):
+                expected[f"{k}.zip", f"{m}/{m}/1.png"] = rng.randbytes(rng.randrange(0, 300))
+                z.writestr(zipfile.ZipInfo(f"{m}/{m}/1.png"), expected[f"{k}.zip", f"{m}/{m}/1.png"])
+        listed.append((f"{k}.zip", (tmp_path / f"{k}.zip").stat().st_size))
+    for i, part in enumerate((listed[:3], listed[3:])):
+        pq.write_table(pa.table({"archive": [a for a, _ in part], "bytes": pa.array([n for _, n in part], type=pa.int64())}), tmp_path / "_archives" / f"part-{i}.parquet")
+    opened = []
+
+    class Store:
+        def __init__(self):
+            self.inner = fs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def open_input_file(self, path):
+            opened.append(path)
+            return self.inner.open_input_file(path)
+
+    monkeypatch.setattr(media, "file_system", lambda uri: (Store(), str(tmp_path)))
+    reader = media.MediaArchiveReader({"path": str(tmp_path), "rangeBytes": "1500", "pieceBytes": str(piece), "mostPartitions": str(most), "attempts": "1", "onError": "row"})
+    planned = reader.partitions()
+    assert len(planned) <= most + 2
+    opened.clear()
+    got = [r for p in planned for b in reader.read(p) for r in b.to_pylist()]
+    assert len(got) == len(expected) and {(r["archive"], r["member"]): r["media"] for r in got} == expected
+    if piece > 1500:
+        assert len(opened) < 60  # a directory and a piece for each range of an archive, and the manifest
+    info = zipfile.ZipFile(tmp_path / "1.zip").infolist()[4]
+    raw = bytearray((tmp_path / "1.zip").read_bytes())
+    raw[info.header_offset] ^= 1
+    (tmp_path / "1.zip").write_bytes(bytes(raw))
+    got = [r for p in planned for b in reader.read(p) for r in b.to_pylist()]
+    assert len(got) == len(expected) and [(r["archive"], r["member"]) for r in got if r["error"]] == [("1.zip", info.filename)]
+
+
 def base_counts(text):
     w = [x.decode() for x in split(text)]
     keys = defaultdict(list)
@@ -441,12 +492,15 @@ def test_no_python_in_quality_rules(spark):
 
 def test_chat_round_trip(spark):
     said = "\\### Assistant: </turn> ok"
-    turns = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 1, "assistant", "<says>#### \\\\"), (1, 0, "user", None), (1, 2, None, "x\n### y"), (2, 0, "assistant", ""), (None, 0, "user", "z"), (3, None, "user", "first"), (3, 0, "assistant", "é😀")]
+    turns = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 1, "assistant", "<says>#### \\\\"), (1, 0, "user", None), (1, 2, None, "x\n### y"), (2, 0, "assistant", ""), (None, 0, "user", "z"), (None, 0, "assistant", "y"), (None, 0, "assistant", "y"), (3, None, "user", "first"), (3, 0, "assistant", "é😀")]
     frame = spark.createDataFrame([(*t, 5, "x") for t in turns], "conv_id long, turn long, role string, text string, piece int, learned string")
-    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(frame)).collect()}
+    found = chat.read_back(chat.format_conversations(frame)).collect()
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in found if r["conv_id"] is None) == [(1, 0), (1, 1), (1, 1)]
+    got = {r["conv_id"]: r for r in found if r["conv_id"] is not None}
     by = defaultdict(list)
     for c, t, role, text in turns:
-        by[c].append((-1 if t is None else t, role or "", text or ""))
+        if c is not None:
+            by[c].append((-1 if t is None else t, role or "", text or ""))
     assert set(got) == set(by)
     for c, rows in by.items():
         rows.sort()
@@ -456,6 +510,26 @@ def test_chat_round_trip(spark):
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_a_long_turn_takes_little_memory():
+    import tracemalloc
+
+    text = "word <b> ## \\\\ " * 200_000
+    pieces_of = list(chat.joined(chat_template.compile_template(chat.TEMPLATE, chat.CONTROLS)(messages=iter([{"role": "user", "text": text}]))))
+    batch = pa.record_batch([pa.array([1] * len(pieces_of)), pa.array(range(len(pieces_of))), pa.array([t for t, _ in pieces_of]), pa.array([m for _, m in pieces_of])], names=["conv_id", "piece", "text", "learned"])
+    whole = sum(len(t) for t, _ in pieces_of)
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = chat.read_back(Frame())
+    tracemalloc.start()
+    (out,) = list(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist()[0]["n_turns"] == 1 and peak < 12 * whole
+
+
 def render(source, **env):
     return list(chat_template.compile_template(source, ("<s>",), env)(**env))
 
