@@ -20,10 +20,12 @@ from pyspark.sql import types as T
 LENGTH_ORDER = (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15)
 MOST_BLOCKS, BLOCK_BYTES, TEXT_START, FALLBACK_WORDS, READABLE = 32, 65_536, 36, 10, 30
 SCORED_BYTES, LEAST_SCORED = 500, 50
+#: The trees of a record end before this byte.
+TREE_BYTES = 1024
 
 
 class Bits:
-    """Bits of a byte string, low bit first, as one integer."""
+    """Bits of a short byte string, low bit first, as one integer."""
 
     def __init__(self, data: bytes):
         self.value, self.size, self.at = int.from_bytes(data, "little"), 8 * len(data), 0
@@ -97,7 +99,7 @@ def block_header(literals: list[int], distances: list[int]) -> tuple[int, int]:
 def inflate_words(data: bytes) -> tuple[bytes, list[int]] | None:
     """Text and block sizes of a record's trees and blocks; None if the trees or the first block can't be read."""
     stream = turned_words(data)
-    bits = Bits(stream)
+    bits = Bits(stream[:TREE_BYTES])
     try:
         n_literals, n_distances, n_lengths = bits.take(5) + 257, bits.take(5) + 1, bits.take(4) + 4
         if n_literals > 286 or n_distances > 30:
@@ -110,23 +112,32 @@ def inflate_words(data: bytes) -> tuple[bytes, list[int]] | None:
     except (EOFError, ValueError):
         return None
     value, size = block_header(literals, distances)
-    head = value.to_bytes(size // 8, "little")
+    head, view = value.to_bytes(size // 8, "little"), memoryview(stream)
     at, blocks = -(-bits.at // 32) * 4, []
     while at < len(stream) and len(blocks) < MOST_BLOCKS:
-        inflater = zlib.decompressobj(-15)
-        given = head + stream[at:]
-        try:
-            block = inflater.decompress(given, BLOCK_BYTES + 1)
-        except zlib.error:
-            break
+        block, used = inflate_block(head, view[at:])
         if not 0 < len(block) <= BLOCK_BYTES:
             break
         blocks.append(block)
-        used = len(given) - len(inflater.unused_data) - len(head) if inflater.eof else len(stream) - at
         at += max(4, -(-used // 4) * 4)
     return (b"".join(blocks), [len(b) for b in blocks]) if blocks else None
 
 
+def inflate_block(head: bytes, view: memoryview, step: int = 8192) -> tuple[bytes, int]:
+    """A block behind its header, and the bytes it takes; nothing if it is broken or longer than a block may be."""
+    inflater = zlib.decompressobj(-15)
+    parts, size, at = [], 0, 0
+    try:
+        parts.append(inflater.decompress(head))
+        while at < len(view) and not inflater.eof and size <= BLOCK_BYTES:
+            parts.append(inflater.decompress(view[at : at + step], BLOCK_BYTES + 1 - size))
+            size += len(parts[-1])
+            at = min(at + step, len(view))
+    except zlib.error:
+        return b"", 0
+    return b"".join(parts), at - len(inflater.unused_data)
+
+
 def readable_score(data: bytes) -> int:
     """How much the first bytes look like text; -1 if there are few."""
     head = np.frombuffer(data[:SCORED_BYTES], dtype=np.uint8)
@@ -155,101 +166,184 @@ def copy_back(out: bytearray, distance: int, length: int) -> None:
         out.append(out[-distance] if 0 < distance <= len(out) else 0)
 
 
+def token_starts(steps: np.ndarray) -> np.ndarray:
+    """Places reached from 0 when each place is followed by the one ``steps`` further on."""
+    step, out, at = steps.tolist(), [], 0
+    while at < len(step):
+        out.append(at)
+        at += step[at]
+    return np.array(out, dtype=np.int64)
+
+
+def ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All integers of the runs of ``sizes`` from ``begins`` on."""
+    return np.arange(int(sizes.sum())) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
+
+
 def expand_palmdoc(data: bytes, wide: bool = False) -> bytes:
     """PalmDoc's LZ77. With ``wide``, the variant in which pairs have 14 bits of distance and from 0xC0 on a length."""
-    out, at = bytearray(), 0
-    while at < len(data):
-        token = data[at]
-        at += 1
-        if 1 <= token <= 8:
-            out += data[at : at + token]
-            at += token
-        elif token < 0x80:
-            out.append(token)
-        elif token >= 0xC0 and not wide:
-            out += bytes((0x20, token & 0x7F))
-        elif at < len(data):
-            pair = (token << 8 | data[at]) & 0x3FFF
-            at += 1
-            if wide:
-                copy_back(out, min(pair, len(out)), 3 if token < 0xC0 else (token >> 2 & 7) + 3)
-            else:
-                copy_back(out, pair >> 3, (pair & 7) + 3)
-        else:
+    if not data:
+        return b""
+    raw = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+    is_run = (raw >= 1) & (raw <= 8)
+    is_pair = (raw >= 0x80) & (wide | (raw < 0xC0))
+    at = token_starts(1 + np.where(is_run, raw, 0) + is_pair)
+    if is_pair[at[-1]] and at[-1] + 1 == len(raw):  # a pair of one byte ends the stream
+        at = at[:-1]
+    token, run, pair = raw[at], is_run[at], is_pair[at]
+    joined = (token >= 0xC0) & ~pair
+    second = raw[np.minimum(at + 1, len(raw) - 1)]
+    both = ((token << 8) | second) & 0x3FFF
+    copied = np.where(token < 0xC0, 3, (token >> 2 & 7) + 3) if wide else (both & 7) + 3
+    size = np.where(pair, copied, np.where(run, np.minimum(token, len(raw) - at - 1), 1 + joined))
+    begin = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), dtype=np.uint8)
+    single = ~(run | pair)
+    out[begin[single]] = np.where(joined[single], 0x20, token[single])
+    out[begin[joined] + 1] = token[joined] & 0x7F
+    out[ranges(begin[run], size[run])] = raw[ranges(at[run] + 1, size[run])]
+    held = bytearray(out.tobytes())
+    back = np.minimum(both, begin) if wide else both >> 3
+    for o, d, n in zip(begin[pair].tolist(), back[pair].tolist(), size[pair].tolist(), strict=True):
+        if d >= n and d <= o:
+            held[o : o + n] = held[o - d : o - d + n]
+        elif 0 < d <= o:
+            held[o : o + n] = (held[o - d : o] * (n // d + 1))[:n]
+        elif d:  # from before the text: zeros, and behind them what the pair itself has put
+            for i in range(o, o + n):
+                held[i] = held[i - d] if d <= i else 0
+    return bytes(held)
+
+
+def matches(data: np.ndarray, window: int, least: int, most: int, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Length (0: none) and distance, for each place, of what stands at the latest place before that has the same ``least`` bytes.
+
+    Matches are ``most`` bytes long at most, ``window`` back at most and, with ``begin``, not from before the
+    place's begin, and end before the next one's.
+    """
+    n = len(data) - least + 1
+    length, back = np.zeros(len(data), dtype=np.int64), np.zeros(len(data), dtype=np.int64)
+    if n <= 0:
+        return length, back
+    key = np.zeros(n, dtype=np.int64)
+    for j in range(least):
+        key = key << 8 | data[j : j + n]
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    at, before = order[1:][same], order[:-1][same]
+    ok = at - before <= window
+    if begin is not None:
+        ok &= (before >= begin[at]) & (begin[at + least - 1] == begin[at])
+    at, before = at[ok], before[ok]
+    back[at], length[at] = at - before, least
+    for j in range(least, most):
+        more = at + j < len(data)
+        at, before = at[more], before[more]
+        more = data[at + j] == data[before + j]
+        if begin is not None:
+            more &= begin[at + j] == begin[at]
+        at, before = at[more], before[more]
+        if not len(at):
             break
-    return bytes(out)
+        length[at] = j + 1
+    return length, back
 
 
 def pack_palmdoc(data: bytes) -> bytes:
     """A PalmDoc stream of ``data``: pairs where ten bytes or fewer stand up to 2047 back, joined spaces, raw runs."""
-    out, at, seen = bytearray(), 0, {}
-    while at < len(data):
-        key = data[at : at + 3]
-        back = at - seen.get(key, -5000)
-        size = 0
-        if len(key) == 3 and 0 < back <= 2047:
-            size = 3
-            while size < 10 and at + size < len(data) and data[at + size] == data[at + size - back]:
-                size += 1
-        step = size or 1
-        if size:
-            out += (0x8000 | back << 3 | size - 3).to_bytes(2, "big")
-        elif data[at] == 0x20 and at + 1 < len(data) and 0x40 <= data[at + 1] < 0x80:
-            out.append(data[at + 1] | 0x80)
-            step = 2
-        elif data[at] == 0 or 9 <= data[at] < 0x80:
-            out.append(data[at])
-        else:
-            run = data[at : at + 1]
-            while len(run) < 8 and at + len(run) < len(data) and (data[at + len(run)] >= 0x80 or 1 <= data[at + len(run)] <= 8):
-                run = data[at : at + len(run) + 1]
-            out += bytes((len(run),)) + run
-            step = len(run)
-        for i in range(at, min(at + step, len(data) - 2)):
-            seen[data[i : i + 3]] = i
-        at += step
-    return bytes(out)
+    if not data:
+        return b""
+    raw = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+    n = len(raw)
+    length, back = matches(raw, 2047, 3, 10)
+    after = np.append(raw[1:], 0)
+    spaced = (raw == 0x20) & (after >= 0x40) & (after < 0x80)
+    rough = (raw >= 0x80) | ((raw >= 1) & (raw <= 8))
+    smooth = np.append(np.flatnonzero(~rough), n)
+    run = np.minimum(smooth[np.searchsorted(smooth, np.arange(n))] - np.arange(n), 8)
+    at = token_starts(np.where(length > 0, length, np.where(spaced, 2, np.where(rough, run, 1))))
+    length, back, byte = length[at], back[at], raw[at]
+    pair = length > 0
+    joined, rough = spaced[at] & ~pair, rough[at] & ~pair
+    size = np.where(pair, 2, np.where(rough, 1 + run[at], 1))
+    begin = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), dtype=np.uint8)
+    out[begin] = np.where(pair, 0x80 | back >> 5, np.where(joined, after[at] | 0x80, np.where(rough, run[at], byte)))
+    out[begin[pair] + 1] = (back[pair] << 3 | length[pair] - 3) & 0xFF
+    out[ranges(begin[rough] + 1, run[at[rough]])] = raw[ranges(at[rough], run[at[rough]])]
+    return out.tobytes()
+
+
+def packed(values: np.ndarray, sizes: np.ndarray, begins: np.ndarray, total: int) -> bytes:
+    """Values of ``sizes`` bits put at bits ``begins``, low bit first, in a record's words."""
+    bits = np.zeros(-(-total // 32) * 32, dtype=np.uint8)
+    for j in range(int(sizes.max(initial=0))):
+        own = np.flatnonzero(sizes > j)
+        bits[begins[own] + j] = values[own] >> j & 1
+    return turned_words(np.packbits(bits, bitorder="little").tobytes())
+
+
+def reach(count: int, per_step: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least value and number of extra bits of DEFLATE's codes: ``per_step`` codes to each further bit (RFC 1951, 3.2.5)."""
+    extra = np.maximum(np.arange(count) // per_step - 1, 0)
+    return first + np.concatenate([[0], np.cumsum(1 << extra)[:-1]]), extra
 
 
 def pack_words(data: bytes, block: int = 4096) -> bytes:
-    """A record's trees and blocks that inflate_words reads: fixed lengths, literals only."""
-    literals = [8] * 226 + [9] * 60
-    distances = [4] * 2 + [5] * 28
-    codes = {s: (n, int(f"{c:0{n}b}"[::-1], 2)) for (n, c), s in canonical(literals).items()}
-    out: list[bytes] = []
-
-    def words(value: int, size: int) -> None:
-        n = -(-size // 32) * 4
-        out.append(turned_words(value.to_bytes(n, "little")))
-
-    value, size = 0, 0
-
-    def put(x: int, n: int) -> None:
-        nonlocal value, size
-        value |= x << size
-        size += n
-
-    put(286 - 257, 5)
-    put(30 - 1, 5)
-    put(15, 4)
-    for symbol in LENGTH_ORDER:
-        put(4 if symbol < 16 else 0, 3)
-    for n in (*literals, *distances):
-        put(int(f"{n:04b}"[::-1], 2), 4)
-    words(value, size)
-    for at in range(0, len(data), block):
-        parts, size = [], 0
-        for symbol in (*data[at : at + block], 256):
-            n, code = codes[symbol]
-            parts.append(f"{code:0{n}b}")
-            size += n
-        words(int("".join(reversed(parts)), 2), size)
+    """A record's trees and blocks that inflate_words reads: codes of fixed lengths, matches inside of blocks."""
+    literals, distances = [8] * 226 + [9] * 60, [4] * 2 + [5] * 28
+    head = [(286 - 257, 5), (30 - 1, 5), (15, 4), *((4 if s < 16 else 0, 3) for s in LENGTH_ORDER)]
+    head += [(int(f"{n:04b}"[::-1], 2), 4) for n in (*literals, *distances)]
+    value, size = (np.array(x, dtype=np.int64) for x in zip(*head, strict=True))
+    out = [packed(value, size, np.cumsum(size) - size, int(size.sum()))]
+    if not data:
+        return out[0]
+
+    def coded(lengths: list[int]) -> np.ndarray:
+        turned = np.zeros(len(lengths), dtype=np.int64)
+        for (n, code), s in canonical(lengths).items():
+            turned[s] = int(f"{code:0{n}b}"[::-1], 2)
+        return turned
+
+    literal_code, distance_code = coded(literals), coded(distances)
+    literal_size, distance_size = np.array(literals), np.array(distances)
+    least_length, length_extra = reach(28, 4, 3)
+    least_distance, distance_extra = reach(30, 2, 1)
+
+    raw = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+    begin = np.arange(len(raw)) // block * block
+    length, back = matches(raw, 32_768, 4, 64, begin)
+    at = token_starts(np.where(length > 0, length, 1))
+    length, back, byte = length[at], back[at], raw[at]
+    pair = length > 0
+    long = np.where(pair, np.searchsorted(least_length, length, side="right") - 1, 0)
+    far = np.where(pair, np.searchsorted(least_distance, back, side="right") - 1, 0)
+    symbol = np.where(pair, 257 + long, byte)
+    # of each token: code, extra bits of its length, code of its distance, extra bits of that; behind a block's last its end
+    values = np.stack([literal_code[symbol], length - least_length[long], distance_code[far], back - least_distance[far], np.full(len(at), literal_code[256])], axis=1)
+    ends = np.append(begin[at[1:]] != begin[at[:-1]], True)
+    sizes = np.stack([literal_size[symbol], *(np.where(pair, x, 0) for x in (length_extra[long], distance_size[far], distance_extra[far])), np.where(ends, literal_size[256], 0)], axis=1)
+    values, sizes = values.ravel(), sizes.ravel()
+    places = np.cumsum(sizes) - sizes
+    # every block begins on a word
+    cut = np.flatnonzero(ends) * 5 + 5
+    closed = np.cumsum(sizes)[cut - 1]
+    spare = np.cumsum(-np.diff(closed, prepend=0) % 32)
+    places = places + np.repeat(np.concatenate([[0], spare[:-1]]), np.diff(cut, prepend=0))
+    out.append(packed(values, sizes, places, int(closed[-1] + spare[-1])))
     return b"".join(out)
 
 
 def looks_utf8(data: bytes) -> bool:
     """Whether multi-byte sequences outnumber broken ones in the first 500 bytes, and there are any."""
     head, good, bad, i = data[:SCORED_BYTES], 0, 0, 0
+    if head.isascii():
+        return False
+    try:
+        head.decode()  # whole sequences only
+        return True
+    except UnicodeDecodeError:
+        pass
     while i < len(head):
         b = head[i]
         need = 0 if b < 0x80 or b >= 0xF8 else 1 if 0xC0 <= b < 0xE0 else 2 if 0xE0 <= b < 0xF0 else 3 if b >= 0xF0 else -1
