@@ -18,42 +18,43 @@ from leafspark.llm import language, near_dedup, packing, substring_dedup, toxici
 from leafspark.llm.scratch import released, remove, saved, shared_dir
 from leafspark.session import table
 
-#: So many ids, of 8 bytes each, are broadcast; more are joined by a shuffle.
+#: So many ids, of 16 bytes each at most, are broadcast; more are joined by a shuffle.
 MOST_BROADCAST_IDS = 500_000
 
 
-#: Tells the rows of a table apart inside of a stage.
-ROW = "number_of_row_in_stage"
+#: What a decision on a row hangs on, as two hashes: rows equal in it are decided alike, whatever their doc_ids.
+CONTENT = ("hash_of_content_1", "hash_of_content_2")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ROW, written so that it is the same in every use."""
-    return saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def by_content(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` with the CONTENT hashes of some columns, 128 bits together. A null hashes unlike any value: which columns are null counts as well."""
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
+    return docs.withColumns({name: F.xxhash64(F.lit(seed), nulls, *columns) for seed, name in enumerate(CONTENT)})
 
 
-def without(docs: DataFrame, rejected: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose ``key`` isn't in ``rejected``."""
-    ids = saved(rejected.select(key).where(F.col(key).isNotNull()).distinct(), "rejected")
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, key, "left_anti").select(*docs.columns)
+def without(docs: DataFrame, rejected: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` aren't in ``rejected``; a row without a key stays."""
+    ids = saved(rejected.select(*keys).dropna().distinct(), "rejected")
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, list(keys), "left_anti")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no known language. The text model is fitted on a bounded sample of ``docs``."""
-    rows = numbered(docs)
-    found = language.identify(rows.select(ROW, "text", F.col("source").alias("host")), language.fit_languages(docs), [ROW])
-    return without(rows, found.where(~F.col("kept")), ROW).select(*docs.columns)
+    rows = by_content(docs, "text", "source")
+    found = language.identify(rows.select(*CONTENT, "text", F.col("source").alias("host")), language.fit_languages(docs), list(CONTENT))
+    return without(rows, found.where(~F.col("kept")), CONTENT).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the network, fitted on a bounded sample of labelled ones, finds toxic."""
-    rows = numbered(docs)
-    scored = toxicity.score_toxicity(rows.select(F.col(ROW).alias("doc_id"), "text"), toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
-    return without(rows, scored.where(F.col("predicted") == 1).select(F.col("doc_id").alias(ROW)), ROW).select(*docs.columns)
+    rows = by_content(docs, "text")
+    scored = toxicity.score_toxicity(rows, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")), carry=CONTENT)
+    return without(rows, scored.where(F.col("predicted") == 1).select("carried.*"), CONTENT).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the least doc_id of each group of near copies: five-word shingles, similarity 0.8."""
-    return without(docs, near_dedup.near_duplicates(docs, size=5, percent=80).where(~F.col("kept")))
+    return without(docs, near_dedup.near_duplicates(docs, size=5, percent=80).where(~F.col("kept"))).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     cut = substring_dedup.deduplicate(docs, window=20, keep_layout=True, carry=others)
     left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return left.select(*[own[c] if c in own else F.col("carried").getField(c).alias(c) for c in docs.columns])
+    return left.select(*[own.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafspark.llm.arrow_text import lower_ascii, run_hashes, scramble, sized_slices, utf8, words
 from leafspark.llm.labelled import remainder, training_rows
@@ -226,16 +227,16 @@ def summed(rows: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(rows, weights=x[:, k], minlength=n) for k in range(x.shape[1])], axis=1)
 
 
-def evidence(ids: np.ndarray, row: np.ndarray, labels: np.ndarray, n: int, weight: float = 2.0) -> np.ndarray:
-    """Log odds, against the labels' prior, that a text is toxic that holds a thing; smoothed by ``weight`` texts.
+def evidence(word: np.ndarray, row: np.ndarray, labels: np.ndarray, n: int, weight: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``n`` words, the number of texts that hold it, and the log odds, against the labels' prior, that such a text is toxic.
 
-    ``ids`` (below n) are the things, such as words, of the texts ``row``.
+    ``word`` stands in the text ``row``, and each pair counts once; odds are smoothed by ``weight`` texts.
     """
-    pairs = pd.DataFrame({"i": ids, "r": row}).drop_duplicates()
-    i, toxic = pairs["i"].to_numpy(dtype=np.int64), labels[pairs["r"].to_numpy(dtype=np.int64)] == 1
+    pairs = np.unique(word * max(len(labels), 1) + row)
+    word, toxic = pairs // max(len(labels), 1), labels[pairs % max(len(labels), 1)] == 1
     prior = (labels.sum() + 1) / (len(labels) + 2)
-    yes, no = np.bincount(i[toxic], minlength=n), np.bincount(i[~toxic], minlength=n)
-    return np.log((yes + weight * prior) / (no + weight * (1 - prior))) - np.log(prior / (1 - prior))
+    yes, no = np.bincount(word[toxic], minlength=n), np.bincount(word[~toxic], minlength=n)
+    return yes + no, np.log((yes + weight * prior) / (no + weight * (1 - prior))) - np.log(prior / (1 - prior))
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 4, epochs: int = 3, most_words: int = 30_000, least_steps: int = 240, rate: float = 0.01, fade: tuple[float, float] = (0.3, 0.05)) -> Network:
@@ -249,8 +250,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 4, ep
     """
     rng = np.random.default_rng(seed)
     w = read_words(pa.array(texts, type=pa.large_string()))
-    row_of_word = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    in_texts = np.bincount(pd.DataFrame({"w": w.order, "r": row_of_word}).drop_duplicates()["w"].to_numpy(dtype=np.int64), minlength=len(w.hashes))
+    in_texts, odds = evidence(w.order, np.repeat(np.arange(len(texts)), np.diff(w.first)), labels, len(w.hashes))
     often = np.lexsort((w.hashes, -in_texts))[:most_words]
     often = often[in_texts[often] >= max(3, len(texts) // 500)]
     often = often[np.argsort(w.hashes[often])]
@@ -260,7 +260,6 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 4, ep
     net.p["c"][:] = np.log(prior / (1 - prior))
     if not len(labels) or labels.min() == labels.max():
         return net
-    odds = evidence(w.order, row_of_word, labels, len(w.hashes))
     net.p["E"][2:, 0] = 0.5 * odds[often]
     ids, row = windows(w.first, w.order, len(w.hashes))
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
@@ -320,9 +319,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 4_000) ->
     return fit(rows["text"].tolist(), rows["label"].to_numpy(dtype=np.int64))
 
 
-def score_toxicity(docs: DataFrame, net: Network, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, net: Network, threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
     """Score every whole text: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
+    With ``carry``, also carried: a struct of the columns so named.
+
     Null and empty texts are one window of padding; texts of any length are scored to their end; a null
     doc_id stays null; repeated rows are scored each; other columns are ignored; an empty table gives no
     rows. The network is a few hundred kilobytes, bounded by its number of words.
@@ -332,7 +333,13 @@ def score_toxicity(docs: DataFrame, net: Network, threshold: float = 0.3) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sized_slices(batch, "text"):
-                yield pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(shared.value.scores(part.column("text")))], names=["doc_id", "held_out", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id").cast("long"), 4) == 2).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+                out = pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(shared.value.scores(part.column("text")))], names=["doc_id", "held_out", "score"])
+                yield out.append_column("carried", part.column("carried")) if carry else out
+
+    own = [F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id").cast("long"), 4) == 2).alias("held_out"), "text"]
+    rows = docs.select(*own, *([F.struct(*carry).alias("carried")] if carry else []))
+    schema = T.StructType.fromDDL("doc_id long, held_out boolean, score double")
+    if carry:
+        schema = schema.add("carried", rows.schema["carried"].dataType)
+    scored = rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored.select("doc_id", "held_out", "score", "predicted", *(["carried"] if carry else []))
