@@ -100,9 +100,9 @@ def timestamp_parts(ts: Column) -> Column:
     return F.struct(*[c.cast("int").alias(n) for n, c in parts.items()], hundredths.alias("centisecond"))
 
 
-def readable_score(text: Column) -> Column:
-    """How much the first 500 single-byte characters look like text; -1 under 50 of them."""
-    head = F.substring(text, 1, 500)
+def readable_score(data: Column) -> Column:
+    """How much the first 500 bytes look like text; -1 under 50 of them."""
+    head = latin1(F.substring(data, 1, 500))
     n = F.length(head)
     count = lambda pattern: n - F.length(F.regexp_replace(head, pattern, ""))
     share = lambda pattern, weight: F.floor(count(pattern) * weight / n)

@@ -180,22 +180,34 @@ def ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
 
 
-def expand_palmdoc(data: bytes, wide: bool = False) -> bytes:
-    """PalmDoc's LZ77. With ``wide``, the variant in which pairs have 14 bits of distance and from 0xC0 on a length."""
-    if not data:
-        return b""
-    raw = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+def palmdoc_tokens(raw: np.ndarray, wide: bool) -> tuple[np.ndarray, ...]:
+    """Place of each token of a stream, whether it is a raw run and whether a pair, its two-byte value, and the bytes it gives."""
     is_run = (raw >= 1) & (raw <= 8)
     is_pair = (raw >= 0x80) & (wide | (raw < 0xC0))
     at = token_starts(1 + np.where(is_run, raw, 0) + is_pair)
     if is_pair[at[-1]] and at[-1] + 1 == len(raw):  # a pair of one byte ends the stream
         at = at[:-1]
     token, run, pair = raw[at], is_run[at], is_pair[at]
-    joined = (token >= 0xC0) & ~pair
     second = raw[np.minimum(at + 1, len(raw) - 1)]
     both = ((token << 8) | second) & 0x3FFF
     copied = np.where(token < 0xC0, 3, (token >> 2 & 7) + 3) if wide else (both & 7) + 3
-    size = np.where(pair, copied, np.where(run, np.minimum(token, len(raw) - at - 1), 1 + joined))
+    size = np.where(pair, copied, np.where(run, np.minimum(token, len(raw) - at - 1), 1 + (token >= 0xC0)))
+    return at, run, pair, both, size
+
+
+def palmdoc_size(data: bytes, wide: bool = False) -> int:
+    """Bytes that a stream expands to, told from its tokens alone."""
+    return int(palmdoc_tokens(np.frombuffer(data, dtype=np.uint8).astype(np.int64), wide)[4].sum()) if data else 0
+
+
+def expand_palmdoc(data: bytes, wide: bool = False) -> bytes:
+    """PalmDoc's LZ77. With ``wide``, the variant in which pairs have 14 bits of distance and from 0xC0 on a length."""
+    if not data:
+        return b""
+    raw = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+    at, run, pair, both, size = palmdoc_tokens(raw, wide)
+    token = raw[at]
+    joined = (token >= 0xC0) & ~pair
     begin = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), dtype=np.uint8)
     single = ~(run | pair)
@@ -448,10 +460,12 @@ def decode_text_udf(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 expand_udf = _mapped(T.BinaryType(), expand_palmdoc)
 expand_wide_udf = _mapped(T.BinaryType(), lambda x: expand_palmdoc(x, wide=True))
+palmdoc_size_udf = _mapped(T.LongType(), palmdoc_size)
 pack_palmdoc_udf = _mapped(T.BinaryType(), pack_palmdoc)
 pack_words_udf = _mapped(T.BinaryType(), pack_words)
 inflate_udf = _mapped(T.BinaryType(), lambda x: (inflate_words(x) or (b"", []))[0])
 looks_utf8_udf = _mapped(T.BooleanType(), looks_utf8)
+text_record_udf = _mapped(T.BinaryType(), lambda x: (decode_text_record(x) or (b"", []))[0])
 lenient_utf8_udf = _mapped(T.StringType(), lenient_utf8)
 toc_udf = _mapped(TOC_TYPE, lambda x: toc_entries(x, 2))
 toc_from_start_udf = _mapped(TOC_TYPE, lambda x: toc_entries(x, 0))

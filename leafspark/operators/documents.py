@@ -137,7 +137,7 @@ def open_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     heads = palm.headers(read_files(spark, [folder]))
     recs = palm.records(heads)
     known = palm.identified(heads, recs)
-    return {"headers": known, "records": recs, "documents": documents(heads, recs), "contents": contents(recs), "page_offsets": page_offsets(recs), "diagnostics": palm.open_failures(known)}
+    return {"headers": known, "records": recs, "documents": documents(heads, recs), "contents": contents(recs), "page_offsets": page_offsets(recs), "diagnostics": palm.open_failures(known).unionByName(palm.record_failures(recs))}
 
 
 __all__ = ["base_offsets", "concatenated", "contents", "documents", "estimated_size", "extents", "flag_bytes", "open_folder", "page_offsets", "paging", "plain_text_documents", "record_text", "text_of", "text_runs", "title_of"]

@@ -49,11 +49,21 @@ def run_at(queries: DataFrame, runs: DataFrame, key: str, offset: str) -> DataFr
     return page_at(queries, pages, key, offset).withColumnRenamed("page_idx", "run_idx")
 
 
+#: Characters of a document whose points and spans are held against each other.
+STEP = 4096
+
+
+def _stepped(spans: DataFrame) -> DataFrame:
+    """Spans once for each step of offsets that they touch (an empty one touches the step it is in)."""
+    upto = F.greatest(F.col("end") - 1, F.col("start"))
+    return spans.withColumn("_step", F.explode(F.sequence(F.floor(F.col("start") / STEP), F.floor(upto / STEP))))
+
+
 def within(points: DataFrame, spans: DataFrame, key: str, offset: str, how: str = "left") -> DataFrame:
-    """Points with every span (start, end) of their document that holds them."""
-    s = spans.withColumnsRenamed({key: "_key"})
-    hit = (F.col(key) == F.col("_key")) & (F.col("start") <= F.col(offset)) & (F.col(offset) < F.col("end"))
-    return points.join(s, hit, how).drop("_key")
+    """Points with every span (start, end) of their document that holds them; met by document and step of offsets."""
+    s = _stepped(spans.where(F.col("end") > F.col("start"))).withColumnsRenamed({key: "_key", "_step": "_of"})
+    hit = (F.col(key) == F.col("_key")) & (F.col("_step") == F.col("_of")) & (F.col("start") <= F.col(offset)) & (F.col(offset) < F.col("end"))
+    return points.withColumn("_step", F.floor(F.col(offset) / STEP)).join(s, hit, how).drop("_key", "_of", "_step")
 
 
 def link_at(points: DataFrame, links: DataFrame, key: str, offset: str) -> DataFrame:
@@ -64,10 +74,15 @@ def link_at(points: DataFrame, links: DataFrame, key: str, offset: str) -> DataF
 
 
 def overlaps(lines: DataFrame, runs: DataFrame, key: str) -> DataFrame:
-    """Parts of lines under one run each: key, line_idx, run_idx, seg_start, seg_end. Both sides have start and end."""
-    a, b = lines.alias("a"), runs.alias("b")
-    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-    return a.join(b, on).select(f"a.{key}", "line_idx", "run_idx", F.greatest("a.start", "b.start").alias("seg_start"), F.least("a.end", "b.end").alias("seg_end"))
+    """Parts of lines under one run each: key, line_idx, run_idx, seg_start, seg_end. Both sides have start and end.
+
+    They meet by document and step of offsets; a part is kept in the step that it begins in.
+    """
+    a, b = _stepped(lines).alias("a"), _stepped(runs).alias("b")
+    begin = F.greatest("a.start", "b.start")
+    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._step") == F.col("b._step")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
+    met = a.join(b, on).where(F.floor(begin / STEP) == F.col("a._step"))
+    return met.select(f"a.{key}", "line_idx", "run_idx", begin.alias("seg_start"), F.least("a.end", "b.end").alias("seg_end"))
 
 
 def toc_links(toc: DataFrame, docs: DataFrame, key: str) -> DataFrame:

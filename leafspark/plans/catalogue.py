@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafspark.functions import binary, codecs, rules
@@ -204,14 +204,18 @@ def j1_toc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """
-    SELECT doc_id, 'first' AS kind FROM documents WHERE doc_id % 7 = 0
-    UNION ALL SELECT doc_id, 'fallback' FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 2 = 0
+    f"""
+    SELECT doc_id, CASE WHEN instr(text, '{PHRASE}') > 0 THEN 'phrase' ELSE 'first line' END AS kind,
+      CAST(CASE WHEN instr(text, '{PHRASE}') > 0 THEN instr(text, '{PHRASE}') - 1 ELSE 0 END AS BIGINT) AS char_offset
+    FROM documents WHERE instr(text, '{PHRASE}') > 0 OR trim(split_part(text, chr(10), 1), ' ') <> ''
     """
 )
 def j10_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _docs(spark, sf_dir).select("doc_id")
-    return nav.first_or_fallback(ids.where("doc_id % 7 = 0").withColumn("kind", F.lit("first")), ids.where("doc_id % 2 = 0").withColumn("kind", F.lit("fallback")), "doc_id")
+    """Where each document is entered: at the phrase, else at its first line if that isn't blank."""
+    docs = _docs(spark, sf_dir)
+    found = search.find_first(docs, PHRASE).select("doc_id", F.lit("phrase").alias("kind"), "char_offset")
+    lines = docs.where(F.trim(F.substring_index("text", "\n", 1)) != "").select("doc_id", F.lit("first line").alias("kind"), F.lit(0).cast("long").alias("char_offset"))
+    return nav.first_or_fallback(found, lines, "doc_id")
 
 
 # --- slices, bytes, scalars -----------------------------------------------------------------------
@@ -280,14 +284,23 @@ def f14_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", binary.storage_path(F.concat(F.lit("/sdcard/"), "url"), "/data/").alias("path"))
 
 
+#: The characters of each text's first 500 bytes: their bytes, and where they end.
+FIRST_BYTES = """
+SELECT doc_id, c, strlen(c) AS size, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto
+FROM (SELECT doc_id, unnest(s) AS c, unnest(range(0, len(s))) AS i FROM (SELECT doc_id, string_split(substr(text, 1, 500), '') AS s FROM documents))
+"""
+
+
 @registered(
-    r"""
-    SELECT doc_id, CAST(CASE WHEN n < 50 THEN -1 ELSE length(regexp_replace(h, '[^\x20-\x7E]', '', 'g')) * 100 // n + length(regexp_replace(h, '[^ ]', '', 'g')) * 10 // n + length(regexp_replace(h, '[^\n\r]', '', 'g')) * 20 // n END AS INTEGER) AS score
-    FROM (SELECT doc_id, substr(text, 1, 500) AS h, length(substr(text, 1, 500)) AS n FROM documents)
+    rf"""
+    WITH c AS ({FIRST_BYTES}), n AS (
+      SELECT doc_id, least(500, max(upto)) AS n, count(*) FILTER (size = 1 AND upto <= 500 AND c BETWEEN ' ' AND '~') AS plain,
+        count(*) FILTER (c = ' ' AND upto <= 500) AS blank, count(*) FILTER (c IN (chr(10), chr(13)) AND upto <= 500) AS ends FROM c GROUP BY doc_id)
+    SELECT doc_id, CAST(CASE WHEN n < 50 THEN -1 ELSE plain * 100 // n + blank * 10 // n + ends * 20 // n END AS INTEGER) AS score FROM n
     """
 )
 def a3_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", binary.readable_score(F.col("text")).alias("score"))
+    return _docs(spark, sf_dir).select("doc_id", binary.readable_score(F.encode("text", "UTF-8")).alias("score"))
 
 
 # --- rules ----------------------------------------------------------------------------------------
@@ -428,6 +441,11 @@ def u2_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.insert_absent(nation.select(F.col("n_name").alias("name")), new, "name")
 
 
+@registered("SELECT p_brand, CAST(sum(4 + 2 * length(p_name) + 4 * p_size) AS BIGINT) AS size FROM part GROUP BY p_brand")
+def a7_table_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.table_bytes(table(spark, sf_dir, "part"), ["p_brand"], "p_name", "p_size")
+
+
 @registered("SELECT p_partkey, CAST(4 + 2 * length(p_name) + 4 * p_size AS BIGINT) AS size FROM part")
 def a7_theme_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.theme_bytes(table(spark, sf_dir, "part"), "p_name", "p_size").select("p_partkey", "size")
@@ -599,11 +617,178 @@ def f2_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(codecs.lenient_utf8_udf(F.encode("text", "UTF-8")).cast("binary")).alias("digest"))
 
 
-@registered("SELECT doc_id, max(CAST(unicode(c) >= 128 AS INTEGER)) = 1 AS utf8 FROM (SELECT doc_id, unnest(string_split(substr(text, 1, 400), '')) AS c FROM documents) GROUP BY doc_id")
+@registered(
+    f"""
+    WITH c AS ({FIRST_BYTES}), n AS (
+      SELECT doc_id, count(*) FILTER (size > 1 AND upto <= 500) AS good, coalesce(sum(500 - upto + size) FILTER (upto > 500 AND upto - size < 500), 0) AS bad FROM c GROUP BY doc_id)
+    SELECT doc_id, good > 0 AND bad < good AS utf8 FROM n
+    """
+)
 def a4_looks_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UTF-8 bytes of the first 400 characters, of which those that aren't ASCII make sequences."""
-    head = F.encode(F.substring("text", 1, 400), "UTF-8")
-    return _docs(spark, sf_dir).select("doc_id", codecs.looks_utf8_udf(head).alias("utf8"))
+    """On the first 500 bytes; a character that they cut is broken."""
+    return _docs(spark, sf_dir).select("doc_id", codecs.looks_utf8_udf(F.encode("text", "UTF-8")).alias("utf8"))
+
+
+@registered("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size FROM documents")
+def a6_expanded_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of compressed text, told without expanding it."""
+    return _docs(spark, sf_dir).select("doc_id", codecs.palmdoc_size_udf(codecs.pack_palmdoc_udf(F.encode("text", "UTF-8"))).alias("size"))
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz012345"
+
+
+@registered(f"SELECT doc_id, md5(translate(text, '{LETTERS}', '{binary.WINDOWS_1252}')) AS digest FROM documents")
+def f1_hard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in which the bytes 0x80 to 0x9F stand for letters."""
+    raw = F.encode(F.translate("text", LETTERS, binary.C1_CONTROLS), "ISO-8859-1")
+    return _docs(spark, sf_dir).select("doc_id", F.md5(binary.windows_1252(raw).cast("binary")).alias("digest"))
+
+
+@registered("SELECT doc_id, md5(substr(text, 1, 100) || '??Á' || substr(text, 101) || '??') AS digest FROM documents")
+def f2_broken_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a byte that can't be, a lone continuation, one that isn't a continuation, and a cut end."""
+    raw = F.concat(F.encode(F.substring("text", 1, 100), "UTF-8"), F.lit(b"\xff\x80\xc3\x41"), F.encode(F.expr("substring(text, 101)"), "UTF-8"), F.lit(b"\xe2\x82"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(codecs.lenient_utf8_udf(raw).cast("binary")).alias("digest"))
+
+
+@registered("SELECT doc_id, md5(h || substr(h, 1, 3) || substr(h || substr(h, 1, 3), 1, 5)) AS digest FROM (SELECT doc_id, substr(text, 1, 40) AS h FROM documents)")
+def x3_wide_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variant with 14 bits of distance: raw runs, then two pairs from before the text's begin, which are held to it."""
+    head = F.encode(F.substring("text", 1, 40), "ISO-8859-1")
+    run = lambda i: F.substring(head, i * 8 + 1, F.lit(8))
+    runs = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(F.length(run(i)) > 0, F.concat(binary.from_integer(F.length(run(i)), 1), run(i))).otherwise(F.lit(b"")))
+    stream = F.concat(F.aggregate(runs, F.lit(b""), lambda a, x: F.concat(a, x)), F.lit(b"\xbf\xff\xe8\x00"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(binary.latin1(codecs.expand_wide_udf(stream)).cast("binary")).alias("digest"))
+
+
+@registered("SELECT doc_id, md5(substr(text, 1, 3000)) AS digest FROM documents WHERE n_chars >= 100")
+def x4_record_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose trees aren't at their usual place, but two words from the begin."""
+    docs = _docs(spark, sf_dir).where("n_chars >= 100")
+    record = F.concat(F.lit(bytes(8)), codecs.pack_words_udf(F.encode(F.substring("text", 1, 3000), "UTF-8")))
+    return docs.select("doc_id", F.md5(codecs.text_record_udf(record)).alias("digest"))
+
+
+# --- whole containers of both main formats --------------------------------------------------------
+
+TURNS = """
+t AS (SELECT conv_id, turn, role, text, strlen(text) AS n, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS turns FROM conversations)
+"""
+
+
+def _current_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in the current format: record 0, a text record of each turn with its role as style, contents, and a page tree.
+
+    A conversation's number decides which of the four encodings its tree has.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.encode("text", "UTF-8").alias("raw"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    based = turns.withColumns({"n": F.length("raw"), "base": F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0))})
+    flag = F.when(F.col("role") == "user", 0x10).when(F.col("role") == "assistant", 0x20).otherwise(0)
+    body = F.concat(F.lit(b"\x04\x00" + bytes(22)), *[binary.from_integer(flag, 1)] * 8, F.lit(bytes(4)), codecs.pack_words_udf("raw"))
+    number = F.pmod("conv_id", F.lit(4))
+    delta = F.when(number == 0, F.col("n") % 256).when(number == 1, F.col("n") % 16_384).when(number == 2, F.col("n")).otherwise(F.col("n") * 40)
+    width, top = F.when(number < 2, 1).otherwise(2), F.when(number < 2, 128).otherwise(32_768)
+    put = lambda x: F.when(number < 2, binary.from_integer(x, 1)).otherwise(binary.from_integer(x, 2))
+    more = (number % 2 == 1) & (delta >= top)
+    title = F.concat(F.lit("turn "), F.col("turn").cast("string"))
+    entry = F.concat(binary.from_integer(F.col("base"), 2), binary.from_integer(F.length(title), 1), F.lit(b"\0"), F.encode(title, "ISO-8859-1"))
+    listed = based.select("conv_id", "turn", "n", entry.alias("entry"), put(F.when(more, top + delta % top).otherwise(delta)).alias("low"), F.when(more, put(F.floor(delta / top))).alias("high"))
+    every = listed.groupBy("conv_id").agg(
+        F.count("*").alias("turns"),
+        F.sum("n").alias("size"),
+        *[F.expr(f"listagg({c}) WITHIN GROUP (ORDER BY turn)").alias(c) for c in ("entry", "low", "high")],
+    )
+    high = F.coalesce("high", F.lit(b""))
+    tree = F.concat(F.lit(bytes((4, 0, 0, 0, 4, 0, 0, 0)) + b"\x00\x0c\x00\x01"), binary.from_integer(16 + F.length(high), 1), F.lit(b"\0"), binary.from_integer(number, 1), F.lit(bytes(3)), binary.from_integer(F.col("turns"), 2), F.lit(bytes(8)), high, F.col("low"))
+    head = F.concat(
+        F.lit(b"\x00\x80\x04\x01\x00\x00" + palm.RECORD_0_MAGIC.encode() + bytes(8)), binary.from_integer(F.col("size"), 4), F.lit(b"\x00\x08" + bytes(10) + b"\x00\x04\x00\x6a" + bytes(88)),
+        F.lit(b"\x00\x00\x00\x04" + bytes(4)), binary.from_integer(F.col("turns") + 2, 2), F.lit(bytes(2) + bytes(4) + b"\x00\x01" + bytes(2)),
+    )
+    parts = based.select("conv_id", "turn", body.alias("data"))
+    for at, data in ((-1, head), (1 << 40, F.concat(F.lit(b"\x04\x08"), F.col("entry"))), (1 << 41, tree)):
+        parts = parts.unionByName(every.select("conv_id", F.lit(at).alias("turn"), data.alias("data")))
+    return palm.containers(parts, "conv_id", "turn", "data", F.concat(F.lit("talk "), F.col("conv_id").cast("string")), "SDoc")
+
+
+def _opened(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    heads = palm.headers(found)
+    return heads, palm.records(heads)
+
+
+@registered("SELECT CAST(conv_id AS VARCHAR) AS path, 3 AS format, 'talk ' || conv_id AS title, 'UTF-8' AS charset, CAST(sum(length(text)) AS BIGINT) AS text_chars, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def s12_current_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opened = documents.documents(*_opened(_current_containers(spark, sf_dir)))
+    return opened.select("path", "format", "title", "charset", "text_chars", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@registered(
+    """
+    SELECT CAST(conv_id AS VARCHAR) AS path, CAST(1 + conv_id % 2 AS INTEGER) AS format, 'Talk ' || conv_id AS title, CAST(sum(length(text)) AS BIGINT) AS text_chars, md5(string_agg(text, '' ORDER BY turn)) AS digest
+    FROM conversations GROUP BY conv_id
+    """
+)
+def s13_early_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions 1 (compressed) and 2 (as it is)."""
+    raw = F.encode("text", "ISO-8859-1")
+    odd = F.pmod("conv_id", F.lit(2)) == 1
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.when(odd, raw).otherwise(codecs.pack_palmdoc_udf(raw)).alias("data"))
+    title = F.encode(F.concat(F.lit("Talk "), F.col("conv_id").cast("string")), "ISO-8859-1")
+    head = F.concat(F.when(odd, F.lit(b"\x00\x02\x80\x00")).otherwise(F.lit(b"\x00\x01\x00\x00")), binary.from_integer(F.length(title), 1), title, F.lit(b"\x02Me"))
+    parts = turns.unionByName(turns.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), head.alias("data")))
+    opened = documents.documents(*_opened(palm.containers(parts, "conv_id", "turn", "data", F.lit("name"), "SDoc")))
+    return opened.select("path", "format", "title", "text_chars", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@registered(f"WITH {TURNS} SELECT CAST(conv_id AS VARCHAR) AS path, CAST(i AS INTEGER) AS entry_idx, 'turn ' || turn AS title, CAST(base % 65536 AS BIGINT) AS target_offset FROM t")
+def f12_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.contents(_opened(_current_containers(spark, sf_dir))[1])
+
+
+@registered(
+    f"""
+    WITH {TURNS} SELECT CAST(conv_id AS VARCHAR) AS path, CAST(i AS INTEGER) AS page_idx,
+      CAST(sum(CASE conv_id % 4 WHEN 0 THEN n % 256 WHEN 1 THEN n % 16384 WHEN 2 THEN n ELSE n * 40 END + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS start FROM t
+    """
+)
+def w2_page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page starts from trees in all four encodings."""
+    return documents.page_offsets(_opened(_current_containers(spark, sf_dir))[1])
+
+
+@registered(
+    f"""
+    WITH {TURNS}, b AS (SELECT conv_id, turn, role, base, n, unnest(range(0, n, 4096)) AS part FROM t)
+    SELECT CAST(conv_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY base, part) - 1 AS INTEGER) AS run_idx, CAST(base + part AS BIGINT) AS start, CAST(least(n - part, 4096) AS BIGINT) AS length,
+      CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END AS style_id FROM b WHERE part < 8 * 4096
+    """
+)
+def w5_styled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs by the flag bytes of text records' blocks."""
+    heads, recs = _opened(_current_containers(spark, sf_dir))
+    formats = palm.identified(heads, recs)
+    sizes = documents.record_text(recs, formats).groupBy("path").agg(F.sum(F.length("data")).alias("text_bytes"))
+    return documents.text_runs(recs, sizes, formats)
+
+
+@registered(
+    f"""
+    WITH {TURNS}
+    SELECT CAST(conv_id AS VARCHAR) AS path, 'open' AS stage, -2028929015 AS code, 'header cut off' AS message FROM t WHERE conv_id % 4 = 1 AND i = 0
+    UNION ALL SELECT CAST(conv_id AS VARCHAR), 'open', -2028929015, 'unknown format' FROM t WHERE conv_id % 4 = 2 AND i = 0
+    UNION ALL SELECT CAST(conv_id AS VARCHAR), 'record', -2147024886, 'record ' || i || ' is cut off' FROM t WHERE conv_id % 4 = 3 AND CASE WHEN i = turns - 1 THEN base > 1 ELSE base + n > 1 END
+    """
+)
+def p2_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers as they are, with a header cut off, of no known type, and cut off behind a byte of their first record."""
+    found = _turn_containers(spark, sf_dir)
+    number, c = F.pmod(F.col("path").cast("long"), F.lit(4)), F.col("content")
+    n = binary.u16(c, 76)
+    broken = F.when(number == 1, F.substring(c, 1, 80)).when(number == 2, F.concat(F.substring(c, 1, 60), F.lit(b"Else"), F.expr("substring(content, 65)"))).when(number == 3, F.substring(c, F.lit(1), 78 + 8 * n + 1)).otherwise(c)
+    heads, recs = _opened(found.select("path", broken.alias("content")))
+    return palm.open_failures(palm.identified(heads, recs)).unionByName(palm.record_failures(recs))
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

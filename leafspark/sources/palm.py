@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafspark.functions.binary import from_integer, has_flag, i32, latin1, title_of, u8, u16, u32, until_nul
 from leafspark.functions.rules import FORMAT_PALMDOC, FORMAT_V3, document_format
+from leafspark.sources.files import diagnostics
 
 #: Fixed values of the format: sizes, the record-0 magic, and the text encoding that means UTF-8.
 HEADER_BYTES, ENTRY_BYTES = 78, 8
@@ -181,7 +182,13 @@ def open_failures(heads: DataFrame) -> DataFrame:
     """Rows for containers that can't be opened: cut off, empty, or of no known format. ``heads`` are identified."""
     code = F.when(~F.col("valid"), CORRUPT).when(F.col("record_count") == 0, CORRUPT).when(F.col("format") == 0, CORRUPT).otherwise(0)
     text = F.when(~F.col("valid"), "header cut off").when(F.col("record_count") == 0, "no records").otherwise("unknown format")
-    return heads.select("path", F.lit("open").alias("stage"), code.alias("code"), text.alias("message")).where(F.col("code") < 0)
+    return diagnostics(heads, "open", code, text)
 
 
-__all__ = ["CORRUPT", "FORMAT_PALMDOC", "FORMAT_V3", "SHORT_READ", "containers", "current_layout", "early_layout", "headers", "identified", "open_failures", "palmdoc_layout", "record_0", "records", "title_of"]
+def record_failures(recs: DataFrame) -> DataFrame:
+    """Rows for records that couldn't be read: their extent is negative or passes the end of the file."""
+    text = F.concat(F.lit("record "), F.col("idx").cast("string"), F.lit(" is cut off"))
+    return diagnostics(recs.where(F.col("data").isNull()), "record", F.lit(SHORT_READ), text)
+
+
+__all__ = ["CORRUPT", "FORMAT_PALMDOC", "FORMAT_V3", "SHORT_READ", "containers", "current_layout", "early_layout", "headers", "identified", "open_failures", "palmdoc_layout", "record_0", "record_failures", "records", "title_of"]

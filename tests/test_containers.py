@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafspark.functions import binary, codecs, rules
-from leafspark.operators import documents, keyed, layout, nav, styles
+from leafspark.operators import documents, keyed, layout, nav, search, styles
 from leafspark.sources import files, palm
 from leafspark.streaming import arriving_headers
 
@@ -172,6 +172,41 @@ def test_screen_and_links(spark):
     assert list(row) == ["Página 3/9", "Página 3"]
 
 
+def test_matches_without_regard_to_case_where_lowering_changes_lengths(spark):
+    texts = ["İİ find ME here", "no", "FIND me", "x\n(İ) find\nme Find Me", None, "ÉFIND ME"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for query, start in (("find me", 0), ("Find Me", 2)):
+        got = {r["k"]: (r["char_offset"], r["byte_offset"], r["byte_length"]) for r in search.find_first(docs, query, start, ignore_case=True).collect()}
+        want = {}
+        for k, t in enumerate(texts):
+            for i in range(start, len(t or "")):
+                part = t[i : i + len(query)]
+                if part.upper() == query.upper():
+                    want[k] = (i, len(t[:i].encode()), len(part.encode()))
+                    break
+        assert got == want
+
+
+@pytest.mark.parametrize("step", [4, 4096])
+def test_spans_meet_over_steps(spark, monkeypatch, step):
+    monkeypatch.setattr(nav, "STEP", step)
+    lines = [(1, i, a, b) for i, (a, b) in enumerate([(0, 5), (5, 5), (5, 12), (12, 30), (30, 31)])]
+    runs = [(1, i, a, b) for i, (a, b) in enumerate([(0, 7), (7, 8), (8, 29), (29, 40)])]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"k int, {name} int, start long, end long")
+    got = sorted(tuple(r) for r in nav.overlaps(frame(lines, "line_idx"), frame(runs, "run_idx"), "k").collect())
+    assert got == sorted((1, i, j, max(a, c), min(b, d)) for _, i, a, b in lines for _, j, c, d in runs if a < d and c < b)
+    points = spark.createDataFrame([(1, p) for p in range(-1, 42)], "k int, at long")
+    got = sorted(tuple(r) for r in nav.within(points, frame(runs, "run_idx"), "k", "at", "inner").select("at", "run_idx").collect())
+    assert got == sorted((p, j) for p in range(-1, 42) for _, j, c, d in runs if c <= p < d)
+    assert nav.within(points, frame(runs, "run_idx"), "k", "at").count() == 43
+
+
+def test_records_past_the_end_are_reported(spark):
+    raw = container(b"SDoc", [b"abc", b"de", b"f"])
+    recs = palm.records(palm.headers(spark.createDataFrame([("x", raw[:-2])], "path string, content binary")))
+    assert [tuple(r) for r in palm.record_failures(recs).collect()] == [("x", "record", palm.SHORT_READ, "record 1 is cut off"), ("x", "record", palm.SHORT_READ, "record 2 is cut off")]
+
+
 def test_keyed_table_limits(spark):
     table = spark.createDataFrame([("Night",)], "name string")
     new = spark.createDataFrame([("NIGHT", 1), ("Day", 2), ("day", 3), ("x" * 32, 4), ("", 5)], "name string, k int")
