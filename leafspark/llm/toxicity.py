@@ -28,7 +28,7 @@ WINDOW, STRIDE = 32, 16
 GRAMS = 4096
 CHUNK = 1024
 #: So many words of a text are used for fitting at most.
-EXCERPT = 8192
+EXCERPT = 4096
 BLANK = re.compile(r"[ \t-\r]+")
 
 
@@ -84,15 +84,18 @@ def read_words(texts: pa.Array) -> Words:
     where[order[::-1]] = np.arange(len(order) - 1, -1, -1)
     a, b = starts[where], stops[where]
     # trigrams over the word between two marks: as many as it has bytes
-    lengths = b - a
-    rows = np.repeat(np.arange(len(a)), lengths)
-    inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    i = inside + np.repeat(a, lengths)
-    held = data.astype(np.uint64)
-    before = np.where(inside == 0, np.uint64(1), held[np.maximum(i - 1, 0)] if len(held) else np.uint64(1))
-    behind = np.where(inside == np.repeat(lengths, lengths) - 1, np.uint64(2), held[np.minimum(i + 1, len(held) - 1)] if len(held) else np.uint64(2))
-    grams = scramble((before << np.uint64(16)) | ((held[i] if len(held) else before) << np.uint64(8)) | behind) % np.uint64(GRAMS)
-    return Words(hashes.astype(np.uint64), rows, grams.astype(np.int64), order, first)
+    lengths = (b - a).astype(np.int32)
+    begins = np.cumsum(lengths) - lengths
+    rows = np.repeat(np.arange(len(a), dtype=np.int32), lengths)
+    grams = np.zeros(len(rows), dtype=np.int32)
+    for at in range(0, len(rows), 200_000):  # a few at a time, as their numbers are many times the text
+        own = rows[at : at + 200_000]
+        inside = np.arange(at, at + len(own)) - begins[own]
+        i = inside + a[own]
+        before = np.where(inside == 0, 1, data[np.maximum(i - 1, 0)]).astype(np.uint64)
+        behind = np.where(inside == lengths[own] - 1, 2, data[np.minimum(i + 1, len(data) - 1)]).astype(np.uint64)
+        grams[at : at + len(own)] = scramble((before << np.uint64(16)) | (data[i].astype(np.uint64) << np.uint64(8)) | behind) % np.uint64(GRAMS)
+    return Words(hashes.astype(np.uint64), rows, grams, order.astype(np.int32), first)
 
 
 def windows(first: np.ndarray, order: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,10 +105,12 @@ def windows(first: np.ndarray, order: np.ndarray, pad: int) -> tuple[np.ndarray,
     row = np.repeat(np.arange(len(counts)), each)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
     begin = np.minimum(nth * STRIDE, np.maximum(counts[row] - WINDOW, 0))
-    place = begin[:, None] + np.arange(WINDOW)
-    inside = place < counts[row][:, None]
-    held = order if len(order) else np.zeros(1, dtype=np.int64)
-    return np.where(inside, held[np.minimum(first[:-1][row][:, None] + place, len(held) - 1)], pad).astype(np.int32), row
+    held = order if len(order) else np.zeros(1, dtype=np.int32)
+    ids = np.full((len(row), WINDOW), pad, dtype=np.int32)
+    for k in range(WINDOW):
+        inside = np.flatnonzero(begin + k < counts[row])
+        ids[inside, k] = held[first[:-1][row[inside]] + begin[inside] + k]
+    return ids, row
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -232,13 +237,21 @@ def evidence(word: np.ndarray, row: np.ndarray, labels: np.ndarray, n: int, weig
 
     ``word`` stands in the text ``row``, and each pair counts once; odds are smoothed by ``weight`` texts.
     """
-    pairs = np.unique(word * max(len(labels), 1) + row)
+    pairs = np.unique(word.astype(np.int64) * max(len(labels), 1) + row)
     word, toxic = pairs // max(len(labels), 1), labels[pairs % max(len(labels), 1)] == 1
     prior = (labels.sum() + 1) / (len(labels) + 2)
     yes, no = np.bincount(word[toxic], minlength=n), np.bincount(word[~toxic], minlength=n)
     return yes + no, np.log((yes + weight * prior) / (no + weight * (1 - prior))) - np.log(prior / (1 - prior))
 
 
+def rolled_max(value: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Greatest value of each window's words."""
+    out = value[ids[:, 0]]
+    for k in range(1, ids.shape[1]):
+        np.maximum(out, value[ids[:, k]], out=out)
+    return out
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 4, epochs: int = 3, most_words: int = 30_000, least_steps: int = 240, rate: float = 0.01, fade: tuple[float, float] = (0.3, 0.05)) -> Network:
     """Train on texts of which only the documents are labelled; known words are those of three texts and a 500th at least.
 
@@ -264,7 +277,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 4, ep
     ids, row = windows(w.first, w.order, len(w.hashes))
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step, decay = 0, dict(zip("EC", fade, strict=True))
-    score = np.append(odds, -np.inf)[ids].max(axis=1)
+    score = rolled_max(np.append(odds, -np.inf).astype(np.float32), ids)
     for turn in range(rounds):
         if turn:
             score = net.logits(ids, net.inputs(w)[2])

@@ -127,7 +127,7 @@ def test_excerpts_are_words_of_the_text():
     out = toxicity.excerpts(pa.array(texts)).to_pylist()
     assert out[:3] == texts[:3] and out[4] == texts[4]
     at = [int(x[1:]) for x in out[3].split()]
-    assert len(at) == toxicity.EXCERPT and at[0] < 250 and at[-1] > 49_700
+    assert len(at) == toxicity.EXCERPT and at[0] < 450 and at[-1] > 49_500
 
 
 def test_quality_on_held_out_rows(spark):
