@@ -29,6 +29,7 @@ def sized_slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> I
         upto = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(at, upto - at)
         at = upto
+    pa.default_memory_pool().release_unused()  # workers live on, and what a batch took is for the next stage
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafspark.llm import chat, language, media, near_dedup, packing, pieces, quality_model, quality_rules, substring_dedup, toxicity
-from leafspark.llm.oracles import OP4
+from leafspark.llm.oracles import OP1, OP3, OP4, OP9
 from leafspark.llm.scratch import shared_dir
 from leafspark.session import table
 
@@ -99,4 +99,4 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1, "op3_chat": OP3, "op4_quality_rules": OP4, "op9_substring_dedup": OP9}
