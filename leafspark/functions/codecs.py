@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -57,13 +58,16 @@ def canonical(lengths: list[int]) -> dict[tuple[int, int], int]:
 def read_lengths(bits: Bits, codes: dict[tuple[int, int], int], count: int) -> list[int]:
     """A list of code lengths; a repeat never runs past the list's end."""
     out: list[int] = []
+    # what each next seven bits begin with: codes are that long at most, as three bits state their lengths
+    begins = {}
+    for (n, code), symbol in codes.items():
+        first = int(f"{code:0{n}b}"[::-1], 2)
+        begins.update((first | rest << n, (symbol, n)) for rest in range(1 << (7 - n)))
     while len(out) < count:
-        n = code = 0
-        while (n, code) not in codes:
-            if n > 16:
-                raise ValueError("no such code")
-            n, code = n + 1, code << 1 | bits.take(1)
-        symbol = codes[n, code]
+        symbol, n = begins.get(bits.value >> bits.at & 0x7F, (0, 0))
+        if not n:
+            raise ValueError("no such code")
+        bits.take(n)
         if symbol < 16:
             out.append(symbol)
         elif symbol == 16:
@@ -73,7 +77,8 @@ def read_lengths(bits: Bits, codes: dict[tuple[int, int], int], count: int) -> l
     return out[:count]
 
 
-def block_header(literals: list[int], distances: list[int]) -> tuple[int, int]:
+@lru_cache(maxsize=256)
+def block_header(literals: tuple[int, ...], distances: tuple[int, ...]) -> tuple[int, int]:
     """DEFLATE bits, a whole number of bytes, after which a block of these trees can follow; value and size."""
     value = size = 0
 
@@ -111,7 +116,7 @@ def inflate_words(data: bytes) -> tuple[bytes, list[int]] | None:
         literals, distances = read_lengths(bits, codes, n_literals), read_lengths(bits, codes, n_distances)
     except (EOFError, ValueError):
         return None
-    value, size = block_header(literals, distances)
+    value, size = block_header(tuple(literals), tuple(distances))
     head, view = value.to_bytes(size // 8, "little"), memoryview(stream)
     at, blocks = -(-bits.at // 32) * 4, []
     while at < len(stream) and len(blocks) < MOST_BLOCKS:
@@ -301,15 +306,13 @@ def reach(count: int, per_step: int, first: int) -> tuple[np.ndarray, np.ndarray
     return first + np.concatenate([[0], np.cumsum(1 << extra)[:-1]]), extra
 
 
-def pack_words(data: bytes, block: int = 4096) -> bytes:
-    """A record's trees and blocks that inflate_words reads: codes of fixed lengths, matches inside of blocks."""
+@lru_cache(maxsize=1)
+def fixed_codes() -> tuple:
+    """The packer's trees as a record begins with them, codes and sizes of literals and of distances, and what length and distance codes reach."""
     literals, distances = [8] * 226 + [9] * 60, [4] * 2 + [5] * 28
     head = [(286 - 257, 5), (30 - 1, 5), (15, 4), *((4 if s < 16 else 0, 3) for s in LENGTH_ORDER)]
     head += [(int(f"{n:04b}"[::-1], 2), 4) for n in (*literals, *distances)]
     value, size = (np.array(x, dtype=np.int64) for x in zip(*head, strict=True))
-    out = [packed(value, size, np.cumsum(size) - size, int(size.sum()))]
-    if not data:
-        return out[0]
 
     def coded(lengths: list[int]) -> np.ndarray:
         turned = np.zeros(len(lengths), dtype=np.int64)
@@ -317,14 +320,20 @@ def pack_words(data: bytes, block: int = 4096) -> bytes:
             turned[s] = int(f"{code:0{n}b}"[::-1], 2)
         return turned
 
-    literal_code, distance_code = coded(literals), coded(distances)
-    literal_size, distance_size = np.array(literals), np.array(distances)
-    least_length, length_extra = reach(28, 4, 3)
-    least_distance, distance_extra = reach(30, 2, 1)
+    trees = packed(value, size, np.cumsum(size) - size, int(size.sum()))
+    return trees, coded(literals), np.array(literals), coded(distances), np.array(distances), *reach(28, 4, 3), *reach(30, 2, 1)
+
+
+def pack_words(data: bytes, block: int = 4096) -> bytes:
+    """A record's trees and blocks that inflate_words reads: codes of fixed lengths, matches inside of blocks."""
+    trees, literal_code, literal_size, distance_code, distance_size, least_length, length_extra, least_distance, distance_extra = fixed_codes()
+    out = [trees]
+    if not data:
+        return trees
 
     raw = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
     begin = np.arange(len(raw)) // block * block
-    length, back = matches(raw, 32_768, 4, 64, begin)
+    length, back = matches(raw, 32_768, 4, 32, begin)
     at = token_starts(np.where(length > 0, length, 1))
     length, back, byte = length[at], back[at], raw[at]
     pair = length > 0
