@@ -24,6 +24,7 @@ from leafspark.llm.packing import PieceTable
 
 SPACE = 0x2581
 _GAP = -1
+_LAST = 0x7FFFFFFE  # above every character
 #: Characters of units that are indexed and relaxed at a time (a longer unit is alone).
 INDEXED = 200_000
 _MODELS: dict[str, tuple["PieceModel", PieceTable]] = {}
@@ -34,11 +35,16 @@ def pairs_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left.astype(np.int64) << 21) | right
 
 
+def as_strings(points: np.ndarray) -> np.ndarray:
+    """Rows of code points (_GAP is least) as byte strings that compare as they do."""
+    return np.ascontiguousarray(points + 1, dtype=">u4").view(f"S{4 * points.shape[1]}").ravel()
+
+
 @dataclass
 class PieceModel:
     """A BPE vocabulary with byte fallback and no text normalisation but a space put before each text."""
 
-    texts: np.ndarray  # pieces as code points, _GAP after their ends
+    texts: np.ndarray  # pieces as code points in their order, _GAP after their ends
     lengths: np.ndarray
     ids: np.ndarray
     ranks: np.ndarray  # 0 is merged first
@@ -46,6 +52,8 @@ class PieceModel:
     forms: list[bytes]  # what each id decodes to
     breaks: bytes  # line ends and tabs that are in no piece
     beside: np.ndarray  # sorted pairs of characters that some piece has side by side
+    least: np.ndarray  # the pieces as strings, least and greatest of what begins with them
+    most: np.ndarray
 
     @classmethod
     def load(cls, path: str) -> "PieceModel":
@@ -57,7 +65,7 @@ class PieceModel:
         byte = [i for i in range(n) if model.is_byte(i)]
         if len(byte) != 256:
             raise ValueError("the model must have byte fallback")
-        plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        plain = sorted((i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))), key=names.__getitem__)
         if any(chr(SPACE) in names[i].lstrip(chr(SPACE)) for i in plain):
             raise ValueError("a piece has a space inside")
         lengths = np.array([len(names[i]) for i in plain])
@@ -77,19 +85,23 @@ class PieceModel:
             by_byte[forms[i][0]] = i
         scores = np.array([model.get_score(i) for i in plain])
         used = {c for i in plain for c in names[i]}
-        return cls(texts, lengths, np.array(plain, dtype="<u4"), np.unique(-scores, return_inverse=True)[1], by_byte, forms, bytes(c for c in b"\n\t\r" if chr(c) not in used), np.unique(pairs_of(texts[:, :-1], texts[:, 1:])[texts[:, 1:] != _GAP]))
+        breaks = bytes(c for c in b"\n\t\r" if chr(c) not in used)
+        beside = np.unique(pairs_of(texts[:, :-1], texts[:, 1:])[texts[:, 1:] != _GAP])
+        ranks = np.unique(-scores, return_inverse=True)[1]
+        return cls(texts, lengths, np.array(plain, dtype="<u4"), ranks, by_byte, forms, breaks, beside, as_strings(texts), as_strings(np.where(texts == _GAP, _LAST, texts)))
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes by their first ``depth`` characters at least, by doubling ranks."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    span = 1
+    """Order of all suffixes by their first ``depth`` characters at least, by doubling ranks that begin with three characters."""
+    far = np.append(text.astype(np.int64) + 1, [0, 0])
+    rank = np.unique((far[:-2] << 42) | (far[1:-1] << 21) | far[2:], return_inverse=True)[1].astype(np.int64)
+    span = 3
     while span < depth:
         behind = np.zeros(len(rank), dtype=np.int64)
         behind[: max(len(rank) - span, 0)] = rank[span:] + 1
         rank = np.unique(rank * (len(rank) + 2) + behind, return_inverse=True)[1].astype(np.int64)
         span *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank)
 
 
 def occurrences(text: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
@@ -97,26 +109,13 @@ def occurrences(text: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.nda
     width = model.texts.shape[1]
     order = suffix_array(text, width)
     padded = np.concatenate([text, np.full(width, _GAP, dtype=np.int32)])
-    inside = np.arange(width) < model.lengths[:, None]
-
-    def bound(upper: bool) -> np.ndarray:
-        low, high = np.zeros(len(model.texts), dtype=np.int64), np.full(len(model.texts), len(order), dtype=np.int64)
-        while (open_ := low < high).any():
-            at = np.flatnonzero(open_)
-            middle = (low[at] + high[at]) // 2
-            step = np.where(inside[at], padded[order[middle][:, None] + np.arange(width)] - model.texts[at], 0)
-            first = (step != 0).argmax(axis=1)
-            sign = step[np.arange(len(at)), first]
-            before = sign <= 0 if upper else sign < 0
-            low[at[before]] = middle[before] + 1
-            high[at[~before]] = middle[~before]
-        return low
-
-    a, b = bound(False), bound(True)
+    suffixes = as_strings(np.lib.stride_tricks.sliding_window_view(padded, width)[order])
+    a = np.searchsorted(suffixes, model.least)
+    b = np.searchsorted(suffixes, model.most, side="right")
     counts = b - a
     piece = np.repeat(np.arange(len(counts)), counts)
     begin = order[np.arange(int(counts.sum())) + np.repeat(a - np.cumsum(counts) + counts, counts)]
-    sort = np.argsort(begin * (width + 1) + model.lengths[piece], kind="stable")
+    sort = np.argsort(begin * (width + 1) + model.lengths[piece])
     return begin[sort], piece[sort]
 
 
