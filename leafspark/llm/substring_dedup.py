@@ -14,7 +14,9 @@ grows with the square of the corpus; so documents and passages meet by phrase fi
 the confirmed phrases of its documents. Texts cross the network once.
 
 Windows are equal if 96 bits are: a 64-bit hash of the window, and 32 bits of one from other hashes of its
-words. Of 6e12 different windows (100 TB) two are mistaken for each other with a chance of 2e-4.
+words. Of 6e12 different windows (100 TB) two are mistaken for each other with a chance of 2e-4. The windows that
+a document keeps come back to it by the first hash alone: with a thousand windows each in 6e9 documents, the
+chance that one document anywhere has two of one hash is 2e-4 as well.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from itertools import compress
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,32 +97,32 @@ class Shard:
         automaton.make_automaton()
         value = np.array(patterns, dtype=np.uint64)
         for r, (text, begins) in streams.items():
-            hits = np.array(list(automaton.iter(text)), dtype=np.int64).reshape(-1, 2)
+            hits = np.fromiter(automaton.iter(text), dtype=np.dtype((np.int64, 2)))
             if len(hits):
                 found[self.first[r] + np.searchsorted(begins, hits[:, 0] + 1) - self.phrase] = value[hits[:, 1]]
         return found
 
-    def candidates(self, recurring: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, hash and check of the windows that a located phrase stands for."""
+    def candidates(self, recurring: pa.Array, checked: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, hash and, if they are to be ``checked``, check of the windows that a located phrase stands for."""
         found = self.located(recurring)
         if not found.any():
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
         known = rolling(np.where(found != _NONE, found, _ALL), self.span)
         at = np.flatnonzero((known == self.least) & self.inside)
+        value = shingle_hashes(self.hashes, self.window)[at]
+        if not checked:
+            return at, value, np.zeros(0, dtype=np.uint32)
         check = shingle_hashes(run_hashes(self.data, self.starts, self.stops, seed=1), self.window)[at] >> np.uint64(32)
-        return at, shingle_hashes(self.hashes, self.window)[at], check.astype(np.uint32)
+        return at, value, check.astype(np.uint32)
 
 
-def _first_of_each(*keys: np.ndarray) -> np.ndarray:
-    """Index of the first entry of every different key; the last key given is the least significant."""
-    order = np.lexsort(keys[::-1])
-    if not len(order):
-        return order
-    new = np.zeros(len(order), dtype=bool)
-    new[0] = True
+def _numbered(*keys: np.ndarray) -> np.ndarray:
+    """A number for each different combination of keys, in the order of their first places."""
+    out = np.zeros(len(keys[0]), dtype=np.int64)
     for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    return order[new]
+        codes, found = pd.factorize(k)
+        out = pd.factorize(out * (len(found) + 1) + codes)[0]
+    return out
 
 
 def deduplicate(docs: DataFrame, window: int = 20, phrase: int = 5, keep_layout: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -157,10 +160,8 @@ def deduplicate(docs: DataFrame, window: int = 20, phrase: int = 5, keep_layout:
                 shard = Shard(part.column("text"), window, phrase)
                 at, value, check = shard.candidates(part.column("recurring"))
                 doc = part.column("doc_id").to_numpy()[shard.row[at]]
-                order = np.lexsort((doc, check, value))
-                value, check, doc = value[order], check[order], doc[order]
-                new = np.ones(len(value), dtype=bool)
-                new[1:] = (value[1:] != value[:-1]) | (check[1:] != check[:-1])
+                order = np.argsort(doc, kind="stable")
+                new = order[~pd.Series(_numbered(value, check)[order]).duplicated().to_numpy()]
                 yield pa.record_batch([pa.array(value[new].view(np.int64)), pa.array(check[new].view(np.int32)), pa.array(doc[new])], names=["window", "check", "doc_id"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,11 +179,11 @@ def deduplicate(docs: DataFrame, window: int = 20, phrase: int = 5, keep_layout:
         .groupBy("window", "check")
         .agg(F.min("doc_id").alias("doc_id"))
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("window", "check")).alias("firsts"))
+        .agg(F.collect_list("window").alias("firsts"))
     )
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, removed array<struct<first:int,words:int>>, text string").add("carried", rows.schema["carried"].dataType)
     found = marked.join(firsts, "doc_id", "left").mapInArrow(remove, schema)
-    none = {"recurring": F.lit(None).cast("array<long>"), "firsts": F.lit(None).cast("array<struct<window:long,check:int>>")}
+    none = {"recurring": F.lit(None).cast("array<long>"), "firsts": F.lit(None).cast("array<long>")}
     unnumbered = rows.where(F.col("doc_id").isNull()).withColumns(none)
     named = F.struct(*[F.col("carried").getField(f"c{i}").alias(c) for i, c in enumerate(carry)]) if carry else F.lit(None).cast("struct<>")
     return found.unionAll(unnumbered.mapInArrow(remove, schema)).withColumn("carried", named)
@@ -190,18 +191,14 @@ def deduplicate(docs: DataFrame, window: int = 20, phrase: int = 5, keep_layout:
 
 def _cleaned(part: pa.RecordBatch, window: int, phrase: int, keep_layout: bool) -> pa.RecordBatch:
     shard = Shard(part.column("text"), window, phrase)
-    at, value, check = shard.candidates(part.column("recurring"))
-    firsts = part.column("firsts")
+    at, value, _ = shard.candidates(part.column("recurring"), checked=False)
+    firsts = part.column("firsts").cast(pa.large_list(pa.int64()))
     mine = np.repeat(np.arange(len(firsts)), np.asarray(firsts.value_lengths().fill_null(0)))
-    owned = firsts.flatten()
-    owned_value, owned_check = (owned.field(k).to_numpy(zero_copy_only=False) for k in ("window", "check"))
-    row = shard.row[at]
+    owned = firsts.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    known = _numbered(np.concatenate([value, owned]), np.concatenate([shard.row[at], mine]))
     # a window stays where its document is the first to have it, at its first place there
-    stays = np.zeros(len(at), dtype=bool)
-    once = _first_of_each(row, value, check)  # lexsort is stable, so the first place of each
-    if len(once) and len(mine):
-        key = lambda r, v, c: np.rec.fromarrays([r.astype(np.int64), v, c], dtype=[("r", "i8"), ("v", "u8"), ("c", "u4")])
-        stays[once] = np.isin(key(row[once], value[once], check[once]), key(mine, owned_value.view(np.uint64), owned_check.view(np.uint32)))
+    here = pd.Series(known[: len(at)])
+    stays = (~here.duplicated() & here.isin(known[len(at) :])).to_numpy(dtype=bool)
     n = len(shard.starts)
     edge = np.zeros(n + 1, dtype=np.int64)
     gone = at[~stays]
