@@ -85,3 +85,21 @@ WITH d AS (
 )
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN joined ON joined.doc_id = d.doc_id
 """
+
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+         sha256('42:' || CAST(doc_id AS VARCHAR)) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, len(tokens) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(tokens) + 1) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(tokens) + 1) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS h4 FROM d
+), cut AS (
+  SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 50 THEN 'plain' WHEN h4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(tokens[1 : least(h1, h2)], '') AS prefix, array_to_string(tokens[least(h1, h2) + 1 : greatest(h1, h2)], '') AS middle, array_to_string(tokens[greatest(h1, h2) + 1 :], '') AS suffix FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut
+"""

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspark.llm import chat, language, media, near_dedup, packing, pieces, quality_model, quality_rules, substring_dedup, toxicity
-from leafspark.llm.oracles import OP1, OP3, OP4, OP9
+from leafspark.llm import best_fit, chat, fill_in_middle, language, media, near_dedup, packing, pieces, quality_model, quality_rules, substring_dedup, toxicity
+from leafspark.llm.oracles import OP1, OP3, OP4, OP9, OP11
 from leafspark.llm.scratch import shared_dir
 from leafspark.session import table
 
@@ -86,6 +86,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("host"), "text"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.restore(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = best_fit.pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -98,5 +109,7 @@ QUERIES = {
     "op8_quality_model": op8_quality_model,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_best_fit": op13_best_fit,
 }
-ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1, "op3_chat": OP3, "op4_quality_rules": OP4, "op9_substring_dedup": OP9}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1, "op3_chat": OP3, "op4_quality_rules": OP4, "op9_substring_dedup": OP9, "op11_fill_in_middle": OP11}
