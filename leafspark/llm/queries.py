@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspark.llm import best_fit, chat, fill_in_middle, language, media, near_dedup, packing, pieces, quality_model, quality_rules, substring_dedup, toxicity
-from leafspark.llm.oracles import OP1, OP3, OP4, OP9, OP11
+from leafspark.llm import best_fit, chat, fill_in_middle, hard_negatives, language, media, near_dedup, packing, pieces, quality_model, quality_rules, substring_dedup, toxicity
+from leafspark.llm.oracles import OP1, OP3, OP4, OP9, OP11, OP12
 from leafspark.llm.scratch import shared_dir
 from leafspark.session import table
 
@@ -92,6 +92,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved, F.col("vec_id") % 50 == 0)
+
+
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = best_fit.pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -110,6 +116,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_best_fit": op13_best_fit,
 }
-ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1, "op3_chat": OP3, "op4_quality_rules": OP4, "op9_substring_dedup": OP9, "op11_fill_in_middle": OP11}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1, "op3_chat": OP3, "op4_quality_rules": OP4, "op9_substring_dedup": OP9, "op11_fill_in_middle": OP11, "op12_hard_negatives": OP12}
