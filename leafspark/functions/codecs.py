@@ -460,11 +460,28 @@ def _mapped(kind: T.DataType, work):
     return run
 
 
+#: Codecs of records: bytes as they are, PalmDoc's pairs, and blocks behind trees.
+PLAIN, PAIRS, BLOCKS = 0, 1, 2
+
+
 @F.pandas_udf(T.StructType().add("data", T.BinaryType()).add("block_sizes", T.ArrayType(T.IntegerType())))
-def decode_text_udf(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in parts:
-        found = [(None if x is None else decode_text_record(bytes(x))) or (None, None) for x in s]
-        yield pd.DataFrame(found, columns=["data", "block_sizes"], index=s.index)
+def decode_udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """A record's bytes and block sizes by the codec that it is tagged with; nulls where it can't be decoded or has no codec."""
+
+    def decoded(codec: float | None, data: bytes | None) -> tuple:
+        if data is None:
+            return None, None
+        return (expand_palmdoc(bytes(data)), None) if codec == PAIRS else (decode_text_record(bytes(data)) or (None, None)) if codec == BLOCKS else (None, None)
+
+    for tags, rows in parts:
+        yield pd.DataFrame([decoded(t, x) for t, x in zip(tags, rows, strict=True)], columns=["data", "block_sizes"], index=rows.index)
+
+
+@F.pandas_udf(TOC_TYPE)
+def toc_udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Contents entries of each record from its own begin on."""
+    for rows, begins in parts:
+        yield pd.Series([None if x is None else toc_entries(bytes(x), int(at)) for x, at in zip(rows, begins, strict=True)], index=rows.index)
 
 
 expand_udf = _mapped(T.BinaryType(), expand_palmdoc)
@@ -476,6 +493,4 @@ inflate_udf = _mapped(T.BinaryType(), lambda x: (inflate_words(x) or (b"", []))[
 looks_utf8_udf = _mapped(T.BooleanType(), looks_utf8)
 text_record_udf = _mapped(T.BinaryType(), lambda x: (decode_text_record(x) or (b"", []))[0])
 lenient_utf8_udf = _mapped(T.StringType(), lenient_utf8)
-toc_udf = _mapped(TOC_TYPE, lambda x: toc_entries(x, 2))
-toc_from_start_udf = _mapped(TOC_TYPE, lambda x: toc_entries(x, 0))
 page_deltas_udf = _mapped(DELTA_TYPE, page_deltas)

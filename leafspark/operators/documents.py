@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafspark.functions import codecs
 from leafspark.functions.binary import title_of, windows_1252
 from leafspark.functions.rules import FORMAT_PALMDOC, FORMAT_V1, FORMAT_V2, FORMAT_V3
-from leafspark.operators import nav, styles
+from leafspark.operators import styles
 from leafspark.sources import palm
 
 TEXT_RECORD, TOC_SUBTYPE = b"\x04\x00", 8
@@ -50,42 +50,41 @@ def estimated_size(records: DataFrame, key: str, size: str, declared: str) -> Da
     return records.groupBy(key).agg(F.max(declared).alias("_d"), F.sum(size).alias("_s")).select(key, F.when(F.col("_d") > 0, F.col("_d")).otherwise(2 * F.col("_s")).cast("long").alias("text_size"))
 
 
-def record_text(recs: DataFrame, formats: DataFrame) -> DataFrame:
-    """Decoded records: path, idx, data, block_sizes, flags, base_offset. Each format's records are decoded by its codec only."""
-    known = recs.where("idx > 0").join(formats.select("path", "format"), "path")
-    firsts = palm.record_0(recs)
-    current = palm.current_layout(firsts).where("valid").select("path", "block_unit")
-    text = known.where((F.col("format") == FORMAT_V3) & (F.substring("data", 1, 2) == F.lit(TEXT_RECORD))).join(current, "path")
-    decoded = text.select("path", "idx", codecs.decode_text_udf("data").alias("d"), flag_bytes(F.col("data"), F.col("block_unit")).alias("flags"))
-    newest = decoded.where("d.data IS NOT NULL").select("path", "idx", "d.data", "d.block_sizes", "flags")
+def text_records(heads: DataFrame, *facts: str) -> DataFrame:
+    """Records from 1 on with data decoded (null: no text), block_sizes and flags, and ``facts`` of their documents.
+
+    A record is tagged with the codec that its document's format asks for, and one Arrow function decodes
+    all formats. Record 0 is there as well, without data, so that every document has a row.
+    """
+    own = ("format", "block_unit", "packed", "text_records")
+    recs = palm.records(heads, *own, *[f for f in facts if f not in own])
+    text = F.col("idx") > 0
+    current = text & F.col("block_unit").isNotNull() & (F.substring("data", 1, 2) == F.lit(TEXT_RECORD))
+    early = text & F.col("format").isin(FORMAT_V1, FORMAT_V2)
+    doc = text & (F.col("format") == FORMAT_PALMDOC) & (F.col("idx") <= F.col("text_records"))
+    codec = F.when(current, codecs.BLOCKS).when((early | doc) & F.col("packed"), codecs.PAIRS).when(early | doc, codecs.PLAIN)
+    tagged = recs.where("format > 0").withColumns({"codec": codec, "flags": F.when(current, flag_bytes(F.col("data"), F.col("block_unit")))})
+    packed = F.when(F.col("codec") != codecs.PLAIN, F.col("data"))
+    found = tagged.withColumn("d", codecs.decode_udf(F.col("codec"), packed))
+    data = F.when(F.col("codec") == codecs.PLAIN, F.col("data")).otherwise(F.col("d.data"))
+    return found.select("path", "idx", F.when(F.length(data) > 0, data).alias("data"), "d.block_sizes", "flags", *facts)
 
-    def plain(rows: DataFrame, data: Column) -> DataFrame:
-        return rows.select("path", "idx", data.alias("data"), F.array().cast("array<int>").alias("block_sizes"), F.lit(b"").alias("flags"))
 
-    early = known.where(F.col("format").isin(FORMAT_V1, FORMAT_V2)).join(palm.early_layout(firsts).select("path", "compressed"), "path")
-    early = plain(early, F.when(F.col("compressed"), codecs.expand_udf("data")).otherwise(F.col("data")))
-    doc = known.where(F.col("format") == FORMAT_PALMDOC).join(palm.palmdoc_layout(firsts).select("path", "compression", "text_records"), "path")
-    doc = plain(doc.where("idx <= text_records"), F.when(F.col("compression") == 2, codecs.expand_udf("data")).otherwise(F.col("data")))
-    whole = newest.unionByName(early).unionByName(doc).where("length(data) > 0")
-    return base_offsets(whole, "path", "idx", F.length("data"))
+def record_text(heads: DataFrame) -> DataFrame:
+    """Decoded records: path, idx, data, block_sizes, flags, base_offset."""
+    return base_offsets(text_records(heads).where("data IS NOT NULL"), "path", "idx", F.length("data"))
 
 
-def documents(heads: DataFrame, recs: DataFrame) -> DataFrame:
-    """A row for each container of a known format: path, format, title, charset, raw, text and its sizes.
+def documents(heads: DataFrame) -> DataFrame:
+    """A row for each container of a known format that has records: path, format, title, charset, raw, text and its sizes.
 
     All text records are decoded. Bytes are concatenated before they are decoded, as a character may
-    stand on both sides of a record's end.
+    stand on both sides of a record's end. The containers are read once, and there is one shuffle.
     """
-    formats = palm.identified(heads, recs).where("format > 0")
-    firsts = palm.record_0(recs)
-    charsets = palm.current_layout(firsts).where("valid").select("path", "charset")
-    own = palm.early_layout(firsts).select("path", F.col("title").alias("early_title")).join(palm.palmdoc_layout(firsts).select("path", F.col("title").alias("doc_title")), "path", "outer")
-    whole = concatenated(record_text(recs, formats), "path", "idx").select("path", F.col("whole").alias("raw"))
-    title = F.when(F.col("format").isin(FORMAT_V1, FORMAT_V2), F.nullif("early_title", F.lit(""))).when(F.col("format") == FORMAT_PALMDOC, F.nullif("doc_title", F.lit("")))
-    rows = formats.join(charsets, "path", "left").join(own, "path", "left").join(whole, "path", "left")
-    raw = F.coalesce("raw", F.lit(b""))
-    charset = F.when(F.col("format") == FORMAT_V3, F.coalesce("charset", F.lit("LATIN-1"))).otherwise("LATIN-1")
-    text = rows.select("path", "format", F.coalesce(title, F.col("name")).alias("title"), charset.alias("charset"), raw.alias("raw"), text_of(raw, charset).alias("text"))
+    parts = text_records(heads, "format", "title", "charset")
+    same = [F.max(c).alias(c) for c in ("format", "title", "charset")]  # each document's rows agree in them
+    whole = parts.groupBy("path").agg(*same, F.coalesce(F.expr("listagg(data) WITHIN GROUP (ORDER BY idx)"), F.lit(b"")).alias("raw"))
+    text = whole.select("path", "format", "title", "charset", "raw", text_of(F.col("raw"), F.col("charset")).alias("text"))
     return text.withColumns({"text_bytes": F.length("raw").cast("long"), "text_chars": F.length("text").cast("long")})
 
 
@@ -94,28 +93,35 @@ def plain_text_documents(recs: DataFrame) -> DataFrame:
     return concatenated(recs.where("data IS NOT NULL"), "path", "idx").select("path", F.col("whole").alias("raw"))
 
 
-def contents(recs: DataFrame) -> DataFrame:
+def contents(heads: DataFrame) -> DataFrame:
     """Tables of contents: path, entry_idx, title, target_offset.
 
     From the contents records; documents without entries there have those of the range that record 0 names.
+    Both are read in one pass, and a window over the document says which of them hold.
     """
-    firsts = palm.current_layout(palm.record_0(recs)).where("valid").select("path", F.col("record_starts")[1].alias("k"), F.col("record_counts")[1].alias("n"))
-    typed = recs.where((F.substring("data", 1, 2) == F.lit(bytes((4, TOC_SUBTYPE)))) & (F.length("data") >= 6)).join(firsts.select("path"), "path", "left_semi")
-    listed = lambda rows, udf: rows.select("path", "idx", F.posexplode(udf("data")).alias("i", "e"))
-    ranged = recs.join(firsts.where("k > 0 AND n > 0"), "path").where("idx >= k AND idx < k + n AND data IS NOT NULL")
-    both = nav.first_or_fallback(listed(typed, codecs.toc_udf), listed(ranged, codecs.toc_from_start_udf), "path")
+    recs = palm.records(heads, "block_unit", "toc_start", "toc_count").where("block_unit IS NOT NULL AND data IS NOT NULL")
+    typed = (F.substring("data", 1, 2) == F.lit(bytes((4, TOC_SUBTYPE)))) & (F.length("data") >= 6)
+    ranged = (F.col("toc_start") > 0) & (F.col("idx") >= F.col("toc_start")) & (F.col("idx") < F.col("toc_start") + F.col("toc_count"))
+    begins = F.array_compact(F.array(F.when(typed, 2), F.when(ranged, 0)))
+    read = recs.select("path", "idx", "data", F.explode(begins).alias("begin"))
+    listed = read.select("path", "idx", "begin", F.posexplode(codecs.toc_udf("data", "begin")).alias("i", "e"))
+    best = listed.withColumn("best", F.max("begin").over(Window.partitionBy("path"))).where("begin = best")
     index = F.row_number().over(Window.partitionBy("path").orderBy("idx", "i")) - 1
-    return both.select("path", index.alias("entry_idx"), "e.title", F.col("e.target_offset").cast("long").alias("target_offset"))
+    return best.select("path", index.alias("entry_idx"), "e.title", F.col("e.target_offset").cast("long").alias("target_offset"))
 
 
-def page_offsets(recs: DataFrame) -> DataFrame:
+def page_offsets(heads: DataFrame) -> DataFrame:
     """Page starts in stored order: path, page_idx, start; each sub-tree's deltas are summed from 0."""
-    firsts = palm.current_layout(palm.record_0(recs)).where("valid")
-    trees = firsts.select("path", F.posexplode(F.slice("record_starts", 3, 2)).alias("tree", "idx")).where("idx > 0")
-    deltas = trees.join(recs.select("path", "idx", "data"), ["path", "idx"]).select("path", "tree", F.explode(codecs.page_deltas_udf("data")).alias("d")).select("path", "tree", "d.sub", "d.i", "d.delta")
-    summed = nav.running_offsets(deltas, ["path", "tree", "sub"], "i", F.col("delta"))
-    index = F.row_number().over(Window.partitionBy("path").orderBy("tree", "sub", "i")) - 1
-    return summed.select("path", index.alias("page_idx"), F.col("offset").alias("start"))
+    recs = palm.records(heads, "trees")
+    trees = F.filter(F.sequence(F.lit(0), F.lit(1)), lambda t: F.element_at("trees", t + 1) == F.col("idx"))
+    named = recs.where("idx > 0 AND array_contains(trees, idx)").select("path", F.explode(trees).alias("tree"), "data")
+    deltas = named.select("path", "tree", F.explode(codecs.page_deltas_udf("data")).alias("d")).select("path", "tree", "d.sub", "d.i", "d.delta")
+    # partitioned by path alone, so that sums and numbers share one shuffle
+    order = Window.partitionBy("path").orderBy("tree", "sub", "i")
+    upto = F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    summed = deltas.withColumns({"upto": upto, "n": F.row_number().over(order)})
+    before = F.coalesce(F.max(F.when(F.col("i") == 0, F.col("upto") - F.col("delta"))).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return summed.select("path", (F.col("n") - 1).alias("page_idx"), (F.col("upto") - before).cast("long").alias("start"))
 
 
 def paging(offsets: DataFrame) -> DataFrame:
@@ -124,20 +130,34 @@ def paging(offsets: DataFrame) -> DataFrame:
     return starts.withColumn("page_idx", F.row_number().over(Window.partitionBy("path").orderBy("start")) - 1)
 
 
-def text_runs(recs: DataFrame, docs: DataFrame, formats: DataFrame) -> DataFrame:
-    """Runs of one style: path, run_idx, start, length, style_id, by the flags of the text records' blocks (byte offsets)."""
-    spans = styles.block_spans(record_text(recs, formats).withColumnRenamed("idx", "seq"), "path")
-    return styles.runs_of_spans(spans, docs, "path", "text_bytes")
+def text_runs(heads: DataFrame) -> DataFrame:
+    """Runs of one style: path, run_idx, start, length, style_id, by the flags of the text records' blocks (byte offsets).
+
+    Records, spans and runs are windows over the document, which share one shuffle by path.
+    """
+    w = Window.partitionBy("path")
+    order = w.orderBy("idx")
+    parts = text_records(heads).where("data IS NOT NULL").select("path", "idx", F.length("data").alias("size"), "block_sizes", "flags")
+    based = parts.withColumns({
+        "base_offset": F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"),
+        "total": F.sum("size").over(w),
+    })
+    return styles.runs_of_records(based, "path", "idx", "total")
 
 
 def open_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of a folder's containers: headers, records, documents, contents, page_offsets and diagnostics."""
+    """The tables of a folder's containers: headers, records, documents, contents, page_offsets, text_runs and diagnostics.
+
+    Each is a plan of its own that reads the containers once (diagnostics: twice).
+    """
     from leafspark.sources.files import read_files
 
     heads = palm.headers(read_files(spark, [folder]))
-    recs = palm.records(heads)
-    known = palm.identified(heads, recs)
-    return {"headers": known, "records": recs, "documents": documents(heads, recs), "contents": contents(recs), "page_offsets": page_offsets(recs), "diagnostics": palm.open_failures(known).unionByName(palm.record_failures(recs))}
+    recs, known = palm.records(heads), palm.identified(heads)
+    return {
+        "headers": known, "records": recs, "documents": documents(heads), "contents": contents(heads), "page_offsets": page_offsets(heads), "text_runs": text_runs(heads),
+        "diagnostics": palm.open_failures(known).unionByName(palm.record_failures(recs)),
+    }
 
 
-__all__ = ["base_offsets", "concatenated", "contents", "documents", "estimated_size", "extents", "flag_bytes", "open_folder", "page_offsets", "paging", "plain_text_documents", "record_text", "text_of", "text_runs", "title_of"]
+__all__ = ["base_offsets", "concatenated", "contents", "documents", "estimated_size", "extents", "flag_bytes", "open_folder", "page_offsets", "paging", "plain_text_documents", "record_text", "text_of", "text_records", "text_runs", "title_of"]

@@ -82,6 +82,25 @@ def runs_of_spans(spans: DataFrame, totals: DataFrame, key: str, total: str, def
     return lengths.select(key, (F.row_number().over(order) - 1).alias("run_idx"), F.col("offset").alias("start"), "length", "style_id")
 
 
+def runs_of_records(records: DataFrame, key: str, order: str, total: str, default_style: int = 0) -> DataFrame:
+    """Runs of records (key, order, base_offset, size, block_sizes, flags, and the document's ``total``), as ``block_spans`` and ``runs_of_spans`` make them.
+
+    A record's blocks are placed by an array fold, and the default style's span goes in front of a document's
+    first record, so that all else is windows over the document. Blocks without bytes or without a flag give no span.
+    """
+    flags, sizes = F.col("flags"), F.coalesce("block_sizes", F.array().cast("array<int>"))
+    n = F.coalesce(F.length(flags), F.lit(0))
+    flag = lambda i: F.conv(F.hex(F.substring(flags, i + 1, F.lit(1))), 16, 10).cast("int")
+    spans = F.transform(sizes, lambda size, i: F.struct(i.alias("block"), F.aggregate(F.slice(sizes, 1, i), F.lit(0).cast("long"), lambda a, x: a + F.greatest(x, F.lit(0))).alias("at"), size.alias("size"), flag(i).alias("flag")))
+    styled = F.transform(F.filter(spans, lambda s: (s["size"] > 0) & (s["block"] < n)), lambda s: F.struct(s["block"].alias("block"), (F.col("base_offset") + s["at"]).alias("offset"), block_style(s["flag"]).alias("style_id")))
+    begin = F.when(F.col("base_offset") == 0, F.array(F.struct(F.lit(-1).alias("block"), F.lit(0).cast("long").alias("offset"), F.lit(default_style).alias("style_id"))))
+    listed = records.select(key, order, F.col(total).alias("_total"), F.inline(F.concat(F.coalesce(begin, F.array().cast("array<struct<block:int,offset:bigint,style_id:int>>")), styled)))
+    w = Window.partitionBy(key).orderBy("offset", order, "block")
+    # of spans on one offset the last has a length
+    lengths = listed.where("offset <= _total").withColumn("length", (F.coalesce(F.lead("offset").over(w), F.col("_total")) - F.col("offset")).cast("long")).where("length > 0")
+    return lengths.select(key, (F.row_number().over(w) - 1).alias("run_idx"), F.col("offset").alias("start"), "length", "style_id")
+
+
 def coalesced(runs: DataFrame, keys: list[str], order: list[str], value: Column, *measures: Column) -> DataFrame:
     """Neighbouring rows of equal ``value`` as one: island, value and the aggregates asked for."""
     w = Window.partitionBy(*keys).orderBy(*order)

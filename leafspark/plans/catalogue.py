@@ -583,7 +583,7 @@ def s14_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(F.lit(b"\0\2\0\0\0\0\0\0"), binary.from_integer(F.col("n"), 2), F.lit(b"\x10\0\0\0\0\0"))
     every = turns.unionByName(counts.select("conv_id", F.lit(-1).cast(turns.schema["turn"].dataType).alias("turn"), head.alias("data")))
     heads = palm.headers(palm.containers(every, "conv_id", "turn", "data", F.concat(F.lit("talk "), F.col("conv_id").cast("string")), "TEXt"))
-    opened = documents.documents(heads, palm.records(heads))
+    opened = documents.documents(heads)
     return opened.select("path", "format", "title", "text_chars", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -652,22 +652,36 @@ def f2_broken_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(codecs.lenient_utf8_udf(raw).cast("binary")).alias("digest"))
 
 
-@registered("SELECT doc_id, md5(h || substr(h, 1, 3) || substr(h || substr(h, 1, 3), 1, 5)) AS digest FROM (SELECT doc_id, substr(text, 1, 40) AS h FROM documents)")
+@registered(
+    """
+    SELECT doc_id, md5(string_agg(h || substr(h, 1, 3) || substr(h || substr(h, 1, 3), 1, 5), '' ORDER BY i)) AS digest
+    FROM (SELECT doc_id, i, substr(text, i * 4000 + 1, 4000) AS h FROM (SELECT doc_id, text, unnest(range(0, greatest((length(text) + 3999) // 4000, 1))) AS i FROM documents)) GROUP BY doc_id
+    """
+)
 def x3_wide_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The variant with 14 bits of distance: raw runs, then two pairs from before the text's begin, which are held to it."""
-    head = F.encode(F.substring("text", 1, 40), "ISO-8859-1")
-    run = lambda i: F.substring(head, i * 8 + 1, F.lit(8))
-    runs = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(F.length(run(i)) > 0, F.concat(binary.from_integer(F.length(run(i)), 1), run(i))).otherwise(F.lit(b"")))
-    stream = F.concat(F.aggregate(runs, F.lit(b""), lambda a, x: F.concat(a, x)), F.lit(b"\xbf\xff\xe8\x00"))
-    return _docs(spark, sf_dir).select("doc_id", F.md5(binary.latin1(codecs.expand_wide_udf(stream)).cast("binary")).alias("digest"))
-
-
-@registered("SELECT doc_id, md5(substr(text, 1, 3000)) AS digest FROM documents WHERE n_chars >= 100")
+    """The variant with 14 bits of distance, in records of 4 000 characters: raw runs, then two pairs from before the record's begin, which are held to it."""
+    raw = _docs(spark, sf_dir).select("doc_id", F.encode("text", "ISO-8859-1").alias("raw"))
+    each = raw.select("doc_id", "raw", F.explode(F.sequence(F.lit(0), F.greatest(F.length("raw") - 1, F.lit(0)), F.lit(4000))).alias("pos"))
+    part = each.select("doc_id", "pos", F.substring("raw", F.col("pos") + 1, F.lit(4000)).alias("part"))
+    rest = F.length("part") % 8
+    whole = F.regexp_replace(F.hex(F.substring("part", F.lit(1), F.length("part") - rest)), "(.{16})", "08$1")
+    last = F.when(rest > 0, F.concat(F.lit("0"), rest.cast("string"), F.hex(F.right("part", rest)))).otherwise("")
+    read = part.select("doc_id", "pos", codecs.expand_wide_udf(F.unhex(F.concat(whole, last, F.lit("BFFFE800")))).alias("data"))
+    return documents.concatenated(read, "doc_id", "pos").select("doc_id", F.md5(binary.latin1(F.col("whole")).cast("binary")).alias("digest"))
+
+
+@registered("SELECT doc_id, CASE WHEN strlen(text) < 50 THEN md5('') ELSE md5(text) END AS digest FROM documents")
 def x4_record_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records whose trees aren't at their usual place, but two words from the begin."""
-    docs = _docs(spark, sf_dir).where("n_chars >= 100")
-    record = F.concat(F.lit(bytes(8)), codecs.pack_words_udf(F.encode(F.substring("text", 1, 3000), "UTF-8")))
-    return docs.select("doc_id", F.md5(codecs.text_record_udf(record)).alias("digest"))
+    """Whole texts in records of 3 000 to 5 999 characters whose trees aren't at their usual place, but two words from the begin.
+
+    Text of under 50 bytes can't be told from noise there, and isn't found.
+    """
+    docs = _docs(spark, sf_dir).select("doc_id", "text", F.greatest(F.floor(F.length("text") / 3000).cast("int"), F.lit(1)).alias("n"))
+    each = docs.select("doc_id", "text", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    size = F.when(F.col("i") == F.col("n") - 1, 6000).otherwise(3000)
+    record = F.concat(F.lit(bytes(8)), codecs.pack_words_udf(F.encode(F.substring("text", F.col("i") * 3000 + 1, size), "UTF-8")))
+    read = each.select("doc_id", "i", codecs.text_record_udf(record).alias("data"))
+    return documents.concatenated(read, "doc_id", "i").select("doc_id", F.md5("whole").alias("digest"))
 
 
 # --- whole containers of both main formats --------------------------------------------------------
@@ -678,16 +692,22 @@ t AS (SELECT conv_id, turn, role, text, strlen(text) AS n, CAST(coalesce(sum(str
 """
 
 
+#: Bytes of a turn in one record: as many as its flags are for.
+FLAGGED_BYTES = 8 * 4096
+
+
 def _current_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations in the current format: record 0, a text record of each turn with its role as style, contents, and a page tree.
+    """Conversations in the current format: record 0, text records of each turn with its role as style, contents, and a page tree.
 
-    A conversation's number decides which of the four encodings its tree has.
+    A record has flags for eight blocks of 4096 bytes, so a longer turn has several. A conversation's number decides which of the four encodings its tree has.
     """
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.encode("text", "UTF-8").alias("raw"))
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     based = turns.withColumns({"n": F.length("raw"), "base": F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0))})
     flag = F.when(F.col("role") == "user", 0x10).when(F.col("role") == "assistant", 0x20).otherwise(0)
-    body = F.concat(F.lit(b"\x04\x00" + bytes(22)), *[binary.from_integer(flag, 1)] * 8, F.lit(bytes(4)), codecs.pack_words_udf("raw"))
+    begins = F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(FLAGGED_BYTES))
+    cut = based.select("conv_id", "turn", flag.alias("flag"), "raw", F.posexplode(begins).alias("part", "at"))
+    body = F.concat(F.lit(b"\x04\x00" + bytes(22)), *[binary.from_integer(F.col("flag"), 1)] * 8, F.lit(bytes(4)), codecs.pack_words_udf(F.substring("raw", F.col("at") + 1, F.lit(FLAGGED_BYTES))))
     number = F.pmod("conv_id", F.lit(4))
     delta = F.when(number == 0, F.col("n") % 256).when(number == 1, F.col("n") % 16_384).when(number == 2, F.col("n")).otherwise(F.col("n") * 40)
     width, top = F.when(number < 2, 1).otherwise(2), F.when(number < 2, 128).otherwise(32_768)
@@ -699,28 +719,24 @@ def _current_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = listed.groupBy("conv_id").agg(
         F.count("*").alias("turns"),
         F.sum("n").alias("size"),
+        F.sum(F.greatest(F.ceil(F.col("n") / FLAGGED_BYTES), F.lit(1))).alias("texts"),
         *[F.expr(f"listagg({c}) WITHIN GROUP (ORDER BY turn)").alias(c) for c in ("entry", "low", "high")],
     )
     high = F.coalesce("high", F.lit(b""))
     tree = F.concat(F.lit(bytes((4, 0, 0, 0, 4, 0, 0, 0)) + b"\x00\x0c\x00\x01"), binary.from_integer(16 + F.length(high), 1), F.lit(b"\0"), binary.from_integer(number, 1), F.lit(bytes(3)), binary.from_integer(F.col("turns"), 2), F.lit(bytes(8)), high, F.col("low"))
     head = F.concat(
         F.lit(b"\x00\x80\x04\x01\x00\x00" + palm.RECORD_0_MAGIC.encode() + bytes(8)), binary.from_integer(F.col("size"), 4), F.lit(b"\x00\x08" + bytes(10) + b"\x00\x04\x00\x6a" + bytes(88)),
-        F.lit(b"\x00\x00\x00\x04" + bytes(4)), binary.from_integer(F.col("turns") + 2, 2), F.lit(bytes(2) + bytes(4) + b"\x00\x01" + bytes(2)),
+        F.lit(b"\x00\x00\x00\x04" + bytes(4)), binary.from_integer(F.col("texts") + 2, 2), F.lit(bytes(2) + bytes(4) + b"\x00\x01" + bytes(2)),
     )
-    parts = based.select("conv_id", "turn", body.alias("data"))
-    for at, data in ((-1, head), (1 << 40, F.concat(F.lit(b"\x04\x08"), F.col("entry"))), (1 << 41, tree)):
+    parts = cut.select("conv_id", (F.col("turn") * (1 << 20) + F.col("part")).alias("turn"), body.alias("data"))
+    for at, data in ((-1, head), (1 << 60, F.concat(F.lit(b"\x04\x08"), F.col("entry"))), (1 << 61, tree)):
         parts = parts.unionByName(every.select("conv_id", F.lit(at).alias("turn"), data.alias("data")))
     return palm.containers(parts, "conv_id", "turn", "data", F.concat(F.lit("talk "), F.col("conv_id").cast("string")), "SDoc")
 
 
-def _opened(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    heads = palm.headers(found)
-    return heads, palm.records(heads)
-
-
 @registered("SELECT CAST(conv_id AS VARCHAR) AS path, 3 AS format, 'talk ' || conv_id AS title, 'UTF-8' AS charset, CAST(sum(length(text)) AS BIGINT) AS text_chars, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
 def s12_current_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opened = documents.documents(*_opened(_current_containers(spark, sf_dir)))
+    opened = documents.documents(palm.headers(_current_containers(spark, sf_dir)))
     return opened.select("path", "format", "title", "charset", "text_chars", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -738,13 +754,13 @@ def s13_early_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.encode(F.concat(F.lit("Talk "), F.col("conv_id").cast("string")), "ISO-8859-1")
     head = F.concat(F.when(odd, F.lit(b"\x00\x02\x80\x00")).otherwise(F.lit(b"\x00\x01\x00\x00")), binary.from_integer(F.length(title), 1), title, F.lit(b"\x02Me"))
     parts = turns.unionByName(turns.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), head.alias("data")))
-    opened = documents.documents(*_opened(palm.containers(parts, "conv_id", "turn", "data", F.lit("name"), "SDoc")))
+    opened = documents.documents(palm.headers(palm.containers(parts, "conv_id", "turn", "data", F.lit("name"), "SDoc")))
     return opened.select("path", "format", "title", "text_chars", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @registered(f"WITH {TURNS} SELECT CAST(conv_id AS VARCHAR) AS path, CAST(i AS INTEGER) AS entry_idx, 'turn ' || turn AS title, CAST(base % 65536 AS BIGINT) AS target_offset FROM t")
 def f12_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.contents(_opened(_current_containers(spark, sf_dir))[1])
+    return documents.contents(palm.headers(_current_containers(spark, sf_dir)))
 
 
 @registered(
@@ -755,22 +771,19 @@ def f12_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def w2_page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page starts from trees in all four encodings."""
-    return documents.page_offsets(_opened(_current_containers(spark, sf_dir))[1])
+    return documents.page_offsets(palm.headers(_current_containers(spark, sf_dir)))
 
 
 @registered(
     f"""
     WITH {TURNS}, b AS (SELECT conv_id, turn, role, base, n, unnest(range(0, n, 4096)) AS part FROM t)
     SELECT CAST(conv_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY base, part) - 1 AS INTEGER) AS run_idx, CAST(base + part AS BIGINT) AS start, CAST(least(n - part, 4096) AS BIGINT) AS length,
-      CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END AS style_id FROM b WHERE part < 8 * 4096
+      CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END AS style_id FROM b
     """
 )
 def w5_styled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs by the flag bytes of text records' blocks."""
-    heads, recs = _opened(_current_containers(spark, sf_dir))
-    formats = palm.identified(heads, recs)
-    sizes = documents.record_text(recs, formats).groupBy("path").agg(F.sum(F.length("data")).alias("text_bytes"))
-    return documents.text_runs(recs, sizes, formats)
+    return documents.text_runs(palm.headers(_current_containers(spark, sf_dir)))
 
 
 @registered(
@@ -787,8 +800,8 @@ def p2_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     number, c = F.pmod(F.col("path").cast("long"), F.lit(4)), F.col("content")
     n = binary.u16(c, 76)
     broken = F.when(number == 1, F.substring(c, 1, 80)).when(number == 2, F.concat(F.substring(c, 1, 60), F.lit(b"Else"), F.expr("substring(content, 65)"))).when(number == 3, F.substring(c, F.lit(1), 78 + 8 * n + 1)).otherwise(c)
-    heads, recs = _opened(found.select("path", broken.alias("content")))
-    return palm.open_failures(palm.identified(heads, recs)).unionByName(palm.record_failures(recs))
+    heads = palm.headers(found.select("path", broken.alias("content")))
+    return palm.open_failures(palm.identified(heads)).unionByName(palm.record_failures(palm.records(heads)))
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

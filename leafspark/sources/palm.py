@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspark.functions.binary import from_integer, has_flag, i32, latin1, title_of, u8, u16, u32, until_nul
-from leafspark.functions.rules import FORMAT_PALMDOC, FORMAT_V3, document_format
+from leafspark.functions.rules import FORMAT_PALMDOC, FORMAT_V1, FORMAT_V2, FORMAT_V3, document_format
 from leafspark.sources.files import diagnostics
 
 #: Fixed values of the format: sizes, the record-0 magic, and the text encoding that means UTF-8.
@@ -17,6 +17,8 @@ HEADER_BYTES, ENTRY_BYTES = 78, 8
 RECORD_0_MAGIC, RECORD_0_BYTES, UTF8_ENCODING = "isSilo", 128, 106
 GROUPS, RANGES = 4, 18
 SHORT_READ, CORRUPT = -2147024886, -2028929015
+#: The compression code of a PalmDoc whose records are compressed.
+PACKED = 2
 
 
 def headers(files: DataFrame) -> DataFrame:
@@ -36,14 +38,14 @@ def headers(files: DataFrame) -> DataFrame:
     )
 
 
-def records(heads: DataFrame) -> DataFrame:
-    """path, idx, offset, size, attr and data of every record of the valid headers.
+def records(heads: DataFrame, *facts: str) -> DataFrame:
+    """path, idx, offset, size, attr and data of every record of the valid headers, and the container's ``facts``.
 
     A record ends where the next one begins, the last at the end of the file. One whose extent is
-    negative or passes the end has null data, and the others stay.
+    negative or passes the end has null data, and the others stay. Facts are fields of ``with_facts``, worked
+    out once for each container before its records are listed.
     """
-    c = F.col("content")
-    entry = lambda i: F.lit(HEADER_BYTES) + ENTRY_BYTES * i
+    c, entry = F.col("content"), entry_at
     listed = F.transform(
         F.sequence(F.lit(0), F.col("record_count") - 1),
         lambda i: F.struct(
@@ -53,21 +55,57 @@ def records(heads: DataFrame) -> DataFrame:
             u8(c, entry(i) + 4).alias("attr"),
         ),
     )
-    each = heads.where("valid AND record_count > 0").select("path", "content", F.explode(listed).alias("r"))
-    size = F.col("r.end") - F.col("r.offset")
-    inside = (size >= 0) & (F.col("r.end") <= F.length("content"))
-    data = F.when(inside, F.substring(c, (F.col("r.offset") + 1).cast("int"), size.cast("int")))
-    return each.select("path", "r.idx", "r.offset", size.alias("size"), "r.attr", data.alias("data"))
+    known = (with_facts(heads) if facts else heads).where("valid AND record_count > 0")
+    each = known.select("path", "content", *facts, F.explode(listed).alias("r"))
+    return each.select("path", "r.idx", "r.offset", (F.col("r.end") - F.col("r.offset")).alias("size"), "r.attr", cut_out(c, F.col("r.offset"), F.col("r.end")).alias("data"), *facts)
+
+
+def entry_at(i: Column) -> Column:
+    return F.lit(HEADER_BYTES) + ENTRY_BYTES * i
+
+
+def cut_out(content: Column, begin: Column, end: Column) -> Column:
+    """Bytes of an extent; null if it is negative or passes the end."""
+    return F.when((end >= begin) & (end <= F.length(content)), F.substring(content, (begin + 1).cast("int"), (end - begin).cast("int")))
+
+
+def with_head(heads: DataFrame) -> DataFrame:
+    """Headers with head, the bytes of record 0 (null if there is none), and format; they are cut from the content at hand.
+
+    Head comes out of a generator of one row, behind which Catalyst doesn't put its whole expression in each place where head is used.
+    """
+    c = F.col("content")
+    end = F.when(F.col("record_count") > 1, u32(c, entry_at(F.lit(1)))).otherwise(F.length(c).cast("long"))
+    head = F.when(F.col("valid") & (F.col("record_count") > 0), cut_out(c, u32(c, entry_at(F.lit(0))), end))
+    return heads.select("*", F.inline(F.array(F.struct(head.alias("head"))))).withColumn("format", document_format(F.col("type"), u16(F.col("head"), 0)))
 
 
 def record_0(recs: DataFrame) -> DataFrame:
     return recs.where("idx = 0").select("path", F.col("data").alias("head"))
 
 
-def identified(heads: DataFrame, recs: DataFrame) -> DataFrame:
+def identified(heads: DataFrame) -> DataFrame:
     """Headers with their format; the first number of record 0 decides among versions of one type."""
-    firsts = record_0(recs).select("path", u16(F.col("head"), 0).alias("first"))
-    return heads.drop("content").join(firsts, "path", "left").withColumn("format", document_format(F.col("type"), F.col("first")))
+    return with_head(heads).drop("content", "head")
+
+
+def with_facts(heads: DataFrame) -> DataFrame:
+    """Headers with what record 0 says of their document, in the layout of its format: null where it isn't of that format or can't be read."""
+    h, version = F.col("head"), F.col("format")
+    current, early, doc = current_fields(h), early_fields(h), palmdoc_fields(h)
+    of = lambda kind, value: F.when(kind, value)
+    now, then, plain = (version == FORMAT_V3) & current["valid"], version.isin(FORMAT_V1, FORMAT_V2), version == FORMAT_PALMDOC
+    facts = {
+        "block_unit": of(now, current["block_unit"]),
+        "charset": F.coalesce(of(now, current["charset"]), F.lit("LATIN-1")),
+        "toc_start": of(now, current["record_starts"][1]),
+        "toc_count": of(now, current["record_counts"][1]),
+        "trees": of(now, F.slice(current["record_starts"], 3, 2)),
+        "packed": F.when(then, early["compressed"]).when(plain, doc["compression"] == PACKED),
+        "text_records": of(plain, doc["text_records"]),
+        "title": F.coalesce(F.nullif(F.when(then, early["title"]).when(plain, doc["title"]), F.lit("")), F.col("name")),
+    }
+    return with_head(heads).withColumns(facts)
 
 
 def _table(head: Column, at: Column, count: Column, keep: int) -> Column:
@@ -75,13 +113,12 @@ def _table(head: Column, at: Column, count: Column, keep: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(keep - 1)), lambda i: F.when(i < count, F.coalesce(u16(head, at + 2 * i), F.lit(0))).otherwise(0))
 
 
-def current_layout(firsts: DataFrame) -> DataFrame:
+def current_fields(h: Column) -> dict[str, Column]:
     """Record 0 of the current format: header fields, and its group and range tables (zeros if cut off).
 
-    ``firsts`` has path and head. ``valid`` needs 128 bytes and the magic. All range starts are read, so
+    ``valid`` needs 128 bytes and the magic. All range starts are read, so
     counts after more than 18 ranges come from where they are.
     """
-    h = F.col("head")
     at = u16(h, 0)
     groups = F.coalesce(u16(h, at), F.lit(0))
     ranges_at = at + 2 + 2 * groups
@@ -89,33 +126,37 @@ def current_layout(firsts: DataFrame) -> DataFrame:
     whole = F.length(h) >= ranges_at + 2 + 4 * ranges
     flags = u16(h, 36)
     known = lambda n: F.when(whole, n).otherwise(0)
-    return firsts.select(
-        "path",
-        F.coalesce((F.length(h) >= RECORD_0_BYTES) & (latin1(F.substring(h, 7, 6)) == RECORD_0_MAGIC), F.lit(False)).alias("valid"),
-        at.alias("header_size"),
-        F.array(*[u8(h, i) for i in (2, 3, 4)]).alias("doc_version"),
-        u16(h, 12).alias("layout"),
-        F.array(*[u8(h, i) for i in range(14, 20)]).alias("column_widths"),
-        i32(h, 20).alias("text_size"),
-        u16(h, 24).alias("block_unit"),
-        u16(h, 30).alias("page_count"),
-        u16(h, 32).alias("title_font"),
-        u16(h, 34).alias("body_font"),
-        F.when(u16(h, 38) == UTF8_ENCODING, "UTF-8").otherwise("LATIN-1").alias("charset"),
-        u16(h, 38).alias("raw_encoding"),
-        u32(h, 40).alias("crc"),
-        u8(h, 52).alias("font_attr1"),
-        u8(h, 53).alias("font_attr2"),
-        u16(h, 56).alias("last_page"),
-        u16(h, 58).alias("embedding"),
-        (~has_flag(flags, 1)).alias("compressed"),
-        has_flag(flags, 2).alias("encrypted"),
-        has_flag(flags, 4).alias("has_toc"),
-        has_flag(flags, 8).alias("has_images"),
-        _table(h, at + 2, known(groups), GROUPS).alias("group_a"),
-        _table(h, ranges_at + 2, known(ranges), RANGES).alias("record_starts"),
-        _table(h, ranges_at + 2 + 2 * ranges, known(ranges), RANGES).alias("record_counts"),
-    )
+    return {
+        "valid": F.coalesce((F.length(h) >= RECORD_0_BYTES) & (latin1(F.substring(h, 7, 6)) == RECORD_0_MAGIC), F.lit(False)),
+        "header_size": at,
+        "doc_version": F.array(*[u8(h, i) for i in (2, 3, 4)]),
+        "layout": u16(h, 12),
+        "column_widths": F.array(*[u8(h, i) for i in range(14, 20)]),
+        "text_size": i32(h, 20),
+        "block_unit": u16(h, 24),
+        "page_count": u16(h, 30),
+        "title_font": u16(h, 32),
+        "body_font": u16(h, 34),
+        "charset": F.when(u16(h, 38) == UTF8_ENCODING, "UTF-8").otherwise("LATIN-1"),
+        "raw_encoding": u16(h, 38),
+        "crc": u32(h, 40),
+        "font_attr1": u8(h, 52),
+        "font_attr2": u8(h, 53),
+        "last_page": u16(h, 56),
+        "embedding": u16(h, 58),
+        "compressed": (~has_flag(flags, 1)),
+        "encrypted": has_flag(flags, 2),
+        "has_toc": has_flag(flags, 4),
+        "has_images": has_flag(flags, 8),
+        "group_a": _table(h, at + 2, known(groups), GROUPS),
+        "record_starts": _table(h, ranges_at + 2, known(ranges), RANGES),
+        "record_counts": _table(h, ranges_at + 2 + 2 * ranges, known(ranges), RANGES),
+    }
+
+
+def current_layout(firsts: DataFrame) -> DataFrame:
+    """path and ``current_fields`` of ``firsts`` (path, head)."""
+    return firsts.select("path", *[c.alias(n) for n, c in current_fields(F.col("head")).items()])
 
 
 def _short_string(head: Column, at: Column) -> Column:
@@ -124,32 +165,28 @@ def _short_string(head: Column, at: Column) -> Column:
     return F.when(F.length(head) >= at + 1 + size, latin1(F.substring(head, at + 2, size)))
 
 
-def early_layout(firsts: DataFrame) -> DataFrame:
+def early_fields(h: Column) -> dict[str, Column]:
     """Record 0 of versions 1 and 2: version, flags, title and author."""
-    h = F.col("head")
-    title = _short_string(h, F.lit(4))
-    return firsts.select(
-        "path",
-        u16(h, 0).alias("version"),
-        (~has_flag(u16(h, 2), 0x8000)).alias("compressed"),
-        has_flag(u16(h, 2), 2).alias("encrypted"),
-        has_flag(u16(h, 2), 4).alias("has_toc"),
-        until_nul(title).alias("title"),
-        until_nul(_short_string(h, F.lit(5) + u8(h, F.lit(4)))).alias("author"),
-    )
-
-
-def palmdoc_layout(firsts: DataFrame) -> DataFrame:
+    title, author = _short_string(h, F.lit(4)), _short_string(h, F.lit(5) + u8(h, F.lit(4)))
+    return {
+        "version": u16(h, 0),
+        "compressed": ~has_flag(u16(h, 2), 0x8000),
+        "encrypted": has_flag(u16(h, 2), 2),
+        "has_toc": has_flag(u16(h, 2), 4),
+        "title": until_nul(title),
+        "author": until_nul(author),
+    }
+
+
+def palmdoc_fields(h: Column) -> dict[str, Column]:
     """Record 0 of a PalmDoc: compression, text length, record count and size, and a title if there is one."""
-    h = F.col("head")
-    return firsts.select(
-        "path",
-        u16(h, 0).alias("compression"),
-        i32(h, 4).alias("text_length"),
-        u16(h, 8).alias("text_records"),
-        u16(h, 10).alias("record_size"),
-        F.when(F.length(h) > 16, until_nul(latin1(F.substring(h, 17, 64)))).alias("title"),
-    )
+    return {
+        "compression": u16(h, 0),
+        "text_length": i32(h, 4),
+        "text_records": u16(h, 8),
+        "record_size": u16(h, 10),
+        "title": F.when(F.length(h) > 16, until_nul(latin1(F.substring(h, 17, 64)))),
+    }
 
 
 def containers(parts: DataFrame, key: str, order: str, data: str, name: Column, kind: str, creator: str = "Leaf") -> DataFrame:
@@ -191,4 +228,4 @@ def record_failures(recs: DataFrame) -> DataFrame:
     return diagnostics(recs.where(F.col("data").isNull()), "record", F.lit(SHORT_READ), text)
 
 
-__all__ = ["CORRUPT", "FORMAT_PALMDOC", "FORMAT_V3", "SHORT_READ", "containers", "current_layout", "early_layout", "headers", "identified", "open_failures", "palmdoc_layout", "record_0", "record_failures", "records", "title_of"]
+__all__ = ["CORRUPT", "FORMAT_PALMDOC", "FORMAT_V3", "SHORT_READ", "containers", "current_layout", "headers", "identified", "open_failures", "record_0", "record_failures", "records", "title_of", "with_facts"]

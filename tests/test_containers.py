@@ -106,8 +106,8 @@ def test_contents_and_pages(opened):
 
 def test_contents_fall_back_on_the_named_range(spark):
     raw = container(b"SDoc", [current_head(starts=(0, 2, 0, 0), counts=(0, 1, 0, 0)), b"\x04\x07" + bytes(6), struct.pack(">HBx", 3, 2) + b"Hi"])
-    recs = palm.records(palm.headers(spark.createDataFrame([("x", raw)], "path string, content binary")))
-    assert [(r["title"], r["target_offset"]) for r in documents.contents(recs).collect()] == [("Hi", 3)]
+    heads = palm.headers(spark.createDataFrame([("x", raw)], "path string, content binary"))
+    assert [(r["title"], r["target_offset"]) for r in documents.contents(heads).collect()] == [("Hi", 3)]
 
 
 def test_record_0(spark):
@@ -120,8 +120,7 @@ def test_record_0(spark):
 
 
 def test_styled_runs(spark, opened):
-    runs = documents.text_runs(opened["records"], opened["documents"], opened["headers"])
-    rows = [tuple(r)[1:] for r in runs.orderBy("run_idx").collect() if r["path"].endswith("current.pdb")]
+    rows = [tuple(r)[1:] for r in opened["text_runs"].orderBy("run_idx").collect() if r["path"].endswith("current.pdb")]
     total = len(TEXT.encode())
     assert sum(r[2] for r in rows) == total and rows[0][1] == 0
     assert {r[3] for r in rows} <= {0, 1, 2, 3}
@@ -223,5 +222,4 @@ def test_arriving_containers(spark, folder, tmp_path):
 
 def test_empty_folder_tables(spark):
     none = spark.createDataFrame([], "path string, content binary")
-    heads = palm.headers(none)
-    assert documents.documents(heads, palm.records(heads)).count() == 0
+    assert documents.documents(palm.headers(none)).count() == 0
