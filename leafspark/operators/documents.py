@@ -9,6 +9,7 @@ from leafspark.functions import codecs
 from leafspark.functions.binary import title_of, windows_1252
 from leafspark.functions.rules import FORMAT_PALMDOC, FORMAT_V1, FORMAT_V2, FORMAT_V3
 from leafspark.operators import styles
+from leafspark.operators.prefix import in_two_levels
 from leafspark.sources import palm
 
 TEXT_RECORD, TOC_SUBTYPE = b"\x04\x00", 8
@@ -34,15 +35,15 @@ def concatenated(parts: DataFrame, key: str, order: str, data: str = "data") ->
 
 
 def base_offsets(parts: DataFrame, key: str, order: str, size: Column) -> DataFrame:
-    """Start of each part in the concatenation."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("base_offset", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    """Start of each part in the concatenation; a key's parts are spread over many tasks."""
+    placed = in_two_levels(parts, [key], [F.col(order)], before={"base_offset": size})
+    return placed.withColumn("base_offset", F.col("base_offset").cast("long"))
 
 
 def extents(parts: DataFrame, key: str, order: str, offset: str, end: Column) -> DataFrame:
-    """Size of each part: up to the next one's offset, the last up to ``end``."""
-    w = Window.partitionBy(key).orderBy(order)
-    return parts.withColumn("size", (F.coalesce(F.lead(offset).over(w), end) - F.col(offset)).cast("long"))
+    """Size of each part: up to the next one's offset, the last up to ``end``; a key's parts are spread over many tasks."""
+    placed = in_two_levels(parts, [key], [F.col(order)], following={"_next": F.col(offset)})
+    return placed.withColumn("size", (F.coalesce("_next", end) - F.col(offset)).cast("long")).drop("_next")
 
 
 def estimated_size(records: DataFrame, key: str, size: str, declared: str) -> DataFrame:
@@ -72,7 +73,8 @@ def text_records(heads: DataFrame, *facts: str) -> DataFrame:
 
 def record_text(heads: DataFrame) -> DataFrame:
     """Decoded records: path, idx, data, block_sizes, flags, base_offset."""
-    return base_offsets(text_records(heads).where("data IS NOT NULL"), "path", "idx", F.length("data"))
+    before = Window.partitionBy("path").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)  # a container's records are one file's
+    return text_records(heads).where("data IS NOT NULL").withColumn("base_offset", F.coalesce(F.sum(F.length("data")).over(before), F.lit(0)).cast("long"))
 
 
 def documents(heads: DataFrame) -> DataFrame:

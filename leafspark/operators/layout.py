@@ -1,14 +1,18 @@
-"""Word wrap and pages of text with fixed character widths."""
+"""Word wrap and pages of text, with one width for all characters or with a table of widths."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafspark.operators.prefix import in_two_levels
+
 BREAK = re.compile(r"[ \t]")
 
 
@@ -66,8 +70,228 @@ def uniform_pages(lines: DataFrame, key: str, per_page: int, height: int) -> Dat
 
 def line_tops(lines: DataFrame, keys: list[str], height: str) -> DataFrame:
     """y of every line: the heights above it on its page."""
-    above = Window.partitionBy(*keys).orderBy("line_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("y", F.coalesce(F.sum(height).over(above), F.lit(0)).cast("long"))
+    placed = in_two_levels(lines, keys, [F.col("line_idx")], before={"y": F.col(height)})
+    return placed.withColumn("y", F.col("y").cast("long"))
+
+
+@dataclass(frozen=True)
+class Measures:
+    """Widths of characters by style, as arrays sorted by (style, code point), and each style's width of other characters, height and baseline."""
+
+    keys: np.ndarray
+    widths: np.ndarray
+    other: np.ndarray
+    height: np.ndarray
+    baseline: np.ndarray
+
+    def of(self, points: np.ndarray, style: np.ndarray) -> np.ndarray:
+        wide = self.other[style]
+        if len(self.keys):
+            key = style.astype(np.int64) << 21 | points
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            wide = np.where(self.keys[at] == key, self.widths[at], wide)
+        return wide
+
+
+#: Rows of a table of widths that go to every task at most.
+MOST_WIDTHS = 1_000_000
+
+
+def measures(widths: DataFrame, styles: DataFrame) -> Measures:
+    """From ``widths`` (style_id, code_point, width) and ``styles`` (style_id from 0 on, width of other characters, height, baseline).
+
+    Both are small and their sizes are checked. Widths and heights are whole numbers of 1 at least; styles that aren't given are like style 0.
+    """
+    listed = widths.select(F.col("style_id").cast("long") * (1 << 21) + F.col("code_point"), F.col("width").cast("long")).limit(MOST_WIDTHS + 1).toPandas().to_numpy(dtype=np.int64)
+    of_style = styles.select("style_id", "width", "height", "baseline").limit(1025).toPandas().to_numpy(dtype=np.int64)
+    if len(listed) > MOST_WIDTHS or len(of_style) > 1024:
+        raise ValueError("too many widths or styles")
+    if not (of_style[:, 0] == 0).any() or of_style[:, 1:3].min() < 1 or (len(listed) and listed[:, 1].min() < 1):
+        raise ValueError("style 0 must be given, and widths and heights be 1 at least")
+    table = np.tile(of_style[of_style[:, 0] == 0][:1], (int(of_style[:, 0].max()) + 1, 1))
+    table[of_style[:, 0]] = of_style
+    listed = listed[np.argsort(listed[:, 0], kind="stable")]
+    return Measures(listed[:, 0], listed[:, 1], *table[:, 1:].T)
+
+
+def wrapped(points: np.ndarray, wide: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offset and length of every line of code points of widths ``wide``, broken as by ``wrap_text``.
+
+    Where the line that begins at a place ends is found for all places at once, from running widths; then the
+    lines are gone along. A character wider than the limit has a line of its own.
+    """
+    n = len(points)
+    if not n:
+        return np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    upto, place = np.concatenate([[0], np.cumsum(wide)]), np.arange(n)
+    ends = np.append(np.flatnonzero(points == 10), n)
+    end = ends[np.searchsorted(ends, place)]
+    reach = np.searchsorted(upto, upto[:-1] + limit, side="right") - 1
+    space = np.maximum.accumulate(np.where((points == 32) | (points == 9), place, -1))
+    fits, cut = reach >= end, space[np.minimum(reach, n - 1)]
+    size = np.where(fits, end - place, np.where(cut > place, cut - place, np.maximum(reach - place, 1)))
+    after = (place + size + (fits | (cut > place))).tolist()
+    at, starts = 0, []
+    while at < n:
+        starts.append(at)
+        at = after[at]
+    starts = np.array(starts)
+    size = size[starts]
+    if at == n and not fits[starts[-1]]:  # a break at the end of the text opens a line, a line end doesn't
+        return np.append(starts, n), np.append(size, 0)
+    return starts, size
+
+
+def measured(text: str, starts: list[int], styles: list[int], limit: int, m: Measures) -> tuple[np.ndarray, ...]:
+    """Offset, length, width, height and baseline of every line of a text whose runs begin at ``starts``.
+
+    Height and baseline are the greatest of the characters from the line's begin to the next line's; a line without any has those of
+    the character before it, and in an empty text those of the first run's style, or style 0.
+    """
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    known = np.array([s if 0 <= s < len(m.other) else 0 for s in styles] or [0], dtype=np.int64)
+    run = np.searchsorted(np.array(starts or [0]), np.arange(len(points)), side="right") - 1
+    style = known[np.maximum(run, 0)] if len(points) else known[:1]
+    wide = m.of(points, style) if len(points) else np.zeros(0, dtype=np.int64)
+    offset, length = wrapped(points, wide, limit)
+    upto = np.concatenate([[0], np.cumsum(wide)])
+    first = np.minimum(offset, len(style) - 1)
+    return offset, length, upto[offset + length] - upto[offset], np.maximum.reduceat(m.height[style], first), np.maximum.reduceat(m.baseline[style], first)
+
+
+def with_runs(docs: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with runs, an array of each document's runs (start, style_id) in order; they are brought together by one join on the key."""
+    listed = runs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("style_id").cast("int").alias("style_id")))).alias("runs"))
+    return docs.join(listed, key, "left")
+
+
+LINE = "line_idx int, char_offset long, char_length long, width long, height long, baseline long"
+
+
+def measured_lines(docs: DataFrame, key: str, limit: int, m: Measures, text: str = "text", base: Column | None = None, end: Column | None = None) -> DataFrame:
+    """key, line_idx, char_offset, char_length, width, height and baseline of every line of texts with ``runs`` (start, style_id).
+
+    A null text has no lines, an empty one an empty line; null runs are style 0. With ``base`` and ``end``, texts are
+    parts of documents that begin at character ``base``, and lines that begin at ``end`` or later are left out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for row, (body, runs, begin, upto) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_text", "_runs", "_base", "_end")), strict=True)):
+                if body is None:
+                    continue
+                runs = runs or []
+                lines = np.stack(measured(body, [r["start"] - begin for r in runs], [r["style_id"] for r in runs], limit, shared.value))
+                lines[0] += begin
+                if upto is not None:
+                    lines = lines[:, lines[0] < upto]
+                rows.append(np.full(lines.shape[1], row))
+                found.append(np.concatenate([np.arange(lines.shape[1])[None, :], lines]))
+            if rows:
+                every = np.concatenate(found, axis=1)
+                yield pa.record_batch([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(every[0], pa.int32()), *(pa.array(x) for x in every[1:])], names=[key, *(c.split()[0] for c in LINE.split(", "))])
+
+    none = F.lit(None).cast("long")
+    given = docs.select(key, F.col(text).alias("_text"), F.col("runs").alias("_runs"), (F.lit(0).cast("long") if base is None else base).alias("_base"), (none if end is None else end).alias("_end"))
+    kind = docs.schema[key].dataType.simpleString()
+    return given.mapInArrow(run, f"{key} {kind}, {LINE}")
+
+
+def page_starts(heights: np.ndarray, offsets: np.ndarray, most: int, chunk: int | None) -> np.ndarray:
+    """Index of the first line of every page. The next page's begin is found for all lines at once by a search of running heights; then pages are gone along."""
+    n = len(heights)
+    upto, place = np.concatenate([[0], np.cumsum(heights)]), np.arange(n)
+    after = np.maximum(np.searchsorted(upto, upto[:-1] + most, side="right") - 1, place + 1)
+    if chunk:
+        fresh = np.append(np.flatnonzero(np.diff(offsets // chunk)) + 1, n)
+        after = np.minimum(after, fresh[np.searchsorted(fresh, place, side="right")])
+    jump, at, starts = after.tolist(), 0, []
+    while at < n:
+        starts.append(at)
+        at = jump[at]
+    return np.array(starts, dtype=np.int64)
+
+
+def mixed_pages(lines: DataFrame, key: str, most: int, chunk: int | None = None) -> DataFrame:
+    """``lines`` (key, line_idx, char_offset, height and others) with page_idx and y, the heights above on the page.
+
+    Pages are filled up to ``most``, one line at least on each; with ``chunk``, a page also begins at the first line
+    in each run of so many characters. A document's lines are brought to one task and sorted; other documents' aren't held with them.
+    """
+    schema = lines.select(key, *[c for c in lines.columns if c != key]).schema.add("page_idx", "integer").add("y", "long")
+
+    def placed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        heights, offsets = (whole.column(c).to_numpy().astype(np.int64) for c in ("height", "char_offset"))
+        starts = page_starts(heights, offsets, most, chunk)
+        page = np.searchsorted(starts, np.arange(len(heights)), side="right") - 1
+        above = np.cumsum(heights) - heights
+        return whole.append_column("page_idx", pa.array(page, pa.int32())).append_column("y", pa.array(above - above[starts][page]))
+
+    ordered = lines.select(key, *[c for c in lines.columns if c != key]).repartition(key).sortWithinPartitions(key, "line_idx")
+    return ordered.mapInArrow(_by_key(placed), schema)
+
+
+def _by_key(work: Callable[[list[pa.RecordBatch]], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Work on all rows of one key (the first column) at a time, over rows sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if held and held[-1].column(0)[0].as_py() != keys[a]:
+                    yield work(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield work(held)
+
+    return run
+
+
+def pages_of(paged: DataFrame, key: str) -> DataFrame:
+    """page_idx, start_offset, end_offset, line_count and content_height of every page of lines."""
+    return paged.groupBy(key, "page_idx").agg(
+        F.min("char_offset").alias("start_offset"),
+        F.max(F.col("char_offset") + F.col("char_length")).alias("end_offset"),
+        F.count("*").alias("line_count"),
+        F.sum("height").alias("content_height"),
+    )
+
+
+def page_anchors(paged: DataFrame, key: str, every: int = 8) -> DataFrame:
+    """An index of pages: for every ``every``-th page its block and the character it begins at, and that of the next one (null: none).
+
+    A page begins with a line, and wrapping begins anew there, so the offset is all of the state.
+    """
+    starts = paged.groupBy(key, F.floor(F.col("page_idx") / every).cast("int").alias("block")).agg(F.min("char_offset").alias("start"))
+    return starts.withColumn("end", F.lead("start").over(Window.partitionBy(key).orderBy("block")))
+
+
+def pages_on_demand(docs: DataFrame, anchors: DataFrame, asked: DataFrame, key: str, limit: int, m: Measures, most: int, chunk: int | None = None, every: int = 8) -> DataFrame:
+    """The lines of the pages that are ``asked`` for (key, page_idx, each once): page_idx, y and the lines' columns but line_idx.
+
+    Only the text from the page's anchor to the next one, and a line's length behind it, is cut out and wrapped.
+    Pages that aren't there give no lines.
+    """
+    narrow = int(min([m.other.min(), *m.widths[:1], *([m.widths.min()] if len(m.widths) else [])]))
+    wanted = asked.groupBy(key, F.floor(F.col("page_idx") / every).cast("int").alias("block")).agg(F.collect_set(F.col("page_idx").cast("int")).alias("_pages"))
+    rows = wanted.join(anchors, [key, "block"]).join(docs.select(key, "text", "runs"), key)
+    size = F.coalesce(F.col("end") - F.col("start") + (limit // narrow + 2), F.length("text") - F.col("start")).cast("int")
+    sized = rows.withColumn("_upto", F.col("start") + size)
+    near = F.filter("runs", lambda r: r["start"] < F.col("_upto"))
+    part = sized.select(F.struct(key, "block", "_pages").alias("_of"), F.substring("text", (F.col("start") + 1).cast("int"), (F.col("_upto") - F.col("start")).cast("int")).alias("text"), near.alias("runs"), "start", "end")
+    lines = measured_lines(part, "_of", limit, m, base=F.col("start"), end=F.col("end"))
+    paged = mixed_pages(lines.select(F.struct(f"_of.{key}", "_of.block").alias("_key"), "_of", "line_idx", "char_offset", "char_length", "width", "height", "baseline"), "_key", most, chunk)
+    page = F.col("_of.block") * every + F.col("page_idx")
+    found = paged.select(F.col(f"_of.{key}").alias(key), page.alias("page_idx"), "char_offset", "char_length", "width", "height", "baseline", "y", "_of._pages")
+    return found.where(F.array_contains("_pages", F.col("page_idx"))).drop("_pages")
 
 
 def pages_by_height(lines: DataFrame, key: str, most: int) -> DataFrame:

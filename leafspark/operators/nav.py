@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,10 +90,44 @@ def overlaps(lines: DataFrame, runs: DataFrame, key: str) -> DataFrame:
 
 
 def toc_links(toc: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """A link where each title first stands in its document; titles that are null, empty or not there give none."""
+    """A link where each title first stands in its document; titles that are null, empty or not there give none.
+
+    A document's different titles go to its text together and are looked for in one pass, by an automaton of them.
+    """
     named = toc.where(F.col("title").isNotNull() & (F.col("title") != ""))
-    at = F.expr("locate(title, text)")
-    return named.join(docs.select(key, "text"), key).where(at > 0).select(key, "entry_idx", "title", (at - 1).cast("long").alias("char_offset"), F.length("title").cast("long").alias("length"), "target_offset")
+    titles = named.groupBy(key).agg(F.collect_set("title").alias("_titles"))
+    met = titles.join(docs.select(key, F.col("text").alias("_text")).where("_text IS NOT NULL"), key)
+    kind = docs.schema[key].dataType.simpleString()
+    found = met.select(key, "_titles", "_text").mapInArrow(_first_places, f"_key {kind}, _title string, _at long")
+    at_title = (F.col(key) == F.col("_key")) & (F.col("title") == F.col("_title"))
+    return named.join(found, at_title).select(key, "entry_idx", "title", F.col("_at").alias("char_offset"), F.length("title").cast("long").alias("length"), "target_offset")
+
+
+def _first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key, title and first character of every title that stands in its row's text."""
+    for batch in batches:
+        rows, titles, places = [], [], []
+        for row, (asked, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for title, at in first_places(asked, text).items():
+                rows.append(row)
+                titles.append(title)
+                places.append(at)
+        yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(titles, pa.string()), pa.array(places, pa.int64())], names=["_key", "_title", "_at"])
+
+
+def first_places(titles: list[str], text: str) -> dict[str, int]:
+    """Where each title first begins in a text; those that aren't there are left out."""
+    automaton = ahocorasick.Automaton()
+    for title in titles:
+        automaton.add_word(title, title)
+    automaton.make_automaton()
+    found: dict[str, int] = {}
+    for end, title in automaton.iter(text):
+        if title not in found:
+            found[title] = end + 1 - len(title)
+            if len(found) == len(titles):
+                break
+    return found
 
 
 def running_offsets(deltas: DataFrame, keys: list[str], order: str, delta: Column) -> DataFrame:

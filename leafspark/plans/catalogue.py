@@ -534,6 +534,77 @@ def l3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.uniform_pages(l1_wrap(spark, sf_dir), "doc_id", LINES, 24)
 
 
+#: Layout by a table of widths: styles change every so many characters; a rule gives the widths of Latin-1 characters.
+STYLED, STYLES, LIMIT, MOST_HEIGHT, CHUNK = 97, 5, 600, 400, 2500
+LEVELS = 12
+
+#: Lines by pointers: where a line that begins at a place would end, for all places, and the places that are reached by doubling steps.
+MEASURED = f"""
+WITH t AS (SELECT doc_id, length(text) AS len, text <> '' AND suffix(text, chr(10)) AS closed, list_append(CASE WHEN text = '' THEN [] ELSE string_split(text, '') END, '') AS s FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, len, closed, unnest(s) AS ch, unnest(range(0, len + 1)) AS pos FROM t),
+n AS MATERIALIZED (SELECT doc_id, len, ch, pos, CAST(pos // {STYLED} % {STYLES} AS INTEGER) AS style, CASE WHEN ch IN ('', chr(10)) THEN 0 WHEN unicode(ch) BETWEEN 32 AND 255 THEN 6 + unicode(ch) * 7 % 5 + pos // {STYLED} % {STYLES} ELSE 9 + pos // {STYLED} % {STYLES} END AS wide,
+  count(*) FILTER (ch = chr(10)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS para FROM c WHERE NOT (pos = len AND closed)),
+m AS MATERIALIZED (SELECT *, CAST(sum(wide) OVER w - wide AS BIGINT) AS upto, max(CASE WHEN ch IN (' ', chr(9)) THEN pos END) OVER w AS brk, max(pos) OVER (PARTITION BY doc_id, para) AS fin
+  FROM n WINDOW w AS (PARTITION BY doc_id, para ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+x AS MATERIALIZED (SELECT a.doc_id, a.pos, CASE WHEN b.pos >= a.fin THEN NULL WHEN b.brk > a.pos THEN b.brk + 1 ELSE greatest(b.pos, a.pos + 1) END AS nxt,
+    CASE WHEN b.pos >= a.fin THEN a.fin - a.pos WHEN b.brk > a.pos THEN b.brk - a.pos ELSE greatest(b.pos - a.pos, 1) END AS size
+  FROM m a ASOF JOIN (SELECT doc_id, para, pos, brk, upto - {LIMIT} AS low FROM m) b ON a.doc_id = b.doc_id AND a.para = b.para AND a.upto >= b.low),
+j0 AS MATERIALIZED (SELECT doc_id, pos, nxt FROM x WHERE nxt IS NOT NULL), r0 AS (SELECT doc_id, min(pos) AS pos FROM m GROUP BY doc_id, para),
+{"".join(f"r{k + 1} AS MATERIALIZED (SELECT * FROM r{k} UNION SELECT r.doc_id, j.nxt FROM r{k} r JOIN j{k} j ON j.doc_id = r.doc_id AND j.pos = r.pos), j{k + 1} AS MATERIALIZED (SELECT a.doc_id, a.pos, b.nxt FROM j{k} a JOIN j{k} b ON a.doc_id = b.doc_id AND a.nxt = b.pos), " for k in range(LEVELS))}
+s AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS line_idx, size FROM r{LEVELS} JOIN x USING (doc_id, pos)),
+h AS (SELECT doc_id, line, max(style) FILTER (ch <> '') AS style, sum(wide) FILTER (pos < begin + size) AS width
+  FROM (SELECT n.doc_id, n.pos, n.ch, n.style, n.wide, last_value(s.line_idx IGNORE NULLS) OVER w AS line, last_value(s.pos IGNORE NULLS) OVER w AS begin, last_value(s.size IGNORE NULLS) OVER w AS size
+    FROM n LEFT JOIN s ON s.doc_id = n.doc_id AND s.pos = n.pos WINDOW w AS (PARTITION BY n.doc_id ORDER BY n.pos ROWS UNBOUNDED PRECEDING)) GROUP BY doc_id, line),
+l AS MATERIALIZED (SELECT s.doc_id, CAST(line_idx AS INTEGER) AS line_idx, pos AS char_offset, size AS char_length, CAST(coalesce(width, 0) AS BIGINT) AS width,
+  CAST(24 + 4 * coalesce(h.style, greatest(pos - 1, 0) // {STYLED} % {STYLES}) AS BIGINT) AS height, CAST(18 + 3 * coalesce(h.style, greatest(pos - 1, 0) // {STYLED} % {STYLES}) AS BIGINT) AS baseline
+  FROM s JOIN h ON h.doc_id = s.doc_id AND h.line = s.line_idx)
+"""
+#: Pages by pointers in the same way: the line that the page after a line's would begin with.
+PAGED = f"""
+, u AS MATERIALIZED (SELECT *, sum(height) OVER w - height AS above, sum(height) OVER w AS below, min(char_offset // {CHUNK}) OVER w AS chunk0, char_offset // {CHUNK} AS chunk FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_idx ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT doc_id, chunk, max(line_idx) AS last_line FROM u GROUP BY doc_id, chunk),
+g0 AS MATERIALIZED (SELECT a.doc_id, a.line_idx, least(greatest(coalesce(b.line_idx, -1) + 1, a.line_idx + 1), f.last_line + 1) AS nxt
+  FROM u a ASOF LEFT JOIN u b ON a.doc_id = b.doc_id AND a.above + {MOST_HEIGHT} >= b.below JOIN f ON f.doc_id = a.doc_id AND f.chunk = a.chunk),
+q0 AS (SELECT DISTINCT doc_id, 0 AS line_idx FROM u),
+{"".join(f"q{k + 1} AS MATERIALIZED (SELECT * FROM q{k} UNION SELECT q.doc_id, g.nxt FROM q{k} q JOIN g{k} g ON g.doc_id = q.doc_id AND g.line_idx = q.line_idx), g{k + 1} AS MATERIALIZED (SELECT a.doc_id, a.line_idx, b.nxt FROM g{k} a JOIN g{k} b ON a.doc_id = b.doc_id AND a.nxt = b.line_idx), " for k in range(LEVELS))}
+z AS MATERIALIZED (SELECT u.*, CAST(count(q.line_idx) OVER w - 1 AS INTEGER) AS page_idx, CAST(above - last_value(CASE WHEN q.line_idx IS NOT NULL THEN above END IGNORE NULLS) OVER w AS BIGINT) AS y
+  FROM u LEFT JOIN q{LEVELS} q ON q.doc_id = u.doc_id AND q.line_idx = u.line_idx WINDOW w AS (PARTITION BY u.doc_id ORDER BY u.line_idx ROWS UNBOUNDED PRECEDING))
+"""
+
+
+def _measures(spark: SparkSession) -> layout.Measures:
+    of_style = spark.range(STYLES).select(F.col("id").alias("style_id"), (9 + F.col("id")).alias("width"), (24 + 4 * F.col("id")).alias("height"), (18 + 3 * F.col("id")).alias("baseline"))
+    points = spark.range(32, 256).select(F.col("id").alias("code_point"))
+    return layout.measures(of_style.crossJoin(points).select("style_id", "code_point", (6 + F.col("code_point") * 7 % 5 + F.col("style_id")).alias("width")), of_style)
+
+
+def _styled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with runs: the style changes every STYLED characters."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(STYLED))
+    runs = F.transform(starts, lambda at: F.struct(at.cast("long").alias("start"), F.floor(at / STYLED % STYLES).cast("int").alias("style_id")))
+    return _docs(spark, sf_dir).select("doc_id", "text", runs.alias("runs"))
+
+
+@registered(MEASURED + "SELECT * FROM l")
+def l5_wrap_by_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.measured_lines(_styled_docs(spark, sf_dir), "doc_id", LIMIT, _measures(spark))
+
+
+@registered(MEASURED + PAGED + "SELECT doc_id, page_idx, min(char_offset) AS start_offset, max(char_offset + char_length) AS end_offset, count(*) AS line_count, CAST(sum(height) AS BIGINT) AS content_height FROM z GROUP BY doc_id, page_idx")
+def l3_mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of lines of different heights, begun anew at every chunk."""
+    return layout.pages_of(layout.mixed_pages(l5_wrap_by_width(spark, sf_dir), "doc_id", MOST_HEIGHT, CHUNK), "doc_id")
+
+
+@registered(MEASURED + PAGED + "SELECT doc_id, page_idx, char_offset, char_length, width, height, baseline, y FROM z WHERE page_idx IN (0, 9, doc_id % 40)")
+def l4_page_on_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages of every document by number, from an index of every eighth page's begin."""
+    docs, m = _styled_docs(spark, sf_dir), _measures(spark)
+    paged = layout.mixed_pages(layout.measured_lines(docs, "doc_id", LIMIT, m), "doc_id", MOST_HEIGHT, CHUNK)
+    asked = docs.select("doc_id", F.explode(F.array_distinct(F.array(F.lit(0), F.lit(9), (F.col("doc_id") % 40).cast("int")))).alias("page_idx"))
+    return layout.pages_on_demand(docs, layout.page_anchors(paged, "doc_id"), asked, "doc_id", LIMIT, m, MOST_HEIGHT, CHUNK)
+
+
 @registered("SELECT conv_id, turn, CAST(coalesce(sum(24 + turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS y FROM conversations")
 def w9_line_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("line_idx"), (24 + F.col("turn")).alias("height"))

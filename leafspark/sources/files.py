@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONTAINER_GLOB = "*.[pP][dD][bB]"
@@ -38,8 +38,11 @@ def in_name_order(files: DataFrame, name: str = "name", then: str = "path") -> D
 
 
 def with_rank(files: DataFrame, keys: list[str], name: str = "name", then: str = "path") -> DataFrame:
-    """Position of each row among those of its ``keys``, in name order."""
-    return files.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lower(name), name, then)) - 1)
+    """Position of each row among those of its ``keys``, in name order; a key's rows are spread over many tasks."""
+    from leafspark.operators.prefix import in_two_levels
+
+    placed = in_two_levels(files, keys, [F.lower(F.col(name)), F.col(name), F.col(then)], position="position")
+    return placed.withColumn("position", F.col("position").cast("int"))
 
 
 def diagnostics(rows: DataFrame, stage: str, code: Column, message: Column, path: str = "path") -> DataFrame:
