@@ -16,11 +16,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafspark.llm.arrow_text import lower_ascii, scramble, sized_slices, utf8
 from leafspark.llm.scratch import saved
 
 BUCKETS = 1 << 14
+#: Priors of so many hosts, an array of as many numbers as languages each, are broadcast; more are joined by a shuffle.
+MOST_BROADCAST_HOSTS = 20_000
 #: Suffixes of addresses that stand for a language, where another than the language's own code does.
 SUFFIX_LANGUAGES = {"uk": "en", "us": "en", "au": "en", "ie": "en", "at": "de", "mx": "es", "ar": "es", "be": "fr"}
 
@@ -85,14 +88,14 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.record_batch([pa.array(names[at // BUCKETS], type=pa.string()), pa.array((at % BUCKETS).astype(np.int32)), pa.array(counts[at])], names=["language", "bucket", "n"])
 
 
-def fit_languages(docs: DataFrame, language: str = "lang", rows_of_each: int = 1_000, most_languages: int = 200) -> Model:
-    """Fit on about ``rows_of_each`` whole texts of each language (all, where there are fewer), of the ``most_languages`` most frequent.
+def fit_languages(docs: DataFrame, language: str = "lang", rows_of_each: int = 1_000) -> Model:
+    """Fit on about ``rows_of_each`` whole texts of each language (all, where there are fewer); every language is modelled.
 
     Rows are taken by a hash of doc_id, at a share of each language's own rows, so a rare language has its
     sample however large the table is. Trigrams are counted by tasks; only counts come to the driver.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(language).cast("string").alias("language"), "text").where(F.col("language").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("language").count().orderBy(F.desc("count"), "language").limit(most_languages).collect()
+    sizes = known.groupBy("language").count().orderBy("language").collect()  # a row for each language
     if not sizes:
         return of_counts((), np.zeros((0, BUCKETS)))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["language"], int(1_000_000_000 * min(1.0, rows_of_each / r["count"])))])
@@ -138,6 +141,7 @@ def identify(
     unknown: float = 1e-4,
     least_share: float = 0.3,
     least_letters: int = 1,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Language of every row of ``rows``: the ``keys``, text, and as far as known declared, suffix and host.
 
@@ -151,28 +155,37 @@ def identify(
     the table. Null and empty texts have no letters and aren't kept. Null keys and repeated rows come back
     each; other columns are ignored; an empty table gives no rows. A model without languages (nothing was
     there to fit it on) tells nothing: all rows are ``und``, and those with letters are kept. The texts are read once, and the scores
-    written to the shared folder, from which priors and posteriors are computed in Spark SQL.
+    written to the shared folder, from which priors and posteriors are computed in Spark SQL. With ``carry``, the result also has carried, a
+    struct of the columns so named; then nothing is written, and texts are scored twice: for the priors, and with their rows.
     """
     spark = rows.sparkSession
     names = [*model.languages, "und"]
     n = len(names)
     have = set(rows.columns)
     hint = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
-    source = rows.select(F.struct(*[F.col(k) for k in keys]).alias("key"), "text", hint("declared").alias("declared"), hint("suffix").alias("suffix"), hint("host").alias("host"))
+    source = rows.select(F.struct(*[F.col(k) for k in keys]).alias("key"), "text", hint("declared").alias("declared"), hint("suffix").alias("suffix"), hint("host").alias("host"), *([F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []))
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sized_slices(batch, "text"):
-                scores, letters = shared.value.likelihoods(part.column("text"))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, n), type=pa.int32()), pa.array(scores.ravel()))
-                yield pa.record_batch([*(part.column(c) for c in ("key", "declared", "suffix", "host")), lists, pa.array(letters, type=pa.int64())], names=["key", "declared", "suffix", "host", "scores", "letters"])
+    def scores_of(own: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in sized_slices(batch, "text"):
+                    scores, letters = shared.value.likelihoods(part.column("text"))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, n), type=pa.int32()), pa.array(scores.ravel()))
+                    yield pa.record_batch([*(part.column(c) for c in columns), lists, pa.array(letters, type=pa.int64())], names=[*columns, "scores", "letters"])
 
-    key_type = source.schema["key"].dataType.simpleString()
-    scored = saved(source.mapInArrow(run, f"key {key_type}, declared string, suffix string, host string, scores array<double>, letters long"), "language-scores")
+        schema = T.StructType([own.schema[c] for c in columns]).add("scores", T.ArrayType(T.DoubleType())).add("letters", T.LongType())
+        return own.mapInArrow(run, schema)
+
+    hints = ("declared", "suffix", "host")
+    more = ["carried"] if carry else []
+    if carry:
+        scored, again = scores_of(source.select("text", *hints), hints), scores_of(source, ("key", *hints, "carried"))
+    else:
+        scored = again = saved(scores_of(source, ("key", *hints)), "language-scores")
 
     if not model.languages:
-        return scored.select("key.*", F.lit("und").alias("language"), F.lit(1.0).alias("share"), "letters", (F.col("letters") >= least_letters).alias("kept"))
+        return again.select("key.*", *more, F.lit("und").alias("language"), F.lit(1.0).alias("share"), "letters", (F.col("letters") >= least_letters).alias("kept"))
 
     best = F.array_position(F.slice("scores", 1, n - 1), F.array_max(F.slice("scores", 1, n - 1))).cast("int") - 1
     votes = scored.where((F.col("letters") >= least_letters) & (F.array_max(F.slice("scores", 1, n - 1)) > F.element_at("scores", -1))).select("host", "suffix", best.alias("best"))
@@ -192,7 +205,7 @@ def identify(
         F.col("suffix").alias("of_suffix"),
         F.array(*[F.log(c) for c in shares("n", [F.col(f"p{k}") for k in range(n - 1)])]).alias("prior"),
     )
-    joined = scored.join(priors, F.col("host").eqNullSafe(F.col("host_key")) & F.col("suffix").eqNullSafe(F.col("of_suffix")), "left")
+    joined = again.join(F.broadcast(priors) if carry and priors.count() <= MOST_BROADCAST_HOSTS else priors, F.col("host").eqNullSafe(F.col("host_key")) & F.col("suffix").eqNullSafe(F.col("of_suffix")), "left")
     modelled = F.array(*[F.lit(x) for x in model.languages])
 
     def says(column: str, right: float) -> Column:
@@ -204,9 +217,9 @@ def identify(
 
     even = F.array_repeat(F.lit(float(-np.log(max(n - 1, 1)))), n - 1)
     evidence = F.zip_with(F.zip_with(F.coalesce("prior", even), says("declared", declared_right), lambda a, b: a + b), says("suffix", suffix_right), lambda a, b: a + b)
-    fused = joined.select("key", "letters", F.zip_with(F.concat(evidence, F.array(F.lit(float(np.log(unknown))))), F.transform("scores", lambda x: x * temper), lambda a, b: a + b).alias("fused"))
+    fused = joined.select("key", *more, "letters", F.zip_with(F.concat(evidence, F.array(F.lit(float(np.log(unknown))))), F.transform("scores", lambda x: x * temper), lambda a, b: a + b).alias("fused"))
     peak = fused.withColumn("peak", F.array_max("fused"))
     weighed = peak.withColumn("share", 1 / F.aggregate(F.transform("fused", lambda x: F.exp(x - F.col("peak"))), F.lit(0.0), lambda a, x: a + x))
     found = weighed.withColumn("language", F.when(F.col("letters") == 0, "und").otherwise(F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("fused", F.col("peak")).cast("int"))))
     kept = (F.col("language") != "und") & (F.col("share") >= least_share) & (F.col("letters") >= least_letters)
-    return found.select("key.*", "language", "share", "letters", kept.alias("kept"))
+    return found.select("key.*", *more, "language", "share", "letters", kept.alias("kept"))

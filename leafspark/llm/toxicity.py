@@ -23,15 +23,13 @@ from pyspark.sql import types as T
 
 from leafspark.llm.arrow_text import lower_ascii, run_hashes, scramble, sized_slices, utf8, words
 from leafspark.llm.labelled import remainder, training_rows
+from leafspark.llm.scratch import saved
 
 WINDOW, STRIDE = 32, 16
 GRAMS = 4096
 CHUNK = 1024
-#: So many words of a text are used for fitting at most.
-EXCERPT = 4096
 BLANK = re.compile(r"[ \t-\r]+")
 
-
 def _letters() -> np.ndarray:
     out = np.zeros(256, dtype=bool)
     out[97:123] = out[128:] = True
@@ -41,21 +39,6 @@ def _letters() -> np.ndarray:
 _LETTER = _letters()
 
 
-def excerpts(texts: pa.Array) -> pa.Array:
-    """The texts; of those of over EXCERPT words, so many words in evenly spread windows, which begin at places drawn by the text."""
-    out = texts.to_pylist()
-    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-        if n <= 2 * EXCERPT - 1:  # a word and a space each
-            continue
-        own = BLANK.split(out[i])
-        if len(own) > EXCERPT:
-            rng = np.random.default_rng(zlib.crc32(out[i][:1000].encode()) + len(own))
-            n_windows = EXCERPT // WINDOW
-            begins = (np.arange(n_windows) + rng.random(n_windows)) * ((len(own) - WINDOW) / n_windows)
-            out[i] = " ".join(x for b in begins.astype(int) for x in own[b : b + WINDOW])
-    return pa.array(out, type=pa.string())
-
-
 @dataclass
 class Words:
     """Different words of some texts: hash and trigrams of each, and the words of the texts in order."""
@@ -316,18 +299,73 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 4, ep
     return net
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 4_000) -> Network:
+def excerpts(texts: pa.Array, odds: tuple[np.ndarray, np.ndarray], most_words: int, chosen: float = 0.5) -> pa.Array:
+    """The texts; of those of over ``most_words`` words, so many words in windows taken from all of the text.
+
+    All windows of such a text are scored by ``odds`` (sorted hashes of words, and their log odds); the share ``chosen`` of what is taken
+    are those of the greatest score, and the others are drawn from all the rest, at places that hang on the text.
+    """
+    out = texts.to_pylist()
+    hashes, value = odds
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if n <= 2 * most_words - 1:  # a word and a space each
+            continue
+        w = read_words(texts.slice(i, 1))
+        if len(w.order) <= most_words:
+            continue
+        own = np.zeros(len(w.hashes) + 1, dtype=np.float32)
+        if len(hashes):
+            at = np.minimum(np.searchsorted(hashes, w.hashes), len(hashes) - 1)
+            own[:-1] = np.where(hashes[at] == w.hashes, value[at], 0)
+        ids, _ = windows(w.first, w.order, len(w.hashes))
+        score = rolled_max(own, ids)
+        best = np.argsort(-score, kind="stable")
+        first = int(chosen * most_words) // WINDOW
+        rng = np.random.default_rng(zlib.crc32(out[i].encode()))
+        rest = rng.choice(best[first:], size=min(most_words // WINDOW - first, len(best) - first), replace=False)
+        begins = np.minimum(np.sort(np.concatenate([best[:first], rest])) * STRIDE, len(w.order) - WINDOW)
+        listed = [x for x in BLANK.split(out[i]) if x]
+        out[i] = " ".join(x for b in begins.tolist() for x in listed[b : b + WINDOW])
+    return pa.array(out, type=pa.string())
+
+
+def word_odds(sample: DataFrame, most_words: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and log odds of the ``most_words`` most frequent words of labelled whole texts, counted by tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sized_slices(batch, "text"):
+                w = read_words(part.column("text"))
+                pairs = np.unique(np.repeat(np.arange(part.num_rows), np.diff(w.first)) * (len(w.hashes) + 1) + w.order)
+                yield pa.record_batch([pa.array(w.hashes[pairs % (len(w.hashes) + 1)].view(np.int64)), part.column("label").take(pa.array(pairs // (len(w.hashes) + 1)))], names=["word", "label"])
+
+    toxic, n = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    prior = (toxic + 1) / (n + 2)
+    counted = sample.select("text", "label").mapInArrow(run, "word long, label int").groupBy("word").agg(F.sum("label").alias("yes"), F.count("*").alias("n"))
+    held = counted.orderBy(F.desc("n"), "word").limit(most_words).toPandas()
+    hashes = held["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    yes, no = held["yes"].to_numpy(dtype=np.float64), (held["n"] - held["yes"]).to_numpy(dtype=np.float64)
+    odds = np.log((yes + 2 * prior) / (no + 2 * (1 - prior))) - np.log(prior / (1 - prior))
+    order = np.argsort(hashes)
+    return hashes[order], odds[order].astype(np.float32)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 4_000, most_words: int = 4_096) -> Network:
     """Fit on at most ``most_rows`` labelled texts of any length whose crc32 remainder by 4 isn't 2.
 
-    A text of over EXCERPT words comes to the driver as so many of its words, in windows spread over it.
+    A text of over ``most_words`` words comes to the driver as so many of its words: windows that tasks choose among all of its windows,
+    half of them as those whose words have the greatest odds over all labelled whole texts, so that what its label stands for isn't lost.
     """
+    sample = saved(training_rows(docs, labels, "toxic", 4, 2, most_rows), "toxicity-sample")
+    spark = docs.sparkSession
+    long = sample.where(F.octet_length("text") > 2 * most_words).limit(1).count()
+    odds = spark.sparkContext.broadcast(word_odds(sample) if long else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sized_slices(batch, "text"):
-                yield pa.record_batch([part.column("doc_id"), excerpts(part.column("text")), part.column("label")], names=["doc_id", "text", "label"])
+                yield pa.record_batch([part.column("doc_id"), excerpts(part.column("text"), odds.value, most_words), part.column("label")], names=["doc_id", "text", "label"])
 
-    sample = training_rows(docs, labels, "toxic", 4, 2, most_rows)
     rows = sample.mapInArrow(run, "doc_id long, text string, label int").toPandas().sort_values(["doc_id", "label", "text"])
     return fit(rows["text"].tolist(), rows["label"].to_numpy(dtype=np.int64))
 

@@ -122,12 +122,119 @@ def test_long_texts_are_learned_from(spark):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in got if r["doc_id"] >= 200) >= 38
 
 
-def test_excerpts_are_words_of_the_text():
-    texts = [None, "", "a b", " ".join(f"w{i}" for i in range(50_000)), "x" * 100_000]
-    out = toxicity.excerpts(pa.array(texts)).to_pylist()
-    assert out[:3] == texts[:3] and out[4] == texts[4]
-    at = [int(x[1:]) for x in out[3].split()]
-    assert len(at) == toxicity.EXCERPT and at[0] < 450 and at[-1] > 49_500
+def test_windows_of_long_texts_are_chosen_from_all_of_it(spark):
+    texts = [" ".join(f"w{i}" for i in range(50_000)), "short text", None]
+    marked = texts[0].replace("w33333 ", "marked ")
+    rows = [(1, 1, marked), (2, 0, texts[1]), (3, 0, "w1 w2 w3"), (4, 1, "marked words"), (5, 1, "so marked")]
+    odds = toxicity.word_odds(spark.createDataFrame(rows, "doc_id long, label int, text string"))
+    for text in (marked, texts[0]):
+        out = toxicity.excerpts(pa.array([text, *texts[1:]]), odds, 4096).to_pylist()
+        assert out[1:] == texts[1:]
+        words = out[0].split()
+        at = [int(x[1:]) for x in words if x != "marked"]
+        assert 4000 <= len(words) <= 4096 and min(at) < 1000 and max(at) > 49_000 and ("marked" in words) == (text is marked)
+    by_word = dict(zip(odds[0].tolist(), odds[1].tolist(), strict=True))
+    mark, common = (by_word[int(toxicity.read_words(pa.array([w])).hashes[0])] for w in ("marked", "w2"))
+    prior = 4 / 7
+    assert np.isclose(mark, np.log((3 + 2 * prior) / (2 * (1 - prior))) - np.log(prior / (1 - prior)), atol=1e-5) and np.isclose(common, np.log((1 + 2 * prior) / (1 + 2 * (1 - prior))) - np.log(prior / (1 - prior)), atol=1e-5)
+
+
+def test_scores_are_those_of_the_worst_window():
+    rng = np.random.default_rng(3)
+    net = toxicity.new_network(np.zeros(0, dtype=np.uint64))
+    net.p["C"] = rng.normal(size=net.p["C"].shape).astype(np.float32)
+    texts = [" ".join(f"a{rng.integers(90)}" for _ in range(n)) for n in (5, 32, 33, 100, 47)] + ["", None]
+    got = net.scores(pa.array(texts))
+    for text, score in zip(texts, got, strict=True):
+        words = (text or "").split()
+        begins = sorted({min(k * toxicity.STRIDE, max(len(words) - toxicity.WINDOW, 0)) for k in range(1 + max(0, -(-(len(words) - toxicity.WINDOW) // toxicity.STRIDE)))})
+        each = [net.scores(pa.array([" ".join(words[b : b + toxicity.WINDOW])]))[0] for b in begins]
+        assert np.isclose(score, max(each), atol=1e-6)
+
+
+def test_a_network_is_what_its_formulas_say():
+    """One window, one step after the other, in plain numpy of 64 bits."""
+    net = toxicity.new_network(np.zeros(0, dtype=np.uint64), seed=5)
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    text = "some words of a window"
+    w = toxicity.read_words(pa.array([text]))
+    _, _, x = net.inputs(w)
+    x = np.stack([*(x[i].astype(np.float64) for i in w.order), *([x[-1].astype(np.float64)] * (toxicity.WINDOW - len(w.order)))])
+    sigmoid, h, states = lambda v: 1 / (1 + np.exp(-v)), p["Uf"].shape[0], [[], []]
+    for k, d in enumerate("fb"):
+        state = np.zeros(h)
+        for t in range(toxicity.WINDOW) if k == 0 else range(toxicity.WINDOW - 1, -1, -1):
+            g, u = x[t] @ p["W" + d] + p["b" + d], state @ p["U" + d]
+            z, r = sigmoid(g[:h] + u[:h]), sigmoid(g[h : 2 * h] + u[h : 2 * h])
+            state = (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :]) + z * state
+            states[k].append(state)
+    both = np.concatenate([np.array(states[0]), np.array(states[1])[::-1]], axis=1)
+    weigh = np.exp(both @ p["a"])
+    assert np.isclose(net.scores(pa.array([text]))[0], sigmoid((both @ p["o"] * weigh).sum() / weigh.sum() + p["c"][0]), atol=1e-5)
+
+
+def test_every_language_is_modelled(spark):
+    rng = np.random.default_rng(1)
+    letters = lambda k, n: " ".join("".join(chr(97 + (k + c) % 26) + chr(97 + k // 10) for c in rng.integers(0, 3, 4)) for _ in range(n))
+    rows = [(3 * k + i, letters(k, 40), f"l{k:03}") for k in range(230) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_languages(docs)
+    assert len(model.languages) == 230
+
+
+def plain_languages(rows, model, temper=0.1, declared_right=0.9, suffix_right=0.8, strength=20.0, unknown=1e-4):
+    """Likelihoods, hints and host priors, one row after the other."""
+    n = len(model.languages)
+    likely, letters = model.likelihoods(pa.array([r["text"] for r in rows]))
+    votes = [int(np.argmax(s[:n])) if k and max(s[:n]) > s[n] else None for s, k in zip(likely, letters, strict=True)]
+    tally = lambda keep: np.array([sum(v == k and keep(r) for v, r in zip(votes, rows, strict=True)) for k in range(n)], dtype=float)
+    smooth = lambda counts, parent: (counts + strength * parent) / (counts.sum() + strength)
+    whole = smooth(tally(lambda r: True), np.full(n, 1 / n))
+    out = []
+    for r, s, k in zip(rows, likely, letters, strict=True):
+        host = tally(lambda x: (x["host"], x["suffix"]) == (r["host"], r["suffix"]))  # noqa: B023
+        prior = smooth(host, smooth(tally(lambda x: x["suffix"] == r["suffix"]), whole)) if host.sum() else np.full(n, 1 / n)  # noqa: B023
+        score = np.log(np.append(prior, unknown)) + temper * s
+        for hint, right in ((r["declared"], declared_right), (r["suffix"], suffix_right)):
+            if hint in model.languages:
+                score[:n] += [np.log(right) if x == hint else np.log((1 - right) / max(n - 1, 1)) for x in model.languages]
+        share = np.exp(score - score.max())
+        best = int(np.argmax(score))
+        name = "und" if not k or best == n else model.languages[best]
+        out.append((r["id"], name, round(1 / share.sum(), 6), name != "und" and 1 / share.sum() >= 0.3))
+    return out
+
+
+def test_language_of_pages_equals_plain_fusion(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fit_languages(docs)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(40).collect()]
+    rng = np.random.default_rng(2)
+    rows = [{"id": i, "text": (t or "")[: int(rng.integers(0, 120))], "declared": [None, "de", "en", "xx"][i % 4], "suffix": [None, "fr", "es"][i % 3], "host": [None, "a", "b"][i % 5 % 3], "kept": 1} for i, t in enumerate(texts)]
+    rows += [{**rows[0], "id": 90, "text": None}, {**rows[0], "id": None, "text": "1 2 3"}, rows[7]]
+    frame = spark.createDataFrame([tuple(r.values()) for r in rows], "id int, text string, declared string, suffix string, host string, kept int")
+    want = sorted(plain_languages(rows, model), key=repr)
+    for more in ({}, {"carry": ("kept", "text")}):
+        found = language.identify(frame, model, ["id"], **more)
+        assert sorted(((r["id"], r["language"], round(r["share"], 6), r["kept"]) for r in found.collect()), key=repr) == want
+    assert {tuple(r) for r in found.select("id", "carried.text", "carried.kept").collect()} == {(r["id"], r["text"], 1) for r in rows}
+    monkey = language.MOST_BROADCAST_HOSTS
+    language.MOST_BROADCAST_HOSTS = -1
+    try:
+        found = language.identify(frame, model, ["id"], carry=("text",))
+        assert sorted(((r["id"], r["language"], round(r["share"], 6), r["kept"]) for r in found.collect()), key=repr) == want
+    finally:
+        language.MOST_BROADCAST_HOSTS = monkey
+
+
+def test_language_of_pages_query(spark):
+    from leafspark.llm import queries
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    found = queries.op7_language_of_pages(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["page_id"] for r in found) == sorted(r["page_id"] for r in pages.collect())
+    assert {"en", "de", "fr", "es"} >= {r["language"] for r in found} - {"und"}
+
 
 
 def test_quality_on_held_out_rows(spark):
