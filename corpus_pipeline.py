@@ -22,34 +22,23 @@ from leafspark.session import table
 MOST_BROADCAST_IDS = 500_000
 
 
-#: What a decision on a row hangs on, as two hashes: rows equal in it are decided alike, whatever their doc_ids.
-CONTENT = ("hash_of_content_1", "hash_of_content_2")
-
-
-def by_content(docs: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` with the CONTENT hashes of some columns, 128 bits together. A null hashes unlike any value: which columns are null counts as well."""
-    nulls = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
-    return docs.withColumns({name: F.xxhash64(F.lit(seed), nulls, *columns) for seed, name in enumerate(CONTENT)})
-
-
-def without(docs: DataFrame, rejected: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The rows of ``docs`` whose ``keys`` aren't in ``rejected``; a row without a key stays."""
-    ids = saved(rejected.select(*keys).dropna().distinct(), "rejected")
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, list(keys), "left_anti")
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``rejected``; a row without a doc_id stays."""
+    ids = saved(rejected.select("doc_id").dropna().distinct(), "rejected")
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, "doc_id", "left_anti")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no known language. The text model is fitted on a bounded sample of ``docs``."""
-    rows = by_content(docs, "text", "source")
-    found = language.identify(rows.select(*CONTENT, "text", F.col("source").alias("host")), language.fit_languages(docs), list(CONTENT))
-    return without(rows, found.where(~F.col("kept")), CONTENT).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.col("source").alias("host"), F.struct(*docs.columns).alias("whole_row"))
+    found = language.identify(rows, language.fit_languages(docs), ["doc_id"], carry=("whole_row",))
+    return found.where("kept").select("carried.whole_row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the network, fitted on a bounded sample of labelled ones, finds toxic."""
-    rows = by_content(docs, "text")
-    scored = toxicity.score_toxicity(rows, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")), carry=CONTENT)
-    return without(rows, scored.where(F.col("predicted") == 1).select("carried.*"), CONTENT).select(*docs.columns)
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")), carry=tuple(docs.columns))
+    return scored.where("predicted = 0").select("carried.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
