@@ -12,6 +12,7 @@ import os
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -125,6 +126,12 @@ class ByteTokenizer:
         return ids, sums[np.searchsorted(starts, ends)]
 
 
+@lru_cache(maxsize=1)
+def coder_of(path: str) -> ByteTokenizer:
+    """One tokenizer for all tasks that a worker process runs one after the other: what it has coded once stays known."""
+    return ByteTokenizer(path, most=300_000)
+
+
 def planned(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Best fit, longest first, of so many documents of each length into as many bins as they need.
 
@@ -200,7 +207,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task = ByteTokenizer(tokenizer), TaskContext.get().partitionId()
+        coder, task = coder_of(tokenizer), TaskContext.get().partitionId()
         kind = id_type(coder.most_id, end_id)
         end, seen, whole = np.array([end_id], dtype=kind).tobytes(), np.zeros(capacity, dtype=np.int64), 0
         for batch in batches:
