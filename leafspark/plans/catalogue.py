@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafspark.functions import binary, codecs, rules
-from leafspark.operators import documents, keyed, layout, nav, search, styles
+from leafspark.operators import documents, edits, keyed, layout, nav, search, styles
 from leafspark.session import table
 from leafspark.sources import files, palm
 
@@ -441,6 +441,37 @@ def u2_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.insert_absent(nation.select(F.col("n_name").alias("name")), new, "name")
 
 
+EDITED = f"""
+WITH RECURSIVE e AS (
+  SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, p_name AS name, CAST(4 + 2 * length(p_name) + 40 * p_size AS INTEGER) AS bytes, CASE WHEN p_partkey % 7 = 0 THEN CAST(p_partkey % 50 AS INTEGER) END AS position FROM part
+), s AS (
+  SELECT p_brand, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS p_partkey, CAST([] AS STRUCT(name VARCHAR, bytes INTEGER, id INTEGER)[]) AS t, 32700 AS next_id, CAST(NULL AS INTEGER) AS code, CAST(NULL AS INTEGER) AS theme_id, CAST(NULL AS INTEGER) AS position FROM (SELECT DISTINCT p_brand FROM part)
+  UNION ALL
+  SELECT p_brand, n, p_partkey,
+    CASE WHEN NOT ok THEN t WHEN position IS NULL THEN list_concat(list_concat(t[1 : spot], [{{'name': name, 'bytes': bytes, 'id': id}}]), t[spot + 1 :]) ELSE list_concat(t[1 : position], t[position + 2 :]) END,
+    CASE WHEN position IS NULL AND new THEN id % {edits.MOST_ID} + 1 ELSE next_id END, CASE WHEN ok THEN 0 ELSE {edits.REJECTED} END,
+    CASE WHEN NOT ok THEN NULL WHEN position IS NULL THEN id ELSE t[position + 1].id END, CASE WHEN NOT ok THEN NULL WHEN position IS NULL THEN spot ELSE position END
+  FROM (SELECT *, CASE WHEN position IS NULL THEN new AND room ELSE position < len(t) END AS ok FROM (
+    SELECT e.p_brand, e.n, e.p_partkey, e.name, e.bytes, e.position, s.t, s.next_id, CAST(len(list_filter(s.t, lambda x: lower(x.name) < lower(e.name))) AS INTEGER) AS spot,
+      length(e.name) BETWEEN 1 AND 31 AND len(s.t) < 4096 AND len(list_filter(s.t, lambda x: lower(x.name) = lower(e.name))) = 0 AS new,
+      coalesce(list_sum(list_transform(s.t, lambda x: x.bytes)), 0) + e.bytes <= {edits.MOST_BYTES} AS room,
+      CAST((s.next_id - 1 + list_filter(range(0, len(s.t) + 1), lambda d: NOT list_contains(list_transform(s.t, lambda x: x.id), (s.next_id - 1 + d) % {edits.MOST_ID} + 1))[1]) % {edits.MOST_ID} + 1 AS INTEGER) AS id
+    FROM s JOIN e ON e.p_brand = s.p_brand AND e.n = s.n + 1))
+)
+SELECT p_brand, p_partkey, code, theme_id, position FROM s WHERE n > 0
+"""
+
+
+@registered(EDITED)
+def u3_edit_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's table, edited part by part: most are inserted, every seventh deletes the row of a place. Ids begin near the end of their circle."""
+    part = table(spark, sf_dir, "part")
+    position = F.when(F.col("p_partkey") % 7 == 0, F.col("p_partkey") % 50).cast("int")
+    asked = part.select("p_brand", "p_partkey", F.col("p_name").alias("name"), (4 + 2 * F.length("p_name") + 40 * F.col("p_size")).alias("bytes"), position.alias("position"))
+    none = spark.createDataFrame([], "p_brand string, name string, bytes int, theme_id int")
+    return edits.apply_edits(none, asked, "p_brand", "p_partkey", first_id=32700)
+
+
 @registered("SELECT p_brand, CAST(sum(4 + 2 * length(p_name) + 4 * p_size) AS BIGINT) AS size FROM part GROUP BY p_brand")
 def a7_table_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.table_bytes(table(spark, sf_dir, "part"), ["p_brand"], "p_name", "p_size")
