@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafspark.functions import binary, codecs, rules
+from leafspark.functions.tables import StyleEntries, pack_themes_udf, unpack_themes_udf
 from leafspark.operators import documents, edits, keyed, layout, nav, search, styles
-from leafspark.session import table
+from leafspark.session import spread, table
 from leafspark.sources import files, palm
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' texts for work that takes long for each."""
+    return spread(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 # --- search ---------------------------------------------------------------------------------------
 
 FIND = """
@@ -195,7 +201,7 @@ def j8_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def j1_toc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
+    docs = _texts(spark, sf_dir)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     heads = lines.select("doc_id", F.col("i").alias("entry_idx"), F.upper(F.substring("line", 1, 12)).alias("title"))
     tails = lines.select("doc_id", (-1 - F.col("i")).alias("entry_idx"), F.substring("line", 5, 12).alias("title"))
@@ -553,7 +559,7 @@ WRAP = WRAP.format(
 
 @registered(WRAP + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para, pos) - 1 AS INTEGER) AS line_idx, base + pos AS char_offset, size AS char_length FROM l")
 def l1_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.wrapped_lines(_docs(spark, sf_dir), "doc_id", WIDTH)
+    return layout.wrapped_lines(_texts(spark, sf_dir), "doc_id", WIDTH)
 
 
 @registered(
@@ -613,7 +619,7 @@ def _styled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with runs: the style changes every STYLED characters."""
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(STYLED))
     runs = F.transform(starts, lambda at: F.struct(at.cast("long").alias("start"), F.floor(at / STYLED % STYLES).cast("int").alias("style_id")))
-    return _docs(spark, sf_dir).select("doc_id", "text", runs.alias("runs"))
+    return _texts(spark, sf_dir).select("doc_id", "text", runs.alias("runs"))
 
 
 @registered(MEASURED + "SELECT * FROM l")
@@ -697,7 +703,7 @@ SAME = "SELECT doc_id, md5(text) AS digest FROM documents"
 @registered(SAME)
 def x1_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of up to 32 blocks of 4096 bytes for each record: records of 100 000 bytes, put together again."""
-    raw = _docs(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    raw = _texts(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("raw"))
     parts = raw.select("doc_id", "raw", F.explode(F.sequence(F.lit(0), F.greatest(F.length("raw") - 1, F.lit(0)), F.lit(100_000))).alias("pos"))
     read = parts.select("doc_id", "pos", codecs.inflate_udf(codecs.pack_words_udf(F.substring(F.col("raw"), F.col("pos") + 1, F.lit(100_000)))).alias("data"))
     return documents.concatenated(read, "doc_id", "pos").select("doc_id", F.md5("whole").alias("digest"))
@@ -706,7 +712,7 @@ def x1_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(SAME)
 def x2_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.encode("text", "UTF-8")
-    return _docs(spark, sf_dir).select("doc_id", F.md5(codecs.expand_udf(codecs.pack_palmdoc_udf(raw))).alias("digest"))
+    return _texts(spark, sf_dir).select("doc_id", F.md5(codecs.expand_udf(codecs.pack_palmdoc_udf(raw))).alias("digest"))
 
 
 @registered(SAME)
@@ -716,7 +722,7 @@ def f1_windows_1252(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(SAME)
 def f2_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.md5(codecs.lenient_utf8_udf(F.encode("text", "UTF-8")).cast("binary")).alias("digest"))
+    return _texts(spark, sf_dir).select("doc_id", F.md5(codecs.lenient_utf8_udf(F.encode("text", "UTF-8")).cast("binary")).alias("digest"))
 
 
 @registered(
@@ -728,13 +734,13 @@ def f2_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a4_looks_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On the first 500 bytes; a character that they cut is broken."""
-    return _docs(spark, sf_dir).select("doc_id", codecs.looks_utf8_udf(F.encode("text", "UTF-8")).alias("utf8"))
+    return _texts(spark, sf_dir).select("doc_id", codecs.looks_utf8_udf(F.encode("text", "UTF-8")).alias("utf8"))
 
 
 @registered("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size FROM documents")
 def a6_expanded_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of compressed text, told without expanding it."""
-    return _docs(spark, sf_dir).select("doc_id", codecs.palmdoc_size_udf(codecs.pack_palmdoc_udf(F.encode("text", "UTF-8"))).alias("size"))
+    return _texts(spark, sf_dir).select("doc_id", codecs.palmdoc_size_udf(codecs.pack_palmdoc_udf(F.encode("text", "UTF-8"))).alias("size"))
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz012345"
@@ -751,7 +757,7 @@ def f1_hard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f2_broken_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with a byte that can't be, a lone continuation, one that isn't a continuation, and a cut end."""
     raw = F.concat(F.encode(F.substring("text", 1, 100), "UTF-8"), F.lit(b"\xff\x80\xc3\x41"), F.encode(F.expr("substring(text, 101)"), "UTF-8"), F.lit(b"\xe2\x82"))
-    return _docs(spark, sf_dir).select("doc_id", F.md5(codecs.lenient_utf8_udf(raw).cast("binary")).alias("digest"))
+    return _texts(spark, sf_dir).select("doc_id", F.md5(codecs.lenient_utf8_udf(raw).cast("binary")).alias("digest"))
 
 
 @registered(
@@ -762,7 +768,7 @@ def f2_broken_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def x3_wide_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The variant with 14 bits of distance, in records of 4 000 characters: raw runs, then two pairs from before the record's begin, which are held to it."""
-    raw = _docs(spark, sf_dir).select("doc_id", F.encode("text", "ISO-8859-1").alias("raw"))
+    raw = _texts(spark, sf_dir).select("doc_id", F.encode("text", "ISO-8859-1").alias("raw"))
     each = raw.select("doc_id", "raw", F.explode(F.sequence(F.lit(0), F.greatest(F.length("raw") - 1, F.lit(0)), F.lit(4000))).alias("pos"))
     part = each.select("doc_id", "pos", F.substring("raw", F.col("pos") + 1, F.lit(4000)).alias("part"))
     rest = F.length("part") % 8
@@ -778,7 +784,7 @@ def x4_record_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Text of under 50 bytes can't be told from noise there, and isn't found.
     """
-    docs = _docs(spark, sf_dir).select("doc_id", "text", F.greatest(F.floor(F.length("text") / 3000).cast("int"), F.lit(1)).alias("n"))
+    docs = _texts(spark, sf_dir).select("doc_id", "text", F.greatest(F.floor(F.length("text") / 3000).cast("int"), F.lit(1)).alias("n"))
     each = docs.select("doc_id", "text", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     size = F.when(F.col("i") == F.col("n") - 1, 6000).otherwise(3000)
     record = F.concat(F.lit(bytes(8)), codecs.pack_words_udf(F.encode(F.substring("text", F.col("i") * 3000 + 1, size), "UTF-8")))
@@ -786,6 +792,42 @@ def x4_record_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.concatenated(read, "doc_id", "i").select("doc_id", F.md5("whole").alias("digest"))
 
 
+@registered(
+    """
+    WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+    SELECT conv_id, CAST(i AS INTEGER) AS entry, CAST(turn % 256 AS INTEGER) AS style_id, CAST(turn % 7 AS INTEGER) AS extra, CAST(strlen(text) % 65536 AS INTEGER) AS first,
+      CAST(length(role) AS INTEGER) AS second, CAST(conv_id % 65536 AS INTEGER) AS third, CAST(NULL AS VARCHAR) AS reason FROM t WHERE i < 200
+    UNION ALL SELECT conv_id, CAST(least(n, 200) AS INTEGER), NULL, NULL, NULL, NULL, NULL, '2 entries cut off' FROM t WHERE i = 0 AND conv_id % 3 = 0
+    """
+)
+def f17_style_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Style records of conversations, an entry for each turn (200 at most, as many as a byte counts); every third record says two more than it has."""
+    turns = table(spark, sf_dir, "conversations").withColumn("i", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).where("i < 200")
+    extra = F.col("turn") % 7
+    fields = ((F.col("turn"), 1), (extra, 1), (F.octet_length("text"), 2), (F.length("role"), 2), (F.col("conv_id"), 2))
+    body = F.concat(*[binary.from_integer(c, n) for c, n in fields])
+    stride = F.greatest(F.lit(8), 6 + (extra + 2).bitwiseAND(F.lit(0xFFFE)))
+    padded = F.expr("rpad(_body, int(_stride), X'00')")
+    entries = turns.withColumns({"_body": body, "_stride": stride}).select("conv_id", "i", padded.alias("entry"))
+    whole = entries.groupBy("conv_id").agg(F.count("*").alias("n"), F.expr("listagg(entry) WITHIN GROUP (ORDER BY i)").alias("entries"))
+    count = F.col("n") + F.when(F.col("conv_id") % 3 == 0, 2).otherwise(0)
+    records = whole.select("conv_id", F.concat(F.lit(b"\x05\x00\x00\x00\x00\x04\x00"), binary.from_integer(count, 1), F.lit(b"\x06"), F.col("entries")).alias("data"))
+    return records.lateralJoin(StyleEntries(F.col("data").outer())).drop("data")
+
+
+@registered("SELECT p_partkey, p_brand, CAST(p_partkey % 65536 AS INTEGER) AS id, p_name AS name, CAST(p_size % 4 AS INTEGER) AS n_colours, CASE WHEN p_size % 4 > 0 THEN CAST(p_size AS INTEGER) END AS red FROM part")
+def x5_theme_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as themes, written into binary tables of some hundred and read back; the order in a table is that of the keys."""
+    part = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.floor(F.col("p_partkey") / 5000).alias("block"), "p_name", "p_size")
+    colours = F.transform(F.slice(F.array(*[F.lit(i) for i in range(3)]), F.lit(1), F.col("p_size") % 4), lambda i: F.struct(i.cast("int").alias("idx"), F.col("p_size").cast("int").alias("r"), F.lit(7).alias("g"), F.lit(255).alias("b")))
+    theme = F.struct((F.col("p_partkey") % 65536).cast("int").alias("id"), F.col("p_name").alias("name"), colours.alias("colours"))
+    listed = part.groupBy("p_brand", "block").agg(F.sort_array(F.collect_list(F.struct("p_partkey", theme.alias("theme")))).alias("rows"))
+    made = listed.select("p_brand", F.col("rows.p_partkey").alias("keys"), F.struct(F.lit(0).alias("bytes"), F.lit(1).alias("next_id"), F.lit(0).alias("flags"), F.col("rows.theme").alias("themes")).alias("t"))
+    read = made.select("p_brand", "keys", unpack_themes_udf(pack_themes_udf("t")).alias("t"))
+    each = read.select("p_brand", F.explode(F.arrays_zip("keys", "t.themes")).alias("e"))
+    return each.select(F.col("e.keys").alias("p_partkey"), "p_brand", "e.themes.id", "e.themes.name", F.size("e.themes.colours").alias("n_colours"), F.get("e.themes.colours", 0)["r"].alias("red"))
+
+
 # --- whole containers of both main formats --------------------------------------------------------
 
 TURNS = """

@@ -23,3 +23,12 @@ def local_session(cores: int = 8, app: str = "leafspark", memory: str = "8g") ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that are few, and read by fewer tasks than there are cores, dealt to all cores; others as they are.
+
+    For heavy work on texts: a table of one row group would be one task's. A large table has partitions enough, and isn't shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -5,7 +5,7 @@ Everything here is expressions on the container's bytes; a container is one row,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from leafspark.functions.binary import from_integer, has_flag, i32, latin1, title_of, u8, u16, u32, until_nul
@@ -222,10 +222,22 @@ def open_failures(heads: DataFrame) -> DataFrame:
     return diagnostics(heads, "open", code, text)
 
 
+def observed(heads: DataFrame, name: str = "opening") -> tuple[DataFrame, Observation]:
+    """Headers that count themselves on their way through whatever plan is built on them, and where the counts are read when it has run.
+
+    Counts: containers, and those that are cut off, empty or of no known format, as ``open_failures`` lists them, without a pass of their own.
+    """
+    seen = Observation(name)
+    known = with_head(heads)
+    empty, unknown = F.col("valid") & (F.col("record_count") == 0), F.col("valid") & (F.col("record_count") > 0) & (F.col("format") == 0)
+    counted = known.observe(seen, F.count("*").alias("containers"), F.count_if(~F.col("valid")).alias("cut_off"), F.count_if(empty).alias("no_records"), F.count_if(unknown).alias("unknown_format"))
+    return counted.select(*heads.columns), seen
+
+
 def record_failures(recs: DataFrame) -> DataFrame:
     """Rows for records that couldn't be read: their extent is negative or passes the end of the file."""
     text = F.concat(F.lit("record "), F.col("idx").cast("string"), F.lit(" is cut off"))
     return diagnostics(recs.where(F.col("data").isNull()), "record", F.lit(SHORT_READ), text)
 
 
-__all__ = ["CORRUPT", "FORMAT_PALMDOC", "FORMAT_V3", "SHORT_READ", "containers", "current_layout", "headers", "identified", "open_failures", "record_0", "record_failures", "records", "title_of", "with_facts"]
+__all__ = ["CORRUPT", "FORMAT_PALMDOC", "FORMAT_V3", "SHORT_READ", "containers", "current_layout", "headers", "identified", "observed", "open_failures", "record_0", "record_failures", "records", "title_of", "with_facts"]
