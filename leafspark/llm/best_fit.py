@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,8 +52,8 @@ _TRAIL = np.zeros(256, dtype=bool)
 _TRAIL[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True
 
 
-def first_cut(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Where the pieces begin that a byte-level tokenizer codes independently; pieces may be longer than its own.
+def first_cut(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces begin that a byte-level tokenizer codes independently, and each byte's class; pieces may be longer than its own.
 
     A piece is a run of letters, digits or other marks, with a space before it if there is one; of white space
     before a word all but the last character is one piece. Words (between white space) with apostrophes, bars or
@@ -82,7 +83,7 @@ def first_cut(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         inside = np.arange(int(lengths.sum())) + np.repeat(unit[rough] - np.cumsum(lengths) + lengths, lengths)
         begins[inside] = False
         begins[unit[rough]] = True
-    return np.flatnonzero(begins[:-1])
+    return np.flatnonzero(begins[:-1]), kind
 
 
 class ByteTokenizer:
@@ -95,16 +96,34 @@ class ByteTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.most, self.pieces = most, PieceTable()
         self.most_id = max(self.tokenizer.get_vocab().values())
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate([np.zeros(0, dtype="<u4"), *each]), np.array([len(x) for x in each], dtype=np.int64)
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.array([len(x) for x in each], dtype=np.int64)
+        return np.fromiter(chain.from_iterable(each), dtype="<u4", count=int(counts.sum())), counts
+
+    def _joined(self, texts: list[str], together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_coded``, for pieces without white space but for a space in front: many in one text, with a line end behind each, which is one token."""
+        line = self.line_end
+        pool, counts = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        parts = [texts[at : at + together] for at in range(0, len(texts), together)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) + "\n" for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == line)
+            if len(ends) != len(part):
+                own = self._coded(part)
+            else:
+                own = ids[ids != line], np.diff(ends, prepend=-1) - 1
+            pool.append(own[0])
+            counts.append(own[1])
+        return np.concatenate(pool), np.concatenate(counts)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty), and each text's limits in them."""
         data, ends = utf8(texts)
         odd = [r for r in np.unique(np.searchsorted(ends, np.flatnonzero(_ODD[data]), side="right") - 1).tolist() if ODD_BLANK.search(data[ends[r] : ends[r + 1]].tobytes().decode())]
-        starts = first_cut(data, ends) if len(data) else np.zeros(0, dtype=np.int64)
+        starts, kind = first_cut(data, ends) if len(data) else (np.zeros(0, dtype=np.int64), data)
         if odd:  # such a text is one piece
             row = np.searchsorted(ends, starts, side="right") - 1
             starts = starts[~np.isin(row, odd) | np.isin(starts, ends[:-1][odd])]
@@ -119,8 +138,13 @@ class ByteTokenizer:
             where = np.zeros(len(keys), dtype=np.int64)
             where[which[::-1]] = np.arange(len(which) - 1, -1, -1)
             at, raw = where[fresh], data.tobytes()
+            rough = np.concatenate([[0], np.cumsum((kind == HARD) | (kind == BLANK))])
+            first, last = starts[at], stops[at]
+            plain = (rough[last] == rough[first + 1]) & ((kind[first] < OTHER + 1) & (kind[first] != BLANK) | (data[first] == 0x20) & (last > first + 1))
+            for own, code in ((plain, self._joined), (~plain, self._coded)):
+                which_new = fresh[own]
+                self.pieces.add([keys[i] for i in which_new.tolist()], *code([raw[a:b].decode() for a, b in zip(first[own].tolist(), last[own].tolist(), strict=True)]))
             new = [keys[i] for i in fresh.tolist()]
-            self.pieces.add(new, *self._coded([raw[a:b].decode() for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]))
             found[fresh] = self.pieces.find(new)
         ids, sums = self.pieces.gather(found[which])
         return ids, sums[np.searchsorted(starts, ends)]
@@ -129,7 +153,7 @@ class ByteTokenizer:
 @lru_cache(maxsize=1)
 def coder_of(path: str) -> ByteTokenizer:
     """One tokenizer for all tasks that a worker process runs one after the other: what it has coded once stays known."""
-    return ByteTokenizer(path, most=300_000)
+    return ByteTokenizer(path, most=600_000)
 
 
 def planned(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
