@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: What windows-1252 has at 0x80 to 0x9F (U+FFFD where nothing is defined).
 WINDOWS_1252 = "€�‚ƒ„…†‡ˆ‰Š‹Œ�Ž��‘’“”•–—˜™š›œ�žŸ"
 C1_CONTROLS = "".join(chr(c) for c in range(0x80, 0xA0))
+#: The code of a call that isn't supported, and the one of any other failure.
+UNSUPPORTED, FAILED = -2147483643, -2147483648
 
 
 def unsigned(data: Column, at: Column | int, size: int) -> Column:
@@ -81,6 +83,48 @@ def compare_code(a: Column, b: Column) -> Column:
     return F.when(a == b, 0).when(a < b, 2).otherwise(3)
 
 
+def _order(a: Column, b: Column) -> Column:
+    return F.when(a == b, 0).when(a < b, 2).otherwise(3)
+
+
+def compare_signed(a: Column, b: Column) -> Column:
+    """0, 2 or 3 for bytes that count from -128 to 127: those from 0x80 on come before all others."""
+    low = "".join(map(chr, range(128)))
+    above = "".join(chr(256 + c) for c in range(128))
+    return _order(*(F.translate(latin1(x), low, above) for x in (a, b)))
+
+
+def compare_ascii(a: Column, b: Column) -> Column:
+    """0, 2 or 3 for bytes without regard to the case of A to Z; FAILED where a byte from 0x80 on is met before they differ or one ends."""
+    upper = "".join(map(chr, range(65, 91)))
+    a, b = (F.translate(latin1(x), upper, upper.lower()) for x in (a, b))
+    plain = F.least(*(F.length(F.regexp_extract(x, r"^[\x00-\x7F]*", 0)) for x in (a, b)))
+    before = _order(F.substring(a, F.lit(1), plain), F.substring(b, F.lit(1), plain))
+    met = (plain < F.length(a)) & (plain < F.length(b))
+    return F.when(before != 0, before).when(met, FAILED).otherwise(_order(F.length(a), F.length(b)))
+
+
+def integers(values: Column, size: int) -> Column:
+    """The big-endian bytes of an array of integers, one behind the other."""
+    return F.unhex(F.array_join(F.transform(values, lambda v: F.hex(from_integer(v, size))), ""))
+
+
+def utf16(text: Column) -> Column:
+    """A string as big-endian 16-bit units."""
+    return F.encode(text, "UTF-16BE")
+
+
+def sought(size: Column, at: Column, offset: Column, mode: Column) -> Column:
+    """Where a seek ends in ``size`` bytes, as a struct of position and code.
+
+    Modes: 0 from the start, 1 from ``at``, 2 from the end. The position stays within 0 and ``size``; another
+    mode leaves it at ``at`` and has the code UNSUPPORTED.
+    """
+    asked = F.when(mode == 0, offset).when(mode == 1, at + offset).when(mode == 2, size + offset)
+    position = F.when(asked.isNull(), at).otherwise(F.greatest(F.lit(0), F.least(asked, size)))
+    return F.struct(position.cast("long").alias("position"), F.when(mode.between(0, 2), 0).otherwise(UNSUPPORTED).alias("code"))
+
+
 def parse_unsigned(text: Column) -> Column:
     """Digits after leading white space as a number: none give 0; over ten digits or 4294967295 give -1."""
     digits = F.regexp_extract(text, r"^[ \t\n-\r]*(\d*)", 1)

@@ -274,6 +274,68 @@ def f6_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", binary.compare_code(F.col("c_name"), F.col("c_mktsegment")).alias("code"))
 
 
+_ASCII, _ABOVE = "".join(chr(c) for c in range(1, 128)), "".join(chr(0x100000 + c) for c in range(1, 128))
+
+
+@registered(
+    f"""
+    WITH k AS (SELECT doc_id, translate(text, '{_ASCII.replace("'", "''")}', '{_ABOVE}') AS whole FROM documents)
+    SELECT doc_id, CASE WHEN whole = substr(whole, 2) THEN 0 WHEN whole < substr(whole, 2) THEN 2 ELSE 3 END AS code FROM k
+    """
+)
+def f5_compare_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text against what is behind its first character, as signed bytes; in the SQL, ASCII is moved behind all other characters."""
+    a, b = F.encode("text", "UTF-8"), F.encode(F.expr("substring(text, 2)"), "UTF-8")
+    return _docs(spark, sf_dir).select("doc_id", binary.compare_signed(a, b).alias("code"))
+
+
+@registered(
+    """
+    WITH d AS (SELECT doc_id, text AS a, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || 'z' WHEN 2 THEN replace(text, 'th', 'Ti') ELSE substr(text, 1, length(text) // 2) END AS b FROM documents),
+    k AS (SELECT doc_id, translate(a, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS a, translate(b, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b FROM d),
+    p AS (SELECT *, CAST(least(length(regexp_extract(a, '^[\\x00-\\x7F]*')), length(regexp_extract(b, '^[\\x00-\\x7F]*'))) AS BIGINT) AS p FROM k)
+    SELECT doc_id, CAST(CASE WHEN substr(a, 1, p) < substr(b, 1, p) THEN 2 WHEN substr(a, 1, p) > substr(b, 1, p) THEN 3 WHEN p < length(a) AND p < length(b) THEN -2147483648
+      WHEN length(a) = length(b) THEN 0 WHEN length(a) < length(b) THEN 2 ELSE 3 END AS INTEGER) AS code FROM p
+    """
+)
+def f7_compare_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text against itself, a longer, a changed and a shorter one, without regard to case, with the code for bytes that aren't ASCII."""
+    kind, text = F.pmod("doc_id", F.lit(4)), F.col("text")
+    other = F.when(kind == 0, text).when(kind == 1, F.concat(text, F.lit("z"))).when(kind == 2, F.replace(text, F.lit("th"), F.lit("Ti"))).otherwise(F.expr("substring(text, 1, length(text) div 2)"))
+    return _docs(spark, sf_dir).select("doc_id", binary.compare_ascii(F.encode(text, "UTF-8"), F.encode(other, "UTF-8")).alias("code"))
+
+
+@registered(
+    """
+    WITH s AS (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, doc_id % 5 AS mode, doc_id * 37 % 3000 - 1500 AS distance FROM documents)
+    SELECT doc_id, CAST(CASE mode WHEN 0 THEN greatest(0, least(distance, size)) WHEN 1 THEN greatest(0, least(size // 2 + distance, size)) WHEN 2 THEN greatest(0, least(size + distance, size)) ELSE size // 2 END AS BIGINT) AS position,
+      CASE WHEN mode < 3 THEN 0 ELSE -2147483643 END AS code FROM s
+    """
+)
+def s4_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeks within each document's bytes: from the start, from its middle, from its end, and in modes that aren't there."""
+    size, at = F.octet_length("text").cast("long"), F.expr("octet_length(text) div 2")
+    offset = F.pmod(F.col("doc_id") * 37, F.lit(3000)) - 1500
+    return _docs(spark, sf_dir).select("doc_id", binary.sought(size, at, offset, F.pmod("doc_id", F.lit(5))).alias("s")).select("doc_id", "s.position", "s.code")
+
+
+@registered(
+    """
+    SELECT l_orderkey, lpad(hex(count(*)), 4, '0') || string_agg(lpad(hex(l_linenumber), 4, '0'), '' ORDER BY l_linenumber, l_partkey, l_suppkey)
+      || string_agg(lpad(hex(l_partkey), 8, '0') || lpad(hex(l_suppkey), 8, '0'), '' ORDER BY l_linenumber, l_partkey, l_suppkey)
+      || regexp_replace(hex(encode(string_agg(l_returnflag, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag))), '(..)', '00\\1', 'g') AS written
+    FROM lineitem GROUP BY l_orderkey
+    """
+)
+def s16_written_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as a record: their number, 16-bit line numbers, pairs of 32-bit keys, and a string of 16-bit units."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    pairs = F.flatten(F.transform("lines", lambda x: F.array(x["l_partkey"], x["l_suppkey"])))
+    parts = (binary.from_integer(F.size("lines"), 2), binary.integers(F.col("lines.l_linenumber"), 2), binary.integers(pairs, 4), binary.utf16(F.array_join("lines.l_returnflag", "")))
+    return orders.select("l_orderkey", F.hex(F.concat(*parts)).alias("written"))
+
+
 @registered(
     """
     SELECT event_id, CAST(extract(year FROM ts) AS INTEGER) AS year, CAST(extract(month FROM ts) AS INTEGER) AS month, CAST(extract(day FROM ts) AS INTEGER) AS day,
@@ -683,6 +745,17 @@ def s9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return palm.records(palm.headers(_turn_containers(spark, sf_dir))).select("path", "idx", "size", "attr", F.md5("data").alias("digest"))
 
 
+@registered(
+    """
+    SELECT CAST(conv_id AS VARCHAR) AS path, CAST(sum(strlen(text)) AS BIGINT) AS bytes, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id
+    """
+)
+def s15_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers taken as plain text, record 0 included."""
+    opened = documents.plain_text_documents(palm.records(palm.headers(_turn_containers(spark, sf_dir))))
+    return opened.select("path", F.length("raw").cast("long").alias("bytes"), F.md5("raw").alias("digest"))
+
+
 @registered("SELECT CAST(conv_id AS VARCHAR) AS path, 5 AS format, 'talk ' || conv_id AS title, CAST(sum(length(text)) AS BIGINT) AS text_chars, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
 def s14_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as PalmDoc containers, each record compressed, opened as documents."""
@@ -948,4 +1021,23 @@ def p2_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return palm.open_failures(palm.identified(heads)).unionByName(palm.record_failures(palm.records(heads)))
 
 
+@registered(
+    f"""
+    WITH {TURNS}, c AS (SELECT conv_id, max(turns) AS turns, CAST(conv_id % 7 - 1 AS INTEGER) AS idx FROM t GROUP BY conv_id),
+    f AS (SELECT c.conv_id, idx, text, CASE WHEN i IS NULL THEN -2147483643 WHEN c.conv_id % 4 = 3 AND CASE WHEN i = t.turns - 1 THEN base > 1 ELSE base + n > 1 END THEN -2147024886 ELSE 0 END AS code
+      FROM c LEFT JOIN t ON t.conv_id = c.conv_id AND t.i = c.idx)
+    SELECT CAST(conv_id AS VARCHAR) AS path, idx, code, CASE WHEN code = 0 AND conv_id % 4 <> 3 THEN md5(text) END AS digest,
+      CASE code WHEN -2147483643 THEN 'no record ' || idx WHEN -2147024886 THEN 'record ' || idx || ' is cut off' END AS message FROM f
+    """
+)
+def s8_record_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record of each container by number, also numbers that aren't there; every fourth container is cut off behind a byte of its first record."""
+    found = _turn_containers(spark, sf_dir).withColumn("number", F.col("path").cast("long"))
+    cut = F.pmod("number", F.lit(4)) == 3
+    content = F.when(cut, F.substring("content", F.lit(1), 78 + 8 * binary.u16(F.col("content"), 76) + 1)).otherwise(F.col("content"))
+    found = palm.record_at(palm.headers(found.select("path", content.alias("content"))), F.pmod(F.col("path").cast("long"), F.lit(7)) - 1)
+    whole = F.pmod(F.col("path").cast("long"), F.lit(4)) != 3
+    return found.select("path", "idx", "code", F.when(whole, F.md5("data")).alias("digest"), "message")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -16,7 +16,7 @@ from leafspark.sources.files import diagnostics
 HEADER_BYTES, ENTRY_BYTES = 78, 8
 RECORD_0_MAGIC, RECORD_0_BYTES, UTF8_ENCODING = "isSilo", 128, 106
 GROUPS, RANGES = 4, 18
-SHORT_READ, CORRUPT = -2147024886, -2028929015
+SHORT_READ, CORRUPT, NO_RECORD = -2147024886, -2028929015, -2147483643
 #: The compression code of a PalmDoc whose records are compressed.
 PACKED = 2
 
@@ -80,6 +80,24 @@ def with_head(heads: DataFrame) -> DataFrame:
     return heads.select("*", F.inline(F.array(F.struct(head.alias("head"))))).withColumn("format", document_format(F.col("type"), u16(F.col("head"), 0)))
 
 
+def record_at(heads: DataFrame, index: Column, *keep: str) -> DataFrame:
+    """One record of each container, by number: path, idx, data, code and message, and the columns ``keep``.
+
+    Only its own extent is cut out, no list of records is made. Every container has a row: NO_RECORD where it has no
+    record of that number, SHORT_READ where the record passes the end, CORRUPT where it can't be opened; data is null there.
+    """
+    c = F.col("content")
+    listed = heads.withColumn("idx", index.cast("int"))
+    i, count = F.col("idx"), F.col("record_count")
+    there = F.col("valid") & (i >= 0) & (i < count)
+    end = F.when(i + 1 < count, u32(c, entry_at(i + 1))).otherwise(F.length(c).cast("long"))
+    found = listed.withColumn("data", F.when(there, cut_out(c, u32(c, entry_at(i)), end)))
+    code = F.when(~F.col("valid") | (count == 0), CORRUPT).when(~F.coalesce(there, F.lit(False)), NO_RECORD).when(F.col("data").isNull(), SHORT_READ).otherwise(0)
+    number = i.cast("string")
+    message = F.when(F.col("code") == CORRUPT, "header cut off").when(F.col("code") == NO_RECORD, F.concat(F.lit("no record "), number)).when(F.col("code") == SHORT_READ, F.concat(F.lit("record "), number, F.lit(" is cut off")))
+    return found.withColumn("code", code).select("path", "idx", "data", "code", message.alias("message"), *keep)
+
+
 def record_0(recs: DataFrame) -> DataFrame:
     return recs.where("idx = 0").select("path", F.col("data").alias("head"))
 
@@ -240,4 +258,4 @@ def record_failures(recs: DataFrame) -> DataFrame:
     return diagnostics(recs.where(F.col("data").isNull()), "record", F.lit(SHORT_READ), text)
 
 
-__all__ = ["CORRUPT", "FORMAT_PALMDOC", "FORMAT_V3", "SHORT_READ", "containers", "current_layout", "headers", "identified", "observed", "open_failures", "record_0", "record_failures", "records", "title_of", "with_facts"]
+__all__ = ["CORRUPT", "FORMAT_PALMDOC", "FORMAT_V3", "NO_RECORD", "SHORT_READ", "containers", "current_layout", "headers", "identified", "observed", "open_failures", "record_0", "record_at", "record_failures", "records", "title_of", "with_facts"]

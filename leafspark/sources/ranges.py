@@ -21,10 +21,8 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from leafspark.sources.files import CONTAINER_GLOB
-from leafspark.sources.palm import CORRUPT, ENTRY_BYTES, HEADER_BYTES, SHORT_READ
+from leafspark.sources.palm import CORRUPT, ENTRY_BYTES, HEADER_BYTES, NO_RECORD, SHORT_READ
 
-#: Fixed value: the code of a record that isn't there.
-NO_RECORD = -2147483643
 SCHEMA = "path string, name string, type string, record_count int, idx int, offset long, size long, attr int, data binary, code int, message string"
 _ARROW = pa.schema(
     [("path", pa.string()), ("name", pa.string()), ("type", pa.string()), ("record_count", pa.int32()), ("idx", pa.int32()), ("offset", pa.int64()), ("size", pa.int64()), ("attr", pa.int32()), ("data", pa.binary()), ("code", pa.int32()), ("message", pa.string())]
