@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from leafspark.llm.arrow_text import sized_slices
-from leafspark.llm.scratch import bounded_batches
+from leafspark.llm.scratch import bounded_batches, remove
 
 WIDTH = 64
 MANIFEST = "_archives"
+#: So many archives (of some 64 MB) are listed in one file of the manifest.
+ARCHIVES_A_FILE = 200_000
 MEDIA_SCHEMA = "archive string, offset long, member string, media binary, error string"
 _MEDIA_ARROW = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("member", pa.string()), ("media", pa.binary()), ("error", pa.string())])
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -127,10 +129,16 @@ def store_media(docs: DataFrame, folder: str, archive_bytes: int = 64_000_000) -
         if archive is not None:
             yield closed()
 
+    spark, parts = docs.sparkSession, f"{folder}/{MANIFEST}-parts"
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(write, "archive string, bytes long, members long")
-    with bounded_batches(docs.sparkSession):
-        rows.write.parquet(f"{folder}/{MANIFEST}")
-    return docs.sparkSession.read.parquet(f"{folder}/{MANIFEST}").count()
+    with bounded_batches(spark):
+        rows.write.parquet(parts)
+    listed = spark.read.parquet(parts)
+    n = listed.count()
+    # a file for each writing task becomes a file for many archives, so that planning opens few of them
+    listed.repartition(-(-n // ARCHIVES_A_FILE) or 1).write.parquet(f"{folder}/{MANIFEST}")
+    remove(spark, parts)
+    return n
 
 
 @dataclass
@@ -165,26 +173,27 @@ class MediaArchiveReader(DataSourceReader):
                 time.sleep(self.wait * 2**k)
 
     def partitions(self) -> list[ByteRange]:
-        """The manifest is gone through in batches, and what comes out is bounded: ``mostPartitions``, and one more for each of its files."""
+        """Each file of the manifest is opened once, for its sizes alone. What comes out is bounded: ``mostPartitions``, and one more for each file."""
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         store, top = file_system(self.folder)
         files = sorted(x.path for x in store.get_file_info(fs.FileSelector(f"{top}/{MANIFEST}", allow_not_found=True)) if x.path.endswith(".parquet"))
 
-        def sizes(path: str) -> Iterator[int]:
-            with pq.ParquetFile(store.open_input_file(path)) as listed:
-                for batch in listed.iter_batches(columns=["bytes"]):
-                    yield from batch.column(0).to_pylist()
+        def ends(path: str) -> np.ndarray:
+            """Where each archive ends, in bytes of all archives that the file lists."""
+            with store.open_input_file(path) as f:
+                return np.cumsum(pq.read_table(f, columns=["bytes"]).column(0).to_numpy())
 
-        total = sum(n for path in files for n in sizes(path))
+        listed = {path: ends(path) for path in files}
+        total = sum(int(e[-1]) for e in listed.values() if len(e))
         size = max(self.range_bytes, -(-total // self.most_partitions))
         found = []
-        for path in files:
-            begin = 0  # of the archive, in bytes of all archives that the file lists
-            for row, n in enumerate(sizes(path)):
-                found += [ByteRange(path, row, at - begin, size) for at in range(-(-begin // size) * size, begin + n, size)]
-                begin += n
+        for path, end in listed.items():
+            at = np.arange(0, int(end[-1]) if len(end) else 0, size)
+            row = np.searchsorted(end, at, side="right")
+            low = at - np.concatenate([[0], end])[row]
+            found += [ByteRange(path, int(r), int(b), size) for r, b in zip(row, low, strict=True)]
         return found or [ByteRange("", 0, 0, 0)]
 
     def member(self, store, path: str, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:

@@ -7,11 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders handed out inside of ``released``, innermost last.
-_SCOPES: list[list[str]] = []
+#: Folders handed out inside of the innermost ``released`` of this thread.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("leafspark_scope", default=None)
 _BATCH_OPTIONS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
 
 
@@ -29,8 +30,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="leafspark-"))
         top = context.getCheckpointDir()
     at = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(at)
+    taken = _SCOPE.get()
+    if taken is not None:
+        taken.append(at)
     return at
 
 
@@ -42,12 +44,14 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end all folders that operators took inside; their results must have been written by then."""
-    _SCOPES.append([])
+    """Delete at the end all folders that operators took inside, in this thread; their results must have been written by then."""
+    taken: list[str] = []
+    before = _SCOPE.set(taken)
     try:
         yield
     finally:
-        for folder in _SCOPES.pop():
+        _SCOPE.reset(before)
+        for folder in taken:
             remove(spark, folder)
 
 

@@ -347,6 +347,109 @@ def test_media_round_trip(spark, tmp_path):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def samples_of_png(media_bytes):
+    """What the PNG format says of an 8-bit grey image, byte by byte and with all five row filters."""
+    import zlib
+
+    assert media_bytes[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, body, size = 8, b"", None
+    while at < len(media_bytes):
+        n = int.from_bytes(media_bytes[at : at + 4], "big")
+        kind, data = media_bytes[at + 4 : at + 8], media_bytes[at + 8 : at + 8 + n]
+        assert int.from_bytes(media_bytes[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + data)
+        if kind == b"IHDR":
+            size = int.from_bytes(data[:4], "big"), int.from_bytes(data[4:8], "big")
+            assert tuple(data[8:]) == (8, 0, 0, 0, 0)
+        elif kind == b"IDAT":
+            body += data
+        at += 12 + n
+    assert kind == b"IEND"
+    raw, (width, height) = zlib.decompress(body), size
+    assert len(raw) == height * (width + 1)
+    out, above = bytearray(), bytes(width)
+    for y in range(height):
+        how, line = raw[y * (width + 1)], bytearray(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        for x in range(width):
+            a, b, c = line[x - 1] if x else 0, above[x], above[x - 1] if x else 0
+            nearest = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            line[x] = line[x] + (0, a, b, (a + b) // 2, nearest)[how] & 255
+        out += line
+        above = bytes(line)
+    return bytes(out)
+
+
+def test_media_by_another_reader(spark, tmp_path):
+    """The stored images by a reader of the format's own rules, and the features counted in plain Python."""
+    from math import isqrt
+
+    rows = [*corpus(5), (None, "no id"), (3000, "é" * 33), (3001, "x" * 64), (3002, "y" * 65)]
+    texts = {d: (t or "").encode() for d, t in rows}
+    got = media.media_columns(table(spark, rows), f"file://{tmp_path}/other").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = texts[r["doc_id"]]
+        want += bytes(-len(want) % 64 if want else 64)
+        assert samples_of_png(bytes(r["media"])) == bytes(r["payload"]) == want
+        n, total = len(want), sum(want)
+        spread = sum(x * x for x in want) * n - total * total
+        steps = sum(abs(a - b) > 32 for a, b in zip(want, want[1:], strict=False))
+        bins = "/".join(str(sum(x // 32 == k for x in want)) for k in range(8))
+        mean, deviation, *rest = r["feature"].split(";")
+        assert (mean, rest) == (f"mean={100 * total // n}", [f"steps={steps}", f"bins={bins}"])
+        assert abs(int(deviation.removeprefix("deviation=")) - isqrt(10_000 * spread) // n) <= 1
+
+
+def test_media_manifest_is_compact(spark, tmp_path, monkeypatch):
+    """Many writing tasks leave one file to plan from; each file of a manifest is opened once."""
+    from pyarrow import fs
+
+    rows = [(i, f"text {i} " * 20) for i in range(60)]
+    folder = f"file://{tmp_path}/media"
+    n = media.store_media(table(spark, rows).repartition(12), folder, archive_bytes=500)
+    files = [p.name for p in (tmp_path / "media" / media.MANIFEST).glob("*.parquet")]
+    assert n > 12 and len(files) == 1 and not (tmp_path / "media" / f"{media.MANIFEST}-parts").exists()
+    opened = []
+
+    class Store:
+        inner = fs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def open_input_file(self, path):
+            opened.append(path)
+            return self.inner.open_input_file(path)
+
+    monkeypatch.setattr(media, "file_system", lambda uri: (Store(), str(tmp_path / "media")))
+    assert len(media.MediaArchiveReader({"path": folder, "rangeBytes": "700"}).partitions()) > 12 and len(opened) == 1
+
+
+def test_folders_are_released_by_the_thread_that_took_them(spark):
+    """A scope that ends in one thread leaves what another thread has taken."""
+    import threading
+
+    from leafspark.llm import scratch
+
+    entered, left, seen = threading.Event(), threading.Event(), []
+
+    def other():
+        with scratch.released(spark):
+            frame = scratch.saved(spark.range(5), "other")
+            entered.set()
+            left.wait(60)
+            seen.append(frame.count())
+
+    worker = threading.Thread(target=other)
+    with scratch.released(spark):
+        worker.start()
+        entered.wait(60)
+        mine = scratch.saved(spark.range(3), "mine")
+        assert mine.count() == 3
+    left.set()
+    worker.join(60)
+    assert seen == [5]
+
+
 def test_media_members_are_retried_alone(tmp_path):
     class Store:
         """Fails on the first two openings of a member's archive."""
