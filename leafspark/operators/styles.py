@@ -107,3 +107,10 @@ def coalesced(runs: DataFrame, keys: list[str], order: list[str], value: Column,
     changed = runs.withColumn("value", value).withColumn("_new", F.when(F.col("value").eqNullSafe(F.lag("value").over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1))
     islands = changed.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     return islands.groupBy(*keys, "island", "value").agg(*measures)
+
+
+def run_texts(runs: DataFrame, texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, run_idx, style_id and the text of each run. A document's runs go to its text as one array, so no text is copied for each of them."""
+    listed = runs.groupBy(key).agg(F.collect_list(F.struct("run_idx", "start", "length", "style_id")).alias("_runs"))
+    part = lambda r: F.struct(r["run_idx"].alias("run_idx"), r["style_id"].alias("style_id"), F.substring(F.col(text), (r["start"] + 1).cast("int"), r["length"].cast("int")).alias("text"))
+    return texts.join(listed, key).select(key, F.inline(F.transform("_runs", part)))

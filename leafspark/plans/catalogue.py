@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from leafspark.functions import binary, codecs, rules
 from leafspark.functions.tables import StyleEntries, pack_themes_udf, unpack_themes_udf
 from leafspark.operators import documents, edits, keyed, layout, nav, search, styles
-from leafspark.session import spread, table
-from leafspark.sources import files, palm
+from leafspark.operators.prefix import in_two_levels
+from leafspark.session import shared_folder, spread, table
+from leafspark.sources import files, palm, ranges, writing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,6 +140,24 @@ def w6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).drop("end")
 
 
+def _run_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = documents.concatenated(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", F.col("whole").alias("text"))
+    return styles.run_texts(_runs(spark, sf_dir), whole, "conv_id")
+
+
+@registered(f"WITH {RUNS}, c AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS whole FROM conversations GROUP BY conv_id) SELECT conv_id, run_idx, style_id, md5(substr(whole, start + 1, length)) AS digest FROM runs JOIN c USING (conv_id)")
+def p13_run_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each run, cut from its conversation."""
+    return _run_texts(spark, sf_dir).select("conv_id", "run_idx", "style_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@registered("SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS text_chars, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id HAVING sum(length(text)) > 0")
+def a2_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain text of each conversation from its runs, one behind the other."""
+    whole = documents.concatenated(_run_texts(spark, sf_dir), "conv_id", "run_idx", "text")
+    return whole.select("conv_id", F.length("whole").cast("long").alias("text_chars"), F.md5(F.col("whole").cast("binary")).alias("digest"))
+
+
 ASKED = "q AS (SELECT conv_id, unnest([0, 50, 400, 2000, 999999]) AS pos FROM (SELECT DISTINCT conv_id FROM conversations))"
 
 
@@ -1040,4 +1059,28 @@ def s8_record_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "idx", "code", F.when(whole, F.md5("data")).alias("digest"), "message")
 
 
+#: Conversations of a shelf, and records of one of its containers (which has a 16-bit count).
+SHELF, CONTAINER_RECORDS = 50, 60_000
+
+
+@registered(
+    f"""
+    WITH p AS (SELECT conv_id // {SHELF} AS shelf, row_number() OVER (PARTITION BY conv_id // {SHELF} ORDER BY conv_id, turn) - 1 AS place, conv_id, text FROM conversations)
+    SELECT 'shelf-' || shelf || '-' || place // {CONTAINER_RECORDS} || '.pdb' AS file, 'Shelf ' || shelf AS name, CAST(place % {CONTAINER_RECORDS} AS INTEGER) AS idx, CAST(strlen(text) AS BIGINT) AS size, CAST(conv_id % 256 AS INTEGER) AS attr, 0 AS code, md5(text) AS digest FROM p
+    """
+)
+def s16_sink_and_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations by shelves, written as container files by the sink in the shared folder and read by byte range; a shelf of very many turns has several files."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.expr(f"conv_id div {SHELF}").alias("shelf"))
+    placed = in_two_levels(turns, ["shelf"], [F.col("conv_id"), F.col("turn")], position="place")
+    shelf, place = F.col("shelf").cast("string"), F.col("place")
+    rows = placed.select(
+        F.concat(F.lit("shelf-"), shelf, F.lit("-"), F.expr(f"place div {CONTAINER_RECORDS}").cast("string")).alias("file"), F.concat(F.lit("Shelf "), shelf).alias("name"), F.lit("TEXt").alias("type"),
+        F.lit("Leaf").alias("creator"), (place % CONTAINER_RECORDS).cast("int").alias("idx"), F.pmod("conv_id", F.lit(256)).cast("int").alias("attr"), F.encode("text", "UTF-8").alias("data"),
+    )
+    folder = shared_folder(spark, "shelves")
+    writing.write_containers(rows, folder)
+    return ranges.read_records(spark, folder).select(files.file_name(F.col("path")).alias("file"), "name", "idx", "size", "attr", "code", F.md5("data").alias("digest"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

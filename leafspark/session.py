@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,3 +35,19 @@ def spread(rows: DataFrame) -> DataFrame:
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, a temporary folder is set for a session on one machine (tests); on a cluster, whose
+    machines don't share one, this is an error.
+    """
+    context = spark.sparkContext
+    top = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not top:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="leafspark-"))
+        top = context.getCheckpointDir()
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

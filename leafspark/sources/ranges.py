@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from leafspark.sources.files import CONTAINER_GLOB
@@ -164,6 +165,13 @@ class RecordReader(DataSourceReader):
             k = upto
 
 
+def read_records(spark: SparkSession, folder: str, **options: object) -> DataFrame:
+    """The records of a folder's containers by this source; filters on path, idx and attr are pushed to it, which needs a session option that this sets."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ContainerRecords)
+    return spark.read.format(ContainerRecords.name()).options(**options).load(folder)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(c), type=t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 

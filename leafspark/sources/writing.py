@@ -126,3 +126,9 @@ class ContainerFiles(DataSource):
 
     def writer(self, schema, overwrite: bool) -> ContainerWriter:
         return ContainerWriter(dict(self.options), overwrite)
+
+
+def write_containers(records: DataFrame, folder: str) -> None:
+    """Write rows of SCHEMA as containers of ``folder``; they show when all have been written."""
+    records.sparkSession.dataSource.register(ContainerFiles)
+    in_order(records).write.format(ContainerFiles.name()).mode("append").save(folder)
