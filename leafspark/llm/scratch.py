@@ -3,33 +3,22 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafspark.session import shared_folder
+
 #: Folders handed out inside of the innermost ``released`` of this thread.
 _SCOPE: ContextVar[list[str] | None] = ContextVar("leafspark_scope", default=None)
 _BATCH_OPTIONS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the cluster's shared checkpoint folder.
-
-    The folder comes from ``spark.checkpoint.dir``. Where that is unset, a temporary folder is set for a
-    session on one machine (tests); on a cluster, whose machines don't share one, this is an error.
-    """
-    context = spark.sparkContext
-    top = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not top:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="leafspark-"))
-        top = context.getCheckpointDir()
-    at = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name in the folder that all executors share; what is taken inside of ``released`` is deleted at its end."""
+    at = shared_folder(spark, name)
     taken = _SCOPE.get()
     if taken is not None:
         taken.append(at)
