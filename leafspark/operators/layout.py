@@ -155,8 +155,8 @@ def measured(text: str, starts: list[int], styles: list[int], limit: int, m: Mea
     wide = m.of(points, style) if len(points) else np.zeros(0, dtype=np.int64)
     offset, length = wrapped(points, wide, limit)
     upto = np.concatenate([[0], np.cumsum(wide)])
-    first = np.minimum(offset, len(style) - 1)
-    return offset, length, upto[offset + length] - upto[offset], np.maximum.reduceat(m.height[style], first), np.maximum.reduceat(m.baseline[style], first)
+    held = np.append(style, style[-1])  # an empty last line begins behind the text and has its last style
+    return offset, length, upto[offset + length] - upto[offset], np.maximum.reduceat(m.height[held], offset), np.maximum.reduceat(m.baseline[held], offset)
 
 
 def with_runs(docs: DataFrame, runs: DataFrame, key: str) -> DataFrame:
