@@ -28,13 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows that are few, and read by fewer tasks than there are cores, dealt to all cores; others as they are.
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` to two tasks or more for each core, for heavy work on texts.
 
-    For heavy work on texts: a table of one row group would be one task's. A large table has partitions enough, and isn't shuffled.
+    A scan's partitions are cut by bytes, but a row group of Parquet is read whole by one of them: a table of few row groups
+    has many partitions, most of them without a row. So the number of a scan's partitions tells nothing of the tasks that work.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()), key)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
