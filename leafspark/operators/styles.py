@@ -12,13 +12,12 @@ DOCUMENT_STYLES, ALL_STYLES = 13, 32
 DEFAULT_SIZES = (20, 20, 20, 20, 14, 14, 14, 14, 28, 28, 24, 24, 18, 18, 26, 26)
 
 
-def font_table(bases: DataFrame, base: str, attributes: str) -> DataFrame:
-    """The 13 styles of each row of ``bases``: style_id, font_size, typeface, bold, italic."""
-    size = F.when(F.col(base) < 8, 20).otherwise(F.col(base)).cast("int")
+def font_style(base: Column, attributes: Column, i: Column) -> dict[str, Column]:
+    """font_size, typeface, bold and italic of style ``i`` of a document's 13, by its base size and attributes."""
+    size = F.when(base < 8, 20).otherwise(base).cast("int")
     face = lambda nibble, other: F.when(nibble.between(1, 5), nibble).otherwise(other)
-    first = face(F.shiftright(F.col(attributes), 4).bitwiseAND(F.lit(15)), FACE_SERIF)
-    second = face(F.col(attributes).bitwiseAND(F.lit(15)), FACE_SANS)
-    i = F.col("style_id")
+    first = face(F.shiftright(attributes, 4).bitwiseAND(F.lit(15)), FACE_SERIF)
+    second = face(attributes.bitwiseAND(F.lit(15)), FACE_SANS)
     scaled = lambda tenths: F.floor((size * tenths + 5) / 10).cast("int")
     sizes = (
         F.when(i.between(4, 7), F.greatest(scaled(7), F.lit(10)))
@@ -27,10 +26,13 @@ def font_table(bases: DataFrame, base: str, attributes: str) -> DataFrame:
         .otherwise(size)
     )
     faces = F.when(i.between(4, 7), second).when(i == 12, FACE_MONO).otherwise(first)
-    bold = i.isin(1, 3, 5, 7, 9, 11)
-    italic = i.isin(2, 3, 6, 7)
+    return {"font_size": sizes, "typeface": faces.cast("int"), "bold": i.isin(1, 3, 5, 7, 9, 11), "italic": i.isin(2, 3, 6, 7)}
+
+
+def font_table(bases: DataFrame, base: str, attributes: str) -> DataFrame:
+    """The 13 styles of each row of ``bases``: style_id, font_size, typeface, bold, italic."""
     listed = bases.withColumn("style_id", F.explode(F.sequence(F.lit(0), F.lit(DOCUMENT_STYLES - 1))))
-    return listed.withColumns({"font_size": sizes, "typeface": faces.cast("int"), "bold": bold, "italic": italic})
+    return listed.withColumns(font_style(F.col(base), F.col(attributes), F.col("style_id")))
 
 
 def default_styles(spark: SparkSession) -> DataFrame:
@@ -44,13 +46,19 @@ def default_styles(spark: SparkSession) -> DataFrame:
     )
 
 
-def style_of(rows: DataFrame, own: DataFrame, defaults: DataFrame, key: str) -> DataFrame:
-    """Rows (key, style_id) with font_size, bold and italic: the document's style, else the default; ids out of range have style 0."""
+def style_of(rows: DataFrame, bases: DataFrame, defaults: DataFrame, key: str, base: str, attributes: str) -> DataFrame:
+    """Rows (key, style_id) with font_size, bold and italic: the document's style, else the default; ids out of range have style 0.
+
+    ``bases`` has a row for each document with styles of its own, as ``font_table`` takes them. That row is joined, and not its
+    13 styles: the style asked for is worked out behind the join.
+    """
+    names = ("font_size", "bold", "italic")
     put = F.when(F.col("style_id").between(0, ALL_STYLES - 1), F.col("style_id")).otherwise(0)
-    mine = own.select(key, F.col("style_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("font_size", "bold", "italic")])
-    base = defaults.select(F.col("style_id").alias("_default"), *[F.col(c).alias(f"_d_{c}") for c in ("font_size", "bold", "italic")])
-    joined = rows.withColumn("_id", put).join(mine, [key, "_id"], "left").join(F.broadcast(base), F.col("_id") == F.col("_default"))
-    return joined.select(*rows.columns, *[F.coalesce(f"_{c}", f"_d_{c}").alias(c) for c in ("font_size", "bold", "italic")])
+    mine = bases.select(key, F.col(base).alias("_base"), F.col(attributes).alias("_attributes"), F.lit(True).alias("_own"))
+    given = defaults.select(F.col("style_id").alias("_default"), *[F.col(c).alias(f"_d_{c}") for c in names])
+    joined = rows.withColumn("_id", put).join(mine, key, "left").join(F.broadcast(given), F.col("_id") == F.col("_default"))
+    own, has = font_style(F.col("_base"), F.col("_attributes"), F.col("_id")), F.col("_own") & (F.col("_id") < DOCUMENT_STYLES)
+    return joined.select(*rows.columns, *[F.coalesce(F.when(has, own[c]), f"_d_{c}").alias(c) for c in names])
 
 
 def block_spans(records: DataFrame, key: str) -> DataFrame:
