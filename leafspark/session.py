@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, app: str = "leafspark", memory: str = "8g") -> SparkSession:
@@ -34,7 +35,9 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     A scan's partitions are cut by bytes, but a row group of Parquet is read whole by one of them: a table of few row groups
     has many partitions, most of them without a row. So the number of a scan's partitions tells nothing of the tasks that work.
     """
-    return rows.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()), key)
+    n = max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    # by a hash of the key, so that no later step takes the rows as dealt by the key itself: over a union that has given a key's rows apart
+    return rows.repartition(n, F.xxhash64(key))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
