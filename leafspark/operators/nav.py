@@ -103,16 +103,29 @@ def toc_links(toc: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     return named.join(found, at_title).select(key, "entry_idx", "title", F.col("_at").alias("char_offset"), F.length("title").cast("long").alias("length"), "target_offset")
 
 
+#: Characters of texts whose titles are Python objects at once.
+HELD_CHARS = 1 << 20
+
+
 def _first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Key, title and first character of every title that stands in its row's text."""
+    """Key, title and first character of every title that stands in its row's text; handed on when so many characters were read."""
+
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(titles, pa.string()), pa.array(places, pa.int64())], names=["_key", "_title", "_at"])
+
     for batch in batches:
-        rows, titles, places = [], [], []
-        for row, (asked, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-            for title, at in first_places(asked, text).items():
+        rows, titles, places, size = [], [], [], 0
+        for row, (asked, text) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+            body = text.as_py()
+            for title, at in first_places(asked.as_py(), body).items():
                 rows.append(row)
                 titles.append(title)
                 places.append(at)
-        yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(titles, pa.string()), pa.array(places, pa.int64())], names=["_key", "_title", "_at"])
+            size += len(body)
+            if size >= HELD_CHARS:
+                yield found(batch)
+                rows, titles, places, size = [], [], [], 0
+        yield found(batch)
 
 
 def first_places(titles: list[str], text: str) -> dict[str, int]:
