@@ -30,9 +30,9 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no known language. The text model is fitted on a bounded sample of ``docs``."""
-    rows = docs.select("doc_id", "text", F.col("source").alias("host"), F.struct(*docs.columns).alias("whole_row"))
-    found = language.identify(rows, language.fit_languages(docs), ["doc_id"], carry=("whole_row",))
-    return found.where("kept").select("carried.whole_row.*")
+    rows = docs.select("doc_id", "text", F.col("source").alias("host"), F.struct(*[c for c in docs.columns if c != "text"]).alias("others"))
+    found = language.identify(rows, language.fit_languages(docs), ["doc_id"], carry=("others", "text"))
+    return found.where("kept").select(*[F.col("carried.text") if c == "text" else F.col("carried.others").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ from leafspark.llm.arrow_text import lower_ascii, scramble, sized_slices, utf8
 from leafspark.llm.scratch import saved
 
 BUCKETS = 1 << 14
+#: Bytes of text scored at once; a task holds some hundred bytes of numbers for each.
+SLICE_BYTES = 250_000
 #: Priors of so many hosts, an array of as many numbers as languages each, are broadcast; more are joined by a shuffle.
 MOST_BROADCAST_HOSTS = 20_000
 #: Suffixes of addresses that stand for a language, where another than the language's own code does.
@@ -80,7 +82,7 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in sized_slices(batch, "text"):
+        for part in sized_slices(batch, "text", SLICE_BYTES):
             bucket, rows, _, _ = trigrams(part.column("text"))
             language, names = pd.factorize(np.array(part.column("language").to_pylist(), dtype=object))
             counts = np.bincount(language[rows] * BUCKETS + bucket, minlength=len(names) * BUCKETS)
@@ -157,19 +159,22 @@ def identify(
     there to fit it on) tells nothing: all rows are ``und``, and those with letters are kept. The texts are read once, and the scores
     written to the shared folder, from which priors and posteriors are computed in Spark SQL. With ``carry``, the result also has carried, a
     struct of the columns so named; then nothing is written, and texts are scored twice: for the priors, and with their rows.
+    A text that is carried goes through Python once, not beside a copy of itself.
     """
     spark = rows.sparkSession
     names = [*model.languages, "und"]
     n = len(names)
     have = set(rows.columns)
     hint = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
-    source = rows.select(F.struct(*[F.col(k) for k in keys]).alias("key"), "text", hint("declared").alias("declared"), hint("suffix").alias("suffix"), hint("host").alias("host"), *([F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []))
+    others = [c for c in carry if c != "text"]
+    rest = [F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("none")).alias("carried")] if carry else []
+    source = rows.select(F.struct(*[F.col(k) for k in keys]).alias("key"), "text", hint("declared").alias("declared"), hint("suffix").alias("suffix"), hint("host").alias("host"), *rest)
     shared = spark.sparkContext.broadcast(model)
 
     def scores_of(own: DataFrame, columns: tuple[str, ...]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in sized_slices(batch, "text"):
+                for part in sized_slices(batch, "text", SLICE_BYTES):
                     scores, letters = shared.value.likelihoods(part.column("text"))
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, n), type=pa.int32()), pa.array(scores.ravel()))
                     yield pa.record_batch([*(part.column(c) for c in columns), lists, pa.array(letters, type=pa.int64())], names=[*columns, "scores", "letters"])
@@ -180,7 +185,9 @@ def identify(
     hints = ("declared", "suffix", "host")
     more = ["carried"] if carry else []
     if carry:
-        scored, again = scores_of(source.select("text", *hints), hints), scores_of(source, ("key", *hints, "carried"))
+        held = F.struct(*[F.col("text") if c == "text" else F.col("carried").getField(f"c{others.index(c)}").alias(c) for c in carry])
+        own = ("text",) if "text" in carry else ()
+        scored, again = scores_of(source.select("text", *hints), hints), scores_of(source, ("key", *hints, *own, "carried")).withColumn("carried", held).drop("text")
     else:
         scored = again = saved(scores_of(source, ("key", *hints)), "language-scores")
 

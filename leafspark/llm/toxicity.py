@@ -373,7 +373,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 4_000, mos
 def score_toxicity(docs: DataFrame, net: Network, threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
     """Score every whole text: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
-    With ``carry``, also carried: a struct of the columns so named.
+    With ``carry``, also carried: a struct of the columns so named. A text among them goes through Python once, not beside a copy of itself.
 
     Null and empty texts are one window of padding; texts of any length are scored to their end; a null
     doc_id stays null; repeated rows are scored each; other columns are ignored; an empty table gives no
@@ -383,14 +383,19 @@ def score_toxicity(docs: DataFrame, net: Network, threshold: float = 0.3, carry:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sized_slices(batch, "text"):
+            for part in sized_slices(batch, "text", 250_000):
                 out = pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(shared.value.scores(part.column("text")))], names=["doc_id", "held_out", "score"])
-                yield out.append_column("carried", part.column("carried")) if carry else out
+                for c in more:
+                    out = out.append_column(c, part.column(c))
+                yield out
 
     own = [F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id").cast("long"), 4) == 2).alias("held_out"), "text"]
-    rows = docs.select(*own, *([F.struct(*carry).alias("carried")] if carry else []))
+    others = [c for c in carry if c != "text"]
+    more = (["text"] if "text" in carry else []) + (["carried"] if carry else [])
+    rows = docs.select(*own, *([F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("none")).alias("carried")] if carry else []))
     schema = T.StructType.fromDDL("doc_id long, held_out boolean, score double")
-    if carry:
-        schema = schema.add("carried", rows.schema["carried"].dataType)
+    for c in more:
+        schema = schema.add(c, rows.schema[c].dataType)
+    held = F.struct(*[F.col("text") if c == "text" else F.col("carried").getField(f"c{others.index(c)}").alias(c) for c in carry]) if carry else None
     scored = rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    return scored.select("doc_id", "held_out", "score", "predicted", *(["carried"] if carry else []))
+    return scored.select("doc_id", "held_out", "score", "predicted", *([held.alias("carried")] if carry else []))

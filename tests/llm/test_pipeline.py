@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import corpus_pipeline
 from leafspark.llm import toxicity
@@ -134,3 +136,17 @@ def test_broadcast_is_bounded(spark, docs, monkeypatch):
     out = corpus_pipeline.without(docs, docs.where("doc_id % 2 = 0"))
     assert "broadcast" not in out._jdf.queryExecution().logical().toString().lower()
     assert out.count() == docs.where("doc_id % 2 = 1").count()
+
+
+@pytest.mark.parametrize("name", ["language", "toxicity"])
+def test_text_goes_through_python_once(spark, docs, name):
+    def fields(kind):
+        return sum((fields(f.dataType) if f.dataType.typeName() == "struct" else [f.name] for f in kind), [])
+
+    def given(node):
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        own = [fields(StructType.fromJson(json.loads(below[0].schema().json())))] if node.nodeName() == "MapInArrow" else []
+        return sum((given(x) for x in below), own)
+
+    every = given(stage(name)(spark, docs, SF_DIR)._jdf.queryExecution().optimizedPlan())
+    assert every and all(f.count("text") == 1 for f in every)
