@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: About so many rows go to a task at most, so that what a task hands to Python at once doesn't grow with the table.
+ROWS_OF_A_TASK = 2_500
+
 
 def local_session(cores: int = 8, app: str = "leafspark", memory: str = "8g") -> SparkSession:
     """A single-JVM session with the settings the tests and the bench use."""
@@ -34,8 +37,9 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
 
     A scan's partitions are cut by bytes, but a row group of Parquet is read whole by one of them: a table of few row groups
     has many partitions, most of them without a row. So the number of a scan's partitions tells nothing of the tasks that work.
+    Rows are counted first (for a scan, from the footers), and a task gets about ROWS_OF_A_TASK of them at most.
     """
-    n = max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    n = max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions(), -(-rows.count() // ROWS_OF_A_TASK))
     # by a hash of the key, so that no later step takes the rows as dealt by the key itself: over a union that has given a key's rows apart
     return rows.repartition(n, F.xxhash64(key))
 
