@@ -690,3 +690,17 @@ def test_words_of_rows_stay_apart():
     starts, stops, _ = words(data, ends)
     assert len(set(run_hashes(data, starts, stops).tolist())) == len(set(names))
     assert zlib.crc32(b"") == 0
+
+
+def test_a_table_of_pieces_takes_few_bytes_for_each():
+    from leafspark.llm.packing import PieceTable
+
+    rng, table, place = np.random.default_rng(3), PieceTable(), {}
+    for n in (0, 1, 5_000, 5_000):
+        keys = rng.integers(0, 1 << 64, n, dtype=np.uint64).tolist()
+        assert (table.find(keys) == -1).all()
+        place |= {k: len(place) + i for i, k in enumerate(keys)}
+        table.add(keys, np.arange(2 * n, dtype="<u4"), np.full(n, 2))
+    assert table.find(list(place)).tolist() == list(place.values()) and len(table.index) == len(place)
+    assert sum(x.nbytes for x in vars(table).values()) < 40 * len(place)
+    assert table.gather(table.find(list(place)[-2:]))[0].tolist() == [9996, 9997, 9998, 9999]
